@@ -21,7 +21,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -48,76 +48,66 @@ def match_by_ids(row_score: RowScore, left: DataFrame, right: DataFrame) -> Data
     """Matched pairs of prepared sides when all identifiers of a pair must be equal."""
     ids = tuple(row_score.indexes("id"))
     left, right = keyed(row_score, left, "left", ids), keyed(row_score, right, "right", ids)
-    sizes = group_sizes(left, right)
-    long = materialize(sizes.filter((F.col("lefts") > SHORT) | (F.col("rights") > SHORT)), "long-groups")
-    if long.isEmpty():
-        return _match_short(row_score, left, right)
-    keys = long.select("key")
-    short = _match_short(row_score, left.join(keys, "key", "left_anti"), right.join(keys, "key", "left_anti"))
-    return _match_long(
-        row_score, left.join(keys, "key", "left_semi"), right.join(keys, "key", "left_semi"), [short]
-    )
+    found = []
+    while True:
+        is_long = (F.col("lefts") > SHORT) | (F.col("rights") > SHORT)
+        long = materialize(group_sizes(left, right).filter(is_long).select("key"), "long-groups")
+        if long.isEmpty():
+            found.append(_match_short(row_score, left, right))
+            break
+        found.append(
+            _match_short(row_score, left.join(long, "key", "left_anti"), right.join(long, "key", "left_anti"))
+        )
+        left, right, more = _match_round(
+            row_score, left.join(long, "key", "left_semi"), right.join(long, "key", "left_semi")
+        )
+        found += more
+        if left is None:
+            break
+    return materialize(reduce(DataFrame.unionByName, found), "pairs")
 
 
 def _match_short(row_score: RowScore, left: DataFrame, right: DataFrame) -> DataFrame:
     edges = row_score.passing(left.join(right, "key")).select("key", *EDGES)
-    return materialize(greedy_in_groups(edges, "key"), "pairs")
+    return greedy_in_groups(edges, "key")
 
 
-def _ranked(df: DataFrame, side: str) -> DataFrame:
-    return rank_descending(df, "key", f"{side}_id", f"{side}_rank")
-
-
-def _match_long(row_score: RowScore, left: DataFrame, right: DataFrame, found: list[DataFrame]) -> DataFrame:
-    left, right = materialize(left, "left"), materialize(right, "right")
-    while True:
-        sizes = group_sizes(left, right)
-        left_ranked = materialize(_ranked(left.join(sizes, "key"), "left"), "left-ranked")
-        if left_ranked.isEmpty():
-            return reduce(DataFrame.unionByName, found)
-        right_ranked = materialize(_ranked(right.join(sizes, "key"), "right"), "right-ranked")
-
-        level = left_ranked.drop("lefts", "rights").join(
-            right_ranked.withColumnRenamed("right_rank", "left_rank"), ["key", "left_rank"]
-        )
-        passed = materialize(row_score.passing(level).select("key", "left_rank", *EDGES), "level")
-        # First rank that fails, per group: one past the length of the unbroken run of
-        # passing ranks. The run is found from sums alone: the ranks 1..n all pass up to
-        # the smallest rank that is missing.
-        compared = left_ranked.filter(F.col("left_rank") <= F.least("lefts", "rights"))
-        failed = compared.join(passed, ["key", "left_rank"], "left_anti")
-        firsts = failed.groupBy("key").agg(F.min("left_rank").alias("fail"))
-        settled = materialize(
-            passed.join(firsts, "key", "left").filter(F.col("fail").isNull() | (F.col("left_rank") < F.col("fail"))),
-            "settled",
-        ).select(*EDGES)
-        found.append(settled)
-
-        firsts = materialize(firsts, "firsts")
-        if firsts.isEmpty():
-            return reduce(DataFrame.unionByName, found)
-        left_rest = left_ranked.join(firsts, "key").filter(F.col("left_rank") >= F.col("fail"))
-        right_rest = right_ranked.join(firsts, "key").filter(F.col("right_rank") >= F.col("fail"))
-        heads_left = F.col("lefts") <= F.col("rights")
-        heads = _settle_heads(row_score, left_rest, right_rest, heads_left)
-        found.append(heads)
-
-        below = F.col("fail") + HEADS
-        left = left_rest.filter(~heads_left | (F.col("left_rank") >= below))
-        right = right_rest.filter(heads_left | (F.col("right_rank") >= below))
-        extra = ["lefts", "rights", "fail"]
-        left = materialize(
-            left.drop("left_rank", *extra).join(heads.select("left_id"), "left_id", "left_anti"), "left"
-        )
-        right = materialize(
-            right.drop("right_rank", *extra).join(heads.select("right_id"), "right_id", "left_anti"), "right"
-        )
-
-
-def _settle_heads(row_score: RowScore, left: DataFrame, right: DataFrame, heads_left) -> DataFrame:
+def _match_round(row_score: RowScore, left: DataFrame, right: DataFrame):
+    """One round on long groups: the rows still open on each side, and the pairs found."""
+    left = materialize(rank_descending(left, "key", "left_id", "left_rank"), "left-ranked")
+    right = materialize(rank_descending(right, "key", "right_id", "right_rank"), "right-ranked")
+    sizes = (
+        left.groupBy("key")
+        .agg(F.max("left_rank").alias("lefts"))
+        .join(right.groupBy("key").agg(F.max("right_rank").alias("rights")), "key")
+    )
+    level = left.join(right.withColumnRenamed("right_rank", "left_rank"), ["key", "left_rank"])
+    passed = materialize(row_score.passing(level).select("key", "left_rank", *EDGES), "level")
+    compared = left.join(sizes, "key").filter(F.col("left_rank") <= F.least("lefts", "rights"))
+    failed = compared.join(passed, ["key", "left_rank"], "left_anti")
+    firsts = failed.groupBy("key", "lefts", "rights").agg(F.min("left_rank").alias("fail"))
+    firsts = materialize(firsts, "firsts")
+    unbroken = passed.join(firsts, "key", "left")
+    settled = unbroken.filter(F.col("fail").isNull() | (F.col("left_rank") < F.col("fail"))).select(*EDGES)
+    if firsts.isEmpty():
+        return None, None, [settled]
+    left = left.join(firsts, "key").filter(F.col("left_rank") >= F.col("fail"))
+    right = right.join(firsts, "key").filter(F.col("right_rank") >= F.col("fail"))
+    heads_left, below = F.col("lefts") <= F.col("rights"), F.col("fail") + HEADS
+    heads = _settle_heads(row_score, left, right, heads_left, below)
+    left = _drop_settled(left.filter(~heads_left | (F.col("left_rank") >= below)), heads, "left")
+    right = _drop_settled(right.filter(heads_left | (F.col("right_rank") >= below)), heads, "right")
+    return materialize(left, "left-open"), materialize(right, "right-open"), [settled, heads]
+
+
+def _drop_settled(rows: DataFrame, heads: DataFrame, side: str) -> DataFrame:
+    rows = rows.drop(f"{side}_rank", "lefts", "rights", "fail")
+    return rows.join(heads.select(f"{side}_id"), f"{side}_id", "left_anti")
+
+
+def _settle_heads(row_score: RowScore, left: DataFrame, right: DataFrame, heads_left: Column, below: Column) -> DataFrame:
     """Greedy choices of the top rows of each group's shorter side."""
     extra = ["lefts", "rights", "fail"]
-    below = F.col("fail") + HEADS
     edges = []
     for side, other, chosen in (("left", "right", heads_left), ("right", "left", ~heads_left)):
         rows = {"left": left, "right": right}

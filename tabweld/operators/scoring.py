@@ -106,36 +106,41 @@ class RowScore:
             terms.append((F.when(known, same * f.weight).otherwise(0.0), F.when(known, f.weight).otherwise(0.0)))
         return terms
 
-    def _within_reach(self, types: dict[str, T.DataType]) -> Column:
-        """Whether a pair could still pass if all its texts were equal."""
-        exact = self._terms(types, ("id", "number"))
-        texts = [weight for _, weight in self._terms(types, ("text",))]
-        got = _total([s for s, _ in exact] + texts)
-        return got >= _total([w for _, w in exact] + texts) * self.least_field_score
-
-    def with_score(self, pairs: DataFrame, types: dict[str, T.DataType] | None = None) -> DataFrame:
-        """Add ``field_score``, the weighted field similarity, and ``score``, its mix with
-        the cosine of the row texts."""
-        types = types or column_types(pairs)
+    def _within_reach(self, types: dict[str, T.DataType], texts_known: bool) -> Column:
+        """Whether a pair could still pass if its cosine, and texts not yet known, were 1."""
+        terms = self._terms(types, ("id", "number"))
+        texts = self._terms(types, ("text",))
+        terms += texts if texts_known else [(weight, weight) for _, weight in texts]
+        return _total([s for s, _ in terms]) >= _total([w for _, w in terms]) * self.least_field_score
+
+    def _with_texts(self, pairs: DataFrame, types: dict[str, T.DataType]) -> DataFrame:
+        """Add the text similarities; one projection, so that one Arrow exchange serves them."""
         measured = {}
         for i in self.indexes("text"):
             a, b = (value_text(F.col(f"{s}{i}"), types[f"{s}{i}"]) for s in "lr")
             measured[f"j{i}"] = jaro_winkler(a, b)
+        return pairs.withColumns(measured) if measured else pairs
+
+    def _with_mix(self, pairs: DataFrame, types: dict[str, T.DataType]) -> DataFrame:
         if self.embed:
-            measured["cosine"] = vector_cosine(F.col("left_vector"), F.col("right_vector"))
+            cosine = vector_cosine(F.col("left_vector"), F.col("right_vector"))
         else:
             left = [(f.left, F.col(f"l{i}"), types[f"l{i}"]) for i, f in enumerate(self.fields)]
             right = [(f.right, F.col(f"r{i}"), types[f"r{i}"]) for i, f in enumerate(self.fields)]
-            measured["cosine"] = bigram_cosine(row_text(left), row_text(right))
-        # One projection for all Python functions, so that one Arrow exchange serves them.
-        pairs = pairs.withColumns(measured)
+            cosine = bigram_cosine(row_text(left), row_text(right))
         terms = self._terms(types, ("id", "number", "text"))
         total = _total([w for _, w in terms])
         field = F.when(total > 0, _total([s for s, _ in terms]) / total).otherwise(0.0)
-        pairs = pairs.withColumn("field_score", field)
+        pairs = pairs.withColumns({"cosine": cosine, "field_score": field})
         score = F.col("cosine") * EMBEDDING_WEIGHT + F.col("field_score") * FIELD_WEIGHT
         return pairs.withColumn("score", F.round(score, SCORE_DIGITS))
 
+    def with_score(self, pairs: DataFrame) -> DataFrame:
+        """Add ``field_score``, the weighted field similarity, and ``score``, its mix with
+        the cosine of the row texts."""
+        types = column_types(pairs)
+        return self._with_mix(self._with_texts(pairs, types), types)
+
     def _any_id_equal(self, types: dict[str, T.DataType]) -> Column:
         equal = F.lit(False)
         for i in self.indexes("id"):
@@ -144,9 +149,16 @@ class RowScore:
         return equal
 
     def passing(self, pairs: DataFrame) -> DataFrame:
-        """Pairs that reach the threshold; those with an equal identifier then score 1."""
+        """Pairs that reach the threshold; those with an equal identifier then score 1.
+
+        Pairs out of reach are dropped before each costlier measure: numbers and
+        identifiers in generated code, then spelling, then the cosine of the row texts.
+        """
         types = column_types(pairs)
-        scored = self.with_score(pairs.filter(self._within_reach(types)), types)
+        near = pairs.filter(self._within_reach(types, texts_known=False))
+        if self.indexes("text"):
+            near = self._with_texts(near, types).filter(self._within_reach(types, texts_known=True))
+        scored = self._with_mix(near, types)
         boosted = F.when(self._any_id_equal(types), 1.0).otherwise(F.col("score"))
         return scored.filter(F.col("score") >= self.threshold).withColumn("score", boosted)
 

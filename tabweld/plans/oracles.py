@@ -102,15 +102,12 @@ u AS (
     mkt_segment, source_tag, cust_id IN (SELECT id FROM matched),
     CASE WHEN cust_id IN (SELECT id FROM matched) THEN 1.0 END FROM r)
 SELECT customer_id, name, {filled('balance', 'number')}, nation, {filled('segment', 'text')},
-  {'cust_id' if aligned else filled('CAST_cust', 'number').replace('CAST_cust', 'cust_id')},
+  {'cust_id' if aligned else filled('cust_id', 'number')},
   {'full_name' if aligned else filled('full_name', 'text')}, {filled('acct_balance', 'number')},
   {'nation_key' if aligned else filled('nation_key', 'number')}, {filled('mkt_segment', 'text')},
   {filled('source_tag', 'text')}, is_matched, match_score FROM u"""
 
 
-_NAME_WORDS = """replace(lower(x), '_', ' ')"""
-
-
 def _expanded(column: str) -> str:
     words = f"replace(lower({column}), '_', ' ')"
     with_id = f"concat({words}, CASE WHEN contains({words}, 'id') THEN ' identifier primary key' ELSE '' END)"
@@ -200,31 +197,28 @@ rt AS (SELECT line, userid, lower(action_name) AS action_name, amount_paid,
     printf('%.2f', amount_paid)) AS t FROM r),
 {_grams('ga', 'lt', 'entry', 't')},
 {_grams('gb', 'rt', 'line', 't')},
-au AS (SELECT ga.*, user_id FROM ga JOIN lt ON k = entry), bu AS (SELECT gb.*, userid FROM gb JOIN rt ON k = line),
-dots AS (SELECT au.k AS entry, bu.k AS line, sum(au.n * bu.n) AS dot
-  FROM au JOIN bu ON user_id = userid AND au.g = bu.g GROUP BY 1, 2),
-passing AS (
+au AS MATERIALIZED (SELECT k, n, concat(user_id, g) AS ug FROM ga JOIN lt ON k = entry),
+bu AS MATERIALIZED (SELECT k, n, concat(userid, g) AS ug FROM gb JOIN rt ON k = line),
+dots AS MATERIALIZED (SELECT au.k AS entry, bu.k AS line, sum(au.n * bu.n) AS dot
+  FROM au JOIN bu ON au.ug = bu.ug GROUP BY 1, 2),
+passing AS MATERIALIZED (
   SELECT user_id, lt.entry, rt.line
   FROM lt JOIN rt ON user_id = userid JOIN dots ON dots.entry = lt.entry AND dots.line = rt.line
   JOIN ga_norm x ON x.k = lt.entry JOIN gb_norm y ON y.k = rt.line
   WHERE round(0.3 * (dot / (x.norm * y.norm)) + 0.7 * (5 + jaro_winkler_similarity(action, action_name)
     + 2 * ({_close('amount', 'amount_paid')})) / 8, 9) >= 0.85),
-lists AS (SELECT user_id, entry, list(line ORDER BY line DESC) AS options,
+lists AS MATERIALIZED (SELECT user_id, entry, list(line ORDER BY line DESC) AS options,
     row_number() OVER (PARTITION BY user_id ORDER BY entry DESC) AS turn FROM passing GROUP BY user_id, entry),
 steps(user_id, turn, entry, line, used) AS (
   SELECT DISTINCT user_id, CAST(0 AS BIGINT), CAST(-1 AS BIGINT), CAST(-1 AS BIGINT), CAST([] AS BIGINT[]) FROM l
   UNION ALL
-  SELECT s.user_id, s.turn + 1, o.entry, o.pick, CASE WHEN o.pick IS NULL THEN s.used ELSE list_append(s.used, o.pick) END
-  FROM steps s JOIN LATERAL (
-    SELECT entry, (SELECT max(v) FROM (SELECT unnest(options) AS v) WHERE NOT list_contains(s.used, v)) AS pick
-    FROM lists WHERE lists.user_id = s.user_id AND lists.turn = s.turn + 1) o ON true)
+  SELECT user_id, turn, entry, pick, CASE WHEN pick IS NULL THEN used ELSE list_append(used, pick) END
+  FROM (SELECT s.user_id, s.turn + 1 AS turn, o.entry, s.used,
+      list_filter(o.options, lambda v: NOT list_contains(s.used, v))[1] AS pick
+    FROM steps s JOIN lists o ON o.user_id = s.user_id AND o.turn = s.turn + 1))
 SELECT entry AS left_id, line AS right_id, 1.0 AS match_score FROM steps WHERE turn > 0 AND line IS NOT NULL"""
 
-_EDGES = """edges AS (SELECT left_id, right_id, score FROM passing)"""
-
-
 def oracle_sql() -> dict[str, str]:
-    gap_columns = ", ".join(_GAP_TYPES)
     shapes = {
         "region": 2, "nation": 3, "customer": 5, "supplier": 4, "part": 6, "orders": 6, "lineitem": 11, "events": 6,
         "documents": 5, "embeddings": 3, "pages": 3, "benchmark": 2, "labels": 3, "conversations": 4,

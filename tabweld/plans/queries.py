@@ -119,7 +119,7 @@ def event_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def customers_to_suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """No identifier on either side: numbers bound the pairs."""
     left, right = table(spark, sf_dir, "customer"), table(spark, sf_dir, "supplier")
-    _, stats = merge_datasets(left, right, 0.9, left_key="c_custkey", right_key="s_suppkey")
+    _, stats = merge_datasets(left, right, 0.8, left_key="c_custkey", right_key="s_suppkey")
     return stats["matched_pairs"].select("left_id", "right_id", F.round("score", 6).alias("match_score"))
 
 

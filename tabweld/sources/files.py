@@ -52,7 +52,9 @@ def _infer(text: DataFrame) -> dict[str, T.DataType]:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    df.write.mode("overwrite").csv(
+        path, header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+    )
 
 
 def read_json(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
