@@ -218,6 +218,30 @@ steps(user_id, turn, entry, line, used) AS (
     FROM steps s JOIN lists o ON o.user_id = s.user_id AND o.turn = s.turn + 1))
 SELECT entry AS left_id, line AS right_id, 1.0 AS match_score FROM steps WHERE turn > 0 AND line IS NOT NULL"""
 
+# Greedy pass over all passing pairs, one match per step; the smaller table bounds the steps.
+_CUSTOMERS_TO_SUPPLIERS = f"""WITH RECURSIVE
+lt AS (SELECT *, lower(c_name) AS a, concat('c_name: ', lower(c_name), ' | c_nationkey: ',
+    printf('%.2f', CAST(c_nationkey AS DOUBLE)), ' | c_acctbal: ', printf('%.2f', c_acctbal)) AS t FROM customer),
+rt AS (SELECT *, lower(s_name) AS b, concat('s_name: ', lower(s_name), ' | s_nationkey: ',
+    printf('%.2f', CAST(s_nationkey AS DOUBLE)), ' | s_acctbal: ', printf('%.2f', s_acctbal)) AS t FROM supplier),
+{_grams('ga', 'lt', 'c_custkey', 't')},
+{_grams('gb', 'rt', 's_suppkey', 't')},
+dots AS MATERIALIZED (SELECT ga.k AS a, gb.k AS b, sum(ga.n * gb.n) AS dot FROM ga JOIN gb ON ga.g = gb.g GROUP BY 1, 2),
+edges AS MATERIALIZED (SELECT * FROM (
+  SELECT c_custkey AS l, s_suppkey AS r, round(0.3 * (dot / (x.norm * y.norm)) + 0.7 * (jaro_winkler_similarity(lt.a, rt.b)
+    + 2 * ({_close('c_nationkey', 's_nationkey')}) + 2 * ({_close('c_acctbal', 's_acctbal')})) / 5, 9) AS score
+  FROM dots JOIN lt ON c_custkey = dots.a JOIN rt ON s_suppkey = dots.b
+  JOIN ga_norm x ON x.k = dots.a JOIN gb_norm y ON y.k = dots.b) WHERE score >= 0.8),
+steps(l, r, score, used_l, used_r) AS (
+  SELECT CAST(-1 AS BIGINT), CAST(-1 AS BIGINT), CAST(0 AS DOUBLE), CAST([] AS BIGINT[]), CAST([] AS BIGINT[])
+  UNION ALL
+  SELECT * FROM (
+    SELECT e.l, e.r, e.score, list_append(used_l, e.l), list_append(used_r, e.r) FROM steps s
+    JOIN edges e ON NOT list_contains(s.used_l, e.l) AND NOT list_contains(s.used_r, e.r)
+    ORDER BY e.score DESC, e.l DESC, e.r DESC LIMIT 1))
+SELECT l AS left_id, r AS right_id, round(score, 6) AS match_score FROM steps WHERE l >= 0"""
+
+
 def oracle_sql() -> dict[str, str]:
     shapes = {
         "region": 2, "nation": 3, "customer": 5, "supplier": 4, "part": 6, "orders": 6, "lineitem": 11, "events": 6,
@@ -248,6 +272,7 @@ SELECT coalesce(customer_id, cust_id) AS customer_id, coalesce(name, full_name)
 FROM l LEFT JOIN matched ON customer_id = id FULL JOIN r ON id = cust_id""",
         "orders_to_customers": _ORDERS_TO_CUSTOMERS,
         "event_logs": _EVENT_LOGS,
+        "customers_to_suppliers": _CUSTOMERS_TO_SUPPLIERS,
         "field_similarity": f"""WITH {_SCORED} SELECT customer_id AS left_id, round(field_score, 6) AS field_score,
   round(cosine, 6) AS cosine, round(round(score, 9), 6) AS score FROM scored""",
         "row_texts": f"WITH {_SIDES} SELECT customer_id, {_LEFT_TEXT} AS row_text FROM li",
