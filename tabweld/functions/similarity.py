@@ -1,7 +1,7 @@
 """Similarity of two values: Jaro-Winkler, character-bigram cosine, vectors and numbers.
 
-The two string measures have no built-in form in Spark, so they are Arrow-batched
-pandas UDFs; the rest are column expressions.
+The two string measures have no built-in form in Spark, so they are Arrow
+UDFs over whole batches; the rest are column expressions.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ import sys
 from collections import defaultdict
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -24,7 +24,10 @@ BOOST_THRESHOLD = 0.7
 PREFIX_LENGTH = 4
 PREFIX_WEIGHT = 0.1
 
-_CHARS_PER_STEP = 4_000_000
+_CHARS_PER_STEP = 1_000_000
+_CELLS_PER_STEP = 200_000
+_TABLE_SIZE = 4_000_000
+_LENGTH_CLASSES = (8, 16, 24, 32, 48, 64)
 
 
 def _jaro_winkler(a: str, b: str) -> float:
@@ -71,18 +74,68 @@ def _jaro_winkler(a: str, b: str) -> float:
     return score
 
 
-@F.pandas_udf(T.DoubleType())
-def _jaro_winkler_udf(a: pd.Series, b: pd.Series) -> pd.Series:
-    known: dict[tuple, float] = {}
-    out = np.full(len(a), np.nan)
-    for i, pair in enumerate(zip(a, b)):
-        if pair[0] is None or pair[1] is None:
-            continue
-        score = known.get(pair)
-        if score is None:
-            score = known[pair] = _jaro_winkler(*pair)
-        out[i] = score
-    return pd.Series(out)
+def _characters(texts: list[str], pad: int) -> tuple[np.ndarray, np.ndarray]:
+    """One row of code points per text, padded, and the lengths."""
+    lengths = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
+    inside = np.arange(lengths.max()) < lengths[:, None]
+    codes = np.full(inside.shape, pad, dtype=np.uint32)
+    codes[inside] = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    return codes, lengths
+
+
+def _jaro_winkler_batch(a: list[str], b: list[str]) -> np.ndarray:
+    """Jaro-Winkler of many pairs of short, non-empty texts, one position of ``a`` at a time."""
+    # The two paddings lie beyond the code points and equal nothing.
+    x, len_x = _characters(a, 0x110000)
+    y, len_y = _characters(b, 0x110001)
+    at = np.arange(y.shape[1])
+    window = np.maximum(np.maximum(len_x, len_y) // 2 - 1, 0)[:, None]
+    free = at < len_y[:, None]
+    hit_x = np.zeros(x.shape, dtype=bool)
+    for i in range(x.shape[1]):
+        hits = free & (y == x[:, i : i + 1]) & (np.abs(at - i) <= window)
+        rows = np.flatnonzero(hits.any(axis=1))
+        free[rows, hits[rows].argmax(axis=1)] = False
+        hit_x[rows, i] = True
+    hit_y = (at < len_y[:, None]) & ~free
+    m = hit_x.sum(axis=1)
+    # Row by row and in order, both sides list the same number of matched characters.
+    moved = np.repeat(np.arange(len(a)), m)[x[hit_x] != y[hit_y]]
+    half_swaps = np.bincount(moved, minlength=len(a)) // 2
+    some = np.maximum(m, 1)
+    score = np.where(m > 0, (m / len_x + m / len_y + (m - half_swaps) / some) / 3, 0.0)
+    ends = min(PREFIX_LENGTH, x.shape[1], y.shape[1])
+    prefix = np.logical_and.accumulate(x[:, :ends] == y[:, :ends], axis=1).sum(axis=1)
+    return np.where(score > BOOST_THRESHOLD, score + PREFIX_WEIGHT * prefix * (1 - score), score)
+
+
+def _jaro_winklers(a: list[str], b: list[str]) -> np.ndarray:
+    """Short texts together, by length class; long ones one by one."""
+    longest = np.fromiter((max(len(x), len(y)) if x and y else 0 for x, y in zip(a, b)), dtype=np.int64, count=len(a))
+    out = np.zeros(len(a))
+    low = 0
+    for high in _LENGTH_CLASSES:
+        rows = np.flatnonzero((longest > low) & (longest <= high))
+        if len(rows):
+            out[rows] = _jaro_winkler_batch([a[i] for i in rows], [b[i] for i in rows])
+        low = high
+    for i in np.flatnonzero(longest > low):
+        out[i] = _jaro_winkler(a[i], b[i])
+    return out
+
+
+@F.arrow_udf(T.DoubleType())
+def _jaro_winkler_udf(a: pa.Array, b: pa.Array) -> pa.Array:
+    """Each distinct pair of texts in the batch is measured once."""
+    a, b = a.dictionary_encode(), b.dictionary_encode()
+    left, right = a.dictionary.to_pylist(), b.dictionary.to_pylist()
+    if not left or not right:
+        return pa.nulls(len(a), pa.float64())
+    missing = np.asarray(a.is_null()) | np.asarray(b.is_null())
+    x, y = (np.asarray(d.indices.fill_null(0), dtype=np.int64) for d in (a, b))
+    distinct, place = np.unique(x * len(right) + y, return_inverse=True)
+    scores = _jaro_winklers([left[i] for i in distinct // len(right)], [right[i] for i in distinct % len(right)])
+    return pa.array(scores[place], mask=missing)
 
 
 def jaro_winkler(a: Column, b: Column) -> Column:
@@ -95,52 +148,58 @@ def _once(udf):
     return udf.asNondeterministic()
 
 
-def _gram_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(row, bigram) codes in order with their counts, texts padded by one space a side."""
-    padded = [f" {t} " for t in texts]
-    codes = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
-    lengths = np.fromiter(map(len, padded), dtype=np.int64, count=len(padded))
-    rows = np.repeat(np.arange(len(padded), dtype=np.int64), lengths)
-    inside = np.ones(len(codes), dtype=bool)
-    inside[np.cumsum(lengths) - 1] = False
-    first = np.flatnonzero(inside)
-    # A code point needs 21 bits, which leaves 22 bits for the row within the step.
-    return np.unique((rows[first] << 42) | (codes[first] << 21) | codes[first + 1], return_counts=True)
+def _renumber(values: np.ndarray) -> tuple[np.ndarray, int]:
+    """The values numbered 0.. in rising order, and how many there are."""
+    top = int(values.max()) + 1
+    if top > _TABLE_SIZE:
+        distinct, place = np.unique(values, return_inverse=True)
+        return place, len(distinct)
+    seen = np.zeros(top, dtype=bool)
+    seen[values] = True
+    numbers = np.cumsum(seen) - 1
+    return numbers[values], int(numbers[-1]) + 1
 
 
 def _bigram_cosines(a: list[str], b: list[str]) -> np.ndarray:
+    """Cosines of many pairs at once: one count matrix per side, over the bigrams in use."""
     n = len(a)
-    keys_a, counts_a = _gram_counts(a)
-    keys_b, counts_b = _gram_counts(b)
-    _, at_a, at_b = np.intersect1d(keys_a, keys_b, assume_unique=True, return_indices=True)
-    dot = np.bincount(keys_a[at_a] >> 42, counts_a[at_a] * counts_b[at_b], n)
-    norm_a = np.bincount(keys_a >> 42, counts_a.astype(float) ** 2, n)
-    norm_b = np.bincount(keys_b >> 42, counts_b.astype(float) ** 2, n)
-    return dot / np.sqrt(norm_a * norm_b)
-
-
-@F.pandas_udf(T.DoubleType())
-def _bigram_cosine_udf(a: pd.Series, b: pd.Series) -> pd.Series:
+    padded = [f" {t} " for t in (*a, *b)]
+    chars = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    lengths = np.fromiter(map(len, padded), dtype=np.int64, count=2 * n)
+    starts = np.ones(len(chars), dtype=bool)
+    starts[np.cumsum(lengths) - 1] = False
+    first = np.flatnonzero(starts)
+    letters, size = _renumber(chars)
+    grams, width = _renumber(letters[first] * size + letters[first + 1])
+    rows = np.repeat(np.arange(2 * n), lengths - 1)
+    out = np.empty(n)
+    step = max(1, _CELLS_PER_STEP // width)
+    for low in range(0, n, step):
+        high = min(low + step, n)
+        counts = []
+        for side in (0, n):
+            begin, end = np.searchsorted(rows, (side + low, side + high))
+            cells = (rows[begin:end] - (side + low)) * width + grams[begin:end]
+            flat = np.bincount(cells, minlength=(high - low) * width).astype(float)
+            counts.append(flat.reshape(high - low, width))
+        x, y = counts
+        norms = np.einsum("ij,ij->i", x, x) * np.einsum("ij,ij->i", y, y)
+        out[low:high] = np.einsum("ij,ij->i", x, y) / np.sqrt(norms)
+    return out
+
+
+@F.arrow_udf(T.DoubleType())
+def _bigram_cosine_udf(a: pa.Array, b: pa.Array) -> pa.Array:
+    known = np.flatnonzero(np.asarray(a.is_valid()) & np.asarray(b.is_valid()))
     out = np.full(len(a), np.nan)
-    rows, left, right, size = [], [], [], 0
-
-    def step():
-        nonlocal rows, left, right, size
-        if rows:
-            out[rows] = _bigram_cosines(left, right)
-        rows, left, right, size = [], [], [], 0
-
-    for i, (x, y) in enumerate(zip(a, b)):
-        if x is None or y is None:
-            continue
-        rows.append(i)
-        left.append(x)
-        right.append(y)
+    left, right = a.take(pa.array(known)).to_pylist(), b.take(pa.array(known)).to_pylist()
+    begin, size = 0, 0
+    for i, (x, y) in enumerate(zip(left, right), 1):
         size += len(x) + len(y)
-        if size >= _CHARS_PER_STEP:
-            step()
-    step()
-    return pd.Series(out)
+        if size >= _CHARS_PER_STEP or i == len(known):
+            out[known[begin:i]] = _bigram_cosines(left[begin:i], right[begin:i])
+            begin, size = i, 0
+    return pa.array(out, mask=np.isnan(out))
 
 
 def bigram_cosine(a: Column, b: Column) -> Column:

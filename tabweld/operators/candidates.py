@@ -19,7 +19,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabweld.operators.scoring import NUMBER_WEIGHT, RowScore, column_types
+from tabweld.operators.scoring import NUMBER_WEIGHT, RowScore
 
 MAX_PAIRS = 10**12
 _EDGE = 1e-9
@@ -37,18 +37,12 @@ def _no_join(reason: str) -> NoLosslessJoin:
     )
 
 
-def composite_key(row_score: RowScore, df: DataFrame, side: str, ids: tuple[int, ...]) -> Column:
-    """One text for several identifiers, null if any is null; lengths keep parts apart."""
-    types = column_types(df)
-    texts = [row_score.id_key(types, side, i) for i in ids]
-    if len(texts) == 1:
-        return texts[0]
-    return F.concat(*[part for t in texts for part in (F.length(t).cast("string"), F.lit(":"), t)])
-
-
-def keyed(row_score: RowScore, df: DataFrame, side: str, ids: tuple[int, ...]) -> DataFrame:
-    """Rows that have all the identifiers, with their composite key."""
-    return df.withColumn("key", composite_key(row_score, df, side, ids)).filter(F.col("key").isNotNull())
+def keyed(df: DataFrame, side: str, ids: tuple[int, ...]) -> DataFrame:
+    """Rows that have all the identifiers, with one key for them; lengths keep parts apart."""
+    texts = [F.col(f"{side[0]}{i}") for i in ids]
+    parts = [part for t in texts for part in (F.length(t).cast("string"), F.lit(":"), t)]
+    key = texts[0] if len(texts) == 1 else F.concat(*parts)
+    return df.withColumn("key", key).filter(F.col("key").isNotNull())
 
 
 def pair_bound(left: DataFrame, right: DataFrame, key: str) -> int:
@@ -76,16 +70,15 @@ def id_subset_pairs(row_score: RowScore, left: DataFrame, right: DataFrame, need
     ids = tuple(row_score.indexes("id"))
     branches, total = [], 0
     for subset in combinations(ids, needed):
-        a, b = keyed(row_score, left, "left", subset), keyed(row_score, right, "right", subset)
+        a, b = keyed(left, "left", subset), keyed(right, "right", subset)
         if needed < len(ids):
             total += pair_bound(a, b, "key")
             _check(total, max_pairs)
         pairs = a.join(b, "key").drop("key")
-        types = column_types(pairs)
         # Another equal identifier ahead of the subset's last one means an earlier subset.
         for i in set(ids[: ids.index(subset[-1])]) - set(subset):
-            same = row_score.id_key(types, "left", i) == row_score.id_key(types, "right", i)
-            pairs = pairs.filter(~F.coalesce(same, F.lit(False)))
+            same = F.coalesce(F.col(f"l{i}") == F.col(f"r{i}"), F.lit(False))
+            pairs = pairs.filter(~same)
         branches.append(pairs)
     pairs = branches[0]
     for more in branches[1:]:

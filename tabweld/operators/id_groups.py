@@ -47,7 +47,7 @@ def group_sizes(left: DataFrame, right: DataFrame) -> DataFrame:
 def match_by_ids(row_score: RowScore, left: DataFrame, right: DataFrame) -> DataFrame:
     """Matched pairs of prepared sides when all identifiers of a pair must be equal."""
     ids = tuple(row_score.indexes("id"))
-    left, right = keyed(row_score, left, "left", ids), keyed(row_score, right, "right", ids)
+    left, right = keyed(left, "left", ids), keyed(right, "right", ids)
     found = []
     while True:
         is_long = (F.col("lefts") > SHORT) | (F.col("rights") > SHORT)
@@ -68,7 +68,7 @@ def match_by_ids(row_score: RowScore, left: DataFrame, right: DataFrame) -> Data
 
 
 def _match_short(row_score: RowScore, left: DataFrame, right: DataFrame) -> DataFrame:
-    edges = row_score.passing(left.join(right, "key")).select("key", *EDGES)
+    edges = row_score.passing(left.join(right, "key"), ids_equal=True).select("key", *EDGES)
     return greedy_in_groups(edges, "key")
 
 
@@ -82,7 +82,7 @@ def _match_round(row_score: RowScore, left: DataFrame, right: DataFrame):
         .join(right.groupBy("key").agg(F.max("right_rank").alias("rights")), "key")
     )
     level = left.join(right.withColumnRenamed("right_rank", "left_rank"), ["key", "left_rank"])
-    passed = materialize(row_score.passing(level).select("key", "left_rank", *EDGES), "level")
+    passed = materialize(row_score.passing(level, ids_equal=True).select("key", "left_rank", *EDGES), "level")
     compared = left.join(sizes, "key").filter(F.col("left_rank") <= F.least("lefts", "rights"))
     failed = compared.join(passed, ["key", "left_rank"], "left_anti")
     firsts = failed.groupBy("key", "lefts", "rights").agg(F.min("left_rank").alias("fail"))
@@ -115,6 +115,6 @@ def _settle_heads(row_score: RowScore, left: DataFrame, right: DataFrame, heads_
         all_others = rows[other].filter(chosen).drop(*extra)
         pairs = all_others.join(top.drop(*extra), "key")
         best = W.partitionBy("key", f"{side}_id").orderBy(F.desc(f"{other}_id"))
-        kept = row_score.passing(pairs).withColumn("_best", F.row_number().over(best))
+        kept = row_score.passing(pairs, ids_equal=True).withColumn("_best", F.row_number().over(best))
         edges.append(kept.filter(F.col("_best") <= HEADS).select("key", *EDGES))
     return materialize(greedy_in_groups(edges[0].unionByName(edges[1]), "key"), "heads")

@@ -42,9 +42,9 @@ class Field:
 class RowScore:
     """The fields in order, the threshold a pair must reach, and an optional embedder.
 
-    On a prepared side (``prepare``) field i is column ``l{i}`` or ``r{i}``, the row's
-    position ``left_id`` or ``right_id``, and, with an embedder, its vector ``left_vector``
-    or ``right_vector``.
+    A prepared side (``prepare``) holds the row's position ``left_id`` or ``right_id``,
+    field i as ``l{i}`` or ``r{i}`` in the form it is compared in, and the row's text or
+    vector: all that is the same for every pair of a row is computed once per row.
     """
 
     fields: tuple[Field, ...]
@@ -74,61 +74,58 @@ class RowScore:
         return max(0, math.ceil(needed))
 
     def prepare(self, df: DataFrame, row_id: str, side: str) -> DataFrame:
-        """Project a cleaned, imputed table to its position and its field values."""
-        left = side == "left"
-        columns, parts, types = [], [], column_types(df)
+        """Project a cleaned, imputed table to what its rows are compared by."""
+        types = {f.name: f.dataType for f in df.schema}
+        columns, parts = [], []
         for i, f in enumerate(self.fields):
-            name = f.left if left else f.right
-            columns.append(F.col(name).alias(f"{side[0]}{i}"))
-            parts.append((name, F.col(name), types[name]))
-        if self.embed:
-            columns.append(self.embed(row_text(parts)).alias(f"{side}_vector"))
-        return df.select(F.col(row_id).alias(f"{side}_id"), *columns)
-
-    def id_key(self, types: dict[str, T.DataType], side: str, i: int) -> Column:
-        name = f"{side[0]}{i}"
-        return id_text(F.col(name), types[name])
-
-    def _terms(self, types: dict[str, T.DataType], kinds: tuple[str, ...]) -> list[tuple[Column, Column]]:
+            name = f.left if side == "left" else f.right
+            value, dtype = F.col(name), types[name]
+            form = {"id": id_text, "text": value_text, "number": lambda v, _: v.cast("double")}[f.kind]
+            columns.append(form(value, dtype).alias(f"{side[0]}{i}"))
+            parts.append((name, value, dtype))
+        text = row_text(parts)
+        whole = self.embed(text).alias(f"{side}_vector") if self.embed else text.alias(f"{side}_text")
+        return df.select(F.col(row_id).alias(f"{side}_id"), *columns, whole)
+
+    def _terms(self, kinds: tuple[str, ...], ids_equal: bool = False) -> list[tuple[Column, Column]]:
         """(weight times similarity, weight) of each field of the given kinds; 0 if unknown."""
         terms = []
         for i, f in enumerate(self.fields):
             if f.kind not in kinds:
                 continue
+            weight = F.lit(f.weight)
+            if f.kind == "id" and ids_equal:
+                terms.append((weight, weight))
+                continue
             a, b = F.col(f"l{i}"), F.col(f"r{i}")
             known = a.isNotNull() & b.isNotNull()
             if f.kind == "id":
-                same = F.when(id_text(a, types[f"l{i}"]) == id_text(b, types[f"r{i}"]), 1.0).otherwise(0.0)
+                same = F.when(a == b, 1.0).otherwise(0.0)
             elif f.kind == "number":
                 same = numeric_closeness(a, b)
             else:
                 same = F.col(f"j{i}")
-            terms.append((F.when(known, same * f.weight).otherwise(0.0), F.when(known, f.weight).otherwise(0.0)))
+            terms.append((F.when(known, same * weight).otherwise(0.0), F.when(known, weight).otherwise(0.0)))
         return terms
 
-    def _within_reach(self, types: dict[str, T.DataType], texts_known: bool) -> Column:
+    def _within_reach(self, texts_known: bool, ids_equal: bool) -> Column:
         """Whether a pair could still pass if its cosine, and texts not yet known, were 1."""
-        terms = self._terms(types, ("id", "number"))
-        texts = self._terms(types, ("text",))
+        terms = self._terms(("id", "number"), ids_equal)
+        texts = self._terms(("text",))
         terms += texts if texts_known else [(weight, weight) for _, weight in texts]
         return _total([s for s, _ in terms]) >= _total([w for _, w in terms]) * self.least_field_score
 
-    def _with_texts(self, pairs: DataFrame, types: dict[str, T.DataType]) -> DataFrame:
+    def _with_spelling(self, pairs: DataFrame) -> DataFrame:
         """Add the text similarities; one projection, so that one Arrow exchange serves them."""
-        measured = {}
-        for i in self.indexes("text"):
-            a, b = (value_text(F.col(f"{s}{i}"), types[f"{s}{i}"]) for s in "lr")
-            measured[f"j{i}"] = jaro_winkler(a, b)
-        return pairs.withColumns(measured) if measured else pairs
+        texts = self.indexes("text")
+        return pairs.withColumns({f"j{i}": jaro_winkler(F.col(f"l{i}"), F.col(f"r{i}")) for i in texts}) if texts else pairs
 
-    def _with_mix(self, pairs: DataFrame, types: dict[str, T.DataType]) -> DataFrame:
+    def _with_mix(self, pairs: DataFrame, ids_equal: bool) -> DataFrame:
         if self.embed:
             cosine = vector_cosine(F.col("left_vector"), F.col("right_vector"))
         else:
-            left = [(f.left, F.col(f"l{i}"), types[f"l{i}"]) for i, f in enumerate(self.fields)]
-            right = [(f.right, F.col(f"r{i}"), types[f"r{i}"]) for i, f in enumerate(self.fields)]
-            cosine = bigram_cosine(row_text(left), row_text(right))
-        terms = self._terms(types, ("id", "number", "text"))
+            cosine = bigram_cosine(F.col("left_text"), F.col("right_text"))
+        terms = self._terms(("id", "number", "text"), ids_equal)
         total = _total([w for _, w in terms])
         field = F.when(total > 0, _total([s for s, _ in terms]) / total).otherwise(0.0)
         pairs = pairs.withColumns({"cosine": cosine, "field_score": field})
@@ -138,33 +135,25 @@ class RowScore:
     def with_score(self, pairs: DataFrame) -> DataFrame:
         """Add ``field_score``, the weighted field similarity, and ``score``, its mix with
         the cosine of the row texts."""
-        types = column_types(pairs)
-        return self._with_mix(self._with_texts(pairs, types), types)
+        return self._with_mix(self._with_spelling(pairs), False)
 
-    def _any_id_equal(self, types: dict[str, T.DataType]) -> Column:
-        equal = F.lit(False)
-        for i in self.indexes("id"):
-            same = self.id_key(types, "left", i) == self.id_key(types, "right", i)
-            equal = equal | F.coalesce(same, F.lit(False))
-        return equal
-
-    def passing(self, pairs: DataFrame) -> DataFrame:
+    def passing(self, pairs: DataFrame, ids_equal: bool = False) -> DataFrame:
         """Pairs that reach the threshold; those with an equal identifier then score 1.
 
         Pairs out of reach are dropped before each costlier measure: numbers and
         identifiers in generated code, then spelling, then the cosine of the row texts.
+        ``ids_equal`` says that all identifiers of every pair are known to be equal.
         """
-        types = column_types(pairs)
-        near = pairs.filter(self._within_reach(types, texts_known=False))
+        near = pairs.filter(self._within_reach(False, ids_equal))
         if self.indexes("text"):
-            near = self._with_texts(near, types).filter(self._within_reach(types, texts_known=True))
-        scored = self._with_mix(near, types)
-        boosted = F.when(self._any_id_equal(types), 1.0).otherwise(F.col("score"))
-        return scored.filter(F.col("score") >= self.threshold).withColumn("score", boosted)
-
-
-def column_types(df: DataFrame) -> dict[str, T.DataType]:
-    return {f.name: f.dataType for f in df.schema}
+            near = self._with_spelling(near).filter(self._within_reach(True, ids_equal))
+        passed = self._with_mix(near, ids_equal).filter(F.col("score") >= self.threshold)
+        if ids_equal:
+            return passed.withColumn("score", F.lit(1.0))
+        any_equal = F.lit(False)
+        for i in self.indexes("id"):
+            any_equal = any_equal | F.coalesce(F.col(f"l{i}") == F.col(f"r{i}"), F.lit(False))
+        return passed.withColumn("score", F.when(any_equal, 1.0).otherwise(F.col("score")))
 
 
 def _total(columns: list[Column]) -> Column:
