@@ -33,6 +33,7 @@ from tabweld.session import materialize
 
 SHORT = 32
 HEADS = 64
+PIECE_ROWS = 100_000
 
 
 def group_sizes(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -112,9 +113,17 @@ def _settle_heads(row_score: RowScore, left: DataFrame, right: DataFrame, heads_
     for side, other, chosen in (("left", "right", heads_left), ("right", "left", ~heads_left)):
         rows = {"left": left, "right": right}
         top = rows[side].filter(chosen & (F.col(f"{side}_rank") < below))
-        all_others = rows[other].filter(chosen).drop(*extra)
-        pairs = all_others.join(top.drop(*extra), "key")
-        best = W.partitionBy("key", f"{side}_id").orderBy(F.desc(f"{other}_id"))
-        kept = row_score.passing(pairs, ids_equal=True).withColumn("_best", F.row_number().over(best))
-        edges.append(kept.filter(F.col("_best") <= HEADS).select("key", *EDGES))
+        # A group's long side is cut into pieces, and its heads go to each of them.
+        pieces = F.ceil(F.greatest("lefts", "rights") / PIECE_ROWS).cast("int")
+        top = top.withColumn("piece", F.explode(F.sequence(F.lit(0), pieces - 1)))
+        others = rows[other].filter(chosen).withColumn("piece", (F.col(f"{other}_rank") % pieces).cast("int"))
+        pairs = others.drop(*extra).join(top.drop(*extra), ["key", "piece"])
+        edges.append(top_partners(row_score, pairs, side, other))
     return materialize(greedy_in_groups(edges[0].unionByName(edges[1]), "key"), "heads")
+
+
+def top_partners(row_score: RowScore, pairs: DataFrame, side: str, other: str) -> DataFrame:
+    """The ``HEADS`` highest passing partners of each head; Spark limits them before the shuffle."""
+    best = W.partitionBy("key", f"{side}_id").orderBy(F.desc(f"{other}_id"))
+    kept = row_score.passing(pairs, ids_equal=True).withColumn("best", F.row_number().over(best))
+    return kept.filter(F.col("best") <= HEADS).select("key", *EDGES)

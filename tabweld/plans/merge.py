@@ -17,6 +17,7 @@ from tabweld.functions.text import is_numeric, is_scalar
 from tabweld.operators.assign import EDGES, greedy_assignment
 from tabweld.operators.candidates import MAX_PAIRS, band_pairs, id_subset_pairs
 from tabweld.operators.clean import drop_exact_duplicates, nan_to_null, standardize_strings
+from tabweld.operators.copies import assign_classes, classes, members
 from tabweld.operators.id_groups import match_by_ids
 from tabweld.operators.impute import apply_fills, assert_no_nulls, fill, fill_values, null_counts
 from tabweld.operators.row_index import with_row_index
@@ -92,14 +93,18 @@ def match_rows(
         return left.select("left_id", F.lit(None).cast("bigint").alias("right_id"), F.lit(1.0).alias("score")).limit(0)
     if needed == len(ids) and ids and not ids_may_be_null:
         return match_by_ids(row_score, left, right)
+    forms = [materialize(classes(side, f"{name}_id"), "forms") for side, name in ((left, "left"), (right, "right"))]
     if needed:
-        pairs = id_subset_pairs(row_score, left, right, needed, max_pairs)
+        pairs = id_subset_pairs(row_score, *forms, needed, max_pairs)
         if ids_may_be_null:
-            for more in _pairs_without_ids(row_score, left, right, max_pairs):
+            for more in _pairs_without_ids(row_score, *forms, max_pairs):
                 pairs = pairs.unionByName(more)
     else:
-        pairs = band_pairs(row_score, left, right, max_pairs)
-    return greedy_assignment(row_score.passing(pairs))
+        pairs = band_pairs(row_score, *forms, max_pairs)
+    edges = row_score.passing(pairs)
+    if all(f.count() == side.count() for f, side in zip(forms, (left, right))):
+        return greedy_assignment(edges)
+    return assign_classes(edges, members(left, forms[0], "left_id"), members(right, forms[1], "right_id"))
 
 
 def _pairs_without_ids(row_score: RowScore, left: DataFrame, right: DataFrame, max_pairs: int) -> list[DataFrame]:

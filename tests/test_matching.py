@@ -47,6 +47,7 @@ def test_repeated_ids_in_short_groups(spark, threshold):
 def test_one_id_holding_a_third_of_all_rows(spark, monkeypatch, seed, names, heads):
     monkeypatch.setattr(id_groups, "SHORT", 4)
     monkeypatch.setattr(id_groups, "HEADS", heads)
+    monkeypatch.setattr(id_groups, "PIECE_ROWS", 10)
     rng = random.Random(seed)
     monkeypatch.setattr("tests.test_matching.NAMES", names)
     ids = [7] * 6 + list(range(100, 112))
@@ -101,6 +102,16 @@ def test_numbers_bound_the_pairs_without_identifiers(spark, seed, threshold):
     assert run(spark, left, right, schemas, matches, threshold) == want(left, right, schemas, matches, threshold)
 
 
+@pytest.mark.parametrize("seed, sizes, names", [(1, [3.0, 4.0], ["ann"]), (2, [3.0, 3.1, 9.0], ["ann", "anna", "anne"]), (3, [2.0], ["bob"])])
+def test_copies_without_identifiers(spark, seed, sizes, names):
+    """Few distinct forms: many rows look alike on both sides, with ties between forms."""
+    rng = random.Random(seed)
+    schemas = ("row int, name string, size double", "pos int, title string, extent double")
+    left, right = ([(i, rng.choice(names), rng.choice(sizes)) for i in range(n)] for n in (40, 30))
+    matches = {"name": "title", "size": "extent"}
+    assert run(spark, left, right, schemas, matches, 0.85) == want(left, right, schemas, matches, 0.85)
+
+
 def test_null_identifiers_match_on_the_other_columns(spark):
     rng = random.Random(8)
     left, right = ([(*r[:1], r[1] if r[1] % 3 else None, *r[2:]) for r in people(rng, n, range(9))] for n in (30, 25))
@@ -112,7 +123,7 @@ def test_no_silent_loss_where_nothing_bounds_the_pairs(spark):
     schemas = ("row int, name string", "pos int, title string")
     with pytest.raises(NoLosslessJoin):
         run(spark, [(1, "a")], [(1, "a")], schemas, {"name": "title"}, 0.85)
-    rows = [(i, "a", 1.0, 1) for i in range(10)]
+    rows = [(i, "a", 1.0 + i / 1000, 1) for i in range(10)]
     schemas = ("row int, name string, size double, price int", "pos int, title string, extent double, cost int")
     with pytest.raises(NoLosslessJoin, match="max_pairs"):
         run(spark, rows, rows, schemas, {"name": "title", "size": "extent", "price": "cost"}, 0.9, max_pairs=99)
@@ -136,6 +147,15 @@ def test_texts_are_measured_once_per_stage(spark):
     assert plan.count("ArrowEvalPython") == 2
 
 
+def test_only_the_top_partners_of_a_head_are_shuffled(spark):
+    """The rank limit must apply before the shuffle, or a head's partners meet in one task."""
+    a, b = spark.createDataFrame([(1, 1, "x", 1.0)], LEFT), spark.createDataFrame([(1, 1, "x", 1.0)], RIGHT)
+    score = RowScore(plan_fields(a.schema, b.schema, MATCHES), 0.85)
+    kept = id_groups.top_partners(score, score.prepare(a, "row", "left").crossJoin(score.prepare(b, "pos", "right")).withColumn("key", F.col("l0")), "left", "right")
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") == 2 and "Partial" in plan
+
+
 def test_identifier_join_is_an_equi_join(spark):
     a, b = spark.range(10).selectExpr("id as row", "id as user_id"), spark.range(10).selectExpr("id as pos", "id as userid")
     score = RowScore(plan_fields(a.schema, b.schema, {"user_id": "userid"}), 0.85)
