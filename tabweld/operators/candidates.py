@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from tabweld.operators.scoring import NUMBER_WEIGHT, RowScore
 
 MAX_PAIRS = 10**12
+BAND_COLUMNS = 2
 _EDGE = 1e-9
 _FINEST_RATIO = 0.99
 _BAND_SHIFT = 1 << 40  # keeps every band of a nonzero number away from 0
@@ -93,6 +94,15 @@ def _band(value: Column, ratio: float) -> Column:
     return F.when(value == 0, F.lit(0)).otherwise(exponent * 2 + F.when(value > 0, F.lit(0)).otherwise(1) + _BAND_SHIFT)
 
 
+def _sharpest(left: DataFrame, numbers: list[int], ratio: float) -> list[int]:
+    """The columns with the most bands: each one listed triples the rows of the right side."""
+    if len(numbers) <= BAND_COLUMNS:
+        return numbers
+    counts = left.agg(*[F.approx_count_distinct(_band(F.col(f"l{i}"), ratio)) for i in numbers]).first()
+    order = sorted(range(len(numbers)), key=lambda n: -counts[n])
+    return [numbers[n] for n in order[:BAND_COLUMNS]]
+
+
 def band_pairs(
     row_score: RowScore, left: DataFrame, right: DataFrame, max_pairs: int, ids_known: bool = True
 ) -> DataFrame:
@@ -113,7 +123,7 @@ def band_pairs(
     if not numbers or ratio <= 0.01:
         raise _no_join("no identifier or number bounds the pairs at this threshold")
     bands = []
-    for i in numbers:
+    for i in _sharpest(left, numbers, ratio):
         left = left.withColumn(f"band{i}", _band(F.col(f"l{i}"), ratio))
         band = _band(F.col(f"r{i}"), ratio)
         near = F.when(band == 0, F.array(F.lit(0).cast("bigint"))).otherwise(F.array(band - 2, band, band + 2))

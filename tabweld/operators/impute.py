@@ -35,50 +35,75 @@ def assert_no_nulls(df: DataFrame, ignore: tuple[str, ...] = ("match_score",)) -
         raise ValueError(f"nulls remain: {bad}")
 
 
-def _value_counts(df: DataFrame, column: str) -> DataFrame:
-    values = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("value"))
-    return values.agg(F.count(F.lit(1)).alias("n"))
-
-
-def _median_by_bracket(df: DataFrame, column: str, n: int) -> float:
-    want = ((n - 1) // 2, n // 2)
+def _value_counts(df: DataFrame, columns: list[str], keep: dict[str, Column] | None = None) -> DataFrame:
+    """``place, value, n`` of every distinct value of columns of one type, in one pass.
+
+    ``place`` is the column's place in the list; ``keep`` limits the values of a column.
+    """
+    values = [
+        F.struct(F.lit(i).alias("place"), F.when(keep[c], F.col(c)).alias("value") if keep else F.col(c).alias("value"))
+        for i, c in enumerate(columns)
+    ]
+    melted = df.select(F.inline(F.array(*values))).filter(F.col("value").isNotNull())
+    return melted.groupBy("place", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _medians_by_bracket(df: DataFrame, present: dict[str, int]) -> dict[str, float]:
+    columns = list(present)
+    want = {c: ((n - 1) // 2, n // 2) for c, n in present.items()}
+    df = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
     margin = 4.0 / SKETCH_ACCURACY
-    x = F.col(column)
-    values = df.select(column).filter(x.isNotNull())
-    low, high = values.agg(F.percentile_approx(x, [0.5 - margin, 0.5 + margin], SKETCH_ACCURACY)).first()[0]
-    seen = values.agg(F.count_if(x < low), F.count_if(x.between(low, high))).first()
-    below = 0
-    if seen[0] <= want[0] and want[1] < seen[0] + seen[1]:
-        values, below = values.filter(x.between(low, high)), seen[0]
-    # Distinct values spread evenly over range partitions; only the one or two that
-    # hold the middle ranks are read again.
-    counted = _value_counts(values, column).repartitionByRange("value")
+    marks = [0.5 - margin, 0.5 + margin]
+    ends = df.agg(*[F.percentile_approx(c, marks, SKETCH_ACCURACY) for c in columns]).first()
+    counts = []
+    for c, (low, high) in zip(columns, ends):
+        counts += [F.count_if(F.col(c) < low), F.count_if(F.col(c).between(low, high))]
+    seen = df.agg(*counts).first()
+    keep, below = {}, {}
+    for i, (c, (low, high)) in enumerate(zip(columns, ends)):
+        under, within = seen[2 * i], seen[2 * i + 1]
+        hit = under <= want[c][0] and want[c][1] < under + within
+        keep[c], below[c] = (F.col(c).between(low, high), under) if hit else (F.col(c).isNotNull(), 0)
+    # Distinct values spread evenly over range partitions; only those that hold the
+    # middle ranks are read again.
+    counted = _value_counts(df, columns, keep).repartitionByRange("place", "value")
     counted = materialize(counted.withColumn("part", F.spark_partition_id()), "values")
-    sizes = counted.groupBy("part").agg(F.sum("n").alias("size"))
-    ends = F.sum("size").over(W.orderBy("part")) + below
-    sizes = sizes.select("part", ends.alias("end"), (ends - F.col("size")).alias("start"))
-    hit = [(F.col("start") <= k) & (F.col("end") > k) for k in want]
-    parts = F.broadcast(sizes.filter(hit[0] | hit[1]))
-    upto = F.sum("n").over(W.partitionBy("part").orderBy("value")) + F.col("start")
-    ranked = counted.join(parts, "part").withColumn("upto", upto)
-    ends = ranked.agg(*[F.min(F.when(F.col("upto") > k, F.col("value"))) for k in want]).first()
-    return ends[0] + (ends[1] - ends[0]) * 0.5
+    sizes = counted.groupBy("place", "part").agg(F.sum("n").alias("size"))
+    first, last, base = (
+        F.element_at(F.array(*[F.lit(v) for v in values]), F.col("place") + 1)
+        for values in ([w[0] for w in want.values()], [w[1] for w in want.values()], list(below.values()))
+    )
+    end = F.sum("size").over(W.partitionBy("place").orderBy("part")) + base
+    sizes = sizes.withColumn("end", end).withColumn("start", F.col("end") - F.col("size"))
+    hit = [(F.col("start") <= k) & (F.col("end") > k) for k in (first, last)]
+    # At most two parts per column.
+    parts = F.broadcast(sizes.filter(hit[0] | hit[1]).select("place", "part", "start"))
+    upto = F.sum("n").over(W.partitionBy("place", "part").orderBy("value")) + F.col("start")
+    ranked = counted.join(parts, ["place", "part"]).withColumn("upto", upto)
+    middle = [F.min(F.when(F.col("upto") > k, F.col("value"))) for k in (first, last)]
+    rows = ranked.groupBy("place").agg(*middle).collect()
+    return {columns[place]: low + (high - low) * 0.5 for place, low, high in rows}
 
 
 def medians(df: DataFrame, present: dict[str, int]) -> dict[str, float | None]:
     """Exact median per column, null if it has no value; ``present`` counts its values."""
     small = [c for c, n in present.items() if n <= ONE_TASK_ROWS]
+    large = {c: n for c, n in present.items() if n > ONE_TASK_ROWS}
     found = df.agg(*[F.percentile(c, F.lit(0.5)).alias(c) for c in small]).first().asDict() if small else {}
-    return found | {c: _median_by_bracket(df, c, n) for c, n in present.items() if c not in found}
+    return found | (_medians_by_bracket(df, large) if large else {})
 
 
 def modes(df: DataFrame, present: dict[str, int]) -> dict[str, object]:
     """Most frequent value per column, the lowest of equals, null if it has no value."""
     small = [c for c, n in present.items() if n <= ONE_TASK_ROWS]
     found = df.agg(*[F.mode(c, True).alias(c) for c in small]).first().asDict() if small else {}
+    by_type: dict[str, list[str]] = {}
     for c in present.keys() - found.keys():
-        top = _value_counts(df, c).agg(F.min(F.struct(-F.col("n"), F.col("value").alias("value"))).alias("top"))
-        found[c] = top.first()["top"]["value"]
+        by_type.setdefault(df.schema[c].dataType.simpleString(), []).append(c)
+    for columns in by_type.values():
+        top = F.min(F.struct(-F.col("n"), F.col("value").alias("value"))).alias("top")
+        for row in _value_counts(df, columns).groupBy("place").agg(top).collect():
+            found[columns[row["place"]]] = row["top"]["value"]
     return found
 
 

@@ -74,10 +74,15 @@ def test_large_table_ways_are_exact(spark, monkeypatch, n, hot):
     rng = random.Random(n + int(hot * 100))
     xs = [500.0 if rng.random() < hot else rng.uniform(0, 1000) for _ in range(n)]
     words = ["k%d" % rng.randint(0, 40) for _ in range(n)]
-    df = spark.createDataFrame(list(zip(xs, words)), "x double, s string").repartition(7)
-    assert impute.medians(df, {"x": n})["x"] == pytest.approx(statistics.median(xs), abs=1e-12)
+    rows = [(x, w, None if i % 3 else i, i % 2 == 0) for i, (x, w) in enumerate(zip(xs, words))]
+    df = spark.createDataFrame(rows, "x double, s string, i int, b boolean").repartition(7)
+    got = impute.medians(df, {"x": n, "i": (n + 2) // 3})
+    assert got["x"] == pytest.approx(statistics.median(xs), abs=1e-12)
+    assert got["i"] == statistics.median(range(0, n, 3))
     top = max(words.count(w) for w in words)
-    assert impute.modes(df, {"s": n})["s"] == min(w for w in set(words) if words.count(w) == top)
+    assert impute.modes(df, {"s": n, "b": n}) == {
+        "s": min(w for w in set(words) if words.count(w) == top), "b": n % 2 == 1,
+    }
 
 
 def test_row_index_counts_from_zero(spark):

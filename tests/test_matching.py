@@ -119,6 +119,15 @@ def test_null_identifiers_match_on_the_other_columns(spark):
     assert got == want(left, right, (LEFT, RIGHT), MATCHES, 0.85)
 
 
+def test_many_numbers_use_the_sharpest_bands(spark):
+    rng = random.Random(4)
+    names = ["a", "b", "c", "d"]
+    schemas = ("row int, " + ", ".join(f"{n} double" for n in names), "pos int, " + ", ".join(f"{n}{n} double" for n in names))
+    left, right = ([(i, *(rng.choice([1.0, 2.0, 2.1, 40.0]) for _ in names)) for i in range(n)] for n in (40, 40))
+    matches = {n: n + n for n in names}
+    assert run(spark, left, right, schemas, matches, 0.92) == want(left, right, schemas, matches, 0.92)
+
+
 def test_no_silent_loss_where_nothing_bounds_the_pairs(spark):
     schemas = ("row int, name string", "pos int, title string")
     with pytest.raises(NoLosslessJoin):
