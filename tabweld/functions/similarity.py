@@ -11,6 +11,7 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -27,6 +28,7 @@ PREFIX_WEIGHT = 0.1
 _CHARS_PER_STEP = 1_000_000
 _CELLS_PER_STEP = 200_000
 _TABLE_SIZE = 4_000_000
+_DENSE_FACTOR = 4
 _LENGTH_CLASSES = (8, 16, 24, 32, 48, 64)
 
 
@@ -160,45 +162,71 @@ def _renumber(values: np.ndarray) -> tuple[np.ndarray, int]:
     return numbers[values], int(numbers[-1]) + 1
 
 
-def _bigram_cosines(a: list[str], b: list[str]) -> np.ndarray:
-    """Cosines of many pairs at once: one count matrix per side, over the bigrams in use."""
+class _Grams:
+    """The bigrams of texts: per text a run of numbers below ``width``."""
+
+    def __init__(self, texts: list[str]):
+        padded = [f" {t} " for t in texts]
+        chars = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        lengths = np.fromiter(map(len, padded), dtype=np.int64, count=len(texts))
+        starts = np.ones(len(chars), dtype=bool)
+        starts[np.cumsum(lengths) - 1] = False
+        first = np.flatnonzero(starts)
+        letters, size = _renumber(chars)
+        self.grams, self.width = _renumber(letters[first] * size + letters[first + 1])
+        self.ends = np.cumsum(lengths - 1)
+        self.sizes = lengths - 1
+
+    def counts(self, texts: np.ndarray) -> np.ndarray:
+        """One row of counts per listed text."""
+        sizes = self.sizes[texts]
+        upto = np.cumsum(sizes)
+        place = np.arange(upto[-1]) + np.repeat(self.ends[texts] - upto, sizes)
+        cells = np.repeat(np.arange(len(texts)) * self.width, sizes) + self.grams[place]
+        flat = np.bincount(cells, minlength=len(texts) * self.width).astype(float)
+        return flat.reshape(len(texts), self.width)
+
+
+def _bigram_cosines(left: list[str], right: list[str], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Cosines of the pairs ``left[a], right[b]``; each text is counted once per step.
+
+    All sums are of whole numbers, so their order does not matter.
+    """
     n = len(a)
-    padded = [f" {t} " for t in (*a, *b)]
-    chars = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    lengths = np.fromiter(map(len, padded), dtype=np.int64, count=2 * n)
-    starts = np.ones(len(chars), dtype=bool)
-    starts[np.cumsum(lengths) - 1] = False
-    first = np.flatnonzero(starts)
-    letters, size = _renumber(chars)
-    grams, width = _renumber(letters[first] * size + letters[first + 1])
-    rows = np.repeat(np.arange(2 * n), lengths - 1)
+    grams = _Grams(left + right)
     out = np.empty(n)
-    step = max(1, _CELLS_PER_STEP // width)
+    part = max(1, _CELLS_PER_STEP // grams.width)
+    step = n if (len(left) + len(right)) * grams.width <= _TABLE_SIZE else part
     for low in range(0, n, step):
-        high = min(low + step, n)
-        counts = []
-        for side in (0, n):
-            begin, end = np.searchsorted(rows, (side + low, side + high))
-            cells = (rows[begin:end] - (side + low)) * width + grams[begin:end]
-            flat = np.bincount(cells, minlength=(high - low) * width).astype(float)
-            counts.append(flat.reshape(high - low, width))
-        x, y = counts
-        norms = np.einsum("ij,ij->i", x, x) * np.einsum("ij,ij->i", y, y)
-        out[low:high] = np.einsum("ij,ij->i", x, y) / np.sqrt(norms)
+        (l, i), (r, j) = (np.unique(ids[low : low + step], return_inverse=True) for ids in (a, b))
+        x, y = grams.counts(l), grams.counts(r + len(left))
+        if len(l) * len(r) <= _DENSE_FACTOR * len(i):
+            # Not the threaded matrix product: each core has a worker of its own already.
+            dots = np.einsum("ij,kj->ik", x, y)[i, j]
+        else:
+            dots = np.concatenate(
+                [np.einsum("ij,ij->i", x[i[k : k + part]], y[j[k : k + part]]) for k in range(0, len(i), part)]
+            )
+        norms = np.einsum("ij,ij->i", x, x)[i] * np.einsum("ij,ij->i", y, y)[j]
+        out[low : low + step] = dots / np.sqrt(norms)
     return out
 
 
 @F.arrow_udf(T.DoubleType())
 def _bigram_cosine_udf(a: pa.Array, b: pa.Array) -> pa.Array:
+    """Steps hold whole pairs and a bounded number of characters (or one pair)."""
     known = np.flatnonzero(np.asarray(a.is_valid()) & np.asarray(b.is_valid()))
     out = np.full(len(a), np.nan)
-    left, right = a.take(pa.array(known)).to_pylist(), b.take(pa.array(known)).to_pylist()
-    begin, size = 0, 0
-    for i, (x, y) in enumerate(zip(left, right), 1):
-        size += len(x) + len(y)
-        if size >= _CHARS_PER_STEP or i == len(known):
-            out[known[begin:i]] = _bigram_cosines(left[begin:i], right[begin:i])
-            begin, size = i, 0
+    a, b = a.take(pa.array(known)), b.take(pa.array(known))
+    size = np.cumsum(np.asarray(pc.add(pc.utf8_length(a), pc.utf8_length(b)), dtype=np.int64))
+    begin = 0
+    while begin < len(known):
+        before = size[begin - 1] if begin else 0
+        end = max(begin + 1, int(np.searchsorted(size, before + _CHARS_PER_STEP, side="right")))
+        x, y = (side.slice(begin, end - begin).dictionary_encode() for side in (a, b))
+        places = (np.asarray(d.indices, dtype=np.int64) for d in (x, y))
+        out[known[begin:end]] = _bigram_cosines(x.dictionary.to_pylist(), y.dictionary.to_pylist(), *places)
+        begin = end
     return pa.array(out, mask=np.isnan(out))
 
 

@@ -9,6 +9,10 @@ that a cosine and each field similarity are at most 1. Pairs left out cannot pas
 
 Where neither holds there is no equi-join that keeps every passing pair, and
 ``NoLosslessJoin`` is raised rather than comparing all rows with all rows.
+
+Comparing a pair costs far more than shuffling a row, so the joins are divided by the
+number of pairs, which is counted first, and not by bytes: a key with many rows becomes
+a grid of cells, and the cells are spread over as many tasks as the pairs ask for.
 """
 
 from __future__ import annotations
@@ -20,8 +24,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabweld.operators.scoring import NUMBER_WEIGHT, RowScore
+from tabweld.session import materialize
 
 MAX_PAIRS = 10**12
+CELL_ROWS = 2_000
+PAIRS_PER_TASK = 500_000
+MOST_TASKS = 20_000
 BAND_COLUMNS = 2
 _EDGE = 1e-9
 _FINEST_RATIO = 0.99
@@ -46,15 +54,55 @@ def keyed(df: DataFrame, side: str, ids: tuple[int, ...]) -> DataFrame:
     return df.withColumn("key", key).filter(F.col("key").isNotNull())
 
 
-def pair_bound(left: DataFrame, right: DataFrame, key: str) -> int:
-    """Number of pairs an equi-join on ``key`` compares, from counts alone."""
-    counts = (
-        left.select(key, F.lit(1).alias("l"), F.lit(0).alias("r"))
-        .unionByName(right.select(key, F.lit(0).alias("l"), F.lit(1).alias("r")))
-        .groupBy(key)
-        .agg(F.sum("l").alias("l"), F.sum("r").alias("r"))
+def key_counts(left: DataFrame, right: DataFrame) -> DataFrame:
+    """``key, lefts, rights``: rows per key on each side, from one shuffle of counts."""
+    both = left.select("key", F.lit(1).alias("l"), F.lit(0).alias("r")).unionByName(
+        right.select("key", F.lit(0).alias("l"), F.lit(1).alias("r"))
     )
-    return counts.agg(F.sum(F.col("l").cast("decimal(38,0)") * F.col("r"))).first()[0] or 0
+    return both.groupBy("key").agg(F.sum("l").alias("lefts"), F.sum("r").alias("rights"))
+
+
+def tasks_for(pairs: int) -> int:
+    """How many tasks share the comparison of that many pairs."""
+    return min(MOST_TASKS, max(1, math.ceil(pairs / PAIRS_PER_TASK)))
+
+
+class KeyJoin:
+    """The equi-join of two sides on ``key``, with the number of its pairs known beforehand."""
+
+    def __init__(self, left: DataFrame, right: DataFrame):
+        self.left, self.right = left, right
+        self.counts = materialize(key_counts(left, right), "key-counts")
+        pairs, self.widest = self.counts.agg(
+            F.sum(F.col("lefts").cast("decimal(38,0)") * F.col("rights")), F.max(F.greatest("lefts", "rights"))
+        ).first()
+        self.pairs = int(pairs or 0)
+
+    def joined(self) -> DataFrame:
+        """The pairs, spread evenly whatever the number of rows per key.
+
+        A key of l and r rows is a grid of cells of about ``CELL_ROWS`` rows a side; each
+        row goes to one line of cells. The cell of a row depends on its position alone,
+        so a repeated task sends it to the same cell. Rows of a key that the other side
+        lacks are dropped before they are spread.
+        """
+        left, right, on = self.left, self.right, ["key"]
+        if (self.widest or 0) > CELL_ROWS:
+            shared = self.counts.filter((F.col("lefts") > 0) & (F.col("rights") > 0))
+            lines = [F.ceil(F.col(c) / CELL_ROWS).alias(n) for c, n in (("lefts", "left_lines"), ("rights", "right_lines"))]
+            grid = shared.select("key", *lines)
+            on = ["key", "left_cell", "right_cell"]
+            left, right = self._cells(left, grid, "left", "right"), self._cells(right, grid, "right", "left")
+        tasks = tasks_for(self.pairs)
+        # Sizes of replicated rows are not known to the planner: no broadcast here.
+        return left.repartition(tasks, *on).join(right.repartition(tasks, *on).hint("merge"), on).drop(*on)
+
+    @staticmethod
+    def _cells(rows: DataFrame, grid: DataFrame, side: str, other: str) -> DataFrame:
+        own = F.pmod(F.xxhash64(f"{side}_id"), F.col(f"{side}_lines"))
+        every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(f"{other}_lines") - 1))
+        placed = rows.join(grid, "key").withColumn(f"{side}_cell", own).withColumn(f"{other}_cell", every)
+        return placed.drop("left_lines", "right_lines")
 
 
 def _check(pairs: int, max_pairs: int) -> None:
@@ -72,10 +120,11 @@ def id_subset_pairs(row_score: RowScore, left: DataFrame, right: DataFrame, need
     branches, total = [], 0
     for subset in combinations(ids, needed):
         a, b = keyed(left, "left", subset), keyed(right, "right", subset)
+        join = KeyJoin(a, b)
         if needed < len(ids):
-            total += pair_bound(a, b, "key")
+            total += join.pairs
             _check(total, max_pairs)
-        pairs = a.join(b, "key").drop("key")
+        pairs = join.joined()
         # Another equal identifier ahead of the subset's last one means an earlier subset.
         for i in set(ids[: ids.index(subset[-1])]) - set(subset):
             same = F.coalesce(F.col(f"l{i}") == F.col(f"r{i}"), F.lit(False))
@@ -131,5 +180,6 @@ def band_pairs(
         bands.append(f"band{i}")
     key = F.concat_ws(",", *bands)
     a, b = left.withColumn("key", key).drop(*bands), right.withColumn("key", key).drop(*bands)
-    _check(pair_bound(a, b, "key"), max_pairs)
-    return a.join(b, "key").drop("key")
+    join = KeyJoin(a, b)
+    _check(join.pairs, max_pairs)
+    return join.joined()

@@ -26,23 +26,19 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tabweld.operators.assign import EDGES, greedy_in_groups
-from tabweld.operators.candidates import keyed
+from tabweld.operators.candidates import key_counts, keyed, tasks_for
 from tabweld.operators.row_index import rank_descending
 from tabweld.operators.scoring import RowScore
 from tabweld.session import materialize
 
 SHORT = 32
 HEADS = 64
-PIECE_ROWS = 100_000
+PIECE_ROWS = 20_000
 
 
 def group_sizes(left: DataFrame, right: DataFrame) -> DataFrame:
     """Rows per key on each side, for keys on both sides."""
-    both = left.select("key", F.lit(1).alias("l"), F.lit(0).alias("r")).unionByName(
-        right.select("key", F.lit(0).alias("l"), F.lit(1).alias("r"))
-    )
-    sizes = both.groupBy("key").agg(F.sum("l").alias("lefts"), F.sum("r").alias("rights"))
-    return sizes.filter((F.col("lefts") > 0) & (F.col("rights") > 0))
+    return key_counts(left, right).filter((F.col("lefts") > 0) & (F.col("rights") > 0))
 
 
 def match_by_ids(row_score: RowScore, left: DataFrame, right: DataFrame) -> DataFrame:
@@ -90,12 +86,13 @@ def _match_round(row_score: RowScore, left: DataFrame, right: DataFrame):
     firsts = materialize(firsts, "firsts")
     unbroken = passed.join(firsts, "key", "left")
     settled = unbroken.filter(F.col("fail").isNull() | (F.col("left_rank") < F.col("fail"))).select(*EDGES)
-    if firsts.isEmpty():
+    longest = firsts.agg(F.sum(F.greatest("lefts", "rights") - F.col("fail") + 1)).first()[0]
+    if longest is None:
         return None, None, [settled]
     left = left.join(firsts, "key").filter(F.col("left_rank") >= F.col("fail"))
     right = right.join(firsts, "key").filter(F.col("right_rank") >= F.col("fail"))
     heads_left, below = F.col("lefts") <= F.col("rights"), F.col("fail") + HEADS
-    heads = _settle_heads(row_score, left, right, heads_left, below)
+    heads = _settle_heads(row_score, left, right, heads_left, below, tasks_for(longest * HEADS))
     left = _drop_settled(left.filter(~heads_left | (F.col("left_rank") >= below)), heads, "left")
     right = _drop_settled(right.filter(heads_left | (F.col("right_rank") >= below)), heads, "right")
     return materialize(left, "left-open"), materialize(right, "right-open"), [settled, heads]
@@ -106,9 +103,11 @@ def _drop_settled(rows: DataFrame, heads: DataFrame, side: str) -> DataFrame:
     return rows.join(heads.select(f"{side}_id"), f"{side}_id", "left_anti")
 
 
-def _settle_heads(row_score: RowScore, left: DataFrame, right: DataFrame, heads_left: Column, below: Column) -> DataFrame:
+def _settle_heads(
+    row_score: RowScore, left: DataFrame, right: DataFrame, heads_left: Column, below: Column, tasks: int
+) -> DataFrame:
     """Greedy choices of the top rows of each group's shorter side."""
-    extra = ["lefts", "rights", "fail"]
+    extra, on = ["lefts", "rights", "fail"], ["key", "piece"]
     edges = []
     for side, other, chosen in (("left", "right", heads_left), ("right", "left", ~heads_left)):
         rows = {"left": left, "right": right}
@@ -117,7 +116,8 @@ def _settle_heads(row_score: RowScore, left: DataFrame, right: DataFrame, heads_
         pieces = F.ceil(F.greatest("lefts", "rights") / PIECE_ROWS).cast("int")
         top = top.withColumn("piece", F.explode(F.sequence(F.lit(0), pieces - 1)))
         others = rows[other].filter(chosen).withColumn("piece", (F.col(f"{other}_rank") % pieces).cast("int"))
-        pairs = others.drop(*extra).join(top.drop(*extra), ["key", "piece"])
+        top = top.drop(*extra).repartition(tasks, *on)
+        pairs = others.drop(*extra).repartition(tasks, *on).join(top.hint("merge"), on)
         edges.append(top_partners(row_score, pairs, side, other))
     return materialize(greedy_in_groups(edges[0].unionByName(edges[1]), "key"), "heads")
 
