@@ -29,6 +29,7 @@ _CHARS_PER_STEP = 1_000_000
 _CELLS_PER_STEP = 200_000
 _TABLE_SIZE = 4_000_000
 _DENSE_FACTOR = 4
+_BATCH_ROWS = 6  # times the length: fewer texts are faster one by one
 _LENGTH_CLASSES = (8, 16, 24, 32, 48, 64)
 
 
@@ -77,51 +78,62 @@ def _jaro_winkler(a: str, b: str) -> float:
 
 
 def _characters(texts: list[str], pad: int) -> tuple[np.ndarray, np.ndarray]:
-    """One row of code points per text, padded, and the lengths."""
+    """One column of code points per text, padded, and the lengths."""
     lengths = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
     inside = np.arange(lengths.max()) < lengths[:, None]
     codes = np.full(inside.shape, pad, dtype=np.uint32)
     codes[inside] = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    return codes, lengths
+    narrow = codes.astype(np.uint8) if pad < 256 else codes
+    return np.ascontiguousarray(narrow.T), lengths
 
 
 def _jaro_winkler_batch(a: list[str], b: list[str]) -> np.ndarray:
-    """Jaro-Winkler of many pairs of short, non-empty texts, one position of ``a`` at a time."""
-    # The two paddings lie beyond the code points and equal nothing.
-    x, len_x = _characters(a, 0x110000)
-    y, len_y = _characters(b, 0x110001)
-    at = np.arange(y.shape[1])
-    window = np.maximum(np.maximum(len_x, len_y) // 2 - 1, 0)[:, None]
-    free = at < len_y[:, None]
-    hit_x = np.zeros(x.shape, dtype=bool)
-    for i in range(x.shape[1]):
-        hits = free & (y == x[:, i : i + 1]) & (np.abs(at - i) <= window)
-        rows = np.flatnonzero(hits.any(axis=1))
-        free[rows, hits[rows].argmax(axis=1)] = False
-        hit_x[rows, i] = True
-    hit_y = (at < len_y[:, None]) & ~free
-    m = hit_x.sum(axis=1)
-    # Row by row and in order, both sides list the same number of matched characters.
-    moved = np.repeat(np.arange(len(a)), m)[x[hit_x] != y[hit_y]]
+    """Jaro-Winkler of many pairs of short, non-empty texts, one pair of positions at a time."""
+    # The two paddings are no characters of the texts and equal nothing.
+    latin = all(t.isascii() for t in a) and all(t.isascii() for t in b)
+    pads = (0xFE, 0xFF) if latin else (0x110000, 0x110001)
+    (x, len_x), (y, len_y) = _characters(a, pads[0]), _characters(b, pads[1])
+    window = np.maximum(np.maximum(len_x, len_y) // 2 - 1, 0)
+    reach = int(window.max())
+    within = [window >= d for d in range(reach + 1)]
+    always = [bool(w.all()) for w in within]
+    free = np.ones(y.shape, dtype=bool)
+    hit_x = np.empty(x.shape, dtype=bool)
+    for i in range(len(x)):
+        seeking = np.ones(len(a), dtype=bool)
+        for j in range(max(0, i - reach), min(len(y), i + reach + 1)):
+            hits = x[i] == y[j]
+            hits &= free[j]
+            hits &= seeking
+            if not always[abs(i - j)]:
+                hits &= within[abs(i - j)]
+            free[j] ^= hits
+            seeking ^= hits
+        np.logical_not(seeking, out=hit_x[i])
+    m = hit_x.sum(axis=0)
+    # Text by text and in order, both sides list the same number of matched characters.
+    moved = np.repeat(np.arange(len(a)), m)[x.T[hit_x.T] != y.T[~free.T]]
     half_swaps = np.bincount(moved, minlength=len(a)) // 2
     some = np.maximum(m, 1)
     score = np.where(m > 0, (m / len_x + m / len_y + (m - half_swaps) / some) / 3, 0.0)
-    ends = min(PREFIX_LENGTH, x.shape[1], y.shape[1])
-    prefix = np.logical_and.accumulate(x[:, :ends] == y[:, :ends], axis=1).sum(axis=1)
+    ends = min(PREFIX_LENGTH, len(x), len(y))
+    prefix = np.logical_and.accumulate(x[:ends] == y[:ends], axis=0).sum(axis=0)
     return np.where(score > BOOST_THRESHOLD, score + PREFIX_WEIGHT * prefix * (1 - score), score)
 
 
 def _jaro_winklers(a: list[str], b: list[str]) -> np.ndarray:
-    """Short texts together, by length class; long ones one by one."""
+    """Short texts together, by length class; long ones, and small classes, one by one."""
     longest = np.fromiter((max(len(x), len(y)) if x and y else 0 for x, y in zip(a, b)), dtype=np.int64, count=len(a))
     out = np.zeros(len(a))
-    low = 0
-    for high in _LENGTH_CLASSES:
-        rows = np.flatnonzero((longest > low) & (longest <= high))
-        if len(rows):
+    low, single = 0, []
+    for high in (*_LENGTH_CLASSES, None):
+        rows = np.flatnonzero((longest > low) & (longest <= high) if high else longest > low)
+        if high and len(rows) >= _BATCH_ROWS * high:
             out[rows] = _jaro_winkler_batch([a[i] for i in rows], [b[i] for i in rows])
+        else:
+            single.append(rows)
         low = high
-    for i in np.flatnonzero(longest > low):
+    for i in np.concatenate(single):
         out[i] = _jaro_winkler(a[i], b[i])
     return out
 
