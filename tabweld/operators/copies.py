@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tabweld.operators.assign import EDGES
 from tabweld.operators.row_index import rank_descending
-from tabweld.session import materialize
+from tabweld.session import materialize, side_by_side
 
 _LOWEST = -(1 << 63)
 
@@ -64,10 +64,11 @@ def assign_classes(edges: DataFrame, left: DataFrame, right: DataFrame) -> DataF
     edges = materialize(edges.select(*EDGES), "class-edges")
     edges, right = _merge_twins(edges, right, "right_id", "left_id")
     edges, left = _merge_twins(edges, left, "left_id", "right_id")
-    rows = {
-        side: materialize(rank_descending(df, "class", "id"), f"{side}-members")
-        for side, df in (("left", left), ("right", right))
-    }
+    ranked = side_by_side(
+        lambda: materialize(rank_descending(left, "class", "id"), "left-members"),
+        lambda: materialize(rank_descending(right, "class", "id"), "right-members"),
+    )
+    rows = dict(zip(("left", "right"), ranked))
     used = {side: df.groupBy("class").agg(F.lit(0).cast("bigint").alias("used")) for side, df in rows.items()}
     found = []
     while True:

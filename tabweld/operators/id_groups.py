@@ -4,7 +4,8 @@ Each distinct identifier is a group. Every passing pair in it has equal identifi
 so the same score, 1; the greedy pass then takes, for the highest left row, the highest
 right row that passes, and so on down. How a group is worked depends on its size only:
 
-* Both sides short (``SHORT``): compare all its pairs, at most ``SHORT`` per row.
+* Both sides short (``SHORT``, after a round ``HEADS``): compare all its pairs, at most
+  that many per row.
 * Else: in rounds, each comparing a number of pairs linear in the group.
   1. Rank both sides from the top and compare rank with rank. Up to the first pair that
      fails, these are the pairs of the greedy pass: each is the top of what is left.
@@ -29,7 +30,7 @@ from tabweld.operators.assign import EDGES, greedy_in_groups
 from tabweld.operators.candidates import key_counts, keyed, tasks_for
 from tabweld.operators.row_index import rank_descending
 from tabweld.operators.scoring import RowScore
-from tabweld.session import materialize
+from tabweld.session import materialize, side_by_side
 
 SHORT = 32
 HEADS = 64
@@ -45,9 +46,9 @@ def match_by_ids(row_score: RowScore, left: DataFrame, right: DataFrame) -> Data
     """Matched pairs of prepared sides when all identifiers of a pair must be equal."""
     ids = tuple(row_score.indexes("id"))
     left, right = keyed(left, "left", ids), keyed(right, "right", ids)
-    found = []
+    found, limit = [], SHORT
     while True:
-        is_long = (F.col("lefts") > SHORT) | (F.col("rights") > SHORT)
+        is_long = (F.col("lefts") > limit) | (F.col("rights") > limit)
         long = materialize(group_sizes(left, right).filter(is_long).select("key"), "long-groups")
         if long.isEmpty():
             found.append(_match_short(row_score, left, right))
@@ -61,6 +62,8 @@ def match_by_ids(row_score: RowScore, left: DataFrame, right: DataFrame) -> Data
         found += more
         if left is None:
             break
+        # What is left did not pass rank by rank: up to as many rows as heads, all pairs are due.
+        limit = HEADS
     return materialize(reduce(DataFrame.unionByName, found), "pairs")
 
 
@@ -71,8 +74,10 @@ def _match_short(row_score: RowScore, left: DataFrame, right: DataFrame) -> Data
 
 def _match_round(row_score: RowScore, left: DataFrame, right: DataFrame):
     """One round on long groups: the rows still open on each side, and the pairs found."""
-    left = materialize(rank_descending(left, "key", "left_id", "left_rank"), "left-ranked")
-    right = materialize(rank_descending(right, "key", "right_id", "right_rank"), "right-ranked")
+    left, right = side_by_side(
+        lambda: materialize(rank_descending(left, "key", "left_id", "left_rank"), "left-ranked"),
+        lambda: materialize(rank_descending(right, "key", "right_id", "right_rank"), "right-ranked"),
+    )
     sizes = (
         left.groupBy("key")
         .agg(F.max("left_rank").alias("lefts"))
@@ -93,9 +98,10 @@ def _match_round(row_score: RowScore, left: DataFrame, right: DataFrame):
     right = right.join(firsts, "key").filter(F.col("right_rank") >= F.col("fail"))
     heads_left, below = F.col("lefts") <= F.col("rights"), F.col("fail") + HEADS
     heads = _settle_heads(row_score, left, right, heads_left, below, tasks_for(longest * HEADS))
-    left = _drop_settled(left.filter(~heads_left | (F.col("left_rank") >= below)), heads, "left")
-    right = _drop_settled(right.filter(heads_left | (F.col("right_rank") >= below)), heads, "right")
-    return materialize(left, "left-open"), materialize(right, "right-open"), [settled, heads]
+    left_open = _drop_settled(left.filter(~heads_left | (F.col("left_rank") >= below)), heads, "left")
+    right_open = _drop_settled(right.filter(heads_left | (F.col("right_rank") >= below)), heads, "right")
+    left, right = side_by_side(lambda: materialize(left_open, "left-open"), lambda: materialize(right_open, "right-open"))
+    return left, right, [settled, heads]
 
 
 def _drop_settled(rows: DataFrame, heads: DataFrame, side: str) -> DataFrame:

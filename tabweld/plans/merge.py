@@ -23,7 +23,7 @@ from tabweld.operators.impute import apply_fills, assert_no_nulls, fill, fill_va
 from tabweld.operators.row_index import with_row_index
 from tabweld.operators.schema_match import match_schemas
 from tabweld.operators.scoring import RowScore, plan_fields
-from tabweld.session import materialize
+from tabweld.session import materialize, side_by_side
 
 # Fixed value: the score a pair of rows must reach by default.
 ROW_THRESHOLD = 0.85
@@ -74,9 +74,10 @@ def preprocess_datasets(
     left: DataFrame, right: DataFrame, embed: Callable[[Column], Column] | None = None
 ) -> tuple[DataFrame, DataFrame, dict[str, str]]:
     """Both tables cleaned and imputed, and the matched columns."""
-    sides = [_side(df, None) for df in (left, right)]
-    a, b = (s.imputed.select(*s.columns) for s in sides)
-    return a, b, match_schemas(left, right, embed)
+    a, b, matches = side_by_side(
+        lambda: _side(left, None), lambda: _side(right, None), lambda: match_schemas(left, right, embed)
+    )
+    return a.imputed.select(*a.columns), b.imputed.select(*b.columns), matches
 
 
 def match_rows(
@@ -93,7 +94,9 @@ def match_rows(
         return left.select("left_id", F.lit(None).cast("bigint").alias("right_id"), F.lit(1.0).alias("score")).limit(0)
     if needed == len(ids) and ids and not ids_may_be_null:
         return match_by_ids(row_score, left, right)
-    forms = [materialize(classes(side, f"{name}_id"), "forms") for side, name in ((left, "left"), (right, "right"))]
+    forms = side_by_side(
+        lambda: materialize(classes(left, "left_id"), "forms"), lambda: materialize(classes(right, "right_id"), "forms")
+    )
     if needed:
         pairs = id_subset_pairs(row_score, *forms, needed, max_pairs)
         if ids_may_be_null:
@@ -144,15 +147,17 @@ def find_matches(
             F.col(ROW_ID).alias("left_id"), F.col(ROW_ID).alias("right_id"), F.lit(0.0).alias("score")
         ).limit(0)
     row_score = RowScore(fields, threshold, embed)
-    prepared = []
-    for side, name in ((left, "left"), (right, "right")):
+
+    def prepared(side: Side, name: str) -> DataFrame:
         fills = side.fills
         if not impute_ids:
             kept = {getattr(f, name) for f in fields if f.kind == "id"}
             fills = {c: v for c, v in fills.items() if c not in kept}
-        prepared.append(materialize(row_score.prepare(apply_fills(side.clean, fills), ROW_ID, name), name))
+        return materialize(row_score.prepare(apply_fills(side.clean, fills), ROW_ID, name), name)
+
+    sides = side_by_side(lambda: prepared(left, "left"), lambda: prepared(right, "right"))
     gaps = any(left.nulls[f.left] or right.nulls[f.right] for f in fields if f.kind == "id")
-    return match_rows(row_score, *prepared, ids_may_be_null=gaps and not impute_ids, max_pairs=max_pairs)
+    return match_rows(row_score, *sides, ids_may_be_null=gaps and not impute_ids, max_pairs=max_pairs)
 
 
 def _has_values(side: Side, column: str) -> bool:
@@ -230,8 +235,11 @@ def merge_datasets(
     positions; without them positions are generated and written once. ``verify`` scans
     the result for nulls, which the imputation rules out by construction.
     """
-    a, b = _side(left, left_key), _side(right, right_key)
-    matches = match_schemas(left, right, embed) if schema_matches is None else schema_matches
+    a, b, matches = side_by_side(
+        lambda: _side(left, left_key),
+        lambda: _side(right, right_key),
+        lambda: match_schemas(left, right, embed) if schema_matches is None else schema_matches,
+    )
     pairs = find_matches(
         a, b, matches, similarity_threshold, id_columns, int_as_text, impute_ids, embed, max_pairs
     )

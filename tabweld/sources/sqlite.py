@@ -14,11 +14,12 @@ import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 from tabweld.operators.columns import export_casts
 
@@ -27,7 +28,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 # Declared types and the Spark types they are read as.
 DECLARED = {"INTEGER": "bigint", "REAL": "double", "TEXT": "string", "BLOB": "binary"}
 ROWS_PER_TASK = 500_000
-_ROWS_PER_INSERT = 10_000
+_ROWS_PER_BATCH = 10_000
 
 
 def _quote(name: str) -> str:
@@ -94,18 +95,22 @@ class SqliteReader(DataSourceReader):
                 ranges += [RowRange(file, at, min(at + step - 1, high)) for at in range(low, high + 1, step)]
         return ranges or [RowRange("", 0, -1)]
 
-    def read(self, partition: RowRange) -> Iterator[tuple]:
+    def read(self, partition: RowRange) -> Iterator[pa.RecordBatch]:
         if not partition.file:
             return
         convert = [{"bigint": int, "double": float, "string": str, "binary": bytes}[t] for t in self.types]
+        arrow = {"bigint": pa.int64(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary()}
+        schema = pa.schema([(n, arrow[t]) for n, t in zip(self.names, self.types)])
         columns = ", ".join(map(_quote, self.names))
         with _open(partition.file) as db:
             rows = db.execute(
                 f"SELECT {columns} FROM {_quote(self.table)} WHERE rowid BETWEEN ? AND ?",
                 (partition.first, partition.last),
             )
-            for row in rows:
-                yield tuple(None if v is None else to(v) for v, to in zip(row, convert))
+            while batch := rows.fetchmany(_ROWS_PER_BATCH):
+                # Any value may be of any type in SQLite, whatever the column declares.
+                columns = [[None if v is None else to(v) for v in c] for c, to in zip(zip(*batch), convert)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types)], schema=schema)
 
 
 @dataclass
@@ -114,7 +119,7 @@ class WrittenFile(WriterCommitMessage):
     rows: int
 
 
-class SqliteWriter(DataSourceWriter):
+class SqliteWriter(DataSourceArrowWriter):
     """Each task writes its own file under a temporary name; the commit publishes them."""
 
     def __init__(self, schema: T.StructType, path: str, table: str, overwrite: bool):
@@ -124,26 +129,23 @@ class SqliteWriter(DataSourceWriter):
         self.path, self.table, self.overwrite = path, table, overwrite
         os.makedirs(path, exist_ok=True)
 
-    def write(self, rows: Iterator) -> WrittenFile:
+    def write(self, batches: Iterator[pa.RecordBatch]) -> WrittenFile:
         file = os.path.join(self.path, f".{uuid.uuid4().hex}.part")
         marks = ", ".join("?" * len(self.names))
         insert = f"INSERT INTO {_quote(self.table)} VALUES ({marks})"
-        total, batch = 0, []
+        total = 0
         db = sqlite3.connect(file, isolation_level=None)
         try:
             db.execute("PRAGMA journal_mode = OFF")
             db.execute(f"CREATE TABLE {_quote(self.table)} ({self.columns})")
             db.execute("BEGIN")
-            for row in rows:
-                batch.append(tuple(row))
-                if len(batch) == _ROWS_PER_INSERT:
-                    db.executemany(insert, batch)
-                    total, batch = total + len(batch), []
-            db.executemany(insert, batch)
+            for batch in batches:
+                db.executemany(insert, zip(*[c.to_pylist() for c in batch.columns]))
+                total += batch.num_rows
             db.execute("COMMIT")
         finally:
             db.close()
-        return WrittenFile(file, total + len(batch))
+        return WrittenFile(file, total)
 
     def commit(self, messages: list[WrittenFile | None]) -> None:
         old = _files(self.path) if self.overwrite else []
