@@ -29,8 +29,9 @@ def work_dir(spark: SparkSession) -> str:
 
 def side_by_side(*steps: Callable) -> list:
     """Results of independent steps whose jobs share the cluster instead of queueing."""
+    keep_context = inheritable_thread_target(SparkSession.active())
     with ThreadPoolExecutor(len(steps)) as pool:
-        running = [pool.submit(inheritable_thread_target(step)) for step in steps]
+        running = [pool.submit(keep_context(step)) for step in steps]
         return [r.result() for r in running]
 
 

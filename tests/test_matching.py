@@ -3,9 +3,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tabweld.operators import id_groups
+from tabweld.operators import candidates, id_groups
 from tabweld.operators.assign import greedy_assignment
-from tabweld.operators.candidates import NoLosslessJoin, band_pairs
+from tabweld.operators.candidates import KeyJoin, NoLosslessJoin, band_pairs
 from tabweld.operators.evaluate import evaluate_pairs
 from tabweld.operators.golden import golden_records
 from tabweld.operators.scoring import RowScore, plan_fields
@@ -102,6 +102,43 @@ def test_numbers_bound_the_pairs_without_identifiers(spark, seed, threshold):
     assert run(spark, left, right, schemas, matches, threshold) == want(left, right, schemas, matches, threshold)
 
 
+def test_a_band_holding_a_third_of_all_rows(spark, monkeypatch):
+    """Crowded bands become grids of cells, and bands of one side only are dropped."""
+    monkeypatch.setattr(candidates, "CELL_ROWS", 3)
+    monkeypatch.setattr(candidates, "PAIRS_PER_TASK", 100)
+    rng = random.Random(7)
+    schemas = ("row int, name string, size double", "pos int, title string, extent double")
+
+    def rows(n, far):
+        return [(i, rng.choice(NAMES), rng.choice([rng.uniform(50, 51), rng.uniform(1, 40), far])) for i in range(n)]
+
+    left, right = rows(60, 1e6), rows(50, -1e6)
+    matches = {"name": "title", "size": "extent"}
+    assert run(spark, left, right, schemas, matches, 0.85) == want(left, right, schemas, matches, 0.85)
+
+
+def test_pairs_of_one_key_spread_over_the_tasks(spark, monkeypatch):
+    monkeypatch.setattr(candidates, "CELL_ROWS", 20)
+    monkeypatch.setattr(candidates, "PAIRS_PER_TASK", 5_000)
+    key = F.when(F.col("id") >= 0, "hot").alias("key")  # a literal would be optimised away
+    left, right = (spark.range(n).select(F.col("id").alias(c), key) for n, c in ((400, "left_id"), (250, "right_id")))
+    join = KeyJoin(left, right)
+    assert join.pairs == 100_000
+    pairs = join.joined().withColumn("part", F.spark_partition_id())
+    assert pairs.select("left_id", "right_id").distinct().count() == pairs.count() == 100_000
+    sizes = [r["count"] for r in pairs.groupBy("part").count().collect()]
+    assert len(sizes) >= 15 and max(sizes) < 20_000
+
+
+def test_rows_left_after_a_round_are_compared_at_once(spark, monkeypatch):
+    """Groups between the two limits: a round first, then all pairs of what it left."""
+    monkeypatch.setattr(id_groups, "SHORT", 2)
+    monkeypatch.setattr(id_groups, "HEADS", 6)
+    rng = random.Random(11)
+    left, right = people(rng, 60, range(4)), people(rng, 60, range(4))
+    assert run(spark, left, right, (LEFT, RIGHT), MATCHES, 0.9) == want(left, right, (LEFT, RIGHT), MATCHES, 0.9)
+
+
 @pytest.mark.parametrize("seed, sizes, names", [(1, [3.0, 4.0], ["ann"]), (2, [3.0, 3.1, 9.0], ["ann", "anna", "anne"]), (3, [2.0], ["bob"])])
 def test_copies_without_identifiers(spark, seed, sizes, names):
     """Few distinct forms: many rows look alike on both sides, with ties between forms."""

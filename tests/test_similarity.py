@@ -1,10 +1,12 @@
 import math
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tabweld.functions import similarity
 from tabweld.functions.embed import embedder
 from tabweld.functions.similarity import bigram_cosine, jaro_winkler, numeric_closeness, vector_cosine
 from tabweld.functions.text import WHITESPACE, id_text, row_text, standardize
@@ -95,3 +97,30 @@ def test_embedder_loads_a_model_of_the_caller(spark):
     df = spark.createDataFrame([("ab",), ("abcd",)], "t string").select(embed(F.col("t")).alias("v"))
     assert df.schema["v"].dataType == T.ArrayType(T.FloatType())
     assert [list(r["v"]) for r in df.collect()] == [[2.0, 1.0], [4.0, 1.0]]
+
+
+@pytest.mark.parametrize("alphabet", ["ab", "abcdefghij", "aé😀 \n"])
+def test_texts_measured_together_and_one_by_one(monkeypatch, alphabet):
+    rng = random.Random(3)
+
+    def texts(longest):
+        return ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, longest))) for _ in range(200)]
+
+    a, b = texts(70) + texts(6), texts(70) + texts(6)
+    want = [brute.jaro_winkler(x, y) for x, y in zip(a, b)]
+    for rows in (0, 10**9):
+        monkeypatch.setattr(similarity, "_BATCH_ROWS", rows)
+        assert similarity._jaro_winklers(a, b).tolist() == pytest.approx(want, abs=1e-12)
+
+
+@pytest.mark.parametrize("cells, dense", [(4_000_000, 4), (4_000_000, 0), (1, 4)])
+def test_cosines_of_repeated_texts(monkeypatch, cells, dense):
+    monkeypatch.setattr(similarity, "_TABLE_SIZE", cells)
+    monkeypatch.setattr(similarity, "_DENSE_FACTOR", dense)
+    monkeypatch.setattr(similarity, "_CHARS_PER_STEP", 3_000)
+    rng = random.Random(4)
+    pool = ["", None] + ["".join(rng.choice("abc é😀") for _ in range(rng.randint(1, 40))) for _ in range(30)]
+    a, b = ([rng.choice(pool) for _ in range(500)] for _ in range(2))
+    found = similarity._bigram_cosine_udf.func(pa.array(a, pa.string()), pa.array(b, pa.string())).to_pylist()
+    for x, y, cosine in zip(a, b, found):
+        assert cosine == (None if x is None or y is None else pytest.approx(brute.bigram_cosine(x, y), abs=1e-12))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tabweld.session import materialize, work_dir
 from tabweld.sources.files import read_csv, read_json, read_table, write_csv, write_json
-from tabweld.sources.sqlite import export_to_sqlite, list_sqlite_tables, read_sqlite, sqlite_column_types
+from tabweld.sources.sqlite import count_sqlite, export_to_sqlite, list_sqlite_tables, read_sqlite, sqlite_column_types
 
 
 def test_csv_types_and_missing_values(spark, tmp_path):
@@ -47,6 +47,7 @@ def test_sqlite_file_is_read_in_ranges(spark, tmp_path):
     row = parts.agg(F.count("*"), F.count("name"), F.sum("the score"), F.count_distinct("part")).first()
     assert tuple(row) == (1000, 857, 249750.0, 4)
     assert read_sqlite(spark, path, "empty").count() == 0
+    assert (count_sqlite(spark, path, "people"), count_sqlite(spark, path, "empty")) == (1000, 0)
 
 
 def test_sqlite_export(spark, tmp_path):
