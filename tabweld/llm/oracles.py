@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from tabweld.llm import line_dedup, quality
+
 URL_FILTERS = r"""
 WITH rules(rule, verdict) AS (VALUES ('org/', 'allow'), ('example.org/es/', 'block'),
   ('example.org/en/1', 'block'), ('com/fr/', 'allow'), ('com/de/', 'block')),
@@ -20,6 +22,93 @@ SELECT p.page_id, p.host, p.path, f.rule, coalesce(f.verdict, 'allow') AS verdic
 FROM parsed p LEFT JOIN fits f ON f.page_id = p.page_id AND f.n = 1
 """
 
+LINE_DEDUP = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, n_chars, text, coalesce(source, '') AS site,
+    string_split(coalesce(text, ''), chr(10)) AS raw FROM documents
+), places AS (
+  SELECT r, site, unnest(raw) AS line, generate_subscripts(raw, 1) AS place FROM docs
+), trimmed AS (
+  SELECT r, site, place, line AS raw, trim(line, concat(' ', chr(9), chr(11), chr(12), chr(13))) AS line FROM places
+), once AS (
+  SELECT DISTINCT r, site, line FROM trimmed WHERE line <> ''
+), signed AS (
+  SELECT r, arg_min(line, -ln((('0x' || substr(md5(line), 1, 8))::BIGINT + 1) / 4294967296.0) / length(line)) AS signature
+  FROM once GROUP BY r
+), bad AS (
+  SELECT line FROM once JOIN signed USING (r) GROUP BY line
+  HAVING count(DISTINCT site) >= %d AND 2 * count(DISTINCT signature) >= count(*)
+), rest AS (
+  SELECT t.r, count(b.line) AS n_removed, string_agg(t.raw, chr(10) ORDER BY t.place) FILTER (WHERE b.line IS NULL) AS text
+  FROM trimmed t LEFT JOIN bad b ON b.line = t.line GROUP BY t.r
+)
+SELECT d.doc_id, CASE WHEN d.text IS NULL THEN 0 ELSE len(d.raw) END::INTEGER AS n_lines,
+  coalesce(x.n_removed, 0)::INTEGER AS n_removed,
+  CASE WHEN x.n_removed > 0 THEN length(coalesce(x.text, '')) ELSE d.n_chars END AS n_chars,
+  CASE WHEN x.n_removed > 0 THEN coalesce(x.text, '') ELSE d.text END AS text
+FROM docs d LEFT JOIN rest x ON x.r = d.r
+""" % line_dedup.MIN_SITES
+
+
+def quality_sql() -> str:
+    """The measures, then EM unrolled: one aggregation over the vote patterns for each round."""
+    rules = quality.RULES
+    votes = ", ".join(
+        f"CASE WHEN n_words = 0 THEN 0 WHEN {bad} THEN -1 WHEN {good} THEN 1 ELSE 0 END AS v_{name}" for name, (bad, good) in rules.items()
+    )
+    names = ", ".join(f"v_{r}" for r in rules)
+
+    def product(share: str, kind: str) -> str:
+        rates = (f"CASE v_{r} WHEN 1 THEN {r}_up_{kind} WHEN -1 THEN 1 - {r}_up_{kind} ELSE 1 END" for r in rules)
+        return " * ".join([share, *rates])
+
+    posterior = f"({product('share', 'good')}) / (({product('share', 'good')}) + ({product('(1 - share)', 'bad')}))"
+    low, high = quality.LEAST, 1 - quality.LEAST
+
+    def rate(r: str, kind: str, weight: str) -> str:
+        up, down = (f"coalesce(sum({weight}) FILTER (WHERE v_{r} = {v}), 0) + 1" for v in (1, -1))
+        return f"least(greatest(({up}) / (({up}) + ({down})), {low}), {high}) AS {r}_up_{kind}"
+
+    fits = ", ".join(rate(r, kind, weight) for r in rules for kind, weight in (("good", "good"), ("bad", "docs - good")))
+    first = ", ".join(
+        f"{value} AS {r}_up_{kind}" for r in rules for kind, value in (("good", quality.FIRST_GOOD), ("bad", 1 - quality.FIRST_BAD))
+    )
+    rounds = ", ".join(
+        f"p{k} AS MATERIALIZED (SELECT least(greatest(sum(good) / sum(docs), {low}), {high}) AS share, {fits} "
+        f"FROM (SELECT *, docs * ({posterior}) AS good FROM patterns, p{k - 1}))"
+        for k in range(1, quality.ROUNDS + 1)
+    )
+    return rf"""
+WITH docs AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents
+), split AS MATERIALIZED (
+  SELECT *, list_filter(string_split_regex(t, '[ 	-]+'), lambda x: x <> '') AS w,
+    list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ 	-]')) AS l FROM docs
+), windows AS MATERIALIZED (
+  SELECT r, unnest(g) AS g, generate_subscripts(g, 1) AS i
+  FROM (SELECT r, list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) AS g FROM split)
+), twice AS (SELECT r, g FROM windows GROUP BY r, g HAVING count(*) > 1),
+covered AS (
+  SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS p FROM windows JOIN twice USING (r, g)) GROUP BY r
+), measured AS MATERIALIZED (
+  SELECT doc_id, len(w) AS n_words, length(regexp_replace(t, '[ 	-]', '', 'g')) AS word_chars,
+    length(t) - length(translate(t, '{quality.SYMBOLS}', '')) AS n_symbols,
+    len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words, len(l) AS n_lines,
+    length(t) - length(translate(t, '{quality.UPPER}', '')) AS n_upper, length(t) - length(replace(t, '!', '')) AS n_exclaim,
+    length(t) - length(translate(t, '.,;:?', '')) AS n_stops
+  FROM split LEFT JOIN covered c USING (r)
+), voted AS MATERIALIZED (
+  SELECT *, n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.MOST_REPEATED} * n_words AS base_failed, {votes} FROM measured
+), patterns AS MATERIALIZED (SELECT {names}, count(*)::DOUBLE AS docs FROM voted WHERE NOT base_failed GROUP BY {names}),
+p0 AS (SELECT {quality.FIRST_SHARE} AS share, {first}), {rounds}
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND coalesce(({posterior}) >= 0.5, false) AS kept
+FROM voted, p{quality.ROUNDS}
+"""
+
+
 ORACLES: dict[str, str] = {
+    "op1_line_dedup": LINE_DEDUP,
     "op8_url_filters": URL_FILTERS,
+    "op9_quality_rules": quality_sql(),
 }

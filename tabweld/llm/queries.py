@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabweld.llm import sharding, url_filter
+from tabweld.llm import line_dedup, mixing, quality, sharding, url_filter
 
 URL_ALLOW = ("org/", "com/fr/")
 URL_BLOCK = ("example.org/es/", "example.org/en/1", "com/de/")
@@ -17,6 +17,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that many sites share."""
+    rows = line_dedup.without_boilerplate(table(spark, sf_dir, "documents"))
+    return rows.select("row.doc_id", "n_lines", "n_removed", "row.n_chars", "row.text")
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 40 shards of nearly equal bytes."""
     rows = sharding.keyed_rows(table(spark, sf_dir, "documents"))
@@ -36,7 +42,23 @@ def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), URL_ALLOW, URL_BLOCK)
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The slot of every document in a mixture of the sources by smoothed sizes."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
+    return mixing.mixed(docs).select("row.doc_id", "source", "phase", "block", "release", "deadline", "slot", "place")
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures and verdict of every document."""
+    return quality.report(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_line_dedup": op1_line_dedup,
     "op4_sharding": op4_sharding,
+    "op7_mixing": op7_mixing,
     "op8_url_filters": op8_url_filters,
+    "op9_quality_rules": op9_quality_rules,
 }
