@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabweld.llm import line_dedup, mixing, quality, sharding, url_filter
+from tabweld.llm import line_dedup, mixing, quality, sharding, simhash, url_filter
 
 URL_ALLOW = ("org/", "com/fr/")
 URL_BLOCK = ("example.org/es/", "example.org/en/1", "com/de/")
@@ -55,10 +55,17 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document."""
+    rows = simhash.with_components(simhash.fingerprints(table(spark, sf_dir, "documents"), shingle=3), max_bits=2)
+    return rows.select("doc_id", simhash.as_hex(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op4_sharding": op4_sharding,
     "op7_mixing": op7_mixing,
     "op8_url_filters": op8_url_filters,
     "op9_quality_rules": op9_quality_rules,
+    "op10_simhash": op10_simhash,
 }
