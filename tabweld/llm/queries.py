@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabweld.llm import line_dedup, mixing, quality, sharding, simhash, url_filter
+from tabweld.llm import line_dedup, mixing, pii, quality, sharding, simhash, url_filter
 
+#: For tests and benchmarks; a real run takes its key from a secret store.
+PII_KEY = "corpus-key-1"
 URL_ALLOW = ("org/", "com/fr/")
 URL_BLOCK = ("example.org/es/", "example.org/en/1", "com/de/")
 
@@ -23,6 +25,12 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("row.doc_id", "n_lines", "n_removed", "row.n_chars", "row.text")
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with pseudonyms for its personal data and secrets."""
+    rows = pii.pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
+    return rows.select("row.doc_id", "row.text", F.size("found").alias("n_found"), F.array_join("found", " ").alias("kinds"))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 40 shards of nearly equal bytes."""
     rows = sharding.keyed_rows(table(spark, sf_dir, "documents"))
@@ -63,6 +71,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
+    "op3_pii": op3_pii,
     "op4_sharding": op4_sharding,
     "op7_mixing": op7_mixing,
     "op8_url_filters": op8_url_filters,
