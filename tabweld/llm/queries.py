@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabweld.llm import line_dedup, mixing, pii, quality, sharding, simhash, url_filter
+from tabweld.llm import line_dedup, mixing, pieces, pii, quality, sharding, simhash, url_filter
 
 #: For tests and benchmarks; a real run takes its key from a secret store.
 PII_KEY = "corpus-key-1"
@@ -50,6 +50,20 @@ def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), URL_ALLOW, URL_BLOCK)
 
 
+def vocabulary(path: str | None = None) -> pieces.Vocabulary:
+    """The public 32k model, wherever it is installed; another model's path may be given."""
+    if path is None:
+        import public_tokenizers
+
+        path = public_tokenizers.path("piece_bpe_32k.model")
+    return pieces.read_vocabulary(path, "bpe")
+
+
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document, and whether they decode to its text."""
+    return pieces.encoded(table(spark, sf_dir, "documents"), vocabulary())
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The slot of every document in a mixture of the sources by smoothed sizes."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source")
@@ -73,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op3_pii": op3_pii,
     "op4_sharding": op4_sharding,
+    "op6_sentencepiece": op6_sentencepiece,
     "op7_mixing": op7_mixing,
     "op8_url_filters": op8_url_filters,
     "op9_quality_rules": op9_quality_rules,
