@@ -50,6 +50,21 @@ FROM docs d LEFT JOIN rest x ON x.r = d.r
 """ % line_dedup.MIN_SITES
 
 
+TOP_K = r"""
+WITH whole AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+  FROM whole q, whole c WHERE q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
+
 def quality_sql() -> str:
     """The measures, then EM unrolled: one aggregation over the vote patterns for each round."""
     rules = quality.RULES
@@ -82,8 +97,10 @@ def quality_sql() -> str:
 WITH docs AS MATERIALIZED (
   SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents
 ), split AS MATERIALIZED (
-  SELECT *, list_filter(string_split_regex(t, '[ 	-]+'), lambda x: x <> '') AS w,
-    list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ 	-]')) AS l FROM docs
+  SELECT *, list_filter(string_split_regex(t, '[ 	-
+]+'), lambda x: x <> '') AS w,
+    list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ 	-
+]')) AS l FROM docs
 ), windows AS MATERIALIZED (
   SELECT r, unnest(g) AS g, generate_subscripts(g, 1) AS i
   FROM (SELECT r, list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) AS g FROM split)
@@ -91,10 +108,11 @@ WITH docs AS MATERIALIZED (
 covered AS (
   SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS p FROM windows JOIN twice USING (r, g)) GROUP BY r
 ), measured AS MATERIALIZED (
-  SELECT doc_id, len(w) AS n_words, length(regexp_replace(t, '[ 	-]', '', 'g')) AS word_chars,
+  SELECT doc_id, len(w) AS n_words, length(regexp_replace(t, '[ 	-
+]', '', 'g')) AS word_chars,
     length(t) - length(translate(t, '{quality.SYMBOLS}', '')) AS n_symbols,
     len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words, len(l) AS n_lines,
-    length(t) - length(translate(t, '{quality.UPPER}', '')) AS n_upper, length(t) - length(replace(t, '!', '')) AS n_exclaim,
+    length(t) - length(regexp_replace(t, '[{quality.UPPER}]', '', 'g')) AS n_upper, length(t) - length(replace(t, '!', '')) AS n_exclaim,
     length(t) - length(translate(t, '.,;:?', '')) AS n_stops
   FROM split LEFT JOIN covered c USING (r)
 ), voted AS MATERIALIZED (
@@ -109,6 +127,7 @@ FROM voted, p{quality.ROUNDS}
 
 ORACLES: dict[str, str] = {
     "op1_line_dedup": LINE_DEDUP,
+    "op5_top_k": TOP_K,
     "op8_url_filters": URL_FILTERS,
     "op9_quality_rules": quality_sql(),
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabweld.llm import line_dedup, mixing, pieces, pii, quality, sharding, simhash, url_filter
+from tabweld.llm import line_dedup, mixing, pieces, pii, quality, sharding, simhash, topk, url_filter
 
 #: For tests and benchmarks; a real run takes its key from a secret store.
 PII_KEY = "corpus-key-1"
@@ -50,6 +50,12 @@ def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), URL_ALLOW, URL_BLOCK)
 
 
+def op5_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 highest inner products of every 50th vector with all others."""
+    rows = topk.whole_vectors(table(spark, sf_dir, "embeddings"))
+    return topk.top_k(rows, F.col("vec_id") % 50 == 0, k=5)
+
+
 def vocabulary(path: str | None = None) -> pieces.Vocabulary:
     """The public 32k model, wherever it is installed; another model's path may be given."""
     if path is None:
@@ -87,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op3_pii": op3_pii,
     "op4_sharding": op4_sharding,
+    "op5_top_k": op5_top_k,
     "op6_sentencepiece": op6_sentencepiece,
     "op7_mixing": op7_mixing,
     "op8_url_filters": op8_url_filters,
