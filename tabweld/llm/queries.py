@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabweld.llm import line_dedup, mixing, pieces, pii, quality, sharding, simhash, topk, url_filter
+from tabweld.llm import line_dedup, mixing, pieces, pii, quality, sharding, simhash, suffix_dedup, topk, url_filter
 
 #: For tests and benchmarks; a real run takes its key from a secret store.
 PII_KEY = "corpus-key-1"
@@ -25,6 +25,11 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("row.doc_id", "n_lines", "n_removed", "row.n_chars", "row.text")
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every document loses to strings of 400 bytes that also start elsewhere."""
+    return suffix_dedup.removal_report(table(spark, sf_dir, "documents"), length=400)
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with pseudonyms for its personal data and secrets."""
     rows = pii.pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
@@ -91,6 +96,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_pii": op3_pii,
     "op4_sharding": op4_sharding,
     "op5_top_k": op5_top_k,
