@@ -6,11 +6,44 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tabweld.llm import line_dedup, mixing, pieces, quality, queries, simhash
 from tabweld.session import materialize
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
-STAGES: list[tuple[str, Stage]] = []
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the weakly supervised quality rules keep."""
+    return quality.good_documents(docs)
+
+
+def remove_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the lines that many sites share."""
+    return line_dedup.without_boilerplate(docs).select("row.*")
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group whose fingerprints are linked by 2 or fewer bits."""
+    return simhash.deduplicated(docs, max_bits=2, shingle=3)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, in the order of a mixture of their sources by smoothed sizes."""
+    return mixing.in_mixed_order(docs)
+
+
+def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document and whether they decode to its text."""
+    return pieces.encoded(docs, queries.vocabulary())
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("quality rules", quality_rules),
+    ("line dedup", remove_boilerplate),
+    ("simhash near-dedup", near_dedup),
+    ("mixing sources", mix_sources),
+    ("sentencepiece", encode_pieces),
+]
 
 #: The last stage's token ids have no SQL form.
 ORACLE_SQL: str | None = None
