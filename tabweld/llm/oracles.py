@@ -33,8 +33,7 @@ WITH docs AS (
 ), once AS (
   SELECT DISTINCT r, site, line FROM trimmed WHERE line <> ''
 ), signed AS (
-  SELECT r, arg_min(line, -ln((('0x' || substr(md5(line), 1, 8))::BIGINT + 1) / 4294967296.0) / length(line)) AS signature
-  FROM once GROUP BY r
+  SELECT r, list(line ORDER BY length(line) DESC, line DESC)[1:2] AS signature FROM once GROUP BY r
 ), bad AS (
   SELECT line FROM once JOIN signed USING (r) GROUP BY line
   HAVING count(DISTINCT site) >= %d AND 2 * count(DISTINCT signature) >= count(*)
@@ -78,18 +77,20 @@ def quality_sql() -> str:
         return " * ".join([share, *rates])
 
     posterior = f"({product('share', 'good')}) / (({product('share', 'good')}) + ({product('(1 - share)', 'bad')}))"
-    low, high = quality.LEAST, 1 - quality.LEAST
+    bounds = {"good": (1 - quality.MOST_WRONG, 1 - quality.LEAST), "bad": (quality.LEAST, 1 - quality.LEAST_RIGHT)}
 
     def rate(r: str, kind: str, weight: str) -> str:
         up, down = (f"coalesce(sum({weight}) FILTER (WHERE v_{r} = {v}), 0) + 1" for v in (1, -1))
+        low, high = bounds[kind]
         return f"least(greatest(({up}) / (({up}) + ({down})), {low}), {high}) AS {r}_up_{kind}"
 
     fits = ", ".join(rate(r, kind, weight) for r in rules for kind, weight in (("good", "good"), ("bad", "docs - good")))
     first = ", ".join(
         f"{value} AS {r}_up_{kind}" for r in rules for kind, value in (("good", quality.FIRST_GOOD), ("bad", 1 - quality.FIRST_BAD))
     )
+    least, most = quality.SHARES
     rounds = ", ".join(
-        f"p{k} AS MATERIALIZED (SELECT least(greatest(sum(good) / sum(docs), {low}), {high}) AS share, {fits} "
+        f"p{k} AS MATERIALIZED (SELECT least(greatest(sum(good) / sum(docs), {least}), {most}) AS share, {fits} "
         f"FROM (SELECT *, docs * ({posterior}) AS good FROM patterns, p{k - 1}))"
         for k in range(1, quality.ROUNDS + 1)
     )

@@ -14,22 +14,27 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabweld.llm.common import WHITE, replaced, whole_text, with_row
 from tabweld.session import materialize
 
 SYMBOLS = "#*$%&|<>"
-UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+UPPER = "A-Z"
 MIN_WORDS = 50
 MOST_REPEATED = 50
 
-#: EM: rounds, share of good documents and vote rates to begin with (good votes on good
-#: documents, bad votes on bad ones), and the smallest probability of any vote.
+#: EM: rounds; share of good documents and vote rates to begin with (good votes on good documents,
+#: bad votes on bad ones). What is known of the rules bounds what may be learned: a good document
+#: gets a rule's bad vote with a chance of at most MOST_WRONG, a bad one with at least LEAST_RIGHT,
+#: and between SHARES of the documents are good. Without bounds a rule that alone sees one kind of
+#: junk could be taken for a noisy one.
 ROUNDS = 20
 FIRST_SHARE = 0.8
-FIRST_GOOD, FIRST_BAD = 0.995, 0.2
+FIRST_GOOD, FIRST_BAD = 0.999, 0.3
+MOST_WRONG, LEAST_RIGHT = 0.005, 0.05
+SHARES = (0.5, 0.99)
 LEAST = 1e-4
 
 #: A rule votes bad if the first condition holds, else good if the second does, else abstains.
@@ -45,9 +50,9 @@ RULES: dict[str, tuple[str, str]] = {
 }
 
 
-def removed_length(text: Column, letters: str) -> Column:
-    """How many characters of ``letters`` the text holds."""
-    return (F.length(text) - F.length(F.translate(text, letters, ""))).cast("long")
+def matches(text: Column, letters: str) -> Column:
+    """How many characters of the text are in the character class ``letters``."""
+    return F.regexp_count(text, F.lit(f"[{letters}]")).cast("long")
 
 
 def measured(docs: DataFrame, text_column: str = "text") -> DataFrame:
@@ -57,17 +62,17 @@ def measured(docs: DataFrame, text_column: str = "text") -> DataFrame:
     lines are equal if all their characters are.
     """
     whole = with_row(docs, text=whole_text(F.col(f"`{text_column}`")))
-    plain = " \t\n\x0b\f\r"
     split = whole.select(
         "row",
         "text",
         F.array_remove(F.split("text", WHITE), "").alias("words"),
-        F.filter(F.split("text", "\n"), lambda line: F.length(F.translate(line, plain, "")) > 0).alias("lines"),
+        F.filter(F.split("text", "\n"), lambda line: line.rlike("[^ \\t-\\r]")).alias("lines"),
     )
     hashed = split.select(
         "row",
         "text",
         F.size("words").alias("n"),
+        F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
         F.size("lines").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.transform("words", lambda word: F.xxhash64(word)).alias("codes"),
@@ -79,31 +84,33 @@ def measured(docs: DataFrame, text_column: str = "text") -> DataFrame:
             lambda code, i: F.xxhash64(code, F.get("codes", i + 1), F.get("codes", i + 2)),
         ),
     )
+    # Only texts with a repeated window are sorted.
+    repeats = F.size(F.array_distinct("windows")) < F.size("windows")
+    placed = F.sort_array(F.transform("windows", lambda code, i: F.struct(code.alias("c"), i.alias("i"))))
+    windows = windows.withColumn("placed", F.when(repeats, placed)).drop("codes", "windows")
     text = F.col("text")
     return windows.select(
         "row",
         F.col("n").cast("long").alias("n_words"),
-        F.length(F.translate(text, plain, "")).cast("long").alias("word_chars"),
-        removed_length(text, SYMBOLS).alias("n_symbols"),
+        "word_chars",
+        matches(text, SYMBOLS).alias("n_symbols"),
         "n_dup_lines",
-        F.when(F.size(F.array_distinct("windows")) == F.size("windows"), F.lit(0))
-        .otherwise(repeated_words(F.col("windows")))
-        .cast("long")
-        .alias("n_repeat_words"),
+        F.when(F.col("placed").isNull(), F.lit(0)).otherwise(repeated_words(F.col("placed"))).cast("long").alias("n_repeat_words"),
         F.col("n_lines").cast("long").alias("n_lines"),
-        removed_length(text, UPPER).alias("n_upper"),
-        removed_length(text, "!").alias("n_exclaim"),
-        removed_length(text, ".,;:?").alias("n_stops"),
+        matches(text, UPPER).alias("n_upper"),
+        matches(text, "!").alias("n_exclaim"),
+        matches(text, ".,;:?").alias("n_stops"),
     )
 
 
-def repeated_words(windows: Column) -> Column:
-    """Words covered by windows that occur at least twice: equal windows meet by sorting."""
-    placed = F.array_sort(F.transform(windows, lambda code, i: F.struct(code.alias("c"), i.alias("i"))))
-    # A window is repeated if its neighbour in the sorted order is equal; both are marked.
+def repeated_words(placed: Column) -> Column:
+    """Words covered by windows that occur at least twice; ``placed`` has (code, place), sorted.
+
+    A window is repeated if its neighbour in the sorted order is equal; both are marked.
+    """
     pairs = F.zip_with(
         placed,
-        F.slice(placed, 2, F.greatest(F.size(windows), F.lit(1))),
+        F.slice(placed, 2, F.size(placed)),
         lambda a, b: F.when(a["c"] == b["c"], F.array(a["i"], a["i"] + 1, a["i"] + 2, b["i"], b["i"] + 1, b["i"] + 2)),
     )
     return F.size(F.array_distinct(F.flatten(F.filter(pairs, lambda p: p.isNotNull()))))
@@ -124,74 +131,88 @@ def voted(measures: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Trust:
-    """Share of good documents; for each rule (good votes, bad votes) on good and on bad documents."""
+    """Share of good documents; by rule, the chance that a vote on a good (bad) document says good."""
 
     share: float
-    on_good: dict[str, tuple[float, float]]
-    on_bad: dict[str, tuple[float, float]]
+    on_good: tuple[float, ...]
+    on_bad: tuple[float, ...]
+
 
+FIRST_TRUST = Trust(FIRST_SHARE, (FIRST_GOOD,) * len(RULES), (1 - FIRST_BAD,) * len(RULES))
 
-FIRST_TRUST = Trust(
-    FIRST_SHARE,
-    {r: (FIRST_GOOD, 1 - FIRST_GOOD) for r in RULES},
-    {r: (1 - FIRST_BAD, FIRST_BAD) for r in RULES},
-)
 
+def votes_of() -> Column:
+    return F.array(*(F.col(f"vote_{r}").cast("int") for r in RULES))
 
-def posterior(trust: Trust) -> Column:
+
+def posterior(votes: Column, share: Column, on_good: Column, on_bad: Column) -> Column:
     """Probability that a document with these votes is good; abstentions say nothing."""
 
-    def weight(share: float, rates: dict[str, tuple[float, float]]) -> Column:
-        total = F.lit(share)
-        for r in RULES:
-            vote = F.col(f"vote_{r}")
-            total = total * F.when(vote == 1, F.lit(rates[r][0])).when(vote == -1, F.lit(rates[r][1])).otherwise(F.lit(1.0))
-        return total
+    def weight(first: Column, rates: Column) -> Column:
+        chances = F.zip_with(votes, rates, lambda v, x: F.when(v == 1, x).when(v == -1, 1 - x).otherwise(1.0))
+        return F.aggregate(chances, first, lambda total, x: total * x)
 
-    good, bad = weight(trust.share, trust.on_good), weight(1 - trust.share, trust.on_bad)
+    good, bad = weight(share, on_good), weight(1 - share, on_bad)
     return good / (good + bad)
 
 
+def between(rate: Column, low: float, high: float) -> Column:
+    return F.least(F.greatest(rate, F.lit(low)), F.lit(high))
+
+
+def one_round(patterns: Column, trust: Column) -> Column:
+    """The trust that the patterns' posteriors under ``trust`` lead to; one vote of each kind is added."""
+
+    def refit(scored: Column) -> Column:
+        def total(part) -> Column:
+            return F.aggregate(scored, F.lit(0.0), lambda sum_, s: sum_ + part(s))
+
+        def rates(weight, low: float, high: float) -> Column:
+            def rate(j: Column) -> Column:
+                up, down = (1.0 + total(lambda s, v=v: F.when(F.get(s["votes"], j) == v, weight(s)).otherwise(0.0)) for v in (1, -1))
+                return between(up / (up + down), low, high)
+
+            return F.transform(F.sequence(F.lit(0), F.lit(len(RULES) - 1)), rate)
+
+        return F.struct(
+            between(total(lambda s: s["good"]) / total(lambda s: s["docs"]), *SHARES).alias("share"),
+            rates(lambda s: s["good"], 1 - MOST_WRONG, 1 - LEAST).alias("on_good"),
+            rates(lambda s: s["docs"] - s["good"], LEAST, 1 - LEAST_RIGHT).alias("on_bad"),
+        )
+
+    scored = F.transform(
+        patterns,
+        lambda p: F.struct(
+            p["votes"].alias("votes"),
+            p["docs"].alias("docs"),
+            (p["docs"] * posterior(p["votes"], trust["share"], trust["on_good"], trust["on_bad"])).alias("good"),
+        ),
+    )
+    return F.get(F.transform(F.array(scored), refit), F.lit(0))
+
+
 def learn_trust(votes: DataFrame, rounds: int = ROUNDS) -> Trust:
     """EM over the counted vote patterns of all documents that pass the hard limits.
 
-    Each round is one aggregation over the pattern table; only its sums reach the driver.
+    The patterns (at most ``3 ** len(RULES)``) meet in one row, where the rounds are a fold.
     Without documents the first guess stays.
     """
-    names = [f"vote_{r}" for r in RULES]
-    patterns = votes.where(~F.col("base_failed")).groupBy(*names).agg(F.count("*").alias("docs"))
-    patterns = materialize(patterns.coalesce(1).sortWithinPartitions(*names), "vote-patterns")
-    trust = FIRST_TRUST
-    for _ in range(rounds):
-        scored = patterns.select(*names, "docs", (F.col("docs") * posterior(trust)).alias("good"))
-        sums = [F.sum("docs").alias("docs"), F.sum("good").alias("good")]
-        for r in RULES:
-            for vote, tag in ((1, "up"), (-1, "down")):
-                hit = F.col(f"vote_{r}") == vote
-                sums.append(F.coalesce(F.sum(F.when(hit, F.col("good"))), F.lit(0.0)).alias(f"{r}_{tag}_good"))
-                sums.append(F.coalesce(F.sum(F.when(hit, F.col("docs") - F.col("good"))), F.lit(0.0)).alias(f"{r}_{tag}_bad"))
-        found = scored.agg(*sums).first()
-        if not found.docs:
-            return trust
-        trust = refit(found)
-    return trust
-
-
-def refit(found: Row) -> Trust:
-    """Vote rates from expected counts, one vote of each kind added to each."""
-
-    def rates(r: str, kind: str) -> tuple[float, float]:
-        up, down = found[f"{r}_up_{kind}"] + 1.0, found[f"{r}_down_{kind}"] + 1.0
-        good = min(max(up / (up + down), LEAST), 1 - LEAST)
-        return good, 1 - good
-
-    share = min(max(found.good / found.docs, LEAST), 1 - LEAST)
-    return Trust(share, {r: rates(r, "good") for r in RULES}, {r: rates(r, "bad") for r in RULES})
-
-
-def with_verdict(measures: DataFrame, trust: Trust) -> DataFrame:
-    out = voted(measures).withColumn("base_failed", base_failed()).withColumn("posterior", posterior(trust))
-    return out.withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= 0.5))
+    counted = votes.where(~F.col("base_failed")).groupBy(votes_of().alias("votes")).agg(F.count("*").cast("double").alias("docs"))
+    table = counted.agg(F.sort_array(F.collect_list(F.struct("votes", "docs"))).alias("patterns"))
+    first = F.struct(
+        F.lit(FIRST_TRUST.share).alias("share"),
+        F.array(*map(F.lit, FIRST_TRUST.on_good)).alias("on_good"),
+        F.array(*map(F.lit, FIRST_TRUST.on_bad)).alias("on_bad"),
+    )
+    steps = F.when(F.size("patterns") > 0, F.sequence(F.lit(1), F.lit(rounds))).otherwise(F.expr("cast(array() as array<int>)"))
+    found = table.select(F.aggregate(steps, first, lambda trust, _: one_round(F.col("patterns"), trust)).alias("t")).first().t
+    return Trust(found.share, tuple(found.on_good), tuple(found.on_bad))
+
+
+def with_verdict(voted_rows: DataFrame, trust: Trust) -> DataFrame:
+    """Add ``posterior`` and ``kept``."""
+    chance = posterior(votes_of(), F.lit(trust.share), *(F.array(*map(F.lit, rates)) for rates in (trust.on_good, trust.on_bad)))
+    return voted_rows.withColumn("posterior", chance).withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= 0.5))
 
 
 def report(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", rounds: int = ROUNDS) -> DataFrame:
