@@ -6,9 +6,9 @@ is boilerplate if at least ``min_sites`` sites have it and if at least half of t
 have it differ in their signature. Lines whose estimates are near either threshold get exact
 distinct counts instead.
 
-The signature is the text's own weighted sample: the line with the smallest ``-ln(u) / length``,
-``u`` drawn from the line's MD5. Documents share it about as often as they share text, so a page
-that was copied to many sites does not make its own content boilerplate.
+The signature is the document's two longest lines. Copies share them, edited ones too unless
+the edit falls there, so a page that was copied to many sites does not make its own content
+boilerplate.
 """
 
 from __future__ import annotations
@@ -38,15 +38,11 @@ def line_table(docs: DataFrame, text_column: str = "text", site_column: str = "s
         F.coalesce(F.col(f"`{site_column}`").cast("string"), F.lit("")).alias("site"),
         F.array_remove(F.array_distinct(lines_of(whole_text(F.col(f"`{text_column}`")))), "").alias("lines"),
     )
-    drawn = F.transform(
-        "lines",
-        lambda line: F.struct(
-            (-F.ln((F.conv(F.substring(F.md5(line), 1, 8), 16, 10).cast("double") + 1) / float(1 << 32)) / F.length(line)).alias("w"),
-            F.xxhash64(line).alias("h"),
-        ),
-    )
-    hashed = lines.select("site", drawn.alias("drawn"))
-    return hashed.select("site", F.array_min("drawn")["h"].alias("signature"), F.explode("drawn.h").alias("line"))
+    ranked = lines.withColumn("ranked", F.transform("lines", lambda line: F.struct(F.length(line).alias("n"), line.alias("line"))))
+    longest = ranked.withColumn("first", F.array_max("ranked"))
+    second = F.array_max(F.filter("ranked", lambda x: x < F.col("first")))
+    signed = longest.select("site", "lines", F.xxhash64("first.line", second["line"]).alias("signature"))
+    return signed.select("site", "signature", F.explode(F.transform("lines", lambda line: F.xxhash64(line))).alias("line"))
 
 
 def boilerplate_lines(table: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
