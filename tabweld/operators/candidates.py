@@ -4,11 +4,15 @@ Every way here is lossless: it is derived from the threshold, the weights and th
 that a cosine and each field similarity are at most 1. Pairs left out cannot pass.
 
 * Enough identifiers must be equal: an equi-join on that many identifier columns.
-* Otherwise each pair of numbers must lie within a known ratio: an equi-join on
-  logarithmic bands of all numeric columns.
+* Each pair of numbers must lie within a known ratio: an equi-join on logarithmic bands
+  of numeric columns.
+* The row texts must have a cosine of at least ``(threshold - 0.7) / 0.3``: an equi-join
+  on each text's rarest bigrams, as many as leave too little for that cosine.
 
-Where neither holds there is no equi-join that keeps every passing pair, and
-``NoLosslessJoin`` is raised rather than comparing all rows with all rows.
+Of the last two the one with fewer pairs to compare is taken. Where neither holds (a
+threshold of 0.7 or less, or an embedder's vectors, without numbers that bound the pairs)
+no equi-join keeps every passing pair, and ``NoLosslessJoin`` is raised rather than
+comparing all rows with all rows.
 
 Comparing a pair costs far more than shuffling a row, so the joins are divided by the
 number of pairs, which is counted first, and not by bytes: a key with many rows becomes
@@ -21,19 +25,20 @@ import math
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tabweld.operators.scoring import NUMBER_WEIGHT, RowScore
+from tabweld.operators.scoring import EMBEDDING_WEIGHT, FIELD_WEIGHT, NUMBER_WEIGHT, RowScore
 from tabweld.session import materialize
 
-MAX_PAIRS = 10**12
 CELL_ROWS = 2_000
 PAIRS_PER_TASK = 500_000
-MOST_TASKS = 20_000
 BAND_COLUMNS = 2
 _EDGE = 1e-9
 _FINEST_RATIO = 0.99
 _BAND_SHIFT = 1 << 40  # keeps every band of a nonzero number away from 0
+_COSINE_SLACK = 1e-6
+_FEW_PAIRS = 1_000_000  # so few are compared sooner than another way is counted
 
 
 class NoLosslessJoin(ValueError):
@@ -64,7 +69,7 @@ def key_counts(left: DataFrame, right: DataFrame) -> DataFrame:
 
 def tasks_for(pairs: int) -> int:
     """How many tasks share the comparison of that many pairs."""
-    return min(MOST_TASKS, max(1, math.ceil(pairs / PAIRS_PER_TASK)))
+    return max(1, math.ceil(pairs / PAIRS_PER_TASK))
 
 
 class KeyJoin:
@@ -105,12 +110,12 @@ class KeyJoin:
         return placed.drop("left_lines", "right_lines")
 
 
-def _check(pairs: int, max_pairs: int) -> None:
-    if pairs > max_pairs:
+def _check(pairs: int, max_pairs: int | None) -> None:
+    if max_pairs is not None and pairs > max_pairs:
         raise _no_join(f"{pairs} pairs to compare exceed max_pairs={max_pairs}")
 
 
-def id_subset_pairs(row_score: RowScore, left: DataFrame, right: DataFrame, needed: int, max_pairs: int) -> DataFrame:
+def id_subset_pairs(row_score: RowScore, left: DataFrame, right: DataFrame, needed: int, max_pairs: int | None = None) -> DataFrame:
     """Pairs equal on at least ``needed`` identifiers: one equi-join per subset.
 
     A pair is kept under the first subset it is equal on, which the pair itself shows,
@@ -152,9 +157,7 @@ def _sharpest(left: DataFrame, numbers: list[int], ratio: float) -> list[int]:
     return [numbers[n] for n in order[:BAND_COLUMNS]]
 
 
-def band_pairs(
-    row_score: RowScore, left: DataFrame, right: DataFrame, max_pairs: int, ids_known: bool = True
-) -> DataFrame:
+def _band_join(row_score: RowScore, left: DataFrame, right: DataFrame, ids_known: bool) -> KeyJoin | None:
     """Pairs whose numbers all lie within the ratio that the threshold demands.
 
     If a pair passes, each number field loses at most ``(1 - least) * total weight``, so
@@ -170,7 +173,7 @@ def band_pairs(
     )
     ratio = min(1 - loss / NUMBER_WEIGHT - _EDGE, _FINEST_RATIO)
     if not numbers or ratio <= 0.01:
-        raise _no_join("no identifier or number bounds the pairs at this threshold")
+        return None
     bands = []
     for i in _sharpest(left, numbers, ratio):
         left = left.withColumn(f"band{i}", _band(F.col(f"l{i}"), ratio))
@@ -179,7 +182,60 @@ def band_pairs(
         right = right.withColumn(f"band{i}", F.explode(near))
         bands.append(f"band{i}")
     key = F.concat_ws(",", *bands)
-    a, b = left.withColumn("key", key).drop(*bands), right.withColumn("key", key).drop(*bands)
-    join = KeyJoin(a, b)
-    _check(join.pairs, max_pairs)
-    return join.joined()
+    return KeyJoin(left.withColumn("key", key).drop(*bands), right.withColumn("key", key).drop(*bands))
+
+
+def _gram_counts(rows: DataFrame, side: str) -> DataFrame:
+    """``id, gram, n``: the bigrams of each row text with one space around it."""
+    padded = F.concat(F.lit(" "), F.col(f"{side}_text"), F.lit(" "))
+    places = F.sequence(F.lit(1), F.length(f"{side}_text") + 1)
+    grams = F.transform(places, lambda i: F.substr(padded, i, F.lit(2)))
+    return rows.select(F.col(f"{side}_id").alias("id"), F.explode(grams).alias("gram")).groupBy("id", "gram").agg(F.count("*").alias("n"))
+
+
+def _gram_join(row_score: RowScore, left: DataFrame, right: DataFrame) -> KeyJoin | None:
+    """Pairs that share one of both texts' leading bigrams, in the order of their rarity.
+
+    Let a text's bigrams from g on (g included) have a norm below ``least`` times the whole:
+    if g is the rarest bigram that two texts share, their cosine is below ``least``. So a
+    text needs only the bigrams before that point, and a passing pair shares one of these.
+    A pair that shares several is kept under the rarest, which both lists show.
+    """
+    least = (row_score.threshold - FIELD_WEIGHT) / EMBEDDING_WEIGHT - _COSINE_SLACK
+    if row_score.embed or least <= 0:
+        return None
+    counts = {s: materialize(_gram_counts(rows, s), "bigrams") for s, rows in (("left", left), ("right", right))}
+    rarity = counts["left"].unionByName(counts["right"]).groupBy("gram").agg(F.count("*").alias("texts"))
+    rarity = materialize(rarity, "bigram-texts")
+
+    def leading(rows: DataFrame, side: str) -> DataFrame:
+        own = W.partitionBy("id")
+        rest = F.sum(F.col("n") * F.col("n")).over(own.orderBy("texts", "gram").rowsBetween(W.currentRow, W.unboundedFollowing))
+        whole = F.sum(F.col("n") * F.col("n")).over(own)
+        kept = counts[side].join(rarity, "gram").withColumns({"rest": rest, "whole": whole})
+        kept = kept.where(F.col("rest") >= F.col("whole") * least * least)
+        listed = kept.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("texts", "gram"))).alias("g"))
+        listed = listed.select(F.col("id").alias(f"{side}_id"), F.col("g.gram").alias(f"{side}_grams"))
+        return rows.join(listed, f"{side}_id").withColumn("key", F.explode(f"{side}_grams"))
+
+    return KeyJoin(leading(left, "left").withColumn("gram", F.col("key")), leading(right, "right"))
+
+
+def value_pairs(
+    row_score: RowScore, left: DataFrame, right: DataFrame, max_pairs: int | None = None, ids_known: bool = True
+) -> DataFrame:
+    """Pairs that can pass without an equal identifier, by numbers or by texts.
+
+    ``max_pairs`` turns a larger comparison into an error; there is no limit by default.
+    """
+    band = _band_join(row_score, left, right, ids_known)
+    gram = None if band and band.pairs <= _FEW_PAIRS else _gram_join(row_score, left, right)
+    ways = [way for way in (band, gram) if way]
+    if not ways:
+        raise _no_join("no identifier, number or text bounds the pairs at this threshold")
+    way = min(ways, key=lambda w: w.pairs)
+    _check(way.pairs, max_pairs)
+    if way is band:
+        return way.joined()
+    first = F.get(F.array_intersect("left_grams", "right_grams"), F.lit(0))
+    return way.joined().where(first == F.col("gram")).drop("gram", "left_grams", "right_grams")

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from tabweld.functions.text import is_numeric, is_scalar
 from tabweld.operators.assign import EDGES, greedy_assignment
-from tabweld.operators.candidates import MAX_PAIRS, band_pairs, id_subset_pairs
+from tabweld.operators.candidates import id_subset_pairs, value_pairs
 from tabweld.operators.clean import drop_exact_duplicates, nan_to_null, standardize_strings
 from tabweld.operators.copies import assign_classes, classes, members
 from tabweld.operators.id_groups import match_by_ids
@@ -85,7 +85,7 @@ def match_rows(
     left: DataFrame,
     right: DataFrame,
     ids_may_be_null: bool = False,
-    max_pairs: int = MAX_PAIRS,
+    max_pairs: int | None = None,
 ) -> DataFrame:
     """One-to-one matches ``(left_id, right_id, score)`` of two prepared sides."""
     ids = row_score.indexes("id")
@@ -103,14 +103,14 @@ def match_rows(
             for more in _pairs_without_ids(row_score, *forms, max_pairs):
                 pairs = pairs.unionByName(more)
     else:
-        pairs = band_pairs(row_score, *forms, max_pairs)
+        pairs = value_pairs(row_score, *forms, max_pairs)
     edges = row_score.passing(pairs)
     if all(f.count() == side.count() for f, side in zip(forms, (left, right))):
         return greedy_assignment(edges)
     return assign_classes(edges, members(left, forms[0], "left_id"), members(right, forms[1], "right_id"))
 
 
-def _pairs_without_ids(row_score: RowScore, left: DataFrame, right: DataFrame, max_pairs: int) -> list[DataFrame]:
+def _pairs_without_ids(row_score: RowScore, left: DataFrame, right: DataFrame, max_pairs: int | None) -> list[DataFrame]:
     """Pairs where each identifier is null on one side or the other."""
     ids = row_score.indexes("id")
     left_gap, right_gap, unknown = F.lit(False), F.lit(False), F.lit(True)
@@ -120,7 +120,7 @@ def _pairs_without_ids(row_score: RowScore, left: DataFrame, right: DataFrame, m
     branches = []
     for a, b in ((left.filter(left_gap), right), (left.filter(~left_gap), right.filter(right_gap))):
         if not a.isEmpty() and not b.isEmpty():
-            branches.append(band_pairs(row_score, a, b, max_pairs, ids_known=False).filter(unknown))
+            branches.append(value_pairs(row_score, a, b, max_pairs, ids_known=False).filter(unknown))
     return branches
 
 
@@ -133,7 +133,7 @@ def find_matches(
     int_as_text: bool = False,
     impute_ids: bool = True,
     embed: Callable[[Column], Column] | None = None,
-    max_pairs: int = MAX_PAIRS,
+    max_pairs: int | None = None,
 ) -> DataFrame:
     """Match the rows of two cleaned sides; only matched columns are read."""
     usable = {
@@ -226,7 +226,7 @@ def merge_datasets(
     impute_ids: bool = True,
     align_both: bool = False,
     embed: Callable[[Column], Column] | None = None,
-    max_pairs: int = MAX_PAIRS,
+    max_pairs: int | None = None,
     verify: bool = False,
 ) -> tuple[DataFrame, dict]:
     """Merge two tables; returns the merged table and the match statistics.

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tabweld.operators import candidates, id_groups
 from tabweld.operators.assign import greedy_assignment
-from tabweld.operators.candidates import KeyJoin, NoLosslessJoin, band_pairs
+from tabweld.operators.candidates import KeyJoin, NoLosslessJoin, value_pairs
 from tabweld.operators.evaluate import evaluate_pairs
 from tabweld.operators.golden import golden_records
 from tabweld.operators.scoring import RowScore, plan_fields
@@ -168,13 +168,44 @@ def test_many_numbers_use_the_sharpest_bands(spark):
 def test_no_silent_loss_where_nothing_bounds_the_pairs(spark):
     schemas = ("row int, name string", "pos int, title string")
     with pytest.raises(NoLosslessJoin):
-        run(spark, [(1, "a")], [(1, "a")], schemas, {"name": "title"}, 0.85)
+        run(spark, [(1, "a")], [(1, "a")], schemas, {"name": "title"}, 0.7)
     rows = [(i, "a", 1.0 + i / 1000, 1) for i in range(10)]
     schemas = ("row int, name string, size double, price int", "pos int, title string, extent double, cost int")
     with pytest.raises(NoLosslessJoin, match="max_pairs"):
         run(spark, rows, rows, schemas, {"name": "title", "size": "extent", "price": "cost"}, 0.9, max_pairs=99)
 
 
+WORDS = ["steel", "brass", "plated", "anodized", "small", "large", "nickel", "tin", "copper", "polished"]
+
+
+def respelled(rng, text):
+    at = rng.randrange(len(text))
+    return text[:at] + rng.choice(["", "x", text[at].upper()]) + text[at + 1 :]
+
+
+@pytest.mark.parametrize("threshold", [0.85, 0.75])
+def test_texts_alone_match_by_their_bigrams(spark, threshold):
+    rng = random.Random(11)
+    rows = [(i, " ".join(rng.sample(WORDS, 3)), rng.choice(WORDS)) for i in range(60)]
+    other = [(100 + i, respelled(rng, n), respelled(rng, k)) for i, n, k in rng.sample(rows, 45)]
+    schemas = ("row int, name string, kind string", "pos int, title string, sort string")
+    matches = {"name": "title", "kind": "sort"}
+    assert run(spark, rows, other, schemas, matches, threshold) == want(rows, other, schemas, matches, threshold)
+
+
+@pytest.mark.parametrize(("ids", "count"), [(0, 6), (1, 12)])
+def test_many_numbers_match_by_their_bigrams(spark, ids, count):
+    rng = random.Random(12)
+    names = [f"n{i}" for i in range(count)]
+    head = ("row int, user_id int, ", "pos int, userid int, ") if ids else ("row int, ", "pos int, ")
+    schemas = (head[0] + ", ".join(f"{n} double" for n in names), head[1] + ", ".join(f"{n}x double" for n in names))
+    key = lambda i: ((i,) if ids else ())
+    rows = [(i, *key(i), *(round(rng.uniform(1, 99), 2) for _ in names)) for i in range(40)]
+    other = [(100 + r[0], *key(r[0] + (r[0] % 3 == 0)), *(v if rng.random() < 0.8 else round(v * 1.1, 2) for v in r[1 + ids :])) for r in rows]
+    matches = ({"user_id": "userid"} if ids else {}) | {n: n + "x" for n in names}
+    assert run(spark, rows, other, schemas, matches, 0.85) == want(rows, other, schemas, matches, 0.85)
+
+
 @pytest.mark.parametrize("seed", range(2))
 def test_greedy_rounds_equal_the_sequential_pass(spark, seed):
     rng = random.Random(seed)
@@ -205,7 +236,7 @@ def test_only_the_top_partners_of_a_head_are_shuffled(spark):
 def test_identifier_join_is_an_equi_join(spark):
     a, b = spark.range(10).selectExpr("id as row", "id as user_id"), spark.range(10).selectExpr("id as pos", "id as userid")
     score = RowScore(plan_fields(a.schema, b.schema, {"user_id": "userid"}), 0.85)
-    pairs = band_pairs(
+    pairs = value_pairs(
         RowScore(plan_fields(a.schema, b.schema, {"row": "pos"}), 0.95),
         *(RowScore(plan_fields(a.schema, b.schema, {"row": "pos"}), 0.95).prepare(d, d.columns[0], s) for d, s in ((a, "left"), (b, "right"))),
         max_pairs=1000,
