@@ -1,9 +1,9 @@
 """Imputation: exact medians for numbers, exact lowest modes for everything else.
 
-Spark's own exact ``percentile`` and ``mode`` hold every distinct value of a column in
-one task, so they are used only for tables of a proven size. Beyond it, modes are
-counted with a shuffle by value; medians are bracketed with a bounded quantile sketch
-and read off the range-partitioned value counts inside the bracket. Both ways are exact.
+Spark's own exact ``percentile`` and ``mode`` hold every distinct value of a column in one
+task. Here, at any size, modes are counted with a shuffle by value; medians are bracketed
+with a bounded quantile sketch and read off the range-partitioned value counts inside the
+bracket.
 """
 
 from __future__ import annotations
@@ -16,7 +16,6 @@ from pyspark.sql import types as T
 from tabweld.functions.text import is_numeric, is_scalar, is_text
 from tabweld.session import materialize
 
-ONE_TASK_ROWS = 100_000
 SKETCH_ACCURACY = 10_000
 
 
@@ -35,43 +34,60 @@ def assert_no_nulls(df: DataFrame, ignore: tuple[str, ...] = ("match_score",)) -
         raise ValueError(f"nulls remain: {bad}")
 
 
-def _value_counts(df: DataFrame, columns: list[str], keep: dict[str, Column] | None = None) -> DataFrame:
+def _value_counts(df: DataFrame, columns: list[str]) -> DataFrame:
     """``place, value, n`` of every distinct value of columns of one type, in one pass.
 
-    ``place`` is the column's place in the list; ``keep`` limits the values of a column.
+    ``place`` is the column's place in the list.
     """
-    values = [
-        F.struct(F.lit(i).alias("place"), F.when(keep[c], F.col(c)).alias("value") if keep else F.col(c).alias("value"))
-        for i, c in enumerate(columns)
-    ]
+    values = [F.struct(F.lit(i).alias("place"), F.col(c).alias("value")) for i, c in enumerate(columns)]
     melted = df.select(F.inline(F.array(*values))).filter(F.col("value").isNotNull())
     return melted.groupBy("place", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _medians_by_bracket(df: DataFrame, present: dict[str, int]) -> dict[str, float]:
-    columns = list(present)
-    want = {c: ((n - 1) // 2, n // 2) for c, n in present.items()}
+def _bracketed_counts(df: DataFrame, ends: dict[str, tuple[float, float]]) -> DataFrame:
+    """``place, under, value, n``: values inside each column's bracket, and one count below it."""
+    values = []
+    for i, (c, (low, high)) in enumerate(ends.items()):
+        column, place = F.col(c), F.when(F.col(c) <= high, F.lit(i))
+        values.append(F.struct(place.alias("place"), (column < low).alias("under"), F.when(column >= low, column).alias("value")))
+    melted = df.select(F.inline(F.array(*values))).filter(F.col("place").isNotNull())
+    return melted.groupBy("place", "under", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
+def medians(df: DataFrame, present: dict[str, int]) -> dict[str, float | None]:
+    """Exact median per column, null if it has no value; ``present`` counts its values."""
+    found: dict[str, float | None] = {c: None for c, n in present.items() if not n}
+    columns = [c for c, n in present.items() if n]
+    if not columns:
+        return found
     df = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
     margin = 4.0 / SKETCH_ACCURACY
-    marks = [0.5 - margin, 0.5 + margin]
-    ends = df.agg(*[F.percentile_approx(c, marks, SKETCH_ACCURACY) for c in columns]).first()
-    counts = []
-    for c, (low, high) in zip(columns, ends):
-        counts += [F.count_if(F.col(c) < low), F.count_if(F.col(c).between(low, high))]
-    seen = df.agg(*counts).first()
-    keep, below = {}, {}
-    for i, (c, (low, high)) in enumerate(zip(columns, ends)):
-        under, within = seen[2 * i], seen[2 * i + 1]
-        hit = under <= want[c][0] and want[c][1] < under + within
-        keep[c], below[c] = (F.col(c).between(low, high), under) if hit else (F.col(c).isNotNull(), 0)
+    marks = [max(0.0, 0.5 - margin), min(1.0, 0.5 + margin)]
+    sketched = df.agg(*[F.percentile_approx(c, marks, SKETCH_ACCURACY) for c in columns]).first()
+    found |= _middle_values(df, {c: present[c] for c in columns}, {c: tuple(e) for c, e in zip(columns, sketched)})
+    # The sketch's error is bounded, so a bracket holds the middle; if one did not, all values do.
+    missed = {c: present[c] for c in columns if c not in found}
+    if missed:
+        found |= _middle_values(df, missed, dict.fromkeys(missed, (float("-inf"), float("inf"))))
+    return found
+
+
+def _middle_values(df: DataFrame, present: dict[str, int], ends: dict[str, tuple[float, float]]) -> dict[str, float]:
+    columns = list(present)
+    want = {c: ((n - 1) // 2, n // 2) for c, n in present.items()}
     # Distinct values spread evenly over range partitions; only those that hold the
     # middle ranks are read again.
-    counted = _value_counts(df, columns, keep).repartitionByRange("place", "value")
+    counted = _bracketed_counts(df, ends).repartitionByRange("place", "value")
     counted = materialize(counted.withColumn("part", F.spark_partition_id()), "values")
+    seen = counted.groupBy("place").agg(F.sum(F.when(F.col("under"), F.col("n")).otherwise(0)).alias("under"), F.sum("n").alias("upto")).collect()
+    below = {columns[r["place"]]: r["under"] for r in seen if r["under"] <= want[columns[r["place"]]][0] and want[columns[r["place"]]][1] < r["upto"]}
+    if not below:
+        return {}
+    counted = counted.filter(~F.col("under") & F.col("place").isin([columns.index(c) for c in below]))
     sizes = counted.groupBy("place", "part").agg(F.sum("n").alias("size"))
     first, last, base = (
         F.element_at(F.array(*[F.lit(v) for v in values]), F.col("place") + 1)
-        for values in ([w[0] for w in want.values()], [w[1] for w in want.values()], list(below.values()))
+        for values in ([w[0] for w in want.values()], [w[1] for w in want.values()], [below.get(c, 0) for c in columns])
     )
     end = F.sum("size").over(W.partitionBy("place").orderBy("part")) + base
     sizes = sizes.withColumn("end", end).withColumn("start", F.col("end") - F.col("size"))
@@ -82,24 +98,17 @@ def _medians_by_bracket(df: DataFrame, present: dict[str, int]) -> dict[str, flo
     ranked = counted.join(parts, ["place", "part"]).withColumn("upto", upto)
     middle = [F.min(F.when(F.col("upto") > k, F.col("value"))) for k in (first, last)]
     rows = ranked.groupBy("place").agg(*middle).collect()
-    return {columns[place]: low + (high - low) * 0.5 for place, low, high in rows}
-
-
-def medians(df: DataFrame, present: dict[str, int]) -> dict[str, float | None]:
-    """Exact median per column, null if it has no value; ``present`` counts its values."""
-    small = [c for c, n in present.items() if n <= ONE_TASK_ROWS]
-    large = {c: n for c, n in present.items() if n > ONE_TASK_ROWS}
-    found = df.agg(*[F.percentile(c, F.lit(0.5)).alias(c) for c in small]).first().asDict() if small else {}
-    return found | (_medians_by_bracket(df, large) if large else {})
+    # Halves first: no overflow; equal middles stay as they are, infinite ones too.
+    return {columns[place]: low if low == high else low * 0.5 + high * 0.5 for place, low, high in rows}
 
 
 def modes(df: DataFrame, present: dict[str, int]) -> dict[str, object]:
     """Most frequent value per column, the lowest of equals, null if it has no value."""
-    small = [c for c, n in present.items() if n <= ONE_TASK_ROWS]
-    found = df.agg(*[F.mode(c, True).alias(c) for c in small]).first().asDict() if small else {}
+    found: dict[str, object] = {c: None for c in present}
     by_type: dict[str, list[str]] = {}
-    for c in present.keys() - found.keys():
-        by_type.setdefault(df.schema[c].dataType.simpleString(), []).append(c)
+    for c, n in present.items():
+        if n:
+            by_type.setdefault(df.schema[c].dataType.simpleString(), []).append(c)
     for columns in by_type.values():
         top = F.min(F.struct(-F.col("n"), F.col("value").alias("value"))).alias("top")
         for row in _value_counts(df, columns).groupBy("place").agg(top).collect():
@@ -116,12 +125,8 @@ def fill_values(
     numbers = {c: n for c, n in gaps.items() if is_numeric(types[c])}
     others = {c: n for c, n in gaps.items() if c not in numbers}
     fills: dict[str, object] = {}
-    if numbers and others and max(gaps.values()) <= ONE_TASK_ROWS:
-        both = [F.percentile(c, F.lit(0.5)).alias(c) for c in numbers] + [F.mode(c, True).alias(c) for c in others]
-        fills = df.agg(*both).first().asDict()
-    else:
-        fills |= medians(df, numbers) if numbers else {}
-        fills |= modes(df, others) if others else {}
+    fills |= medians(df, numbers) if numbers else {}
+    fills |= modes(df, others) if others else {}
     for c in numbers:
         fills[c] = number_default if fills[c] is None else fills[c]
     for c in others:

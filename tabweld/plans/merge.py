@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabweld.functions.text import is_numeric, is_scalar
+from tabweld.functions.text import is_integral, is_numeric, is_scalar, is_text
 from tabweld.operators.assign import EDGES, greedy_assignment
 from tabweld.operators.candidates import id_subset_pairs, value_pairs
 from tabweld.operators.clean import drop_exact_duplicates, nan_to_null, standardize_strings
@@ -50,6 +50,17 @@ class Side:
         return apply_fills(self.clean, self.fills)
 
 
+def check_key(df: DataFrame, key: str) -> None:
+    """Raise unless the column is a whole number or a text that no two rows share and none lacks."""
+    dtype = df.schema[key].dataType
+    if not (is_integral(dtype) or is_text(dtype)):
+        raise ValueError(f"key {key!r} must hold whole numbers or texts, not {dtype.simpleString()}")
+    bad = df.groupBy(key).count().where((F.col("count") > 1) | F.col(key).isNull())
+    found = bad.agg(F.count_if(F.col(key).isNull()).alias("nulls"), F.count(key).alias("repeated")).first()
+    if found.nulls or found.repeated:
+        raise ValueError(f"key {key!r} is not unique: nulls {'found' if found.nulls else 'none'}, repeated values {found.repeated}")
+
+
 def _side(df: DataFrame, key: str | None) -> Side:
     clash = _RESERVED.intersection(df.columns)
     if clash:
@@ -58,7 +69,9 @@ def _side(df: DataFrame, key: str | None) -> Side:
     scalars = [f.name for f in df.schema if is_scalar(f.dataType)]
     if key is not None:
         # The key is one of the columns and unique, so no row has an exact copy.
-        raw = nan_to_null(df).withColumn(ROW_ID, F.col(key).cast("bigint"))
+        check_key(df, key)
+        whole = is_integral(df.schema[key].dataType)
+        raw = nan_to_null(df).withColumn(ROW_ID, F.col(key).cast("bigint")) if whole else with_row_index(nan_to_null(df), ROW_ID, [key])
         clean = standardize_strings(raw)
     else:
         raw = with_row_index(nan_to_null(df), ROW_ID)
@@ -232,7 +245,8 @@ def merge_datasets(
     """Merge two tables; returns the merged table and the match statistics.
 
     ``left_key`` and ``right_key`` name unique whole-number columns that serve as row
-    positions; without them positions are generated and written once. ``verify`` scans
+    positions, or unique texts whose order gives the positions; null or repeated keys are an
+    error. Without keys positions are generated and written once. ``verify`` scans
     the result for nulls, which the imputation rules out by construction.
     """
     a, b, matches = side_by_side(

@@ -14,15 +14,23 @@ MISSING = [
 EXCEL_SUFFIXES = (".xlsx", ".xlsm", ".xls")
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+# How numbers are written; casts alone would also take the endings d and f of codes like 1D.
+WHOLE = r"^\s*[+-]?[0-9]+\s*$"
+FRACTION = r"^\s*[+-]?(?:(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?|(?i:inf|infinity))\s*$"
+
+
+def read_csv(
+    spark: SparkSession, path: str, schema: T.StructType | None = None, multi_line: bool = False
+) -> DataFrame:
     """CSV with a header; texts that mean missing become null.
 
     Without a schema every cell is read as text, missing ones become null, and each
     column gets the narrowest type that holds all its values: one aggregate pass, which
-    a given schema saves.
+    a given schema saves. Files are split between tasks; ``multi_line`` reads cells with
+    line breaks, one task per file.
     """
     names = schema.names if schema else None
-    options = dict(header=True, multiLine=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    options = dict(header=True, multiLine=multi_line, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     if names:
         raw = spark.read.csv(path, schema=T.StructType([T.StructField(n, T.StringType()) for n in names]), **options)
     else:
@@ -38,11 +46,12 @@ def _infer(text: DataFrame) -> dict[str, T.DataType]:
     for i, c in enumerate(text.columns):
         column = F.col(f"`{c}`")
         checks.append(F.count(column).alias(f"n{i}"))
-        for name, _ in candidates:
-            parsed = F.count(column.try_cast(name))
-            if name == "boolean":
-                parsed = F.count_if(F.lower(column).isin("true", "false"))
-            checks.append(parsed.alias(f"{name}{i}"))
+        fits = {
+            "bigint": column.rlike(WHOLE) & column.try_cast("bigint").isNotNull(),
+            "double": column.rlike(FRACTION) & column.try_cast("double").isNotNull(),
+            "boolean": F.lower(column).isin("true", "false"),
+        }
+        checks += [F.count_if(fits[name]).alias(f"{name}{i}") for name, _ in candidates]
     row = text.agg(*checks).first()
     types = {}
     for i, c in enumerate(text.columns):

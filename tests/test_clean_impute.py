@@ -68,8 +68,7 @@ def test_empty_columns(spark):
 @pytest.mark.parametrize("n", [1000, 1001])
 @pytest.mark.parametrize("hot", [0.0, 0.34, 0.6])
 def test_large_table_ways_are_exact(spark, monkeypatch, n, hot):
-    """Medians and modes beyond one task's size, with a value that holds a third of the rows."""
-    monkeypatch.setattr(impute, "ONE_TASK_ROWS", 10)
+    """Medians and modes by narrow brackets, with a value that holds a third of the rows."""
     monkeypatch.setattr(impute, "SKETCH_ACCURACY", 50)
     rng = random.Random(n + int(hot * 100))
     xs = [500.0 if rng.random() < hot else rng.uniform(0, 1000) for _ in range(n)]
@@ -85,6 +84,15 @@ def test_large_table_ways_are_exact(spark, monkeypatch, n, hot):
     }
 
 
+@pytest.mark.parametrize(
+    ("values", "median"),
+    [([1.0, float("inf"), float("inf"), float("inf")], float("inf")), ([-1.7e308, 1.7e308], 0.0), ([1.7e308, 1.7e308], 1.7e308), ([5.0], 5.0), ([3.0, 4.0], 3.5)],
+)
+def test_median_of_extreme_values(spark, values, median):
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    assert impute.medians(df, {"x": len(values)}) == {"x": median}
+
+
 def test_row_index_counts_from_zero(spark):
     df = spark.range(0, 1000, 1, 7).select((F.col("id") * 37 % 1000).alias("v"))
     indexed = with_row_index(df, "n", ["v"])

@@ -127,3 +127,22 @@ def test_values_spark_cannot_compare_are_carried_along(spark):
     merged, stats = merge_datasets(left, right, schema_matches={"user_id": "userid", "name": "full_name"})
     assert stats["total_matches"] == 1
     assert {str(r["tags"]) for r in merged.collect()} == {"[1, 2]", "None"}
+
+
+@pytest.mark.parametrize(
+    ("schema", "keys", "says"),
+    [("user_id int, name string", [1, 1, 2], "not unique"), ("user_id int, name string", [1, None, 2], "not unique"), ("user_id double, name string", [1.2, 1.7, 2.0], "whole numbers")],
+)
+def test_bad_keys_are_an_error(spark, schema, keys, says):
+    left = spark.createDataFrame([(k, f"n{i}") for i, k in enumerate(keys)], schema)
+    right = spark.createDataFrame([(1, "n1"), (2, "n2")], "userid int, full_name string")
+    with pytest.raises(ValueError, match=says):
+        merge_datasets(left, right, left_key="user_id", right_key="userid")
+
+
+def test_text_keys_give_positions(spark):
+    left = spark.createDataFrame([("A2", 1, "ann"), ("A1", 2, "bob")], "code string, user_id int, name string")
+    right = spark.createDataFrame([(1, "ann"), (2, "bob")], "userid int, full_name string")
+    merged, stats = merge_datasets(left, right, left_key="code", right_key="userid", schema_matches={"user_id": "userid", "name": "full_name"})
+    assert sorted((r.left_id, r.right_id) for r in stats["matched_pairs"].collect()) == [(0, 2), (1, 1)]
+    assert merged.count() == 4

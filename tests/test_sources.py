@@ -76,3 +76,17 @@ def test_excel_says_what_is_missing(spark):
 def test_intermediate_tables_lie_in_the_shared_folder(spark):
     df = materialize(spark.range(10), "numbers")
     assert df.count() == 10 and all(work_dir(spark).removeprefix("file:") in f for f in df.inputFiles())
+
+
+def test_codes_that_look_like_numbers_stay_text(spark, tmp_path):
+    path = tmp_path / "codes.csv"
+    path.write_text("code,number,whole,more\n1D,1.5,1,inf\n2F,-2e3,-22,1\n30d,.5,+3,-.5\n")
+    df = read_csv(spark, str(path))
+    assert dict(df.dtypes) == {"code": "string", "number": "double", "whole": "bigint", "more": "double"}
+    assert [r.code for r in df.collect()] == ["1D", "2F", "30d"]
+
+
+def test_cells_with_line_breaks(spark, tmp_path):
+    path = tmp_path / "breaks.csv"
+    path.write_text('id,text\n1,"a\nb"\n2,c\n')
+    assert [r.text for r in read_csv(spark, str(path), multi_line=True).collect()] == ["a\nb", "c"]
