@@ -31,7 +31,7 @@ HEADLINE = [
     "turn_cosines",
     "document_label_cosines",
     "price_closeness",
-    "sqlite_round_trip",
+    "pages_by_address",
 ]
 
 
@@ -49,6 +49,8 @@ def main() -> None:
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    # The first query of a session also starts workers and compiles what all of them use.
+    QUERIES["golden_customers"](spark, sf_dir).write.format("noop").mode("overwrite").save()
     times = {}
     for name in HEADLINE:
         start = time.perf_counter()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from tabweld.functions.text import WHITESPACE
 from tabweld.plans.fixtures import LEFT, RIGHT
-from tabweld.plans.queries import CUSTOMER_SIDE, GAPS, LOG_A, LOG_B, ORDER_SIDE, TABLES
+from tabweld.plans.queries import ADDRESS_A, ADDRESS_B, CUSTOMER_SIDE, GAPS, LOG_A, LOG_B, NUMBERS_A, NUMBERS_B, ORDER_SIDE, TABLES
 
 _SPACES = "concat(" + ", ".join(f"chr({ord(c)})" for c in WHITESPACE) + ")"
 
@@ -242,6 +242,43 @@ steps(l, r, score, used_l, used_r) AS (
 SELECT l AS left_id, r AS right_id, round(score, 6) AS match_score FROM steps WHERE l >= 0"""
 
 
+def _one_to_one(left: str, right: str, a: str, b: str, field: str) -> str:
+    """Greedy pass over all pairs that reach 0.85; ``lt`` and ``rt`` have the row texts as ``t``."""
+    return f"""WITH RECURSIVE lt AS ({left}), rt AS ({right}),
+{_grams('ga', 'lt', a, 't')},
+{_grams('gb', 'rt', b, 't')},
+dots AS MATERIALIZED (SELECT ga.k AS a, gb.k AS b, sum(ga.n * gb.n) AS dot FROM ga JOIN gb ON ga.g = gb.g GROUP BY 1, 2),
+edges AS MATERIALIZED (SELECT * FROM (
+  SELECT {a} AS l, {b} AS r, round(0.3 * (dot / (x.norm * y.norm)) + 0.7 * ({field}), 9) AS score
+  FROM dots JOIN lt ON {a} = dots.a JOIN rt ON {b} = dots.b
+  JOIN ga_norm x ON x.k = dots.a JOIN gb_norm y ON y.k = dots.b) WHERE score >= 0.85),
+steps(l, r, score, used_l, used_r) AS (
+  SELECT CAST(-1 AS BIGINT), CAST(-1 AS BIGINT), CAST(0 AS DOUBLE), CAST([] AS BIGINT[]), CAST([] AS BIGINT[])
+  UNION ALL
+  SELECT * FROM (
+    SELECT e.l, e.r, e.score, list_append(used_l, e.l), list_append(used_r, e.r) FROM steps s
+    JOIN edges e ON NOT list_contains(s.used_l, e.l) AND NOT list_contains(s.used_r, e.r)
+    ORDER BY e.score DESC, e.l DESC, e.r DESC LIMIT 1))
+SELECT l AS left_id, r AS right_id, round(score, 6) AS match_score FROM steps WHERE l >= 0"""
+
+
+def _numbers_text(columns: list[str]) -> str:
+    return "concat(" + ", ' | ', ".join(f"'{c}: ', printf('%.2f', CAST({c} AS DOUBLE))" for c in columns) + ") AS t"
+
+
+_PAGES_BY_ADDRESS = _one_to_one(
+    f"SELECT *, lower(link) AS x, concat('link: ', lower(link)) AS t FROM ({ADDRESS_A})",
+    f"SELECT *, lower(address) AS y, concat('address: ', lower(address)) AS t FROM ({ADDRESS_B})",
+    "page", "place", "jaro_winkler_similarity(lt.x, rt.y)",
+)
+
+_CUSTOMERS_BY_NUMBERS = _one_to_one(
+    f"SELECT *, {_numbers_text(list('abcdef'))} FROM ({NUMBERS_A})",
+    f"SELECT *, {_numbers_text([c * 2 for c in 'abcdef'])} FROM ({NUMBERS_B})",
+    "row_no", "pos", "(" + " + ".join(f"({_close('lt.' + c, 'rt.' + c * 2)})" for c in "abcdef") + ") / 6",
+)
+
+
 def oracle_sql() -> dict[str, str]:
     shapes = {
         "region": 2, "nation": 3, "customer": 5, "supplier": 4, "part": 6, "orders": 6, "lineitem": 11, "events": 6,
@@ -256,6 +293,12 @@ def oracle_sql() -> dict[str, str]:
     return {
         "merge_customers": _merged(False),
         "merge_customers_aligned": _merged(True),
+        "verified_merge": _merged(False),
+        "preprocessed_customers": f"WITH {_SIDES} SELECT customer_id, name, balance, nation, segment FROM li",
+        "csv_codes": "SELECT p_partkey, concat(p_size, CASE WHEN p_size % 2 = 0 THEN 'D' ELSE 'f' END) AS code FROM part",
+        "exported_orders": "SELECT o_orderstatus, count(*) AS orders, max(o_orderkey) AS last, (SELECT count(*) FROM orders)::INTEGER AS rows FROM orders GROUP BY 1",
+        "pages_by_address": _PAGES_BY_ADDRESS,
+        "customers_by_numbers": _CUSTOMERS_BY_NUMBERS,
         "matched_pairs": f"WITH {_MATCHED} SELECT id AS left_id, id AS right_id, 1.0 AS match_score FROM matched",
         "match_statistics": f"""WITH {_MATCHED} SELECT n AS total_matches, 5 AS schema_matches, a - n AS unmatched_left,
   b - n AS unmatched_right, round(n * 100.0 / least(a, b), 2) AS match_rate

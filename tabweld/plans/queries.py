@@ -24,10 +24,11 @@ from tabweld.operators.schema_match import (
 )
 from tabweld.operators.scoring import RowScore, plan_fields
 from tabweld.plans.fixtures import left_table, right_table, sql, table
-from tabweld.plans.merge import ROW_THRESHOLD, merge_datasets
+from tabweld.plans.merge import ROW_THRESHOLD, merge_datasets, preprocess_datasets
 from tabweld.session import new_path
 from tabweld.sources.files import read_csv, read_json, write_csv, write_json
 from tabweld.sources.sqlite import export_to_sqlite, read_sqlite
+from tabweld.sources.tables import export_table
 
 TABLES = [
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
@@ -59,6 +60,22 @@ SELECT event_id AS line, user_id AS userid, upper(event_type) AS action_name,
 """
 
 
+# The same pages by two spellings of their addresses: texts alone.
+ADDRESS_A = "SELECT page_id AS page, url AS link FROM pages"
+ADDRESS_B = "SELECT page_id AS place, replace(replace(url, 'https://', 'http://'), '.example.', '.exampel.') AS address FROM pages"
+
+# The same customers by six numbers and no identifier; some numbers differ a little.
+NUMBERS_A = """
+SELECT c_custkey AS row_no, c_acctbal AS a, c_nationkey + 1 AS b, c_custkey % 97 + 1 AS c, c_custkey % 89 + 1 AS d,
+  c_custkey % 83 + 1 AS e, c_custkey % 79 + 1 AS f FROM customer
+"""
+NUMBERS_B = """
+SELECT c_custkey AS pos, c_acctbal AS aa, c_nationkey + 1 AS bb, c_custkey % 97 + 1 AS cc,
+  c_custkey % 89 + 1 + c_custkey % 2 AS dd, c_custkey % 83 + 1 AS ee, c_custkey % 79 + 1 AS ff
+FROM customer WHERE c_custkey % 10 < 3
+"""
+
+
 def _customers(spark: SparkSession, sf_dir: str, **options) -> tuple[DataFrame, dict, DataFrame, DataFrame]:
     left, right = left_table(spark, sf_dir), right_table(spark, sf_dir)
     merged, stats = merge_datasets(left, right, left_key="customer_id", right_key="cust_id", **options)
@@ -123,6 +140,30 @@ def customers_to_suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats["matched_pairs"].select("left_id", "right_id", F.round("score", 6).alias("match_score"))
 
 
+def pages_by_address(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts alone on both sides: their bigrams bound the pairs."""
+    left, right = sql(spark, sf_dir, ADDRESS_A, "pages"), sql(spark, sf_dir, ADDRESS_B, "pages")
+    _, stats = merge_datasets(left, right, left_key="page", right_key="place", schema_matches={"link": "address"})
+    return stats["matched_pairs"].select("left_id", "right_id", F.round("score", 6).alias("match_score"))
+
+
+def customers_by_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Six numbers and no identifier: too many for their ratios to bound the pairs."""
+    left, right = sql(spark, sf_dir, NUMBERS_A, "customer"), sql(spark, sf_dir, NUMBERS_B, "customer")
+    _, stats = merge_datasets(left, right, left_key="row_no", right_key="pos", schema_matches={c: c * 2 for c in "abcdef"})
+    return stats["matched_pairs"].select("left_id", "right_id", F.round("score", 6).alias("match_score"))
+
+
+def verified_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The merge whose result is scanned for nulls before it is returned."""
+    return _customers(spark, sf_dir, verify=True)[0]
+
+
+def preprocessed_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The left side as the preprocessing of both tables leaves it."""
+    return preprocess_datasets(left_table(spark, sf_dir), right_table(spark, sf_dir))[0]
+
+
 def field_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Field score, cosine and their mix for each customer under equal identifiers."""
     left, right = left_table(spark, sf_dir), right_table(spark, sf_dir)
@@ -339,6 +380,22 @@ def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_csv(spark, path)
 
 
+def csv_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes that look like numbers with an ending come back as texts."""
+    df = sql(spark, sf_dir, "SELECT p_partkey, concat(p_size, CASE WHEN p_size % 2 = 0 THEN 'D' ELSE 'f' END) AS code FROM part", "part")
+    path = new_path(spark, "codes")
+    write_csv(df, path)
+    return read_csv(spark, path)
+
+
+def exported_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of a checked table export, with the table read back."""
+    orders, path = table(spark, sf_dir, "orders"), new_path(spark, "orders")
+    rows = export_table(orders, path)
+    back = spark.read.parquet(path).groupBy("o_orderstatus").agg(F.count("*").alias("orders"), F.max("o_orderkey").alias("last"))
+    return back.withColumn("rows", F.lit(rows))
+
+
 def json_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     df, path = left_table(spark, sf_dir), new_path(spark, "json")
     write_json(df, path)
@@ -357,7 +414,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         merge_customers, merge_customers_aligned, matched_pairs, match_statistics, match_quality, golden_customers,
-        orders_to_customers, event_logs, customers_to_suppliers, field_similarity, row_texts, text_row_texts, id_texts,
+        orders_to_customers, event_logs, customers_to_suppliers, pages_by_address, customers_by_numbers,
+        verified_merge, preprocessed_customers, csv_codes, exported_orders, field_similarity, row_texts, text_row_texts, id_texts,
         part_spelling, turn_cosines, document_label_cosines, price_closeness, vector_cosines, schema_match_report,
         unmatched_column_report, shared_columns, catalog_matches, expanded_names, clean_documents, first_copies,
         impute_customers, impute_lines, impute_empty_columns, nulls_after_imputation, profile_lines, profile_merged,

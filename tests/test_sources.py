@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tabweld.session import materialize, work_dir
 from tabweld.sources.files import read_csv, read_json, read_table, write_csv, write_json
 from tabweld.sources.sqlite import count_sqlite, export_to_sqlite, list_sqlite_tables, read_sqlite, sqlite_column_types
+from tabweld.sources.tables import export_table
 
 
 def test_csv_types_and_missing_values(spark, tmp_path):
@@ -90,3 +91,27 @@ def test_cells_with_line_breaks(spark, tmp_path):
     path = tmp_path / "breaks.csv"
     path.write_text('id,text\n1,"a\nb"\n2,c\n')
     assert [r.text for r in read_csv(spark, str(path), multi_line=True).collect()] == ["a\nb", "c"]
+
+
+def test_checked_export(spark, tmp_path):
+    df = spark.range(1000).selectExpr("id", "if(id % 7 = 0, null, concat('t', id)) AS t").repartition(5)
+    assert export_table(df, str(tmp_path / "table")) == 1000
+    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "table")).collect()), key=lambda r: r[0]) == sorted(map(tuple, df.collect()), key=lambda r: r[0])
+    with pytest.raises(OSError, match="differ"):
+        _changed(df, tmp_path)
+    assert export_table(df.limit(0), str(tmp_path / "empty")) == 0
+
+
+def _changed(df, tmp_path):
+    """An export that another writer overwrites before it is read."""
+    from unittest import mock
+
+    path = str(tmp_path / "changed")
+    write = type(df.write).parquet
+
+    def twice(self, target, **options):
+        write(self, target, **options)
+        write(df.selectExpr("id + 1 AS id", "t").write.mode("overwrite"), target)
+
+    with mock.patch.object(type(df.write), "parquet", twice):
+        export_table(df, path)
