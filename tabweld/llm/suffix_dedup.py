@@ -12,8 +12,10 @@ bytes of the windows of one anchor are its *context*.
    that still agree. A window that begins ``d`` bytes before the anchor is repeated if some other
    context agrees in ``d`` bytes before and ``length - d`` from the anchor; going out from a context
    in suffix order the common length falls, which ends the search early.
-4. Grams with more than ``GROUP_CONTEXTS`` different contexts are not sorted in one task: all their
-   windows are counted by a 128-bit hash instead, which gives the same answer in linear time.
+4. Grams with more than ``GROUP_CONTEXTS`` different contexts are not sorted in one task: their
+   contexts are cut into runs of windows, grouped by the bytes that all windows of a run share, and
+   equal pieces combined, down to single windows if need be. That is exact, and no group is left
+   out.
 
 Copies of a text count once in 1 to 4 and are removed whole if they are long enough.
 """
@@ -35,6 +37,7 @@ LENGTH = 400
 GRAM = 100
 SHALLOW = 128
 GROUP_CONTEXTS = 512
+BLOCKS = (64, 16, 4, 1)
 #: Texts are hashed in runs of this many windows.
 RUN = 1 << 20
 
@@ -285,23 +288,52 @@ def as_ranges(rows: list[tuple[bytes, int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], ["context", "a", "b"])
 
 
-def counted_windows(rows: DataFrame, length: int) -> DataFrame:
-    """The same for crowded groups: windows are counted by two hashes; no group meets in a task."""
+def in_blocks(rows: DataFrame, length: int, block: int) -> DataFrame:
+    """Contexts cut into the windows whose distance before the anchor is in the same run of ``block``.
+
+    What all windows of a run share, for any context, is part of the new ``hash``: contexts that
+    differ there have no window of that run in common. ``parent`` and ``shift`` say where a piece is.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one, two = Hasher(2, 4 * length), Hasher(3, 4 * length)
+        kinds = (pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int32())
         for batch in batches:
-            for context, raw, n in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                text = np.frombuffer(raw, np.uint8)
-                codes = [x.grams(text, length).view(np.int64) for x in (one, two)]
-                size = len(codes[0])
-                columns = [pa.array([context] * size, pa.binary()), *map(pa.array, codes), pa.array(np.arange(size, dtype=np.int32)), pa.array(np.full(size, n, np.int64))]
-                yield pa.RecordBatch.from_arrays(columns, ["context", "w1", "w2", "a", "n"])
-
-    windows = rows.select("context", "bytes", "n").mapInArrow(run, "context binary, w1 long, w2 long, a int, n long")
-    windows = materialize(windows, "windows")
-    twice = windows.groupBy("w1", "w2").agg(F.sum("n").alias("all")).where("all > 1").drop("all")
-    return windows.where("n = 1").join(twice, ["w1", "w2"]).select("context", "a", F.col("a").alias("b"))
+            out = []
+            for h, parent, raw, offset, n in zip(*(batch.column(k).to_pylist() for k in range(5))):
+                last = len(raw) - length
+                for j in range((offset - last) // block, offset // block + 1):
+                    near, far = j * block, (j + 1) * block - 1
+                    a, b = max(offset - far, 0), min(offset - near, last)
+                    shared = raw[offset - near : max(offset - far + length, offset - near)]
+                    place = f"{h} {block} {j} ".encode()
+                    key = int.from_bytes(hashlib.md5(place + shared).digest()[:8], "little", signed=True)
+                    piece = raw[a : b + length]
+                    out.append((parent, a, n, key, hashlib.md5(place + piece).digest(), piece, offset - a))
+            columns = list(zip(*out)) or [()] * 7
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], ["parent", "shift", "n", "hash", "context", "bytes", "offset"])
+
+    kinds = "parent binary, shift int, n long, hash long, context binary, bytes binary, offset int"
+    return rows.select("hash", "context", "bytes", "offset", "n").mapInArrow(run, kinds)
+
+
+def resolved(pooled: DataFrame, length: int, blocks: tuple[int, ...]) -> DataFrame:
+    """Ranges of repeated windows (``context, a, b``) for different contexts with their number ``n``.
+
+    Groups of at most ``GROUP_CONTEXTS`` are sorted. Larger ones are cut into ever shorter runs of
+    windows, whose equal pieces are combined again; a run of one window is only counted.
+    """
+    groups = materialize(pooled.groupBy("hash").agg(F.count("*").alias("m"), F.min("n").alias("least")).where("m > 1 and least = 1"), "groups")
+    open_ = pooled.join(groups.select("hash", "m"), "hash")
+    whole = pooled.where("n > 1").select("context", F.lit(0).alias("a"), (F.octet_length("bytes") - length).alias("b"))
+    ranges = whole.unionByName(sorted_groups(open_.where(F.col("m") <= GROUP_CONTEXTS), length))
+    if not blocks or groups.where(F.col("m") > GROUP_CONTEXTS).isEmpty():
+        return ranges
+    pieces = materialize(in_blocks(open_.where(F.col("m") > GROUP_CONTEXTS), length, blocks[0]), "pieces")
+    inner = pieces.groupBy("hash", "context").agg(F.sum("n").alias("n"), F.any_value("bytes").alias("bytes"), F.any_value("offset").alias("offset"))
+    found = resolved(materialize(inner, "contexts"), length, blocks[1:])
+    placed = found.join(pieces.where("n = 1").select("parent", "shift", "context"), "context")
+    placed = placed.select(F.col("parent").alias("context"), (F.col("a") + F.col("shift")).alias("a"), (F.col("b") + F.col("shift")).alias("b"))
+    return ranges.unionByName(placed)
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
@@ -315,6 +347,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> t
 
     each = texts.select("code", "n_bytes", F.explode("anchors").alias("anchor"))
     twice = each.groupBy(F.col("anchor.hash").alias("hash")).agg(F.count("*").alias("n")).where("n > 1").select("hash")
+    twice = materialize(twice, "repeated-grams")  # a table of its own, so that the join can split a gram that many texts have
     found = each.join(twice, each["anchor.hash"] == twice["hash"], "left_semi")
     found = found.groupBy("code", "n_bytes").agg(F.collect_list("anchor").alias("anchors"))
     found = found.join(texts.select("code", "n_bytes", "first_id"), ["code", "n_bytes"])
@@ -326,12 +359,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> t
 
     pooled = contexts(suspects, length, True).groupBy("hash", "context")
     pooled = materialize(pooled.agg(F.count("*").alias("n"), F.any_value("bytes").alias("bytes"), F.any_value("offset").alias("offset")), "contexts")
-    groups = pooled.groupBy("hash").agg(F.count("*").alias("m"), F.min("n").alias("least")).where("m > 1 and least = 1")
-    open_ = pooled.join(groups.select("hash", "m"), "hash")
-    ranges = sorted_groups(open_.where(F.col("m") <= GROUP_CONTEXTS), length)
-    ranges = ranges.unionByName(counted_windows(open_.where(F.col("m") > GROUP_CONTEXTS), length))
-    whole = pooled.where("n > 1").select("context", F.lit(0).alias("a"), (F.octet_length("bytes") - length).alias("b"))
-    ranges = ranges.unionByName(whole).groupBy("context").agg(F.collect_set(F.struct("a", "b")).alias("ranges"))
+    ranges = resolved(pooled, length, BLOCKS).groupBy("context").agg(F.collect_set(F.struct("a", "b")).alias("ranges"))
+    ranges = materialize(ranges, "ranges")
 
     members = contexts(suspects, length, False).join(ranges, "context")
     placed = members.select("code", "n_bytes", F.explode("ranges").alias("r"), "first")
