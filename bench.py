@@ -31,7 +31,6 @@ HEADLINE = [
     "turn_cosines",
     "document_label_cosines",
     "price_closeness",
-    "pages_by_address",
 ]
 
 
