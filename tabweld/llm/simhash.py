@@ -131,7 +131,8 @@ def links(fps: DataFrame, max_bits: int = 2, cell_rows: int = CELL_ROWS) -> Data
     if not 0 <= max_bits <= 2:
         raise ValueError("max_bits must be 0, 1 or 2")
     placed = fps.select("fp", F.explode(cells(F.col("fp"))).alias("cell"))
-    shared = placed.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1")
+    # A table of its own, so that the join can split a cell with very many fingerprints.
+    shared = materialize(placed.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1"), "cell-counts")
     members = materialize(placed.join(shared, "cell"), "shared-cells")
 
     table = packed_distances(F.col("fp"))
@@ -158,17 +159,19 @@ def links(fps: DataFrame, max_bits: int = 2, cell_rows: int = CELL_ROWS) -> Data
 def components(pairs: DataFrame) -> DataFrame:
     """``node`` and ``root`` (its component's smallest node) for all nodes of ``pairs`` (a > b).
 
-    Large-star and small-star rounds in turn; each is a minimum by node joined back to its edges,
-    so a node with very many neighbours is combined before the shuffle and split by the join.
+    Large-star and small-star rounds in turn; each is a minimum by node, written and joined back to
+    its edges, so a node with very many neighbours is combined before the shuffle and split by the
+    join.
     """
     edges = materialize(pairs.select("a", "b"), "links")
     before = None
     while True:
         both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         lowest = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
+        lowest = materialize(lowest, "lowest")
         large = both.join(lowest, F.col("a") == F.col("u")).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = materialize(large.distinct(), "large-star")
-        lowest = large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), "m")
+        lowest = materialize(large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), "m"), "lowest")
         small = large.join(lowest, F.col("a") == F.col("u"))
         small = small.select("b", "m").where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(lowest.select(F.col("u").alias("a"), F.col("m").alias("b")))
         edges = materialize(small.distinct(), "small-star")
@@ -190,7 +193,7 @@ def with_components(rows: DataFrame, max_bits: int = 2) -> DataFrame:
     nodes = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
     found = materialize(components(links(nodes.select("fp"), max_bits)), "components")
     linked = nodes.join(found, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    lowest = linked.groupBy("root").agg(F.min("first").alias("component_id"))
+    lowest = materialize(linked.groupBy("root").agg(F.min("first").alias("component_id")), "component-ids")
     named = linked.select("fp", "root").join(lowest, "root").select("fp", "component_id")
     return rows.join(named, "fp").select("doc_id", "code", "fp", "component_id")
 
