@@ -189,13 +189,15 @@ class Encoder:
             return last, back
         fits, width, extends = self.fits, self.unknown_edge + 1, self.extends
         for p, n, piece in zip(*edges):
-            before = last[p]
-            if before != NONE:
-                known = fits.get(before * width + piece)
-                if known is None:
-                    known = extends(before, piece)
-                if known:
-                    last[p + n], back[p + n] = piece, p
+            end = p + n
+            if last[end] == NONE:  # only one piece can end an encoding here
+                before = last[p]
+                if before != NONE:
+                    known = fits.get(before * width + piece)
+                    if known is None:
+                        known = extends(before, piece)
+                    if known:
+                        last[end], back[end] = piece, p
         return last, back
 
     def learn(self, words: list[str]) -> None:
