@@ -1,10 +1,12 @@
 """Line dedup: lines that many sites share are boilerplate and are removed everywhere.
 
-Each document gives each of its different lines once, with its site and with the document's
-signature. Per line hash two HyperLogLog sketches (sites, signatures) merge by aggregation. A line
-is boilerplate if at least ``min_sites`` sites have it and if at least half of the documents that
-have it differ in their signature. Lines whose estimates are near either threshold get exact
-distinct counts instead.
+Each document gives each of its different lines once, with its site. Per line hash a HyperLogLog
+sketch of the sites merges by aggregation; lines whose estimate is near the threshold get an exact
+count instead. Lines on at least ``min_sites`` sites are shared lines.
+
+A shared line is boilerplate if different pages carry it: half of ``min_sites`` different
+signatures or more, counted exactly. This number does not grow with the documents, so copies of
+one page, however many, never hide a line that other pages carry.
 
 The signature is the document's two longest lines. Copies share them, edited ones too unless
 the edit falls there, so a page that was copied to many sites does not make its own content
@@ -33,49 +35,37 @@ def lines_of(text: Column) -> Column:
 
 
 def line_table(docs: DataFrame, text_column: str = "text", site_column: str = "site") -> DataFrame:
-    """``line`` (hash), ``site`` and ``signature`` for each different line of each document."""
+    """``site``, ``code`` (of the text) and ``lines`` of each document: hashes of its different lines, longest first."""
+    text = F.col(f"`{text_column}`")
     lines = docs.select(
         F.coalesce(F.col(f"`{site_column}`").cast("string"), F.lit("")).alias("site"),
-        F.array_remove(F.array_distinct(lines_of(whole_text(F.col(f"`{text_column}`")))), "").alias("lines"),
-    )
-    ranked = lines.withColumn("ranked", F.transform("lines", lambda line: F.struct(F.length(line).alias("n"), line.alias("line"))))
-    longest = ranked.withColumn("first", F.array_max("ranked"))
-    second = F.array_max(F.filter("ranked", lambda x: x < F.col("first")))
-    signed = longest.select("site", "lines", F.xxhash64("first.line", second["line"]).alias("signature"))
-    return signed.select("site", "signature", F.explode(F.transform("lines", lambda line: F.xxhash64(line))).alias("line"))
-
-
-def boilerplate_lines(table: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
-    """``line``, ``docs``, ``sites`` and ``signatures`` (estimates or, near a threshold, counts)."""
-    spread = table.groupBy("line").agg(
-        F.count("*").alias("docs"),
-        F.hll_sketch_agg("site", SKETCH_BITS).alias("site_sketch"),
-        F.hll_sketch_agg("signature", SKETCH_BITS).alias("signature_sketch"),
+        F.xxhash64(text).alias("code"),
+        F.array_remove(F.array_distinct(lines_of(whole_text(text))), "").alias("lines"),
     )
+    ranked = F.sort_array(F.transform("lines", lambda line: F.struct(F.length(line).alias("n"), F.xxhash64(line).alias("line"))), asc=False)
+    return lines.select("site", "code", ranked["line"].alias("lines"))
+
+
+def shared_lines(table: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
+    """``line`` of each line on at least ``min_sites`` sites."""
+    table = table.select("site", F.explode("lines").alias("line"))
+    spread = table.groupBy("line").agg(F.count("*").alias("docs"), F.hll_sketch_agg("site", SKETCH_BITS).alias("site_sketch"))
     # Fewer documents than sites asked for settle most lines before any estimate.
-    spread = spread.where(F.col("docs") >= min_sites).select(
-        "line",
-        "docs",
-        F.hll_sketch_estimate("site_sketch").alias("sites"),
-        F.hll_sketch_estimate("signature_sketch").alias("signatures"),
-    )
+    spread = spread.where(F.col("docs") >= min_sites).select("line", F.hll_sketch_estimate("site_sketch").alias("sites"))
     spread = materialize(spread, "line-spread")
-    half = F.col("docs") / 2
+    clear = spread.where(F.col("sites") >= min_sites * (1 + NEAR)).select("line")
+    near = spread.where((F.col("sites") >= min_sites * (1 - NEAR)) & (F.col("sites") < min_sites * (1 + NEAR))).select("line")
+    exact = table.join(near, "line", "left_semi").distinct().groupBy("line").agg(F.count("*").alias("sites"))
+    return clear.unionByName(exact.where(F.col("sites") >= min_sites).select("line"))
 
-    def beyond(sign: int) -> Column:
-        """Both estimates above their thresholds by the margin (1), or one of them below (-1)."""
-        if sign > 0:
-            return (F.col("sites") >= min_sites * (1 + NEAR)) & (F.col("signatures") >= half * (1 + NEAR))
-        return (F.col("sites") < min_sites * (1 - NEAR)) | (F.col("signatures") < half * (1 - NEAR))
 
-    clear = spread.where(beyond(1))
-    near = spread.where(~beyond(1) & ~beyond(-1)).select("line")
-    doubtful = table.join(near, "line", "left_semi")
-    exact = (
-        doubtful.groupBy("line", "site").agg(F.count("*").alias("n")).groupBy("line").agg(F.sum("n").alias("docs"), F.count("*").alias("sites"))
-    ).join(doubtful.groupBy("line", "signature").agg(F.lit(1).alias("one")).groupBy("line").agg(F.count("*").alias("signatures")), "line")
-    exact = exact.where((F.col("sites") >= min_sites) & (2 * F.col("signatures") >= F.col("docs")))
-    return clear.unionByName(exact.select(clear.columns))
+def boilerplate_lines(table: DataFrame, hits: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
+    """``line`` of each shared line that different pages carry; ``hits`` holds ``code`` and ``line`` of shared lines."""
+    pages = table.select("code", "lines").distinct()
+    shared = hits.groupBy("code").agg(F.collect_set("line").alias("shared"))
+    signed = pages.join(shared, "code").select("shared", F.xxhash64(F.slice("lines", 1, 2)).alias("signature"))
+    carried = signed.select("signature", F.explode("shared").alias("line")).distinct().groupBy("line").agg(F.count("*").alias("signatures"))
+    return carried.where(2 * F.col("signatures") >= min_sites).select("line")
 
 
 def without_boilerplate(
@@ -94,10 +84,12 @@ def without_boilerplate(
     """
     identity = [F.col(f"`{id_column}`").alias("id"), F.xxhash64(F.col(f"`{text_column}`")).alias("code")]
     table = materialize(line_table(docs, text_column, site_column), "lines")
-    bad = materialize(boilerplate_lines(table, min_sites).select("line"), "boilerplate")
+    shared = materialize(shared_lines(table, min_sites), "shared-lines")
 
     places = docs.select(*identity, F.posexplode(F.transform(lines_of(whole_text(F.col(f"`{text_column}`"))), lambda x: F.xxhash64(x))).alias("place", "line"))
-    hits = places.join(bad, "line").groupBy("id", "code").agg(F.sort_array(F.collect_set("place")).alias("places"))
+    hits = materialize(places.join(shared, "line"), "shared-places")
+    bad = materialize(boilerplate_lines(table, hits, min_sites), "boilerplate")
+    hits = hits.join(bad, "line").groupBy("id", "code").agg(F.sort_array(F.collect_set("place")).alias("places"))
     whole = with_row(docs, id=identity[0], code=identity[1], text=F.col(f"`{text_column}`").cast("string"))
     joined = whole.join(
         hits.withColumnsRenamed({"id": "hit_id", "code": "hit_code"}),

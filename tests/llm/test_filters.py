@@ -38,6 +38,26 @@ def test_lines_shared_by_sites_go(spark):
     assert all(out[100 + i][1] == 0 and out[200 + i][1] == 0 for i in range(12))
 
 
+def removed_lines(spark, rows):
+    docs = spark.createDataFrame(rows, "doc_id int, text string, source string")
+    return {r.doc_id: (r.text, r.n_removed) for r in line_dedup.without_boilerplate(docs).select("row.doc_id", "row.text", "n_removed").collect()}
+
+
+def test_copies_do_not_hide_boilerplate(spark):
+    rows = [(i, f"own words of page {i}\nShared footer", f"site{i % 12}") for i in range(40)]
+    # A group of copies with the same footer: the footer goes, the copied words stay.
+    rows += [(100 + i, "a page that was copied to many sites\nShared footer", f"site{i % 12}") for i in range(120)]
+    out = removed_lines(spark, rows)
+    assert all(out[i] == (f"own words of page {i}", 1) for i in range(40))
+    assert all(out[100 + i] == ("a page that was copied to many sites", 1) for i in range(120))
+
+
+def test_mirrored_pages_lose_their_footer(spark):
+    """Every page is on every site, so no page has a line of its own."""
+    rows = [(100 * i + k, f"the words of page {i}\nShared footer", f"site{k}") for i in range(20) for k in range(12)]
+    assert all(x == (f"the words of page {i // 100}", 1) for i, x in removed_lines(spark, rows).items())
+
+
 def test_lines_near_the_threshold_are_counted(spark):
     rows = [(1000 * k + i, f"line on {k} sites\nother {k} {i}", f"site{i}") for k in range(7, 14) for i in range(k)]
     docs = spark.createDataFrame(rows, "doc_id int, text string, source string")
