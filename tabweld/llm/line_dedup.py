@@ -8,9 +8,10 @@ A shared line is boilerplate if different pages carry it: half of ``min_sites``
 signatures or more, counted exactly. This number does not grow with the documents, so copies of
 one page, however many, never hide a line that other pages carry.
 
-The signature is the document's two longest lines. Copies share them, edited ones too unless
-the edit falls there, so a page that was copied to many sites does not make its own content
-boilerplate.
+The signature is the document's two longest lines, and the two longest of those that are not
+shared. Copies agree in both, so a page that was copied to many sites does not make its own content
+boilerplate; long boilerplate does not make short pages alike. Copies that were edited on their
+sites, each in another way, count as different pages.
 """
 
 from __future__ import annotations
@@ -63,7 +64,8 @@ def boilerplate_lines(table: DataFrame, hits: DataFrame, min_sites: int = MIN_SI
     """``line`` of each shared line that different pages carry; ``hits`` holds ``code`` and ``line`` of shared lines."""
     pages = table.select("code", "lines").distinct()
     shared = hits.groupBy("code").agg(F.collect_set("line").alias("shared"))
-    signed = pages.join(shared, "code").select("shared", F.xxhash64(F.slice("lines", 1, 2)).alias("signature"))
+    rest = F.array_except("lines", "shared")
+    signed = pages.join(shared, "code").select("shared", F.xxhash64(F.slice("lines", 1, 2), F.slice(rest, 1, 2)).alias("signature"))
     carried = signed.select("signature", F.explode("shared").alias("line")).distinct().groupBy("line").agg(F.count("*").alias("signatures"))
     return carried.where(2 * F.col("signatures") >= min_sites).select("line")
 

@@ -52,6 +52,17 @@ def test_copies_do_not_hide_boilerplate(spark):
     assert all(out[100 + i] == ("a page that was copied to many sites", 1) for i in range(120))
 
 
+def test_long_boilerplate_over_short_lines(spark):
+    """Two shared paragraphs longer than every own line do not make the pages copies of each other."""
+    notice = "We use cookies on this page and on all the others, and so do the companies that we work with."
+    legal = "All rights reserved; no part of this page may be copied without the consent of its publisher in writing."
+    rows = [(i, f"{notice}\nshort {i}\nlines {i}\n{legal}", f"site{i % 15}") for i in range(60)]
+    rows += [(100 + i, f"a copied page\n{notice}\n{legal}", f"site{i}") for i in range(15)]
+    out = removed_lines(spark, rows)
+    assert all(out[i] == (f"short {i}\nlines {i}", 2) for i in range(60))
+    assert all(out[100 + i] == ("a copied page", 2) for i in range(15))
+
+
 def test_mirrored_pages_lose_their_footer(spark):
     """Every page is on every site, so no page has a line of its own."""
     rows = [(100 * i + k, f"the words of page {i}\nShared footer", f"site{k}") for i in range(20) for k in range(12)]
