@@ -72,7 +72,7 @@ SELECT c_custkey AS row_no, c_acctbal AS a, c_nationkey + 1 AS b, c_custkey % 97
 NUMBERS_B = """
 SELECT c_custkey AS pos, c_acctbal AS aa, c_nationkey + 1 AS bb, c_custkey % 97 + 1 AS cc,
   c_custkey % 89 + 1 + c_custkey % 2 AS dd, c_custkey % 83 + 1 AS ee, c_custkey % 79 + 1 AS ff
-FROM customer WHERE c_custkey % 10 < 3
+FROM customer
 """
 
 

@@ -1,4 +1,5 @@
 import random
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +10,7 @@ from tabweld.operators.candidates import KeyJoin, NoLosslessJoin, value_pairs
 from tabweld.operators.evaluate import evaluate_pairs
 from tabweld.operators.golden import golden_records
 from tabweld.operators.scoring import RowScore, plan_fields
+from tabweld.plans import queries
 from tabweld.plans.merge import match_rows
 from tests import brute
 
@@ -206,6 +208,17 @@ def test_many_numbers_match_by_their_bigrams(spark, ids, count):
     assert run(spark, rows, other, schemas, matches, 0.85) == want(rows, other, schemas, matches, 0.85)
 
 
+def test_customers_by_numbers_takes_all_customers(spark):
+    sf = "/root/testdata/sf0.001"
+    rows = [[r.asDict() for r in queries.sql(spark, sf, q, "customer").collect()] for q in (queries.NUMBERS_A, queries.NUMBERS_B)]
+    everyone = spark.read.parquet(f"{sf}/customer.parquet").count()
+    assert [len(side) for side in rows] == [everyone, everyone]
+    got = sorted((r.left_id, r.right_id, r.match_score) for r in queries.customers_by_numbers(spark, sf).collect())
+    rows = [[{c: float(x) if isinstance(x, Decimal) else x for c, x in r.items()} for r in side] for side in rows]
+    found = brute.match(*rows, {c: c * 2 for c in "abcdef"}, 0.85, "row_no", "pos")
+    assert got == [(a, b, pytest.approx(s, abs=1e-6)) for a, b, s in sorted(found)]
+
+
 @pytest.mark.parametrize("seed", range(2))
 def test_greedy_rounds_equal_the_sequential_pass(spark, seed):
     rng = random.Random(seed)
