@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tabweld.llm import line_dedup, mixing, pieces, quality, queries, simhash
 from tabweld.session import materialize
@@ -33,8 +34,10 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document and whether they decode to its text."""
-    return pieces.encoded(docs, queries.vocabulary())
+    """Token ids of every document, whether they decode to its text, and its place in the mixture."""
+    placed = mixing.with_position(docs.select("doc_id", "text"))
+    encoded = pieces.encoded(placed.select(F.struct("doc_id", "position").alias("id"), "text"), queries.vocabulary(), "id")
+    return encoded.select("doc_id.doc_id", "token_ids", "round_trip", "doc_id.position")
 
 
 STAGES: list[tuple[str, Stage]] = [

@@ -18,6 +18,7 @@ of bounded size, so a source that holds a third of all rows is spread over many
 from __future__ import annotations
 
 import heapq
+import itertools
 import math
 from collections.abc import Mapping
 
@@ -173,3 +174,18 @@ def mixed(
 def in_mixed_order(docs: DataFrame, **options) -> DataFrame:
     """The documents themselves, ordered by slot and place: the files hold the mixture."""
     return mixed(docs, **options).orderBy("slot", "place").select(*replaced(docs))
+
+
+def with_position(docs: DataFrame, name: str = "position") -> DataFrame:
+    """The documents and their place in the whole mixture, from 0, read off the files of ``in_mixed_order``.
+
+    ``docs`` must be what a file reader returns. Readers pack files by size, so that a later
+    stage sees the mixture only in this column. One line per file reaches the driver.
+    """
+    file, row = docs.metadataColumn("_metadata")["file_name"], docs.metadataColumn("_metadata")["row_index"]
+    placed = docs.select("*", file.alias(f"{name} file"), row.alias(f"{name} row"))
+    counted = sorted(placed.groupBy(f"{name} file").count().collect(), key=lambda r: (len(r[0]), r[0]))
+    before = itertools.accumulate((r["count"] for r in counted), initial=0)
+    starts = docs.sparkSession.createDataFrame([(r[0], n) for r, n in zip(counted, before)], f"`{name} file` string, `{name} start` long")
+    whole = placed.join(F.broadcast(starts), f"{name} file")
+    return whole.select(*(f"`{c.replace('`', '``')}`" for c in docs.columns), (F.col(f"`{name} start`") + F.col(f"`{name} row`")).alias(name))

@@ -5,7 +5,7 @@ import random
 import numpy as np
 
 import corpus_pipeline
-from tabweld.llm import pieces, quality, queries, topk
+from tabweld.llm import mixing, pieces, quality, queries, topk
 
 
 def best_by_hand(rows, k, every):
@@ -107,6 +107,27 @@ def queries_written(spark, frame):
     return materialize(frame, "stage")
 
 
+def test_the_mixture_reaches_the_result(spark, tmp_path, monkeypatch):
+    """With many files, also of unlike sizes, sorted prefixes of the result keep the weights."""
+    rows = [(i, f"text {i} " * (1 + i % 40), "big" if i % 4 else "small") for i in range(2000)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    ends = [s for s in corpus_pipeline.STAGES if s[0] in ("mixing sources", "sentencepiece")]
+    monkeypatch.setattr(corpus_pipeline, "STAGES", ends)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sorted(r.position for r in out) == list(range(2000)) and {r.doc_id for r in out} == set(range(2000))
+    order = [r.doc_id for r in sorted(out, key=lambda r: r.position)]
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    slots = sorted((r.slot, r.place, r.row.doc_id) for r in mixing.mixed(docs).collect())
+    assert order == [d for *_, d in slots]
+    weights = mixing.smoothed_weights({"big": 1500, "small": 500})
+    for n in range(16, 1200, 16):
+        assert abs(sum(d % 4 > 0 for d in order[:n]) / n - weights["big"] / 1000) <= 16 / n
+
+
 def test_pipeline_of_odd_docs(spark, odd_docs, no_docs):
     for docs in (odd_docs, no_docs):
         for _, stage in corpus_pipeline.STAGES:
