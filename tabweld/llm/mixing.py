@@ -10,28 +10,32 @@ their weights out of the smaller sum: a phase ends and the next begins. Every do
 exactly once.
 
 Schedules repeat after ``D`` slots, so one period per phase and the piece up to the phase's end
-describe them. These tables depend on the number of sources and on ``D``, never on the number of
-documents; they are the only thing that is broadcast. Ranks inside a source come from hash ranges
+describe them. These tables hold no slot that no block takes: at most one entry per block, and with
+few sources far fewer, whatever the number of sources and their weights. Up to ``MOST_ENTRIES``
+entries are broadcast; more become a written table with a row for each block, joined on source and
+block. Ranks inside a source come from hash ranges
 of bounded size, so a source that holds a third of all rows is spread over many tasks.
 """
 
 from __future__ import annotations
 
+import bisect
 import heapq
 import itertools
 import math
-from collections.abc import Mapping
+from collections.abc import Iterable, Iterator, Mapping
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabweld.llm.common import replaced, with_row
+from tabweld.session import materialize
 
-#: Sum of default weights, smallest target of a run of equal hash prefixes, and the bound of the
-#: broadcast schedule (sources times the sum of weights).
+#: Sum of default weights, smallest target of a run of equal hash prefixes, and the most entries of
+#: schedules (and sources) that are broadcast instead of joined.
 PARTS = 1000
 RANGE_ROWS = 2048
-MOST_ENTRIES = 1 << 22
+MOST_ENTRIES = 1 << 18
 
 PIECES = "source_no int, phase int, phase_start long, start_slot long, start_block long, first_block long, last_block long, weight long, total long, slots array<long>"
 
@@ -49,58 +53,94 @@ def smoothed_weights(rows: Mapping[str | None, int], power: float = 0.7, parts:
     return weights
 
 
+def deadline_order(classes: Mapping[int, list[int]], total: int) -> Iterator[int]:
+    """The source that gets each slot, without end; ``classes`` lists the sources of each weight, ascending.
+
+    A class enters a source only when the one before it has its first block: sources of one weight
+    start in their order, so that a phase of few slots costs few steps, however many sources live.
+    """
+    ready = [(-(-total // w), own[0], 0, w, 0) for w, own in classes.items() if own]
+    heapq.heapify(ready)
+    waiting: list[tuple[int, int, int, int]] = []
+    for now in itertools.count():
+        while waiting and waiting[0][0] <= now:
+            _, i, k, w = heapq.heappop(waiting)
+            heapq.heappush(ready, (-(-(k + 1) * total // w), i, k, w, -1))
+        _, i, k, w, n = heapq.heappop(ready)
+        yield i
+        heapq.heappush(waiting, ((k + 1) * total // w, i, k + 1, w))
+        if 0 <= n < len(classes[w]) - 1:
+            heapq.heappush(ready, (-(-total // w), classes[w][n + 1], 0, w, n + 1))
+
+
+def by_weight(weights: list[int], live: Iterable[int]) -> dict[int, list[int]]:
+    classes: dict[int, list[int]] = {}
+    for i in live:
+        classes.setdefault(weights[i], []).append(i)
+    return classes
+
+
 def earliest_deadlines(weights: list[int], slots: int) -> list[int]:
     """The source that gets each slot; ``weights`` are positive and ``slots`` at most their sum."""
-    total = sum(weights)
-    waiting = [(0, i, 0) for i in range(len(weights))]
-    ready: list[tuple[int, int, int]] = []
-    taken = []
-    for now in range(slots):
-        while waiting and waiting[0][0] <= now:
-            _, i, k = heapq.heappop(waiting)
-            heapq.heappush(ready, (-(-(k + 1) * total // weights[i]), i, k))
-        _, i, k = heapq.heappop(ready)
-        taken.append(i)
-        heapq.heappush(waiting, ((k + 1) * total // weights[i], i, k + 1))
-    return taken
+    return list(itertools.islice(deadline_order(by_weight(weights, range(len(weights))), sum(weights)), slots))
 
 
 def schedule(blocks: list[int], weights: list[int]) -> list[tuple]:
     """Rows of ``PIECES``: for each phase and source, the repeated periods and the last piece.
 
     Block ``b`` of a piece, counted from its ``first_block`` as ``r``, has the slot
-    ``start_slot + (r div len(slots)) * total + slots[r mod len(slots)]``.
+    ``start_slot + (r div len(slots)) * total + slots[r mod len(slots)]``. Only slots that are taken
+    are computed, so time and entries grow with the blocks at most.
     """
-    left, done = list(blocks), [0] * len(blocks)
+    done = [0] * len(blocks)
+    classes = by_weight(weights, (i for i, n in enumerate(blocks) if n))
+    total = sum(w * len(own) for w, own in classes.items())
+    # What is left of a source, plus its blocks in all full periods so far: these change it not.
+    virtual, full = list(blocks), 0
+    ends = [(n // weights[i], i) for i, n in enumerate(blocks) if n]
+    heapq.heapify(ends)
     pieces, start, phase = [], 0, 0
-    while live := [i for i, n in enumerate(left) if n]:
-        own = [weights[i] for i in live]
-        total = sum(own)
-        order = earliest_deadlines(own, total)
-        places: list[list[int]] = [[] for _ in live]
-        for slot, j in enumerate(order):
-            places[j].append(slot)
-        periods = min(left[i] // weights[i] for i in live)
-        begun, begin = list(done), start
+
+    def left(i: int) -> int:
+        return virtual[i] - full * weights[i]
+
+    while total:
+        while ends[0][0] != virtual[ends[0][1]] // weights[ends[0][1]] or not left(ends[0][1]):
+            heapq.heappop(ends)
+        periods, begin, first = ends[0][0] - full, start, {}
+        order, ended = deadline_order(classes, total), []
+        known: list[int] = []
         if periods:
-            for j, i in enumerate(live):
-                n = periods * weights[i]
-                pieces.append((i, phase, begin, start, begun[i], done[i], done[i] + n, weights[i], total, places[j]))
-                done[i], left[i] = done[i] + n, left[i] - n
-            start += periods * total
-        tail: list[list[int]] = [[] for _ in live]
-        used = 0
-        while all(left[i] for i in live):
-            j = order[used]
-            tail[j].append(used)
-            left[live[j]] -= 1
-            used += 1
-        for j, i in enumerate(live):
-            if tail[j]:
-                n = len(tail[j])
-                pieces.append((i, phase, begin, start, begun[i], done[i], done[i] + n, weights[i], total, tail[j]))
+            known = list(itertools.islice(order, total))
+            places: dict[int, list[int]] = {}
+            for slot, i in enumerate(known):
+                places.setdefault(i, []).append(slot)
+            full += periods
+            for i in sorted(places):
+                n, first[i] = periods * weights[i], done[i]
+                pieces.append((i, phase, begin, start, first[i], done[i], done[i] + n, weights[i], total, places[i]))
                 done[i] += n
-        start += used
+                if not left(i):
+                    ended.append(i)
+            start += periods * total
+        tail, tail_start = {}, start
+        if not ended:
+            for slot, i in enumerate(known or order):
+                tail.setdefault(i, []).append(slot)
+                virtual[i] -= 1
+                if not left(i):
+                    ended.append(i)
+                    start += slot + 1
+                    break
+        for i in sorted(tail):
+            n = len(tail[i])
+            pieces.append((i, phase, begin, tail_start, first.get(i, done[i]), done[i], done[i] + n, weights[i], total, tail[i]))
+            done[i] += n
+            heapq.heappush(ends, (virtual[i] // weights[i], i))
+        for i in ended:
+            own = classes[weights[i]]
+            del own[bisect.bisect_left(own, i)]
+            total -= weights[i]
         phase += 1
     return pieces
 
@@ -132,16 +172,19 @@ def mixed(
     own = [weights.get(s, 1) for s in sizes]
     if any(w != int(w) or w < 1 for w in own):
         raise ValueError("weights must be whole numbers of at least 1")
-    if len(own) * sum(own) > MOST_ENTRIES:
-        raise ValueError(f"sources times the sum of weights must be at most {MOST_ENTRIES}; use coarser weights")
     pieces = schedule([-(-n // block_rows) for n in sizes.values()], [int(w) for w in own])
+    few = len(sizes) + sum(len(p[-1]) for p in pieces) <= MOST_ENTRIES
     bits = [max(0, (n // RANGE_ROWS).bit_length()) for n in sizes.values()]
     sources = spark.createDataFrame([(i, s, b) for i, (s, b) in enumerate(zip(sizes, bits))], "source_no int, name string, bits int")
     pieces = spark.createDataFrame(pieces, PIECES)
+    if few:
+        sources, pieces = F.broadcast(sources), F.broadcast(pieces)
+    else:
+        sources = materialize(sources, "mixed-sources")
 
     # Hash prefixes split every source into ranges of about RANGE_ROWS rows.
     part = F.expr("case when bits = 0 then 0L else shiftrightunsigned(code, 64 - bits) end")
-    rows = rows.join(F.broadcast(sources), F.col("source").eqNullSafe(F.col("name"))).drop("name").withColumn("part", part)
+    rows = rows.join(sources, F.col("source").eqNullSafe(F.col("name"))).drop("name").withColumn("part", part)
     before = Window.partitionBy("source_no").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = rows.groupBy("source_no", "part").count()
     parts = parts.select("source_no", "part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("rows_before"))
@@ -155,20 +198,23 @@ def mixed(
         F.expr(f"(rows_before + n - 1) div {block_rows}").alias("block"),
         (rank % block_rows).cast("int").alias("place"),
     )
-    timed = blocked.join(
-        F.broadcast(pieces.withColumnRenamed("source_no", "piece_source")),
-        (F.col("source_no") == F.col("piece_source")) & (F.col("block") >= F.col("first_block")) & (F.col("block") < F.col("last_block")),
-    )
-    return timed.select(
-        "row",
-        "source",
-        "block",
-        "place",
-        "phase",
+    if few:
+        pieces = pieces.withColumnRenamed("source_no", "piece_source")
+        timed = blocked.join(pieces, (F.col("source_no") == F.col("piece_source")) & (F.col("block") >= F.col("first_block")) & (F.col("block") < F.col("last_block")))
+        return timed.select("row", "source", "block", "place", *times())
+    slots = pieces.withColumn("block", F.explode(F.sequence("first_block", F.col("last_block") - 1))).select("source_no", "block", *times())
+    timed = blocked.join(materialize(slots, "mixed-slots"), ["source_no", "block"])
+    return timed.select("row", "source", "block", "place", "phase", "release", "deadline", "slot")
+
+
+def times() -> list[Column]:
+    """``phase``, ``release``, ``deadline`` and ``slot`` of a ``block`` in its piece."""
+    return [
+        F.col("phase"),
         F.expr("phase_start + ((block - start_block) * total) div weight").alias("release"),
         F.expr("phase_start + ((block - start_block + 1) * total + weight - 1) div weight").alias("deadline"),
         F.expr("start_slot + ((block - first_block) div size(slots)) * total + slots[cast((block - first_block) % size(slots) as int)]").alias("slot"),
-    )
+    ]
 
 
 def in_mixed_order(docs: DataFrame, **options) -> DataFrame:

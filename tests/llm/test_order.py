@@ -112,6 +112,21 @@ def test_mixture_with_one_large_source(spark):
     law_of_mixture(out, mixing.smoothed_weights(sizes), 16)
 
 
+def test_mixture_of_very_many_sources(spark):
+    docs = spark.range(5000).selectExpr("id AS doc_id", "if(id % 2 = 0, 'hot', concat('s', id)) AS source")
+    out = mixture(docs)
+    sizes = Counter(r.source for r in out)
+    assert len(out) == 5000 and len(sizes) == 2501
+    law_of_mixture(out, mixing.smoothed_weights(sizes), 16)
+
+
+def test_joined_schedules_equal_broadcast_ones(spark, odd_docs, no_docs, monkeypatch):
+    docs = spark.range(3000).selectExpr("id AS doc_id", "if(id % 10 < 7, 'hot', concat('s', id % 40)) AS source")
+    want = [sorted(map(repr, mixture(d, block_rows=2))) for d in (docs, odd_docs, no_docs)]
+    monkeypatch.setattr(mixing, "MOST_ENTRIES", 0)
+    assert want == [sorted(map(repr, mixture(d, block_rows=2))) for d in (docs, odd_docs, no_docs)]
+
+
 def test_mixture_of_odd_docs(odd_docs, no_docs):
     out = mixture(odd_docs, block_rows=2)
     assert len(out) == odd_docs.count() and None in {r.source for r in out}
