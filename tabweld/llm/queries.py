@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabweld.llm import decontaminate, line_dedup, mixing, pieces, pii, quality, sharding, simhash, suffix_dedup, topk, url_filter
+from tabweld.llm import decontaminate, line_dedup, mixing, periodic, pieces, pii, quality, sharding, simhash, suffix_dedup, topk, url_filter
 
 #: For tests and benchmarks; a real run takes its key from a secret store.
 PII_KEY = "corpus-key-1"
@@ -94,6 +94,11 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", simhash.as_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The periodic runs of every document, a tenth of which continue with a period from some word on."""
+    return periodic.report(periodic.with_planted_periods(table(spark, sf_dir, "documents")))
+
+
 def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What every document shares with the benchmark items, by windows of 10 words."""
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), size=10)
@@ -110,5 +115,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filters": op8_url_filters,
     "op9_quality_rules": op9_quality_rules,
     "op10_simhash": op10_simhash,
+    "op12_periodic_runs": op12_periodic_runs,
     "op13_decontamination": op13_decontamination,
 }
