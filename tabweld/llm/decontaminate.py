@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -164,7 +165,7 @@ def windows(items: DataFrame, id_column: str = "item_id", text_column: str = "te
 
 def plan(idx: DataFrame, phrases: DataFrame) -> DataFrame:
     """Phrases whose words all occur in the index: ``steps`` (term, offset) from the rarest on, ``item_ids``."""
-    needed = phrases.select(F.explode("words").alias("term")).distinct()
+    needed = materialize(phrases.select(F.explode("words").alias("term")).distinct(), "phrase-terms")
     counted = idx.where("term is not null").select("term", "n").join(needed, "term", "left_semi")
     counts = materialize(counted.groupBy("term").agg(F.sum("n").alias("total")), "term-counts")
     placed = phrases.select("words", "item_ids", F.posexplode("words").alias("offset", "term")).join(counts, "term")
@@ -173,35 +174,26 @@ def plan(idx: DataFrame, phrases: DataFrame) -> DataFrame:
     return known.where(F.size("steps") == F.size("words")).select(F.expr("transform(steps, s -> struct(s.term, s.offset))").alias("steps"), "item_ids")
 
 
-def phrase_starts(lists: dict[bytes, np.ndarray], steps: list[tuple[bytes, int]]) -> np.ndarray:
+def phrase_starts(steps: list[tuple[np.ndarray, int]]) -> np.ndarray:
     """Positions where a phrase starts: offset-adjusted lists, intersected from the rarest term on."""
-    found = None
-    for term, offset in steps:
-        listed = lists.get(term)
-        if listed is None:
-            return np.zeros(0, np.int64)
-        if found is None:
-            found = listed - offset
-        else:
-            at = np.searchsorted(listed, found + offset)
-            at[at == len(listed)] = 0
-            found = found[listed[at] == found + offset]
+    found = steps[0][0] - steps[0][1]
+    for listed, offset in steps[1:]:
+        at = np.searchsorted(listed, found + offset)
+        at[at == len(listed)] = 0
+        found = found[listed[at] == found + offset]
         if not len(found):
             break
     return found
 
 
-def near_spans(lists: dict[bytes, np.ndarray], steps: list[tuple[bytes, int]], within: int, firsts: np.ndarray) -> list[tuple[int, int]]:
+def near_spans(lists: dict[int, np.ndarray], need: Counter, rarest: int, within: int, firsts: np.ndarray) -> list[tuple[int, int]]:
     """Shortest stretches (first, last position) of at most ``within`` words with all words of a phrase, in any order."""
-    need = Counter(term for term, _ in steps)
-    if any(term not in lists for term in need):
-        return []
-    rarest = lists[steps[0][0]]
+    places = lists[rarest]
     for term in need:
-        low, high = (np.searchsorted(lists[term], rarest + side) for side in (1 - within, within))
-        rarest = rarest[high - low >= need[term]]
+        low, high = (np.searchsorted(lists[term], places + side) for side in (1 - within, within))
+        places = places[high - low >= need[term]]
     spans = set()
-    for p in rarest.tolist():
+    for p in places.tolist():
         around = []
         for term in need:
             low, high = np.searchsorted(lists[term], [p - within + 1, p + within])
@@ -230,37 +222,49 @@ def hits(idx: DataFrame, phrases: DataFrame, within: int | None = None) -> DataF
     sizes = planned.groupBy("rare").agg(F.count("*").alias("n"))
     salted = planned.join(sizes, "rare").withColumn("salt", F.pmod(F.xxhash64("phrase.steps"), F.ceil(F.col("n") / BUNDLE)))
     bundles = salted.groupBy("rare", "salt").agg(F.collect_list("phrase").alias("phrases")).select("rare", "phrases")
+    # Tables of their own, so that Spark knows how small they are before it moves the index.
+    rare = materialize(planned.select("rare").distinct(), "rare-terms")
+    known = materialize(planned.select(F.explode("phrase.steps.term").alias("term")).distinct(), "known-terms")
     terms = idx.where("term is not null")
-    places = materialize(terms.select("segment", F.col("term").alias("rare")).join(bundles, "rare").select("segment", "phrases"), "phrase-places")
-    asked = places.select("segment").distinct()
-    known = planned.select(F.explode("phrase.steps.term").alias("term")).distinct()
+    places = terms.select("segment", F.col("term").alias("rare")).join(rare, "rare", "left_semi")
+    places = materialize(places.join(bundles, "rare").select("segment", "phrases"), "phrase-places")
+    asked = materialize(places.select("segment").distinct(), "asked-segments")
     lists = terms.join(known, "term", "left_semi").unionByName(idx.where("term is null")).join(asked, "segment", "left_semi")
 
     def search(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        listed, parts = left.filter(pa.compute.is_valid(left["term"])), left.filter(pa.compute.is_null(left["term"]))
-        lists = {t: p.values.to_numpy().astype(np.int64) for t, p in zip(listed["term"].to_pylist(), listed["positions"])}
+        listed, parts = left.filter(pc.is_valid(left["term"])), left.filter(pc.is_null(left["term"]))
+        terms, positions = (listed[c].combine_chunks() for c in ("term", "positions"))
+        values, bounds = positions.flatten().to_numpy().astype(np.int64), np.concatenate([[0], np.cumsum(listed["n"].to_numpy())])
         first, rows = (parts[c].to_numpy() for c in ("first", "row"))
         order = np.argsort(first)
         first, rows = first[order], rows[order]
         own_from, own_to, offset = (parts[c].to_numpy()[order] for c in ("own_from", "own_to", "offset"))
-        marks = np.zeros(int((first + own_to).max()) + 1 << 1, np.int32)
+        phrases = right["phrases"].combine_chunks().flatten()
+        steps, item_ids = pc.struct_field(phrases, "steps"), pc.struct_field(phrases, "item_ids")
+        flat = steps.flatten()
+        codes = pc.index_in(pc.struct_field(flat, "term"), value_set=terms).fill_null(-1).to_numpy()
+        shifts = pc.struct_field(flat, "offset").to_numpy()
+        ends_at = np.cumsum(pc.list_value_length(steps).to_numpy())
+        starts_at = np.concatenate([[0], ends_at[:-1]])
+        whole = np.flatnonzero(np.minimum.reduceat(codes, starts_at) >= 0)  # all their terms are in this segment
+        marks = np.zeros(int((first + own_to).max()) + 2, np.int32)
         items: dict[int, set] = {}
-        for bundle in right["phrases"]:
-            for phrase in bundle.as_py():
-                steps = [(s["term"], s["offset"]) for s in phrase["steps"]]
-                if within is None:
-                    starts = phrase_starts(lists, steps)
-                    ends = starts + len(steps)
-                else:
-                    spans = np.array(near_spans(lists, steps, within, first), np.int64).reshape(-1, 2)
-                    starts, ends = spans[:, 0], spans[:, 1] + 1
-                if len(starts):
-                    if ends.max() >= len(marks):
-                        marks = np.concatenate([marks, np.zeros(int(ends.max()), np.int32)])
-                    np.add.at(marks, starts, 1)
-                    np.add.at(marks, ends, -1)
-                    for doc in np.unique(np.searchsorted(first, starts, "right") - 1).tolist():
-                        items.setdefault(doc, set()).update(phrase["item_ids"])
+        for k in whole.tolist():
+            used, shift = codes[starts_at[k] : ends_at[k]].tolist(), shifts[starts_at[k] : ends_at[k]].tolist()
+            lists = {c: values[bounds[c] : bounds[c + 1]] for c in used}
+            if within is None:
+                starts = phrase_starts([(lists[c], by) for c, by in zip(used, shift)])
+                ends = starts + len(used)
+            else:
+                spans = np.array(near_spans(lists, Counter(used), used[0], within, first), np.int64).reshape(-1, 2)
+                starts, ends = spans[:, 0], spans[:, 1] + 1
+            if len(starts):
+                if ends.max() >= len(marks):
+                    marks = np.concatenate([marks, np.zeros(int(ends.max()), np.int32)])
+                np.add.at(marks, starts, 1)
+                np.add.at(marks, ends, -1)
+                for doc in np.unique(np.searchsorted(first, starts, "right") - 1).tolist():
+                    items.setdefault(doc, set()).update(item_ids[k].as_py())
         hit = np.cumsum(marks) > 0
         out: dict[str, list] = {"row": [], "n_hit": [], "item_ids": [], "spans": []}
         for doc, ids in sorted(items.items()):
@@ -300,7 +304,7 @@ def contaminated(
     """
     reach = max(size, within or 0) - 1
     idx = index(docs, id_column, text_column, reach, segment_bytes)
-    found = hits(idx, windows(items, item_column, item_text_column, size), within)
+    found = hits(idx, materialize(windows(items, item_column, item_text_column, size), "phrases"), within)
     parts = idx.where("term is null").select("row", "doc_id", (F.col("own_to") - F.col("own_from")).alias("n_words"))
     both = parts.unionByName(found, allowMissingColumns=True)
     names = F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids"))))
