@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabweld.llm import decontaminate, line_dedup, mixing, periodic, pieces, pii, quality, sharding, simhash, suffix_dedup, topk, url_filter
+from tabweld.llm import alignment, decontaminate, line_dedup, mixing, periodic, pieces, pii, quality, sharding, simhash, suffix_dedup, topk, url_filter
 
 #: For tests and benchmarks; a real run takes its key from a secret store.
 PII_KEY = "corpus-key-1"
@@ -94,6 +94,21 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", simhash.as_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def tokenizer_pair(byte_bpe: str | None = None, piece_model: str | None = None) -> alignment.Pair:
+    """The two public tokenizers, wherever they are installed; other files may be given."""
+    if byte_bpe is None or piece_model is None:
+        import public_tokenizers
+
+        byte_bpe = byte_bpe or public_tokenizers.path("byte_bpe_50k.json")
+        piece_model = piece_model or public_tokenizers.path("piece_bpe_32k.model")
+    return alignment.read_pair(byte_bpe, piece_model)
+
+
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of two tokenizers in every document, weighed by the documents that hold a pair."""
+    return alignment.aligned(table(spark, sf_dir, "documents"), tokenizer_pair())[1]
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The periodic runs of every document, a tenth of which continue with a period from some word on."""
     return periodic.report(periodic.with_planted_periods(table(spark, sf_dir, "documents")))
@@ -115,6 +130,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filters": op8_url_filters,
     "op9_quality_rules": op9_quality_rules,
     "op10_simhash": op10_simhash,
+    "op11_alignment": op11_alignment,
     "op12_periodic_runs": op12_periodic_runs,
     "op13_decontamination": op13_decontamination,
 }
