@@ -23,6 +23,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -39,8 +40,14 @@ from tabweld.session import materialize
 BLOCK_BYTES = 8 << 20
 #: Bytes of text that are encoded at once; the encodings take many times that.
 CHUNK_BYTES = 1 << 19
-#: A task forgets the splits it has met when it remembers more than these.
-REMEMBERED = 400_000
+#: A task forgets the units it has met when it remembers more than these.
+REMEMBERED = 300_000
+#: Where byte-level BPE splits a text before it joins tokens. Fixed value.
+SPLITS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Units begin with white space after something else. Byte-level BPE ends its splits there, looks ahead over
+#: white space only, and never back; so it encodes units on their own. SentencePiece does so if a unit begins
+#: with a character that its pieces have at their beginning only.
+UNIT = r"\s+\S*(?:[^\S%s]\s*\S*)*"
 
 ship_by_value(__name__)
 
@@ -53,8 +60,10 @@ class Pair:
     b_file: bytes
     a_tokens: tuple[bytes, ...]
     b_tokens: tuple[bytes, ...]
-    #: Whether A's ids of a text are those of its splits, one after the other.
-    by_split: bool
+    #: White space that can begin a unit; none if A or B cannot encode units on their own.
+    cuts: str
+    #: Whether A joins tokens in the order of their ids; then tiktoken gives the same ids in less time.
+    ranked: bool
 
     def identity(self) -> np.ndarray:
         """For each A id the B id of the same bytes, -1 without one; pieces come before single bytes."""
@@ -97,71 +106,71 @@ def read_pair(byte_bpe: str, piece_model: str) -> Pair:
         else:
             b_tokens.append(b"" if model.is_control(i) or model.is_unknown(i) else piece.replace("▁", " ").encode())
     splits = described.get("pre_tokenizer") or {}
-    by_split = splits.get("type") == "ByteLevel" and splits.get("use_regex", True) and not splits.get("add_prefix_space") and not described.get("normalizer")
-    return Pair(a_file, b_file, tuple(a_tokens), tuple(b_tokens), by_split)
-
-
-#: How byte-level BPE splits a text before it merges: no token crosses such a split. Fixed value.
-SPLITS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+    in_a = splits.get("type") == "ByteLevel" and splits.get("use_regex", True) and not splits.get("add_prefix_space") and not described.get("normalizer")
+    made = [vocabulary["".join(m if isinstance(m, list) else m.split(" "))] for m in described["model"]["merges"]]
+    pieces = [t.decode("utf-8", "replace") for i, t in enumerate(b_tokens) if not model.is_byte(i)]
+    cuts = [c for c in " \n\t" if in_a and not any(c in p.lstrip(c) for p in pieces)]
+    return Pair(a_file, b_file, tuple(a_tokens), tuple(b_tokens), "".join(cuts) if " " in cuts else "", in_a and made == sorted(made))
 
 
 class Encoders:
-    """Both tokenizers, opened once in a task. A's ids of a split are remembered for some splits."""
+    """Both tokenizers, opened once in a task."""
 
     def __init__(self, pair: Pair):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import regex
         import sentencepiece
+        import tiktoken
         from tokenizers import Tokenizer
 
-        self.a = Tokenizer.from_buffer(pair.a_file)
-        self.a.encode_special_tokens = True  # their strings in a text are plain text
-        self.b = sentencepiece.SentencePieceProcessor(model_proto=pair.b_file)
-        self.a_tokens, self.b_tokens = pair.a_tokens, pair.b_tokens
-        self.find = regex.compile(SPLITS).findall if pair.by_split else lambda text: [text]
-        self.known: dict[str, list[int]] = {}
-
-    def in_a(self, texts: list[str]) -> Iterator[list[int]]:
-        split = [self.find(" " + t) for t in texts]
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        new = list({w for words in split for w in words if w not in self.known})
-        self.known.update(zip(new, (e.ids for e in self.a.encode_batch_fast(new, add_special_tokens=False))))
-        for words in split:
-            ids: list[int] = []
-            for w in words:
-                ids += self.known[w]
-            yield ids
-
-    def encode(self, texts: list[bytes]) -> Iterator[tuple[list[int], list[int]]]:
-        """Ids of each text after a space; none where the tokens' bytes are not those of the text."""
-        plain = [t.decode("utf-8", "replace") for t in texts]
-        for text, a, b in zip(texts, self.in_a(plain), self.b.encode(plain, num_threads=1)):
-            whole = b" " + text
-            same = text and b"".join(map(self.a_tokens.__getitem__, a)) == whole and b"".join(map(self.b_tokens.__getitem__, b)) == whole
-            yield (a, b) if same else ([], [])
-
-
-def group_ends(a: np.ndarray, b: np.ndarray, a_bytes: np.ndarray, b_bytes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Past-the-last A and B token of every group."""
-    a_ends, b_ends = np.cumsum(a_bytes[a]), np.cumsum(b_bytes[b])
-    at = np.searchsorted(b_ends, a_ends)
-    at[at == len(b_ends)] = 0
-    in_a = np.flatnonzero(b_ends[at] == a_ends) if len(b_ends) else np.zeros(0, np.int64)
-    return in_a + 1, at[in_a] + 1
-
-
-def group_strings(a: list[int], b: list[int], a_end: np.ndarray, b_end: np.ndarray, a_text: list[str], b_text: list[str]) -> str:
-    """``a1,a2|b1;a3|b2,b3``: the groups of a text."""
-    a_named, b_named = [a_text[i] for i in a], [b_text[i] for i in b]
-    out, low, below = [], 0, 0
-    for e, f in zip(a_end.tolist(), b_end.tolist()):
-        if e - low == 1 and f - below == 1:
-            out.append(f"{a_named[low]}|{b_named[below]}")
+        if pair.ranked:
+            ranks = {t: i for i, t in enumerate(pair.a_tokens) if t}
+            one = tiktoken.Encoding("a", pat_str=SPLITS, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+            self.in_a = lambda units: map(one, units)
         else:
-            out.append(f"{','.join(a_named[low:e])}|{','.join(b_named[below:f])}")
-        low, below = e, f
-    return ";".join(out)
+            library = Tokenizer.from_buffer(pair.a_file)
+            library.encode_special_tokens = True  # their strings in a text are plain text
+            self.in_a = lambda units: (e.ids for e in library.encode_batch_fast(units, add_special_tokens=False))
+        self.b = sentencepiece.SentencePieceProcessor(model_proto=pair.b_file)
+        self.a_tokens, self.b_tokens, self.cuts = pair.a_tokens, pair.b_tokens, pair.cuts
+        self.find = regex.compile(UNIT % pair.cuts).findall
+        self.prefix = [self.b.piece_to_id("\u2581")]
+
+    def units(self, text: str) -> list[str]:
+        """Parts of a space and the text that both tokenizers encode on their own."""
+        return self.find(" " + text) if self.cuts else [" " + text]
+
+    def encode(self, units: list[str]) -> Iterator[tuple[list[int], list[int]] | None]:
+        """Ids of each unit; None where the tokens' bytes are not those of the unit."""
+        in_b = self.b.encode([u[1:] if u[0] == " " else u for u in units], num_threads=1)
+        for unit, a, b in zip(units, self.in_a(units), in_b):
+            if unit == " ":  # B puts no space before nothing
+                b = self.prefix
+            elif unit[0] != " ":  # B put its own space before
+                b = b[1:] if b[:1] == self.prefix else []
+            whole = unit.encode("utf-8", "replace")
+            same = b"".join(map(self.a_tokens.__getitem__, a)) == whole and b"".join(map(self.b_tokens.__getitem__, b)) == whole
+            yield (a, b) if same else None
+
+
+def groups_in(a: list[int], b: list[int], a_bytes: list[int], b_bytes: list[int]) -> Iterator[tuple[list[int], list[int]]]:
+    """Ids of every group of two encodings of the same bytes."""
+    a_end = b_end = i = j = low = below = 0
+    while i < len(a):
+        a_end += a_bytes[a[i]]
+        i += 1
+        while b_end < a_end:
+            b_end += b_bytes[b[j]]
+            j += 1
+        if a_end == b_end:
+            yield a[low:i], b[below:j]
+            low, below = i, j
+
+
+def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """All places of the given ranges, one range after the other."""
+    shift = np.repeat(starts - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes)
+    return np.arange(len(shift)) + shift
 
 
 @dataclass
@@ -176,52 +185,114 @@ class Held:
     pairs: np.ndarray
 
 
-class Block:
-    """Documents of a block, its distinct irregular groups, and the pairs that its documents hold."""
+class Lists:
+    """Short lists of whole numbers, one after the other."""
 
-    def __init__(self, identity: np.ndarray, sizes: tuple[np.ndarray, np.ndarray], names: tuple[list[str], list[str]]):
-        self.identity, self.sizes, self.names, self.width = identity, sizes, names, len(sizes[1])
-        self.bytes = 0
-        self.docs: list[dict] = []
-        self.codes: dict[bytes, int] = {}
+    def __init__(self) -> None:
+        self.values, self.ends = array("i"), array("q", [0])
+
+    def append(self, values: list[int]) -> None:
+        self.values.extend(values)
+        self.ends.append(len(self.values))
+
+    def counted(self, which: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct values of the chosen lists, each list so many times, and how often each occurs."""
+        ends, values = np.frombuffer(self.ends, np.int64), np.frombuffer(self.values, np.int32)
+        sizes = ends[which + 1] - ends[which]
+        found, at = np.unique(values[ranges(ends[which], sizes)], return_inverse=True)
+        return found, np.bincount(at, np.repeat(times, sizes), len(found)).astype(np.int32)
+
+
+class Units:
+    """What a task remembers: the units it has met, their identity tokens and their irregular groups."""
+
+    def __init__(self, encoders: Encoders, identity: np.ndarray):
+        self.encoders, self.identity, self.same = encoders, identity, identity.tolist()
+        self.sizes = [list(map(len, tokens)) for tokens in (encoders.a_tokens, encoders.b_tokens)]
+        self.width = len(encoders.b_tokens)
+        self.plain_text = [f"{a}|{b}" for a, b in enumerate(self.same)]
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.spelled: list[str | None] = []
+        self.counts, self.plain, self.odd = array("q"), Lists(), Lists()
+        self.codes: dict[tuple, int] = {}
         self.groups: list[Held] = []
-        self.held: list[np.ndarray] = []
+        self.odd_text: list[str] = []
 
-    def code_of(self, a: np.ndarray, b: np.ndarray) -> int:
-        key = len(a).to_bytes(8, "little") + a.tobytes() + b.tobytes()
+    def code_of(self, a: list[int], b: list[int]) -> int:
+        key = (tuple(a), tuple(b))
         code = self.codes.get(key)
         if code is None:
             code = self.codes[key] = len(self.groups)
-            (x, m), (y, n) = (np.unique(ids, return_counts=True) for ids in (a, b))
+            (x, m), (y, n) = (np.unique(np.array(ids, np.int32), return_counts=True) for ids in key)
             pairs = (x.astype(np.int64)[:, None] * self.width + y).ravel()
-            self.groups.append(Held(hashlib.blake2b(key, digest_size=16).digest(), x, m, y, n, pairs))
+            self.odd_text.append("|".join(",".join(map(str, ids)) for ids in key))
+            self.groups.append(Held(hashlib.blake2b(repr(key).encode(), digest_size=16).digest(), x, m, y, n, pairs))
         return code
 
-    def add(self, doc_id: object, a_ids: list[int], b_ids: list[int], seen: np.ndarray) -> None:
+    def learn(self, units: list[str]) -> None:
+        for unit, ids in zip(units, self.encoders.encode(units)):
+            self.known[unit] = len(self.spelled)
+            plain, odd, spelled, links = [], [], [], 0
+            a, b = ids or ((), ())
+            for x, y in groups_in(a, b, *self.sizes):
+                if len(x) == len(y) == 1 and self.same[x[0]] == y[0]:
+                    plain.append(x[0])
+                    spelled.append(self.plain_text[x[0]])
+                    links += 1
+                else:
+                    code = self.code_of(x, y)
+                    odd.append(code)
+                    spelled.append(self.odd_text[code])
+                    links += len(x) * len(y)
+            self.plain.append(plain)
+            self.odd.append(odd)
+            self.counts.extend((len(a), len(b), len(spelled), links))
+            self.spelled.append(";".join(spelled) if ids else None)
+
+    def numbered(self, texts: list[str]) -> Iterator[list[int]]:
+        """The units of each text, by number."""
+        split = [self.encoders.units(t) if t else [] for t in texts]
+        self.learn(list({u: None for units in split for u in units if u not in self.known}))
+        for units in split:
+            yield list(map(self.known.__getitem__, units))
+
+
+class Block:
+    """Documents of a block, the irregular groups in them, and the pairs that each document holds."""
+
+    def __init__(self, units: Units):
+        self.units, self.bytes = units, 0
+        self.docs: list[dict] = []
+        self.codes: list[np.ndarray] = []
+        self.held: list[np.ndarray] = []
+
+    def add(self, doc_id: object, numbers: list[int], seen: np.ndarray) -> None:
         """Take a document in; ``seen`` counts documents by the A ids that they hold linked to the identical token."""
-        a, b = np.array(a_ids, np.int32), np.array(b_ids, np.int32)
-        a_end, b_end = group_ends(a, b, *self.sizes)
-        a_size, b_size = np.diff(a_end, prepend=0), np.diff(b_end, prepend=0)
-        last = a[a_end - 1]
-        plain = (a_size == 1) & (b_size == 1) & (self.identity[last] == b[b_end - 1])
-        odd = np.flatnonzero(~plain)
-        bounds = zip(a_end[odd].tolist(), a_size[odd].tolist(), b_end[odd].tolist(), b_size[odd].tolist())
-        codes, code_times = np.unique(np.array([self.code_of(a[e - m : e], b[f - n : f]) for e, m, f, n in bounds], np.int32), return_counts=True)
-        own, times = np.unique(last[plain], return_counts=True)
-        pairs = np.unique(np.concatenate([np.zeros(0, np.int64), *(self.groups[c].pairs for c in codes.tolist())]))
-        same = self.identity[pairs // self.width] == pairs % self.width
-        seen[np.union1d(own, pairs[same] // self.width)] += 1
+        units = self.units
+        spelled = list(map(units.spelled.__getitem__, numbers))
+        if None in spelled:
+            numbers, spelled = [], []
+        which, times = np.unique(np.array(numbers, np.int64), return_counts=True)
+        own, own_times = units.plain.counted(which, times)
+        codes, code_times = units.odd.counted(which, times)
+        pairs = np.unique(np.concatenate([np.zeros(0, np.int64), *(units.groups[c].pairs for c in codes.tolist())]))
+        same = units.identity[pairs // units.width] == pairs % units.width
+        seen[np.union1d(own, pairs[same] // units.width)] += 1
         self.held.append(pairs[~same])
-        spelled = group_strings(a_ids, b_ids, a_end, b_end, *self.names)
+        self.codes.append(codes)
+        counts = np.frombuffer(units.counts, np.int64).reshape(-1, 4)
         self.docs.append(
             {
                 "doc_id": doc_id,
-                "sizes": [len(a), len(b), len(a_end), int((a_size * b_size).sum())],
+                "sizes": (times @ counts[which]).tolist(),
                 "a": own.tobytes(),
-                "a_times": times.astype(np.int32).tobytes(),
+                "a_times": own_times.tobytes(),
                 "codes": codes.tobytes(),
-                "code_times": code_times.astype(np.int32).tobytes(),
-                "groups_sha256": hashlib.sha256(spelled.encode()).hexdigest() if spelled else "",
+                "code_times": code_times.tobytes(),
+                "groups_sha256": hashlib.sha256(";".join(spelled).encode()).hexdigest() if spelled else "",
             }
         )
 
@@ -237,13 +308,11 @@ def first_pass(docs: DataFrame, pair: Pair, id_column: str, text_column: str, bl
     sent = slim.sparkSession.sparkContext.broadcast(pair)  # as large as the tokenizers' files
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pair = sent.value
-        encoders, identity = Encoders(pair), pair.identity()
-        sizes = tuple(np.array([len(t) for t in tokens], np.int64) for tokens in (pair.a_tokens, pair.b_tokens))
-        names = tuple([str(i) for i in range(len(tokens))] for tokens in (pair.a_tokens, pair.b_tokens))
+        identity = sent.value.identity()
+        units = Units(Encoders(sent.value), identity)
         seen = np.zeros(len(identity), np.int64)
         number = TaskContext.get().partitionId() << 33
-        block, kind = Block(identity, sizes, names), None
+        block, kind = Block(units), None
 
         def rows(**columns: pa.Array) -> pa.RecordBatch:
             n = len(next(iter(columns.values())))
@@ -255,16 +324,17 @@ def first_pass(docs: DataFrame, pair: Pair, id_column: str, text_column: str, bl
                 part = block.docs[at : at + 1024]
                 given = {c: pa.array([d[c] for d in part], kind[c]) for c in part[0]}
                 yield rows(block=pa.array([number] * len(part), pa.int64()), **given)
-            for at in range(0, len(block.groups), 1 << 14):
-                part = block.groups[at : at + (1 << 14)]
+            used = np.unique(np.concatenate(block.codes))
+            for at in range(0, len(used), 1 << 14):
+                codes = used[at : at + (1 << 14)]
+                part = [units.groups[c] for c in codes.tolist()]
                 lists = {c: pa.array([getattr(g, f) for g in part], pa.list_(pa.int32())) for c, f in (("group_a", "a"), ("times_a", "a_times"), ("group_b", "b"), ("times_b", "b_times"))}
-                yield rows(block=pa.array([number] * len(part), pa.int64()), code=pa.array(range(at, at + len(part)), pa.int32()), key=pa.array([g.key for g in part], pa.binary()), **lists)
-            if block.held:
-                pairs, counts = np.unique(np.concatenate(block.held), return_counts=True)
-                for at in range(0, len(pairs), 1 << 16):
-                    part = pairs[at : at + (1 << 16)]
-                    ids = {"a_id": pa.array(part // block.width, pa.int32()), "b_id": pa.array(part % block.width, pa.int32())}
-                    yield rows(**ids, docs=pa.array(counts[at : at + (1 << 16)], pa.int64()), same=pa.array(np.zeros(len(part), bool)))
+                yield rows(block=pa.array([number] * len(part), pa.int64()), code=pa.array(codes), key=pa.array([g.key for g in part], pa.binary()), **lists)
+            pairs, counts = np.unique(np.concatenate(block.held), return_counts=True)
+            for at in range(0, len(pairs), 1 << 16):
+                part = pairs[at : at + (1 << 16)]
+                ids = {"a_id": pa.array(part // units.width, pa.int32()), "b_id": pa.array(part % units.width, pa.int32())}
+                yield rows(**ids, docs=pa.array(counts[at : at + (1 << 16)], pa.int64()), same=pa.array(np.zeros(len(part), bool)))
 
         def cut(ids: list, texts: list[bytes]) -> Iterator[tuple[list, list[bytes]]]:
             start = size = 0
@@ -286,12 +356,14 @@ def first_pass(docs: DataFrame, pair: Pair, id_column: str, text_column: str, bl
                 part = batch.slice(at, 512)
                 texts = [t.as_py() or b"" for t in part.column(1)]
                 for ids, some in cut(part.column(0).to_pylist(), texts):
-                    for doc_id, text, (a, b) in zip(ids, some, encoders.encode(some)):
-                        if block.docs and block.bytes + len(text) > block_bytes:
-                            yield from ended()
-                            number, block = number + 1, Block(identity, sizes, names)
-                        block.add(doc_id, a, b, seen)
-                        block.bytes += len(text) + 64
+                    if block.docs and block.bytes + sum(map(len, some)) > block_bytes:
+                        yield from ended()
+                        number, block = number + 1, Block(units)
+                        if len(units.known) > REMEMBERED:
+                            units.forget()
+                    for doc_id, numbers in zip(ids, units.numbered([t.decode("utf-8", "replace") for t in some])):
+                        block.add(doc_id, numbers, seen)
+                    block.bytes += sum(len(t) + 64 for t in some)
         if block.docs:
             yield from ended()
             a = np.flatnonzero(seen)
@@ -340,13 +412,12 @@ def aligned(docs: DataFrame, pair: Pair, id_column: str = "doc_id", text_column:
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def add_up(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        n = right.num_rows
-        total, chosen = np.zeros(n, np.int64), np.zeros(n, np.int64)
-        code = right["code"].to_numpy()
-        total[code], chosen[code] = right["count_sum"].to_numpy(), right["n_best"].to_numpy()
+        order = np.argsort(right["code"].to_numpy())
+        code, total, chosen = (right[c].to_numpy()[order] for c in ("code", "count_sum", "n_best"))
         count_sum, n_best = [], []
         for a, a_times, codes, code_times in zip(*(left[c].to_pylist() for c in ("a", "a_times", "codes", "code_times"))):
             a, a_times, codes, code_times = (np.frombuffer(x, np.int32) for x in (a, a_times, codes, code_times))
+            codes = np.searchsorted(code, codes)
             count_sum.append(int(weight[a] @ a_times) + int(total[codes] @ code_times))
             n_best.append(int(is_best[a] @ a_times) + int(chosen[codes] @ code_times))
         sizes = left["sizes"].combine_chunks().flatten().to_numpy().reshape(-1, 4)
@@ -368,12 +439,13 @@ def groups_of(docs: DataFrame, pair: Pair, id_column: str = "doc_id", text_colum
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoders = Encoders(sent.value)
-        sizes = tuple(np.array([len(t) for t in tokens], np.int64) for tokens in (sent.value.a_tokens, sent.value.b_tokens))
+        sizes = [list(map(len, tokens)) for tokens in (encoders.a_tokens, encoders.b_tokens)]
         for batch in batches:
             for i in range(batch.num_rows):
-                ((a, b),) = encoders.encode([batch.column(1)[i].as_py() or b""])
-                a_end, b_end = (x.tolist() for x in group_ends(np.array(a, np.int32), np.array(b, np.int32), *sizes))
-                cut = [{"a": a[low:e], "b": b[below:f]} for low, e, below, f in zip([0, *a_end], a_end, [0, *b_end], b_end)]
+                text = (batch.column(1)[i].as_py() or b"").decode("utf-8", "replace")
+                units = encoders.units(text) if text else []
+                ids = list(encoders.encode(units)) if units else []
+                cut = [] if None in ids else [{"a": x, "b": y} for a, b in ids for x, y in groups_in(a, b, *sizes)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), pa.array([cut], kind)], ["doc_id", "groups"])
 
     doc_id = slim.schema["doc_id"].dataType.simpleString()
