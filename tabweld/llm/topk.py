@@ -4,9 +4,9 @@ Inner products become distances: with ``M`` the largest squared length, a vector
 more component ``sqrt(M - x.x)`` and a query ``q`` a zero, so that ``d(q, x)^2 = q.q + M - 2 q.x``
 and the largest products are the smallest distances.
 
-1. Equal vectors are one entry with the smallest of their ids: no list needs more of them.
-2. A bounded sample of vectors divides the rest into regions by the nearest one; regions are cut by
-   a hash into trees of at most about ``TREE_ROWS`` entries. Each tree is built once into pages of
+1. Equal vectors are one entry with the ``k + 1`` smallest of their ids: no list needs more of them.
+2. A bounded sample of vectors divides the rest into regions by the nearest one (their number grows with
+   the root of the rows); regions are cut by a hash into trees of at most about ``TREE_ROWS`` entries. Each tree is built once into pages of
    up to ``PAGE_ROWS`` entries, written as a table: an entry has its routing vector, its covering
    radius and its distance to the entry above it.
 3. Every query first searches the tree it lies in, which gives a score that its last result will
@@ -15,13 +15,15 @@ and the largest products are the smallest distances.
    distance already excludes it by the triangle inequality is not computed at all; the rest of a
    page is computed in one product. Scores are whole numbers and exact.
 
-Queries travel in blocks of ``BLOCK_ROWS``; a task holds the pages of one tree and one block.
+Queries of the same regions travel in blocks of about ``BLOCK_ROWS``; pages go to the blocks that reach
+their tree. A task holds the pages of one tree and one block.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
+from bisect import insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +35,7 @@ from pyspark.sql import functions as F
 from tabweld.llm.common import ship_by_value
 from tabweld.session import materialize
 
-REGIONS = 32
+REGIONS, MOST_REGIONS = 32, 4096
 TREE_ROWS = 8192
 PAGE_ROWS = 128
 BLOCK_ROWS = 2048
@@ -130,11 +132,12 @@ class Page:
 
 
 def best_first(pages: dict[int, Page], query: np.ndarray, root_distance: float, largest: float, least: int | None, k: int) -> tuple[list[tuple[int, int]], int]:
-    """The ``k`` best (score, smaller id first) of a tree that score at least ``least``, and the
-    number of distances computed. ``-1`` fills the lists of ids."""
+    """The ``k`` best ids (by their best score, smaller id first) of a tree that score at least ``least``,
+    and the number of distances computed. ``EMPTY`` fills the lists of ids."""
     q, square = query.astype(float), float(query.astype(float) @ query.astype(float))
     slack = 1e-7 * (1.0 + math.sqrt(square + largest))
-    kept: list[tuple[int, int]] = []  # a heap, worst first: (score, -id)
+    kept: list[tuple[int, int]] = []  # worst first: (score, -id), each id once
+    best: dict[int, int] = {}
 
     def limit() -> float:
         floor = kept[0][0] if len(kept) == k else None
@@ -166,10 +169,17 @@ def best_first(pages: dict[int, Page], query: np.ndarray, root_distance: float,
                     if own == EMPTY:
                         break
                     entry = (score, -own)
-                    if len(kept) < k:
-                        heapq.heappush(kept, entry)
-                    elif entry > kept[0]:
-                        heapq.heapreplace(kept, entry)
+                    if len(kept) == k and entry <= kept[0]:
+                        break  # so are the entry's other ids, which are larger
+                    known = best.get(own)
+                    if known is not None and known >= score:
+                        continue
+                    if known is not None:
+                        kept.remove((known, -own))
+                    elif len(kept) == k:
+                        del best[-kept.pop(0)[1]]
+                    insort(kept, entry)
+                    best[own] = score
             bound = limit()
         else:
             d = np.sqrt(np.maximum(square + page.squares[near] - 2.0 * (page.floats[near] @ q), 0.0))
@@ -188,8 +198,8 @@ def top_k(rows: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
     """``query_id, rank, vec_id, score`` of the ``k`` highest inner products for every query row.
 
     ``rows`` has ``vec_id`` and ``v`` (whole numbers); ``is_query`` is a condition on ``vec_id``.
-    Candidates are all rows with another id than the query's; ties go to the smaller id. Repeated
-    rows count once. Vectors of different lengths are multiplied as far as both go. Products must
+    Candidates are all ids but the query's own; ties go to the smaller id. An id with several vectors is
+    one candidate, or one query, by the best of its products. Repeated rows count once. Vectors of different lengths are multiplied as far as both go. Products must
     stay below 2^63. Empty tables give an empty result.
     """
     rows = materialize(rows.distinct(), "vectors")
@@ -198,14 +208,14 @@ def top_k(rows: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
     if shape.width is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     width, largest = max(shape.width, 1), shape.largest
-    # An id with several vectors is left out of its own lists that many times.
-    wanted = k + (rows.groupBy("vec_id").count().agg(F.max("count").alias("n")).first().n)
+    wanted = k + 1  # the query's own id is left out at the end
     ranked = rows.withColumn("n", F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))).where(F.col("n") <= wanted)
     entries = materialize(ranked.groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")), "entries")
     asked = rows.where(is_query)
     queries = asked.select("v").distinct()
 
-    sample = entries.orderBy(F.xxhash64("v"), "v").limit(REGIONS).select("v").collect()
+    most = min(MOST_REGIONS, max(REGIONS, math.isqrt(entries.count()) // 8))
+    sample = entries.orderBy(F.xxhash64("v"), "v").limit(most).select("v").collect()
     centres = np.zeros((len(sample), width), np.int64)
     for i, r in enumerate(sample):
         centres[i, : len(r.v)] = r.v
@@ -239,9 +249,17 @@ def top_k(rows: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
     part = part_of(parts)
     pages = materialize(placed.withColumn("part", part).groupBy("region", "part").applyInPandas(pages_of, PAGES), "pages")
 
-    count = queries.count()
-    blocks = max(1, math.ceil(count / BLOCK_ROWS))
-    numbered = queries.withColumn("block", F.pmod(F.xxhash64("v", F.lit(7)), F.lit(blocks)).cast("int"))
+    home = materialize(queries.join(placed.select("v", "region"), "v").withColumn("part", part), "queries")
+    asking = {r.region: r["count"] for r in home.groupBy("region").count().collect()}
+    base, splits, before = [], [], 0
+    for region in range(len(centres)):  # regions with few queries share a block
+        own = asking.get(region, 0)
+        base.append(before // BLOCK_ROWS)
+        splits.append(max(1, own // BLOCK_ROWS))
+        before += own
+    own_base, own_splits = (F.get(F.array(*map(F.lit, x)), F.col("region")) for x in (base, splits))
+    block = (own_base + F.pmod(F.xxhash64("v", F.lit(7)), own_splits)).cast("long")
+    home = home.withColumn("block", block)
 
     def search(key: tuple, page_rows: pd.DataFrame, asked_rows: pd.DataFrame) -> pd.DataFrame:
         found: list[tuple] = []
@@ -255,15 +273,14 @@ def top_k(rows: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
                 found.extend((v, score, vec_id) for score, vec_id in best)
         return pd.DataFrame(found, columns=["v", "score", "vec_id"])
 
-    spread = pages.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-
     def searched(pairs: DataFrame) -> DataFrame:
         keys = ["region", "part", "block"]
+        spread = pages.join(materialize(pairs.select(*keys).distinct(), "reached-trees"), ["region", "part"])
         return pairs.groupBy(*keys).cogroup(spread.groupBy(*keys)).applyInPandas(
             lambda key, asked_rows, page_rows: search(key, page_rows, asked_rows), "v array<long>, score long, vec_id long"
         )
 
-    home = numbered.join(placed.select("v", "region"), "v").withColumn("part", part).withColumn("least", F.lit(None).cast("string"))
+    home = home.withColumn("least", F.lit(None).cast("string"))
     first = materialize(searched(home), "home-results")
     order = Window.partitionBy("v").orderBy(F.desc("score"), "vec_id")
     seen = first.withColumn("n", F.row_number().over(order)).where(F.col("n") == wanted)
@@ -281,11 +298,12 @@ def top_k(rows: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
             i, region = np.nonzero(ok)
             yield pa.RecordBatch.from_arrays([*(c.take(pa.array(i)) for c in batch.columns), pa.array(region.astype(np.int32))], [*batch.schema.names, "region"])
 
-    pairs = bounds.mapInArrow(reachable, "v array<long>, block int, home int, home_part int, least long, region int")
+    pairs = bounds.mapInArrow(reachable, "v array<long>, block long, home int, home_part int, least long, region int")
     pairs = pairs.withColumn("part", F.explode(F.sequence(F.lit(0), F.get(F.array(*map(F.lit, parts)), F.col("region")) - 1)))
     pairs = pairs.where((F.col("region") != F.col("home")) | (F.col("part") != F.col("home_part")))
-    rest = searched(pairs.select("v", "region", "part", "block", F.col("least").cast("string").alias("least")))
-    best = first.unionByName(rest).withColumn("n", F.row_number().over(order)).where(F.col("n") <= wanted)
+    pairs = materialize(pairs.select("v", "region", "part", "block", F.col("least").cast("string").alias("least")), "query-trees")
+    each = first.unionByName(searched(pairs)).groupBy("v", "vec_id").agg(F.max("score").alias("score"))
+    best = each.withColumn("n", F.row_number().over(order)).where(F.col("n") <= wanted)
     lists = asked.select(F.col("vec_id").alias("query_id"), "v").join(best.select("v", "score", "vec_id"), "v")
     last = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     lists = lists.where("vec_id <> query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))

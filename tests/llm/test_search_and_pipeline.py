@@ -52,6 +52,33 @@ def test_an_id_with_several_vectors(spark):
     assert [g[:3] for g in got] == [(0, 1, 4), (0, 2, 9), (0, 3, 3)]
 
 
+def best_of_ids(rows, k, every):
+    out = []
+    for q in sorted({i for i, _ in rows if i % every == 0}):
+        best = {}
+        for own, x in rows:
+            if own == q:
+                for i, y in rows:
+                    if i != q:
+                        best[i] = max(best.get(i, -(10**9)), sum(a * b for a, b in zip(x, y)))
+        ranked = sorted((-s, i) for i, s in best.items())
+        out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(ranked[:k])]
+    return out
+
+
+def test_two_ids_with_many_vectors(spark, monkeypatch):
+    rows = [(50, [90 + i, 80]) for i in range(10)] + [(7, [95 + i, 85]) for i in range(10)] + [(i, [i, 1]) for i in range(1, 7)]
+    got = search(spark, rows, k=5, every=50)
+    assert len(got) == 5 and got == best_of_ids(rows, 5, 50)
+    monkeypatch.setattr(topk, "TREE_ROWS", 40)
+    monkeypatch.setattr(topk, "PAGE_ROWS", 8)
+    monkeypatch.setattr(topk, "REGIONS", 4)
+    monkeypatch.setattr(topk, "BLOCK_ROWS", 5)
+    random.seed(12)
+    rows = [(random.choice([0, 5, 5, *range(40)]), [random.randint(-9, 9) for _ in range(3)]) for _ in range(500)]
+    assert search(spark, rows, k=6, every=5) == best_of_ids(rows, 6, 5)
+
+
 def test_pages_avoid_distances():
     rng = np.random.default_rng(9)
     x = (rng.normal(size=(20, 8))[rng.integers(0, 20, 3000)] * 1000 + rng.normal(size=(3000, 8)) * 5).astype(np.int64)
