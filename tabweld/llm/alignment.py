@@ -123,6 +123,7 @@ class Encoders:
         import tiktoken
         from tokenizers import Tokenizer
 
+        self.exact = pair.ranked and {bytes([b]) for b in range(256)} <= set(pair.a_tokens)  # A loses nothing then
         if pair.ranked:
             ranks = {t: i for i, t in enumerate(pair.a_tokens) if t}
             one = tiktoken.Encoding("a", pat_str=SPLITS, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
@@ -149,7 +150,7 @@ class Encoders:
             elif unit[0] != " ":  # B put its own space before
                 b = b[1:] if b[:1] == self.prefix else []
             whole = unit.encode("utf-8", "replace")
-            same = b"".join(map(self.a_tokens.__getitem__, a)) == whole and b"".join(map(self.b_tokens.__getitem__, b)) == whole
+            same = b"".join(map(self.b_tokens.__getitem__, b)) == whole and (self.exact or b"".join(map(self.a_tokens.__getitem__, a)) == whole)
             yield (a, b) if same else None
 
 
@@ -255,7 +256,7 @@ class Units:
     def numbered(self, texts: list[str]) -> Iterator[list[int]]:
         """The units of each text, by number."""
         split = [self.encoders.units(t) if t else [] for t in texts]
-        self.learn(list({u: None for units in split for u in units if u not in self.known}))
+        self.learn(list(set().union(*split).difference(self.known)))
         for units in split:
             yield list(map(self.known.__getitem__, units))
 
