@@ -17,6 +17,7 @@ from tabweld.functions.text import is_integral, is_numeric, is_scalar, is_text
 from tabweld.operators.assign import EDGES, greedy_assignment
 from tabweld.operators.candidates import id_subset_pairs, value_pairs
 from tabweld.operators.clean import drop_exact_duplicates, nan_to_null, standardize_strings
+from tabweld.operators.content_match import match_by_content
 from tabweld.operators.copies import assign_classes, classes, members
 from tabweld.operators.id_groups import match_by_ids
 from tabweld.operators.impute import apply_fills, assert_no_nulls, fill, fill_values, null_counts
@@ -240,35 +241,77 @@ def merge_datasets(
     align_both: bool = False,
     embed: Callable[[Column], Column] | None = None,
     max_pairs: int | None = None,
+    match_content: float | None = None,
     verify: bool = False,
 ) -> tuple[DataFrame, dict]:
     """Merge two tables; returns the merged table and the match statistics.
 
     ``left_key`` and ``right_key`` name unique whole-number columns that serve as row
     positions, or unique texts whose order gives the positions; null or repeated keys are an
-    error. Without keys positions are generated and written once. ``verify`` scans
+    error. Without keys positions are generated and written once. ``match_content`` is the share of
+    values from which columns without a match by name are matched by content. ``verify`` scans
     the result for nulls, which the imputation rules out by construction.
     """
-    a, b, matches = side_by_side(
-        lambda: _side(left, left_key),
-        lambda: _side(right, right_key),
-        lambda: match_schemas(left, right, embed) if schema_matches is None else schema_matches,
-    )
-    pairs = find_matches(
-        a, b, matches, similarity_threshold, id_columns, int_as_text, impute_ids, embed, max_pairs
+    a, b, stats = _matched(
+        left, right, similarity_threshold, left_key, right_key, schema_matches, id_columns, int_as_text, impute_ids, embed, max_pairs, match_content
     )
-    merged = _fuse(a, b, matches, pairs, align_both)
+    merged = _fuse(a, b, stats["schema_matches"], stats["matched_pairs"], align_both)
     if verify:
         assert_no_nulls(merged)
+    return merged, stats
+
+
+def match_datasets(
+    left: DataFrame,
+    right: DataFrame,
+    similarity_threshold: float = ROW_THRESHOLD,
+    *,
+    left_key: str | None = None,
+    right_key: str | None = None,
+    schema_matches: dict[str, str] | None = None,
+    id_columns: list[str] | None = None,
+    int_as_text: bool = False,
+    impute_ids: bool = True,
+    embed: Callable[[Column], Column] | None = None,
+    max_pairs: int | None = None,
+    match_content: float | None = None,
+) -> dict:
+    """The match statistics of ``merge_datasets`` without the merged table: nothing is fused or imputed for it."""
+    return _matched(
+        left, right, similarity_threshold, left_key, right_key, schema_matches, id_columns, int_as_text, impute_ids, embed, max_pairs, match_content
+    )[2]
+
+
+def _matched(
+    left: DataFrame,
+    right: DataFrame,
+    threshold: float,
+    left_key: str | None,
+    right_key: str | None,
+    schema_matches: dict[str, str] | None,
+    id_columns: list[str] | None,
+    int_as_text: bool,
+    impute_ids: bool,
+    embed: Callable[[Column], Column] | None,
+    max_pairs: int | None,
+    match_content: float | None,
+) -> tuple[Side, Side, dict]:
+    """Both sides and the match statistics."""
+
+    def columns() -> dict[str, str]:
+        named = match_schemas(left, right, embed) if schema_matches is None else schema_matches
+        return named if match_content is None else match_by_content(left, right, named, match_content)
+
+    a, b, matches = side_by_side(lambda: _side(left, left_key), lambda: _side(right, right_key), columns)
+    pairs = find_matches(a, b, matches, threshold, id_columns, int_as_text, impute_ids, embed, max_pairs)
     total = pairs.count()
-    stats = {
+    return a, b, {
         "total_matches": total,
         "schema_matches": matches,
         "matched_pairs": pairs,
         "unmatched_df1": a.rows - total,
         "unmatched_df2": b.rows - total,
     }
-    return merged, stats
 
 
 def _fuse(a: Side, b: Side, matches: dict[str, str], pairs: DataFrame, align_both: bool) -> DataFrame:

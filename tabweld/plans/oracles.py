@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from tabweld.functions.text import WHITESPACE
 from tabweld.plans.fixtures import LEFT, RIGHT
-from tabweld.plans.queries import ADDRESS_A, ADDRESS_B, CUSTOMER_SIDE, GAPS, LOG_A, LOG_B, NUMBERS_A, NUMBERS_B, ORDER_SIDE, TABLES
+from tabweld.plans.queries import ADDRESS_A, ADDRESS_B, CONTENT_A, CONTENT_B, CUSTOMER_SIDE, GAPS, LOG_A, LOG_B, NUMBERS_A, NUMBERS_B, ORDER_SIDE, TABLES
 
 _SPACES = "concat(" + ", ".join(f"chr({ord(c)})" for c in WHITESPACE) + ")"
 
@@ -279,6 +279,26 @@ _CUSTOMERS_BY_NUMBERS = _one_to_one(
 )
 
 
+def _contents(source: str, columns: str) -> str:
+    """Distinct values of each column as text; numbers alike in any type."""
+    parts = []
+    for i, c in enumerate(columns.split()):
+        plain = f"lower(trim(CAST({c} AS VARCHAR), {_SPACES}))"
+        whole = f"CASE WHEN typeof({c}) = 'DOUBLE' AND TRY_CAST({c} AS DOUBLE) = floor(TRY_CAST({c} AS DOUBLE)) THEN CAST(TRY_CAST(TRY_CAST({c} AS DOUBLE) AS BIGINT) AS VARCHAR) ELSE {plain} END"
+        parts.append(f"SELECT {i} AS p, '{c}' AS c, {whole} AS v FROM ({source})")
+    return f"SELECT DISTINCT * FROM ({' UNION ALL '.join(parts)}) WHERE v <> ''"
+
+
+_CONTENT_COLUMNS = f"""WITH lv AS ({_contents(CONTENT_A, 'a0 a1 a2 a3 a4')}), rv AS ({_contents(CONTENT_B, 'b0 b1 b2 b3 b4 b5')}),
+ln AS (SELECT p, c, count(*) AS n FROM lv GROUP BY ALL), rn AS (SELECT p, c, count(*) AS n FROM rv GROUP BY ALL),
+shared AS (SELECT lv.p AS lp, rv.p AS rp, count(*) AS n FROM lv JOIN rv USING (v) GROUP BY 1, 2),
+scored AS (SELECT lp, rp, ln.c AS left_column, rn.c AS right_column, round(s.n / ln.n, 9) AS score, round(s.n / (ln.n + rn.n - s.n), 9) AS overlap
+  FROM shared s JOIN ln ON ln.p = lp JOIN rn ON rn.p = rp),
+chosen AS (SELECT *, row_number() OVER (PARTITION BY lp ORDER BY score DESC, overlap DESC, rp) AS k FROM scored WHERE score >= 0.5),
+picked AS (SELECT *, row_number() OVER (PARTITION BY rp ORDER BY score DESC, overlap DESC, lp) AS m FROM chosen WHERE k = 1)
+SELECT left_column, right_column, round(score, 6) AS score FROM picked WHERE m = 1"""
+
+
 def oracle_sql() -> dict[str, str]:
     shapes = {
         "region": 2, "nation": 3, "customer": 5, "supplier": 4, "part": 6, "orders": 6, "lineitem": 11, "events": 6,
@@ -298,6 +318,7 @@ def oracle_sql() -> dict[str, str]:
         "csv_codes": "SELECT p_partkey, concat(p_size, CASE WHEN p_size % 2 = 0 THEN 'D' ELSE 'f' END) AS code FROM part",
         "exported_orders": "SELECT o_orderstatus, count(*) AS orders, max(o_orderkey) AS last, (SELECT count(*) FROM orders)::INTEGER AS rows FROM orders GROUP BY 1",
         "pages_by_address": _PAGES_BY_ADDRESS,
+        "content_columns": _CONTENT_COLUMNS,
         "customers_by_numbers": _CUSTOMERS_BY_NUMBERS,
         "matched_pairs": f"WITH {_MATCHED} SELECT id AS left_id, id AS right_id, 1.0 AS match_score FROM matched",
         "match_statistics": f"""WITH {_MATCHED} SELECT n AS total_matches, 5 AS schema_matches, a - n AS unmatched_left,

@@ -9,6 +9,7 @@ from tabweld.functions.similarity import bigram_cosine, jaro_winkler, numeric_cl
 from tabweld.functions.text import id_text, row_text
 from tabweld.operators import columns as cols
 from tabweld.operators.clean import clean_data, standardize_strings
+from tabweld.operators.content_match import content_matches
 from tabweld.operators.evaluate import evaluate_pairs
 from tabweld.operators.golden import golden_records
 from tabweld.operators.impute import impute_missing_values
@@ -23,8 +24,8 @@ from tabweld.operators.schema_match import (
     unmatched_columns,
 )
 from tabweld.operators.scoring import RowScore, plan_fields
-from tabweld.plans.fixtures import left_table, right_table, sql, table
-from tabweld.plans.merge import ROW_THRESHOLD, merge_datasets, preprocess_datasets
+from tabweld.plans.fixtures import RIGHT, left_table, right_table, sql, table
+from tabweld.plans.merge import ROW_THRESHOLD, match_datasets, merge_datasets, preprocess_datasets
 from tabweld.session import new_path
 from tabweld.sources.files import read_csv, read_json, write_csv, write_json
 from tabweld.sources.sqlite import export_to_sqlite, read_sqlite
@@ -76,12 +77,25 @@ FROM customer
 """
 
 
+# Customers under names that tell nothing; the right columns are in another order.
+CONTENT_A = "SELECT c_custkey AS a0, concat(' ', c_name, ' ') AS a1, c_acctbal AS a2, c_nationkey AS a3, c_mktsegment AS a4 FROM customer"
+CONTENT_B = (
+    "SELECT source_tag AS b0, mkt_segment AS b1, CAST(nation_key AS DOUBLE) AS b2, cust_id AS b3, full_name AS b4, acct_balance AS b5 "
+    f"FROM ({RIGHT}) x"
+)
+
+
 def _customers(spark: SparkSession, sf_dir: str, **options) -> tuple[DataFrame, dict, DataFrame, DataFrame]:
     left, right = left_table(spark, sf_dir), right_table(spark, sf_dir)
     merged, stats = merge_datasets(left, right, left_key="customer_id", right_key="cust_id", **options)
     return merged, stats, left, right
 
 
+def _customer_matches(spark: SparkSession, sf_dir: str) -> tuple[dict, DataFrame, DataFrame]:
+    left, right = left_table(spark, sf_dir), right_table(spark, sf_dir)
+    return match_datasets(left, right, left_key="customer_id", right_key="cust_id"), left, right
+
+
 def merge_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _customers(spark, sf_dir)[0]
 
@@ -91,17 +105,17 @@ def merge_customers_aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def matched_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return match_table(_customers(spark, sf_dir)[1]["matched_pairs"])
+    return match_table(_customer_matches(spark, sf_dir)[0]["matched_pairs"])
 
 
 def match_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, stats, left, right = _customers(spark, sf_dir)
+    stats, left, right = _customer_matches(spark, sf_dir)
     return merge_statistics(stats["matched_pairs"], left, right, len(stats["schema_matches"]))
 
 
 def match_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Precision and recall against the truth: the same customer under the same identifier."""
-    pairs = _customers(spark, sf_dir)[1]["matched_pairs"]
+    pairs = _customer_matches(spark, sf_dir)[0]["matched_pairs"]
     truth = sql(
         spark, sf_dir, "SELECT c_custkey AS left_id, c_custkey AS right_id FROM customer WHERE c_nationkey >= 5", "customer"
     )
@@ -110,14 +124,14 @@ def match_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def golden_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, stats, left, right = _customers(spark, sf_dir)
+    stats, left, right = _customer_matches(spark, sf_dir)
     return golden_records(left, right, stats["matched_pairs"], stats["schema_matches"], "customer_id", "cust_id")
 
 
 def orders_to_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = sql(spark, sf_dir, ORDER_SIDE, "orders", "customer")
     right = sql(spark, sf_dir, CUSTOMER_SIDE, "customer")
-    _, stats = merge_datasets(
+    stats = match_datasets(
         left, right, left_key="order_no", right_key="cust_id",
         schema_matches={"customer_id": "cust_id", "name": "full_name", "balance": "acct_balance"},
     )
@@ -126,7 +140,7 @@ def orders_to_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def event_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     left, right = sql(spark, sf_dir, LOG_A, "events"), sql(spark, sf_dir, LOG_B, "events")
-    _, stats = merge_datasets(
+    stats = match_datasets(
         left, right, left_key="entry", right_key="line",
         schema_matches={"user_id": "userid", "action": "action_name", "amount": "amount_paid"},
     )
@@ -136,21 +150,21 @@ def event_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def customers_to_suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """No identifier on either side: numbers bound the pairs."""
     left, right = table(spark, sf_dir, "customer"), table(spark, sf_dir, "supplier")
-    _, stats = merge_datasets(left, right, 0.8, left_key="c_custkey", right_key="s_suppkey")
+    stats = match_datasets(left, right, 0.8, left_key="c_custkey", right_key="s_suppkey")
     return stats["matched_pairs"].select("left_id", "right_id", F.round("score", 6).alias("match_score"))
 
 
 def pages_by_address(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts alone on both sides: their bigrams bound the pairs."""
     left, right = sql(spark, sf_dir, ADDRESS_A, "pages"), sql(spark, sf_dir, ADDRESS_B, "pages")
-    _, stats = merge_datasets(left, right, left_key="page", right_key="place", schema_matches={"link": "address"})
+    stats = match_datasets(left, right, left_key="page", right_key="place", schema_matches={"link": "address"})
     return stats["matched_pairs"].select("left_id", "right_id", F.round("score", 6).alias("match_score"))
 
 
 def customers_by_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Six numbers and no identifier: too many for their ratios to bound the pairs."""
     left, right = sql(spark, sf_dir, NUMBERS_A, "customer"), sql(spark, sf_dir, NUMBERS_B, "customer")
-    _, stats = merge_datasets(left, right, left_key="row_no", right_key="pos", schema_matches={c: c * 2 for c in "abcdef"})
+    stats = match_datasets(left, right, left_key="row_no", right_key="pos", schema_matches={c: c * 2 for c in "abcdef"})
     return stats["matched_pairs"].select("left_id", "right_id", F.round("score", 6).alias("match_score"))
 
 
@@ -293,6 +307,12 @@ def catalog_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def content_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns with useless names, matched by what they hold."""
+    left, right = sql(spark, sf_dir, CONTENT_A, "customer"), sql(spark, sf_dir, CONTENT_B, "customer")
+    return content_matches(left, right).select("left_column", "right_column", F.round("score", 6).alias("score"))
+
+
 def expanded_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.concat_ws("_", "p_name", "p_type")
     return table(spark, sf_dir, "part").select("p_partkey", expand_name(name).alias("words"))
@@ -417,7 +437,7 @@ QUERIES = {
         orders_to_customers, event_logs, customers_to_suppliers, pages_by_address, customers_by_numbers,
         verified_merge, preprocessed_customers, csv_codes, exported_orders, field_similarity, row_texts, text_row_texts, id_texts,
         part_spelling, turn_cosines, document_label_cosines, price_closeness, vector_cosines, schema_match_report,
-        unmatched_column_report, shared_columns, catalog_matches, expanded_names, clean_documents, first_copies,
+        unmatched_column_report, shared_columns, catalog_matches, content_columns, expanded_names, clean_documents, first_copies,
         impute_customers, impute_lines, impute_empty_columns, nulls_after_imputation, profile_lines, profile_merged,
         table_shapes, indexed_orders, renamed_columns, dropped_column, exported_types, listed_columns, latest_events,
         csv_round_trip, json_round_trip, sqlite_round_trip,
