@@ -8,10 +8,10 @@ that a cosine and each field similarity are at most 1. Pairs left out cannot pas
   of numeric columns.
 * The row texts must have a cosine of at least ``(threshold - 0.7) / 0.3``: an equi-join
   on each text's rarest bigrams, as many as leave too little for that cosine.
+* So must an embedder's vectors: an equi-join on regions of vectors (``metric_join``).
 
-Of the last two the one with fewer pairs to compare is taken. Where neither holds (a
-threshold of 0.7 or less, or an embedder's vectors, without numbers that bound the pairs)
-no equi-join keeps every passing pair, and ``NoLosslessJoin`` is raised rather than
+Of the last three the one with the fewest pairs to compare is taken. Where none holds (a
+threshold of 0.7 or less without numbers that bound the pairs) no equi-join keeps every passing pair, and ``NoLosslessJoin`` is raised rather than
 comparing all rows with all rows.
 
 Comparing a pair costs far more than shuffling a row, so the joins are divided by the
@@ -221,6 +221,14 @@ def _gram_join(row_score: RowScore, left: DataFrame, right: DataFrame) -> KeyJoi
     return KeyJoin(leading(left, "left").withColumn("gram", F.col("key")), leading(right, "right"))
 
 
+def _vector_join(row_score: RowScore, left: DataFrame, right: DataFrame) -> KeyJoin | None:
+    """Pairs whose embedders' vectors can have the cosine that the threshold demands."""
+    from tabweld.operators.metric_join import metric_join  # which needs KeyJoin
+
+    least = (row_score.threshold - FIELD_WEIGHT) / EMBEDDING_WEIGHT - _COSINE_SLACK
+    return metric_join(left, right, least) if row_score.embed and least > _COSINE_SLACK else None
+
+
 def value_pairs(
     row_score: RowScore, left: DataFrame, right: DataFrame, max_pairs: int | None = None, ids_known: bool = True
 ) -> DataFrame:
@@ -229,13 +237,14 @@ def value_pairs(
     ``max_pairs`` turns a larger comparison into an error; there is no limit by default.
     """
     band = _band_join(row_score, left, right, ids_known)
-    gram = None if band and band.pairs <= _FEW_PAIRS else _gram_join(row_score, left, right)
-    ways = [way for way in (band, gram) if way]
+    enough = band is not None and band.pairs <= _FEW_PAIRS
+    gram = None if enough else _gram_join(row_score, left, right)
+    ways = [way for way in (band, gram, None if enough else _vector_join(row_score, left, right)) if way]
     if not ways:
         raise _no_join("no identifier, number or text bounds the pairs at this threshold")
     way = min(ways, key=lambda w: w.pairs)
     _check(way.pairs, max_pairs)
-    if way is band:
+    if way is not gram:
         return way.joined()
     first = F.get(F.array_intersect("left_grams", "right_grams"), F.lit(0))
     return way.joined().where(first == F.col("gram")).drop("gram", "left_grams", "right_grams")

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tabweld.functions.embed import embed_distinct
 from tabweld.functions.similarity import bigram_cosine, jaro_winkler, numeric_closeness, vector_cosine
 from tabweld.functions.text import id_text, is_id_name, is_integral, is_numeric, row_text, value_text
 
@@ -83,9 +84,10 @@ class RowScore:
             form = {"id": id_text, "text": value_text, "number": lambda v, _: v.cast("double")}[f.kind]
             columns.append(form(value, dtype).alias(f"{side[0]}{i}"))
             parts.append((name, value, dtype))
-        text = row_text(parts)
-        whole = self.embed(text).alias(f"{side}_vector") if self.embed else text.alias(f"{side}_text")
-        return df.select(F.col(row_id).alias(f"{side}_id"), *columns, whole)
+        rows = df.select(F.col(row_id).alias(f"{side}_id"), *columns, row_text(parts).alias(f"{side}_text"))
+        if not self.embed:
+            return rows
+        return embed_distinct(rows, f"{side}_text", self.embed, f"{side}_vector").drop(f"{side}_text")
 
     def _terms(self, kinds: tuple[str, ...], ids_equal: bool = False) -> list[tuple[Column, Column]]:
         """(weight times similarity, weight) of each field of the given kinds; 0 if unknown."""

@@ -365,6 +365,12 @@ FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2""",
 means AS (SELECT label, place, avg(CAST(x AS DOUBLE)) AS m FROM cells GROUP BY 1, 2)
 SELECT vec_id, round(sum(CAST(x AS DOUBLE) * m) / (sqrt(sum(CAST(x AS DOUBLE) * x)) * sqrt(sum(m * m))), 6) AS cosine
 FROM cells JOIN means USING (label, place) GROUP BY vec_id""",
+        "near_vectors": """WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v, list_transform(embedding, lambda x: round(x::DOUBLE, 1)) AS w FROM embeddings)
+SELECT a.vec_id AS left_id, b.vec_id AS right_id, round(list_cosine_similarity(a.v, b.w), 6) AS cosine
+FROM e a JOIN e b ON list_cosine_similarity(a.v, b.w) >= 0.975""",
+        "text_embeddings": """SELECT doc_id, length(text) AS n_chars, length(text) - length(replace(text, ' ', '')) AS n_spaces,
+  length(text) - length(replace(text, chr(10), '')) AS n_breaks, length(text) - length(translate(text, 'ea', '')) AS n_vowels
+FROM documents""",
         "schema_match_report": f"""WITH l AS ({LEFT}), r AS ({RIGHT}), {_catalog_match(_names(*_LEFT_NAMES), _names(*_RIGHT_NAMES))},
 lv AS ({_values('l', *_LEFT_NAMES)}), rv AS ({_values('r', *_RIGHT_NAMES)})
 SELECT left_column, right_column, round(score, 6) AS score, lv.non_null AS left_values, rv.non_null AS right_values

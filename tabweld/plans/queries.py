@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabweld.functions.embed import embed_distinct, embedder
 from tabweld.functions.similarity import bigram_cosine, jaro_winkler, numeric_closeness, vector_cosine
 from tabweld.functions.text import id_text, row_text
 from tabweld.operators import columns as cols
@@ -13,6 +14,7 @@ from tabweld.operators.content_match import content_matches
 from tabweld.operators.evaluate import evaluate_pairs
 from tabweld.operators.golden import golden_records
 from tabweld.operators.impute import impute_missing_values
+from tabweld.operators.metric_join import near_vectors as vectors_within
 from tabweld.operators.profile import column_profile, match_table, merge_statistics, shapes
 from tabweld.operators.row_index import with_row_index
 from tabweld.operators.schema_match import (
@@ -252,6 +254,29 @@ def vector_cosines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("vec_id", F.round(vector_cosine(F.col("embedding"), F.col("center")), 6).alias("cosine"))
 
 
+def near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of an embedding and an embedding rounded to one decimal whose cosine is at least 0.975."""
+    rows = table(spark, sf_dir, "embeddings")
+    left = rows.select(F.col("vec_id").alias("left_id"), F.col("embedding").alias("left_vector"))
+    rounded = F.transform("embedding", lambda x: F.round(x.cast("double"), 1))
+    right = rows.select(F.col("vec_id").alias("right_id"), rounded.alias("right_vector"))
+    return vectors_within(left, right, 0.975).select("left_id", "right_id", F.round("cosine", 6).alias("cosine"))
+
+
+def text_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with the vectors of a small model that counts characters, each distinct text embedded once."""
+
+    def load():
+        def encode(texts):
+            return [[len(t), t.count(" "), t.count("\n"), t.count("e") + t.count("a")] for t in texts]
+
+        return encode
+
+    rows = embed_distinct(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", embedder(load))
+    names = ("n_chars", "n_spaces", "n_breaks", "n_vowels")
+    return rows.select("doc_id", *[F.col("vector")[i].cast("bigint").alias(n) for i, n in enumerate(names)])
+
+
 def schema_match_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Matched columns with the number of values on each side."""
     left, right = left_table(spark, sf_dir), right_table(spark, sf_dir)
@@ -436,7 +461,7 @@ QUERIES = {
         merge_customers, merge_customers_aligned, matched_pairs, match_statistics, match_quality, golden_customers,
         orders_to_customers, event_logs, customers_to_suppliers, pages_by_address, customers_by_numbers,
         verified_merge, preprocessed_customers, csv_codes, exported_orders, field_similarity, row_texts, text_row_texts, id_texts,
-        part_spelling, turn_cosines, document_label_cosines, price_closeness, vector_cosines, schema_match_report,
+        part_spelling, turn_cosines, document_label_cosines, price_closeness, vector_cosines, near_vectors, text_embeddings, schema_match_report,
         unmatched_column_report, shared_columns, catalog_matches, content_columns, expanded_names, clean_documents, first_copies,
         impute_customers, impute_lines, impute_empty_columns, nulls_after_imputation, profile_lines, profile_merged,
         table_shapes, indexed_orders, renamed_columns, dropped_column, exported_types, listed_columns, latest_events,
