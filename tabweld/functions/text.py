@@ -28,8 +28,12 @@ def is_fractional(dtype: T.DataType) -> bool:
     return isinstance(dtype, _FRACTIONAL)
 
 
+def is_decimal(dtype: T.DataType) -> bool:
+    return isinstance(dtype, T.DecimalType)
+
+
 def is_numeric(dtype: T.DataType) -> bool:
-    return is_integral(dtype) or is_fractional(dtype)
+    return is_integral(dtype) or is_fractional(dtype) or is_decimal(dtype)
 
 
 def is_text(dtype: T.DataType) -> bool:
@@ -63,6 +67,8 @@ def id_text(value: Column, dtype: T.DataType) -> Column:
         return F.when(whole, value.cast("bigint").cast("string")).otherwise(
             F.lower(value.cast("string"))
         )
+    if is_decimal(dtype) and dtype.scale > 0:
+        return F.rtrim(F.rtrim(value.cast("string"), F.lit("0")), F.lit("."))
     return value_text(value, dtype)
 
 

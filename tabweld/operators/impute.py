@@ -8,12 +8,14 @@ bracket.
 
 from __future__ import annotations
 
+from decimal import Decimal, localcontext
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabweld.functions.text import is_numeric, is_scalar, is_text
+from tabweld.functions.text import is_decimal, is_numeric, is_scalar, is_text
 from tabweld.session import materialize
 
 SKETCH_ACCURACY = 10_000
@@ -54,17 +56,29 @@ def _bracketed_counts(df: DataFrame, ends: dict[str, tuple[float, float]]) -> Da
     return melted.groupBy("place", "under", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
-def medians(df: DataFrame, present: dict[str, int]) -> dict[str, float | None]:
-    """Exact median per column, null if it has no value; ``present`` counts its values."""
-    found: dict[str, float | None] = {c: None for c, n in present.items() if not n}
-    columns = [c for c, n in present.items() if n]
-    if not columns:
-        return found
-    df = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
+def medians(df: DataFrame, present: dict[str, int]) -> dict[str, float | Decimal | None]:
+    """Exact median per column, null if it has no value; ``present`` counts its values.
+
+    Decimals stay decimals, with a digit more for the mean of two middles; other numbers are doubles.
+    """
+    found: dict[str, float | Decimal | None] = {c: None for c, n in present.items() if not n}
+    by_type: dict[str, list[str]] = {}
+    for c, n in present.items():
+        if n:
+            dtype = df.schema[c].dataType
+            by_type.setdefault(dtype.simpleString() if is_decimal(dtype) else "double", []).append(c)
+    for dtype, columns in by_type.items():
+        found |= _medians(df.select(*[F.col(c).cast(dtype).alias(c) for c in columns]), {c: present[c] for c in columns})
+    return found
+
+
+def _medians(df: DataFrame, present: dict[str, int]) -> dict[str, float | Decimal]:
+    """Medians of columns of one type that have values."""
+    columns = list(present)
     margin = 4.0 / SKETCH_ACCURACY
     marks = [max(0.0, 0.5 - margin), min(1.0, 0.5 + margin)]
     sketched = df.agg(*[F.percentile_approx(c, marks, SKETCH_ACCURACY) for c in columns]).first()
-    found |= _middle_values(df, {c: present[c] for c in columns}, {c: tuple(e) for c, e in zip(columns, sketched)})
+    found = _middle_values(df, present, {c: tuple(e) for c, e in zip(columns, sketched)})
     # The sketch's error is bounded, so a bracket holds the middle; if one did not, all values do.
     missed = {c: present[c] for c in columns if c not in found}
     if missed:
@@ -98,8 +112,14 @@ def _middle_values(df: DataFrame, present: dict[str, int], ends: dict[str, tuple
     ranked = counted.join(parts, ["place", "part"]).withColumn("upto", upto)
     middle = [F.min(F.when(F.col("upto") > k, F.col("value"))) for k in (first, last)]
     rows = ranked.groupBy("place").agg(*middle).collect()
-    # Halves first: no overflow; equal middles stay as they are, infinite ones too.
-    return {columns[place]: low if low == high else low * 0.5 + high * 0.5 for place, low, high in rows}
+    return {columns[place]: low if low == high else _halfway(low, high) for place, low, high in rows}
+
+
+def _halfway(low: float | Decimal, high: float | Decimal) -> float | Decimal:
+    if isinstance(low, Decimal):
+        with localcontext(prec=50):
+            return (low + high) / 2
+    return low * 0.5 + high * 0.5  # halves first: no overflow
 
 
 def modes(df: DataFrame, present: dict[str, int]) -> dict[str, object]:
@@ -136,9 +156,14 @@ def fill_values(
 
 
 def fill(column: Column, dtype: T.DataType, value: object) -> Column:
-    """The column with its nulls replaced; whole numbers widen to double, as a median may."""
+    """The column with its nulls replaced; whole numbers widen to double, as a median may, and
+    decimals by a digit. Decimals of 38 digits have none left: their fill is rounded."""
     if value is None:
         return column
+    if is_decimal(dtype):
+        wide = dtype if dtype.precision == 38 else T.DecimalType(dtype.precision + 1, dtype.scale + 1)
+        exact = F.lit(str(value)).cast("decimal(38, %d)" % min(38, dtype.scale + 1))
+        return F.coalesce(column.cast(wide), exact.cast(wide))
     if is_numeric(dtype):
         return F.coalesce(column.cast("double"), F.lit(float(value)))
     return F.coalesce(column, F.lit(value).cast(dtype))

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabweld.functions.text import is_integral, is_numeric, is_scalar, is_text
+from tabweld.functions.text import is_decimal, is_integral, is_numeric, is_scalar, is_text
 from tabweld.operators.assign import EDGES, greedy_assignment
 from tabweld.operators.candidates import id_subset_pairs, value_pairs
 from tabweld.operators.clean import drop_exact_duplicates, nan_to_null, standardize_strings
@@ -212,6 +212,12 @@ def common_type(a: T.DataType, b: T.DataType | None = None) -> T.DataType:
         whole = [T.ByteType(), T.ShortType(), T.IntegerType(), T.LongType()]
         if a in whole and b in whole:
             return max(a, b, key=whole.index)
+        if all(is_decimal(t) or t in whole for t in (a, b)):
+            digits = {T.ByteType(): 3, T.ShortType(): 5, T.IntegerType(): 10, T.LongType(): 19}
+            forms = [(t.precision - t.scale, t.scale) if is_decimal(t) else (digits[t], 0) for t in (a, b)]
+            before, after = (max(f[k] for f in forms) for k in (0, 1))
+            if before + after <= 38:
+                return T.DecimalType(before + after, after)
         return T.DoubleType()
     return T.StringType()
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from tabweld.functions.text import WHITESPACE
 from tabweld.plans.fixtures import LEFT, RIGHT
-from tabweld.plans.queries import ADDRESS_A, ADDRESS_B, CONTENT_A, CONTENT_B, CUSTOMER_SIDE, GAPS, LOG_A, LOG_B, NUMBERS_A, NUMBERS_B, ORDER_SIDE, TABLES
+from tabweld.plans.queries import ADDRESS_A, ADDRESS_B, CONTENT_A, CONTENT_B, CUSTOMER_SIDE, DECIMAL_GAPS, GAPS, LOG_A, LOG_B, NUMBERS_A, NUMBERS_B, ORDER_SIDE, TABLES
 
 _SPACES = "concat(" + ", ".join(f"chr({ord(c)})" for c in WHITESPACE) + ")"
 
@@ -279,6 +279,14 @@ _CUSTOMERS_BY_NUMBERS = _one_to_one(
 )
 
 
+def _middle(column: str) -> str:
+    """Median of a decimal column in thousandths, from ranks."""
+    return (
+        f"(SELECT CAST(sum({column}) * 1000 / count(*) AS BIGINT) FROM (SELECT {column}, row_number() OVER (ORDER BY {column}) AS k, "
+        f"count(*) OVER () AS n FROM d WHERE {column} IS NOT NULL) WHERE k IN ((n + 1) // 2, n // 2 + 1))"
+    )
+
+
 def _contents(source: str, columns: str) -> str:
     """Distinct values of each column as text; numbers alike in any type."""
     parts = []
@@ -319,6 +327,9 @@ def oracle_sql() -> dict[str, str]:
         "exported_orders": "SELECT o_orderstatus, count(*) AS orders, max(o_orderkey) AS last, (SELECT count(*) FROM orders)::INTEGER AS rows FROM orders GROUP BY 1",
         "pages_by_address": _PAGES_BY_ADDRESS,
         "content_columns": _CONTENT_COLUMNS,
+        "impute_decimals": f"""WITH d AS ({DECIMAL_GAPS}) SELECT l_orderkey, l_linenumber,
+  coalesce(CAST(price * 1000 AS BIGINT), {_middle('price')}) AS price_milli,
+  coalesce(CAST(discount * 1000 AS BIGINT), {_middle('discount')}) AS discount_milli FROM d""",
         "customers_by_numbers": _CUSTOMERS_BY_NUMBERS,
         "matched_pairs": f"WITH {_MATCHED} SELECT id AS left_id, id AS right_id, 1.0 AS match_score FROM matched",
         "match_statistics": f"""WITH {_MATCHED} SELECT n AS total_matches, 5 AS schema_matches, a - n AS unmatched_left,

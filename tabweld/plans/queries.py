@@ -47,6 +47,14 @@ SELECT l_orderkey, l_linenumber, l_partkey,
 FROM lineitem
 """
 
+# Order facts with gaps in columns of exact decimals.
+DECIMAL_GAPS = """
+SELECT l_orderkey, l_linenumber,
+  CASE WHEN l_discount > 0.08 THEN NULL ELSE CAST(l_extendedprice AS DECIMAL(15, 2)) END AS price,
+  CASE WHEN l_tax < 0.02 THEN NULL ELSE CAST(l_discount AS DECIMAL(4, 2)) END AS discount
+FROM lineitem
+"""
+
 # Orders under names like those of the customer table: many rows per identifier.
 ORDER_SIDE = """
 SELECT o_orderkey AS order_no, o_custkey AS customer_id, c_name AS name,
@@ -361,6 +369,13 @@ def impute_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return impute_missing_values(sql(spark, sf_dir, GAPS, "lineitem"))
 
 
+def impute_decimals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact medians of decimals, with a digit more than the columns."""
+    rows = impute_missing_values(sql(spark, sf_dir, DECIMAL_GAPS, "lineitem"))
+    milli = [(F.col(c) * 1000).cast("bigint").alias(f"{c}_milli") for c in ("price", "discount")]
+    return rows.select("l_orderkey", "l_linenumber", *milli)
+
+
 def impute_empty_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Columns without any value: 0 for numbers, empty text for text."""
     df = cols.add_text_column(table(spark, sf_dir, "orders"), "note").withColumn("weight", F.lit(None).cast("double"))
@@ -463,7 +478,7 @@ QUERIES = {
         verified_merge, preprocessed_customers, csv_codes, exported_orders, field_similarity, row_texts, text_row_texts, id_texts,
         part_spelling, turn_cosines, document_label_cosines, price_closeness, vector_cosines, near_vectors, text_embeddings, schema_match_report,
         unmatched_column_report, shared_columns, catalog_matches, content_columns, expanded_names, clean_documents, first_copies,
-        impute_customers, impute_lines, impute_empty_columns, nulls_after_imputation, profile_lines, profile_merged,
+        impute_customers, impute_lines, impute_decimals, impute_empty_columns, nulls_after_imputation, profile_lines, profile_merged,
         table_shapes, indexed_orders, renamed_columns, dropped_column, exported_types, listed_columns, latest_events,
         csv_round_trip, json_round_trip, sqlite_round_trip,
     )
