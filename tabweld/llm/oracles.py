@@ -32,11 +32,14 @@ WITH docs AS (
   SELECT r, site, place, line AS raw, trim(line, concat(' ', chr(9), chr(11), chr(12), chr(13))) AS line FROM places
 ), once AS (
   SELECT DISTINCT r, site, line FROM trimmed WHERE line <> ''
-), signed AS (
-  SELECT r, list(line ORDER BY length(line) DESC, line DESC)[1:2] AS signature FROM once GROUP BY r
+), shared AS (SELECT line FROM once GROUP BY line HAVING count(DISTINCT site) >= %d),
+signed AS (
+  SELECT r, list(line ORDER BY length(line) DESC, line DESC)[1:2] AS longest,
+    list(line ORDER BY length(line) DESC, line DESC) FILTER (WHERE line NOT IN (SELECT line FROM shared))[1:2] AS own
+  FROM once GROUP BY r
 ), bad AS (
-  SELECT line FROM once JOIN signed USING (r) GROUP BY line
-  HAVING count(DISTINCT site) >= %d AND 2 * count(DISTINCT signature) >= count(*)
+  SELECT line FROM once JOIN shared USING (line) JOIN signed USING (r) GROUP BY line
+  HAVING 2 * count(DISTINCT (longest, coalesce(own, []))) >= %d
 ), rest AS (
   SELECT t.r, count(b.line) AS n_removed, string_agg(t.raw, chr(10) ORDER BY t.place) FILTER (WHERE b.line IS NULL) AS text
   FROM trimmed t LEFT JOIN bad b ON b.line = t.line GROUP BY t.r
@@ -46,7 +49,7 @@ SELECT d.doc_id, CASE WHEN d.text IS NULL THEN 0 ELSE len(d.raw) END::INTEGER AS
   CASE WHEN x.n_removed > 0 THEN length(coalesce(x.text, '')) ELSE d.n_chars END AS n_chars,
   CASE WHEN x.n_removed > 0 THEN coalesce(x.text, '') ELSE d.text END AS text
 FROM docs d LEFT JOIN rest x ON x.r = d.r
-""" % line_dedup.MIN_SITES
+""" % (line_dedup.MIN_SITES, line_dedup.MIN_SITES)
 
 
 TOP_K = r"""
