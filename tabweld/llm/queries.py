@@ -27,7 +27,7 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What every document loses to strings of 400 bytes that also start elsewhere."""
-    return suffix_dedup.removal_report(table(spark, sf_dir, "documents"), length=400)
+    return suffix_dedup.removal_report(table(spark, sf_dir, "documents"), length=400, with_text=True)
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

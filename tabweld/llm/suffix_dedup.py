@@ -399,25 +399,27 @@ def kept_bytes(rows: DataFrame) -> DataFrame:
     return rows.select("code", "n_bytes", "text", "spans").mapInArrow(run, kinds)
 
 
-def removal_report(docs: DataFrame, length: int = LENGTH, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` of every document.
+def removal_report(docs: DataFrame, length: int = LENGTH, id_column: str = "doc_id", text_column: str = "text", with_text: bool = False) -> DataFrame:
+    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` of every document; ``with_text`` adds ``text``, what is kept.
 
-    Null is the empty text. Texts shorter than ``length`` lose nothing; repeated rows are copies of
+    Null is the empty text. A character that is cut reads as U+FFFD in ``text``; the hash is of the bytes. Texts shorter than ``length`` lose nothing; repeated rows are copies of
     each other. An empty table gives an empty result.
     """
     docs = docs.select(F.col(f"`{id_column}`").alias("doc_id"), F.col(f"`{text_column}`").cast("string").alias("text"))
     copied, cut = repeated_spans(docs, length)
     nothing = hashlib.sha256(b"").hexdigest()
-    some = kept_bytes(cut).select("code", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("sha"))
-    gone = copied.select("code", "n_bytes", F.col("n_bytes").cast("long").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit(nothing).alias("sha"))
+    left = [F.make_valid_utf8(F.col("kept").cast("string")).alias("kept")] if with_text else []
+    some = kept_bytes(cut).select("code", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("sha"), *left)
+    gone = copied.select("code", "n_bytes", F.col("n_bytes").cast("long").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit(nothing).alias("sha"), *([F.lit("").alias("kept")] if with_text else []))
     some = some.join(copied, ["code", "n_bytes"], "left_anti")
     effects = materialize(some.unionByName(gone), "removals")
     text = whole_text(F.col("text"))
-    rows = docs.select("doc_id", *text_key(text), F.sha2(F.encode(text, "UTF-8"), 256).alias("whole"))
+    rows = docs.select("doc_id", *text_key(text), F.sha2(F.encode(text, "UTF-8"), 256).alias("whole"), text.alias("text"))
     return rows.join(effects, ["code", "n_bytes"], "left").select(
         "doc_id",
         F.col("n_bytes").cast("long").alias("n_bytes"),
         F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"),
         F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"),
         F.coalesce("sha", "whole").alias("kept_sha256"),
+        *([F.coalesce("kept", "text").alias("text")] if with_text else []),
     )

@@ -163,7 +163,7 @@ def test_suffix_dedup_by_hand(spark, monkeypatch, length, gram, crowd):
 def test_suffix_dedup_of_documents(spark):
     docs = spark.read.parquet(SMALL)
     texts = {r.doc_id: (r.text or "").encode() for r in docs.collect()}
-    out = {r.doc_id: tuple(r)[1:] for r in queries.op2_suffix_dedup(spark, "/root/testdata/sf0.001").collect()}
+    out = {r.doc_id: tuple(r)[1:5] for r in queries.op2_suffix_dedup(spark, "/root/testdata/sf0.001").collect()}
     assert out == dict(zip(texts, removed_by_hand(list(texts.values()), 400)))
 
 
@@ -338,3 +338,38 @@ def test_unigram_by_hand():
                     best[j] = max(best[j], best[i] + gain)
         total = sum(scores[i] if i else worst for i in flat[end - n : end].tolist())
         assert abs(total - best[-1]) < 1e-6
+
+
+def test_forms_that_stayed_in_clear(spark):
+    texts = [
+        "DB_PASSWORD=hunter2hunter2 x",
+        "client_secret: 'Zm9vYmFyYmF6cXV4'",
+        "see http://10.1.2.3/x and 10.1.2.3",
+        "at 2021-03-05T10:00 and 2021-03-05",
+        "token=" + "aB3" * 140,
+        "my-old_2nd_api-key = abcdefgh12345678",
+        "no_tokens here: none, bypassword=",
+    ]
+    got = pseudonyms(spark, texts)
+    assert [f for _, f in got] == [["secret"], ["secret"], ["ip", "ip"], ["date", "date"], ["secret"], ["secret"], []]
+    assert got[6][0] == texts[6] and got[0][0].startswith("DB_PASSWORD=") and got[0][0].endswith(" x") and "hunter2" not in got[0][0]
+    assert "Zm9v" not in got[1][0] and got[1][0].startswith("client_secret: '")
+    address = re.fullmatch(r"see http://([\d.]+)/x and ([\d.]+)", got[2][0])
+    assert address and address[1] == address[2] != "10.1.2.3"
+    day = re.fullmatch(r"at ([\d-]{10})T10:00 and ([\d-]{10})", got[3][0])
+    assert day and day[1] == day[2] != "2021-03-05"
+    assert len(got[4][0]) == len(texts[4]) and "aB3aB3" not in got[4][0]
+    assert got[5][0].startswith("my-old_2nd_api-key = ") and "abcdefgh" not in got[5][0]
+
+
+def test_kept_text_is_that_of_the_hash(spark):
+    random.seed(21)
+    shared = "".join(random.choice("abcdeéß日 ") for _ in range(900))
+    texts = [f"{i} é{shared}x{i}" for i in range(3)] + ["short", None, shared]
+    rows = suffix_dedup.removal_report(of(spark, texts), length=400, with_text=True).collect()
+    assert any(r.n_removed for r in rows)
+    for r in rows:
+        if "�" not in r.text:
+            assert hashlib.sha256(r.text.encode()).hexdigest() == r.kept_sha256
+            assert len(r.text.encode()) == r.n_bytes - r.n_removed
+        assert len(r.text.encode()) < 500
