@@ -27,6 +27,7 @@ import re
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -104,6 +105,7 @@ class Encoder:
         self.high = np.array([raw[i].ljust(self.width, b"\xff") for i in order], f"S{self.width}")
         self.by_text = {p: i for i, p in spelled}
         self.unknown_edge = len(vocabulary.pieces)
+        self.decoder = Decoder(vocabulary)
         self.fits: dict[int, bool] = {}
         inside = {c for _, p in spelled if len(p) > 1 for c in p}
         alone = "".join(c for c in "\n\t\r" if c not in inside)
@@ -112,7 +114,7 @@ class Encoder:
 
     def forget(self) -> None:
         self.numbers: dict[str, int] = {}
-        self.flat, self.begin, self.size = array("i"), array("q"), array("i")
+        self.flat, self.begin, self.size, self.comes_back = array("i"), array("q"), array("i"), array("b")
 
     def split(self, text: str) -> list[str]:
         return self.words.findall(" " + text.replace(SPACE, " ")) if text else []
@@ -187,17 +189,16 @@ class Encoder:
                     if last[p + n] == NONE or value > best[p + n]:
                         last[p + n], back[p + n], best[p + n] = piece, p, value
             return last, back
-        fits, width, extends = self.fits, self.unknown_edge + 1, self.extends
+        fits, width, extends = self.fits.get, self.unknown_edge + 1, self.extends
         for p, n, piece in zip(*edges):
-            end = p + n
-            if last[end] == NONE:  # only one piece can end an encoding here
-                before = last[p]
-                if before != NONE:
-                    known = fits.get(before * width + piece)
-                    if known is None:
-                        known = extends(before, piece)
-                    if known:
-                        last[end], back[end] = piece, p
+            before = last[p]
+            if before != NONE:
+                end = p + n
+                if last[end] == NONE:  # only one piece can end an encoding here
+                    known = fits(before * width + piece)
+                    if known or (known is None and extends(before, piece)):
+                        last[end] = piece
+                        back[end] = p
         return last, back
 
     def learn(self, words: list[str]) -> None:
@@ -208,7 +209,7 @@ class Encoder:
         starts = (np.cumsum(sizes + 1) - sizes - 1).tolist()
         text = GAP.join(raw)
         last, back = self.relax(len(text), starts, self.edges(text))
-        byte_ids, unknown = self.vocabulary.bytes_, self.vocabulary.unknown
+        byte_ids, unknown, spelled = self.vocabulary.bytes_, self.vocabulary.unknown, self.decoder.raw
         for word, r, start in zip(words, raw, starts):
             out, at = [], start + len(r)
             while at > start:
@@ -225,17 +226,24 @@ class Encoder:
             self.size.append(len(out))
             out.reverse()
             self.flat.extend(out)
+            self.comes_back.append(b"".join([spelled[i] for i in out]) == r)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, one text after the other, and the number of ids of each text."""
+        return self.encode_checked(texts)[:2]
+
+    def encode_checked(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[bool]]:
+        """All ids, one text after the other, the number of ids of each text, and whether they decode to it.
+
+        A text comes back if all its words do, each decoded once, and it has no U+2581 of its own.
+        """
         if len(self.numbers) > MOST_WORDS:
             self.forget()
         words = [self.split(t) for t in texts]
-        new = sorted({w for ws in words for w in ws} - self.numbers.keys())
+        new = list(set().union(*words).difference(self.numbers))
         if new:
             self.learn(new)
-        numbers = self.numbers
-        index = np.fromiter((numbers[w] for ws in words for w in ws), np.int64)
+        index = np.fromiter(map(self.numbers.__getitem__, chain.from_iterable(words)), np.int64)
         per_text = np.array([len(ws) for ws in words], np.int64)
         size = np.frombuffer(self.size, np.int32).astype(np.int64) if len(self.size) else np.zeros(0, np.int64)
         begin = np.frombuffer(self.begin, np.int64) if len(self.begin) else np.zeros(0, np.int64)
@@ -246,7 +254,9 @@ class Encoder:
         ends = np.concatenate([[0], np.cumsum(counts)])
         text_ends = np.cumsum(per_text)
         per = ends[text_ends] - ends[text_ends - per_text]
-        return flat.astype(np.int32), per
+        lost = np.concatenate([[0], np.cumsum(np.frombuffer(self.comes_back, np.int8)[index] == 0)]) if len(index) else np.zeros(1, np.int64)
+        whole = (lost[text_ends] == lost[text_ends - per_text]).tolist()
+        return flat.astype(np.int32), per, [ok and SPACE not in t for ok, t in zip(whole, texts)]
 
 
 class Decoder:
@@ -287,13 +297,12 @@ def encoded(docs: DataFrame, vocabulary: Vocabulary, id_column: str = "doc_id",
     slim = docs.select(F.col(f"`{id_column}`").alias("doc_id"), F.coalesce(F.col(f"`{text_column}`").cast("string"), F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, decoder = Encoder(vocabulary), Decoder(vocabulary)
+        encoder = Encoder(vocabulary)
         for batch in batches:
             done = 0
             for texts in in_parts(TextSlices(batch.column(1))):
-                flat, per = encoder.encode(texts)
+                flat, per, same = encoder.encode_checked(texts)
                 offsets = np.concatenate([[0], np.cumsum(per)])
-                same = [decoder.decode(flat[a:b].tolist()) == t for a, b, t in zip(offsets[:-1].tolist(), offsets[1:].tolist(), texts)]
                 ids = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(done, len(texts)), ids, pa.array(same, pa.bool_())], ["doc_id", "token_ids", "round_trip"])
                 done += len(texts)
