@@ -3,6 +3,7 @@
 import hashlib
 import random
 from collections import Counter, defaultdict
+from functools import cache
 
 import public_tokenizers
 import pytest
@@ -24,6 +25,7 @@ def libraries():
     return a, sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
 
 
+@cache
 def bytes_of_a(a, i):
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
     of = {chr(b): b for b in shown}
@@ -31,6 +33,7 @@ def bytes_of_a(a, i):
     return bytes(of[c] for c in a.id_to_token(i))
 
 
+@cache
 def bytes_of_b(b, i):
     return bytes([int(b.id_to_piece(i)[3:5], 16)]) if b.is_byte(i) else b.id_to_piece(i).replace("▁", " ").encode()
 

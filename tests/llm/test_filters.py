@@ -6,7 +6,7 @@ import pytest
 from tabweld.llm import line_dedup, oracles, quality, queries, url_filter
 
 SF = "/root/testdata/sf0.001"
-TABLES = ("documents", "embeddings", "pages")
+TABLES = ("documents", "benchmark", "embeddings", "pages")
 
 
 def compare(spark, name):
