@@ -27,6 +27,7 @@ HEADLINE = [
     "clean_documents",
     "profile_lines",
     "catalog_matches",
+    "content_columns",
     "part_spelling",
     "turn_cosines",
     "document_label_cosines",
