@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tabweld.session import materialize
 
 _LOCAL_BITS = 33  # monotonically_increasing_id keeps the row within a partition in these bits
 CHUNK = 1_000_000
+COPIES_AT_ONCE = 100_000
+_BUCKET_DIGITS = 4  # hexadecimal digits of the content's digest: 65,536 buckets of nearly equal size
+_OWN = ("_content", "_bucket", "_copies", "_upto", "_before", "_piece")
 
 
 def with_row_index(df: DataFrame, name: str = "row_id", order_by: list[str] | None = None) -> DataFrame:
@@ -35,6 +39,57 @@ def with_row_index(df: DataFrame, name: str = "row_id", order_by: list[str] | No
     )
 
 
+def content_digest(df: DataFrame) -> Column:
+    """MD5 of all values of a row as text; a null differs from an empty text."""
+    texts = (F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\x1e")) for c in df.columns)
+    return F.md5(F.concat_ws("\x1f", *texts))
+
+
+def _sortable(dtype: T.DataType) -> bool:
+    if isinstance(dtype, T.StructType):
+        return all(_sortable(f.dataType) for f in dtype)
+    return _sortable(dtype.elementType) if isinstance(dtype, T.ArrayType) else not isinstance(dtype, T.MapType)
+
+
+def with_content_index(df: DataFrame, name: str = "row_id") -> tuple[DataFrame, DataFrame]:
+    """Positions 0..n-1 that follow what the rows hold and not how their files are split.
+
+    Returns the table with positions, and its distinct rows, each with the lowest position
+    of its copies. Rows are ordered by a digest of all their values, then by the values
+    (nulls first); copies take consecutive positions. An empty table gives empty results.
+
+    Copies are counted before the shuffle, so a row that makes up most of the table is one
+    row of a task. The digest spreads the distinct rows over buckets of nearly equal size,
+    which are ranked on their own and moved by the sizes of the buckets before them. Rows
+    with many copies are written out in pieces by many tasks. As in any grouping, -0.0
+    becomes 0.0.
+    """
+    clash = {name, *_OWN}.intersection(df.columns)
+    if clash:
+        raise ValueError(f"reserved column names: {sorted(clash)}")
+    data = [F.col(f"`{c}`") for c in df.columns]
+    copies = df.groupBy(*data).agg(F.count(F.lit(1)).alias("_copies")).withColumn("_content", content_digest(df))
+    copies = copies.withColumn("_bucket", F.substring("_content", 1, _BUCKET_DIGITS))
+    ties = [F.col(f"`{f.name}`") for f in df.schema if _sortable(f.dataType)]
+    inside = W.partitionBy("_bucket").orderBy("_content", *ties).rowsBetween(W.unboundedPreceding, W.currentRow)
+    ranked = materialize(copies.withColumn("_upto", F.sum("_copies").over(inside)), "contents")
+    # At most 65,536 rows, whatever the size of the table.
+    sizes = ranked.groupBy("_bucket").agg(F.sum("_copies").alias("_size"))
+    before = F.coalesce(F.sum("_size").over(W.orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    offsets = materialize(sizes.select("_bucket", before.alias("_before")), "offsets")
+    first = (F.col("_before") + F.col("_upto") - F.col("_copies")).alias(name)
+    distinct = ranked.join(F.broadcast(offsets), "_bucket").select(*data, first, "_copies", "_content")
+
+    last = F.least(F.col("_copies"), (F.col("_piece") + 1) * COPIES_AT_ONCE) - 1
+    positions = F.explode(F.sequence(F.col(name) + F.col("_piece") * COPIES_AT_ONCE, F.col(name) + last))
+    few = distinct.where(F.col("_copies") <= COPIES_AT_ONCE).withColumn("_piece", F.lit(0).cast("long"))
+    many = distinct.where(F.col("_copies") > COPIES_AT_ONCE)
+    many = many.withColumn("_piece", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(_copies - 1) div {COPIES_AT_ONCE}"))))
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pieces = few.unionByName(many.repartition(tasks, "_content", "_piece"))
+    return pieces.select(*data, positions.alias(name)), distinct.select(*data, name)
+
+
 def rank_descending(df: DataFrame, group: str, row_id: str, name: str = "rank") -> DataFrame:
     """1-based rank of each row in its group, highest ``row_id`` first.
 

@@ -16,12 +16,12 @@ from pyspark.sql import types as T
 from tabweld.functions.text import is_decimal, is_integral, is_numeric, is_scalar, is_text
 from tabweld.operators.assign import EDGES, greedy_assignment
 from tabweld.operators.candidates import id_subset_pairs, value_pairs
-from tabweld.operators.clean import drop_exact_duplicates, nan_to_null, standardize_strings
+from tabweld.operators.clean import nan_to_null, standardize_strings
 from tabweld.operators.content_match import match_by_content
 from tabweld.operators.copies import assign_classes, classes, members
 from tabweld.operators.id_groups import match_by_ids
 from tabweld.operators.impute import apply_fills, assert_no_nulls, fill, fill_values, null_counts
-from tabweld.operators.row_index import with_row_index
+from tabweld.operators.row_index import with_content_index, with_row_index
 from tabweld.operators.schema_match import match_schemas
 from tabweld.operators.scoring import RowScore, plan_fields
 from tabweld.session import materialize, side_by_side
@@ -75,9 +75,8 @@ def _side(df: DataFrame, key: str | None) -> Side:
         raw = nan_to_null(df).withColumn(ROW_ID, F.col(key).cast("bigint")) if whole else with_row_index(nan_to_null(df), ROW_ID, [key])
         clean = standardize_strings(raw)
     else:
-        raw = with_row_index(nan_to_null(df), ROW_ID)
-        distinct = drop_exact_duplicates(raw, ROW_ID)
-        clean = materialize(standardize_strings(distinct), "clean")
+        raw, distinct = with_content_index(nan_to_null(df), ROW_ID)
+        clean = standardize_strings(distinct)
     rows, nulls = null_counts(raw, scalars)
     clean_rows, clean_nulls = (rows, nulls) if key is not None else null_counts(clean, scalars)
     fills = fill_values(clean, clean_rows, clean_nulls)
@@ -254,7 +253,8 @@ def merge_datasets(
 
     ``left_key`` and ``right_key`` name unique whole-number columns that serve as row
     positions, or unique texts whose order gives the positions; null or repeated keys are an
-    error. Without keys positions are generated and written once. ``match_content`` is the share of
+    error. Without keys positions follow what the rows hold, so that the same rows in other files give
+    the same matches. ``match_content`` is the share of
     values from which columns without a match by name are matched by content. ``verify`` scans
     the result for nulls, which the imputation rules out by construction.
     """

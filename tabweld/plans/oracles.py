@@ -322,6 +322,7 @@ def oracle_sql() -> dict[str, str]:
         "merge_customers": _merged(False),
         "merge_customers_aligned": _merged(True),
         "verified_merge": _merged(False),
+        "keyless_merge": _merged(False),
         "preprocessed_customers": f"WITH {_SIDES} SELECT customer_id, name, balance, nation, segment FROM li",
         "csv_codes": "SELECT p_partkey, concat(p_size, CASE WHEN p_size % 2 = 0 THEN 'D' ELSE 'f' END) AS code FROM part",
         "exported_orders": "SELECT o_orderstatus, count(*) AS orders, max(o_orderkey) AS last, (SELECT count(*) FROM orders)::INTEGER AS rows FROM orders GROUP BY 1",
@@ -421,6 +422,9 @@ FROM (SELECT min(doc_id) AS doc_id, text FROM documents GROUP BY text, lang)""",
         ),
         "indexed_orders": """SELECT o_orderkey, o_custkey, o_totalprice,
   row_number() OVER (ORDER BY o_totalprice, o_orderkey) - 1 AS row_id FROM orders""",
+        "content_positions": """SELECT l_suppkey, l_linenumber, l_returnflag, l_linestatus,
+  row_number() OVER (ORDER BY md5(concat_ws(chr(31), l_suppkey, l_linenumber, l_returnflag, l_linestatus))) - 1 AS row_id
+FROM lineitem""",
         "renamed_columns": "SELECT o_orderkey AS order_key, o_custkey AS cust_key, o_totalprice AS total_price_paid FROM orders",
         "dropped_column": "SELECT s_suppkey, s_name, s_nationkey, CAST(NULL AS VARCHAR) AS remark FROM supplier",
         "exported_types": """SELECT o_orderkey, o_orderstatus, CASE WHEN o_totalprice > 200000 THEN 1 ELSE 0 END AS big

@@ -16,7 +16,7 @@ from tabweld.operators.golden import golden_records
 from tabweld.operators.impute import impute_missing_values
 from tabweld.operators.metric_join import near_vectors as vectors_within
 from tabweld.operators.profile import column_profile, match_table, merge_statistics, shapes
-from tabweld.operators.row_index import with_row_index
+from tabweld.operators.row_index import with_content_index, with_row_index
 from tabweld.operators.schema_match import (
     catalog,
     expand_name,
@@ -178,6 +178,11 @@ def customers_by_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats["matched_pairs"].select("left_id", "right_id", F.round("score", 6).alias("match_score"))
 
 
+def keyless_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The merge of the customer tables without keys: positions follow what the rows hold."""
+    return merge_datasets(left_table(spark, sf_dir), right_table(spark, sf_dir))[0]
+
+
 def verified_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The merge whose result is scanned for nulls before it is returned."""
     return _customers(spark, sf_dir, verify=True)[0]
@@ -404,6 +409,12 @@ def indexed_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_row_index(orders, "row_id", ["o_totalprice", "o_orderkey"])
 
 
+def content_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Positions of rows without a key, most of which have copies."""
+    lines = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_linenumber", "l_returnflag", "l_linestatus")
+    return with_content_index(lines)[0]
+
+
 def renamed_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = table(spark, sf_dir, "orders")
     messy = df.select(
@@ -475,11 +486,11 @@ QUERIES = {
     for f in (
         merge_customers, merge_customers_aligned, matched_pairs, match_statistics, match_quality, golden_customers,
         orders_to_customers, event_logs, customers_to_suppliers, pages_by_address, customers_by_numbers,
-        verified_merge, preprocessed_customers, csv_codes, exported_orders, field_similarity, row_texts, text_row_texts, id_texts,
+        verified_merge, keyless_merge, preprocessed_customers, csv_codes, exported_orders, field_similarity, row_texts, text_row_texts, id_texts,
         part_spelling, turn_cosines, document_label_cosines, price_closeness, vector_cosines, near_vectors, text_embeddings, schema_match_report,
         unmatched_column_report, shared_columns, catalog_matches, content_columns, expanded_names, clean_documents, first_copies,
         impute_customers, impute_lines, impute_decimals, impute_empty_columns, nulls_after_imputation, profile_lines, profile_merged,
-        table_shapes, indexed_orders, renamed_columns, dropped_column, exported_types, listed_columns, latest_events,
+        table_shapes, indexed_orders, content_positions, renamed_columns, dropped_column, exported_types, listed_columns, latest_events,
         csv_round_trip, json_round_trip, sqlite_round_trip,
     )
 }

@@ -19,7 +19,7 @@ from tabweld.operators.columns import (
     validate_schema_compatibility,
 )
 from tabweld.operators.profile import column_profile, match_rate
-from tabweld.operators.row_index import rank_descending, with_row_index
+from tabweld.operators.row_index import rank_descending, with_content_index, with_row_index
 
 
 def test_duplicates_are_removed(spark):
@@ -100,6 +100,30 @@ def test_row_index_counts_from_zero(spark):
     assert sorted(r["n"] for r in with_row_index(df, "n").collect()) == list(range(1000))
 
 
+def test_positions_follow_contents(spark, monkeypatch):
+    """Null, empty and equal values, a map, and a row with a third of all copies, from one file or many."""
+    monkeypatch.setattr("tabweld.operators.row_index.COPIES_AT_ONCE", 100)
+    rows = [("hot", 1, {"k": 1}, 0.5)] * 1000 + [(f"t{i % 700}", i % 5, {"k": i % 3}, None if i % 4 else float(i)) for i in range(2000)]
+    rows += [(None, None, None, None)] * 3 + [("", None, None, None), ("\x1e", None, None, None)]
+    df = spark.createDataFrame(rows, "`a.b` string, n int, m map<string, int>, x double")
+    seen = []
+    for files in (1, 40):
+        indexed, distinct = with_content_index(df.repartition(files), "pos")
+        found = {r.pos: tuple(r)[:-1] for r in indexed.collect()}
+        assert sorted(found) == list(range(len(rows)))
+        assert sorted(map(repr, found.values())) == sorted(map(repr, rows))
+        firsts = {}
+        for pos, row in sorted(found.items()):
+            firsts.setdefault(repr(row), pos)
+        assert {repr(tuple(r)[:-1]): r.pos for r in distinct.collect()} == firsts
+        seen.append(found)
+    assert seen[0] == seen[1]
+    indexed, distinct = with_content_index(df.limit(0), "pos")
+    assert indexed.columns == [*df.columns, "pos"] and indexed.count() == distinct.count() == 0
+    with pytest.raises(ValueError, match="reserved"):
+        with_content_index(df.withColumnRenamed("n", "_piece"))
+
+
 def test_rank_of_a_group_spread_over_chunks(spark, monkeypatch):
     monkeypatch.setattr("tabweld.operators.row_index.CHUNK", 10)
     df = spark.range(100).select(F.when(F.col("id") % 3 == 0, "hot").otherwise("cold").alias("g"), (F.col("id") * 7).alias("row_id"))

@@ -79,6 +79,18 @@ def test_copies_stay_in_the_union_unmatched(spark):
     assert merged.filter("is_matched").count() == 4
 
 
+def test_keyless_merge_from_one_and_from_many_files(spark):
+    """Ties between equal scores are broken by positions, which do not follow the files."""
+    left = spark.createDataFrame([(i % 40, f"name{i % 7}", i % 3) for i in range(400)], LEFT)
+    right = spark.createDataFrame([(i % 40, f"NAME{i % 5}", float(i % 4)) for i in range(300)], RIGHT)
+    seen = []
+    for files in (1, 40):
+        merged, stats = merge_datasets(left.repartition(files), right.repartition(files), 0.8)
+        assert stats["total_matches"] > 0
+        seen.append((sorted(map(repr, merged.collect())), sorted(map(tuple, stats["matched_pairs"].collect()))))
+    assert seen[0] == seen[1]
+
+
 def test_empty_and_unrelated_tables(samples, spark):
     left, right = samples
     merged, stats = merge_datasets(left, right.limit(0))
