@@ -41,11 +41,15 @@ def keyed_rows(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
     )
 
 
+def drawn(rows: DataFrame, total: int, sample_rows: int) -> DataFrame:
+    """About ``sample_rows`` rows, each with a chance proportional to its size; equal rows are drawn one by one."""
+    chance = F.shiftrightunsigned(F.xxhash64("written", "key", F.lit(17)), 11) / F.lit(float(1 << 53))
+    return rows.where(chance * total < F.col("size") * sample_rows)
+
+
 def sampled_boundaries(rows: DataFrame, total: int, ranges: int, sample_rows: int) -> list[int]:
     """At most ``ranges - 1`` ascending keys: quantiles of a sample weighted by size."""
-    chance = F.shiftrightunsigned(F.xxhash64("doc_id", "key", F.lit(17)), 11) / F.lit(float(1 << 53))
-    drawn = rows.where(chance * total < F.col("size") * sample_rows)
-    keys = drawn.agg(F.sort_array(F.collect_list("key")).alias("k")).first().k
+    keys = drawn(rows, total, sample_rows).agg(F.sort_array(F.collect_list("key")).alias("k")).first().k
     return sorted({keys[len(keys) * i // ranges] for i in range(1, ranges)}) if keys else []
 
 
@@ -58,11 +62,12 @@ def shard_by_bytes(
 ) -> DataFrame:
     """Add ``shard`` and ``slot`` (gapless from 0 in each shard) to ``doc_id, size, text_crc32, key``.
 
-    Equal rows (same key and id) share an order by size and checksum; if they are equal there
-    too, which of them comes first cannot be told from the result. Null ids sort first. An
-    empty table gives an empty result. No row is left out.
+    Every row is numbered when the rows are written (``written``), and the number parts equal rows:
+    in the sample, between the parts of a range, and in their order. So rows that are repeated
+    without end, or have no id, spread like others; where a row goes depends on the input's files.
+    Null ids sort first. An empty table gives an empty result. No row is left out.
     """
-    rows = materialize(rows, "shard-rows")
+    rows = materialize(rows.withColumn("written", F.monotonically_increasing_id()), "shard-rows")
     total, count = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
     boundaries = sampled_boundaries(rows, max(total, 1), ranges, sample_rows)
     ranged = rows.withColumn("range", count_not_above(boundaries, F.col("key")).cast("int"))
@@ -79,7 +84,7 @@ def shard_by_bytes(
         before_n.append(n_sum)
         b_sum, n_sum = b_sum + b, n_sum + n
 
-    part = F.pmod(F.xxhash64("doc_id", "key", F.lit(29)), F.get(longs(parts), F.col("range")))
+    part = F.pmod(F.xxhash64("written", "key", F.lit(29)), F.get(longs(parts), F.col("range")))
     ranged = ranged.withColumn("part", part)
     earlier = Window.partitionBy("range").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     units = ranged.groupBy("range", "part").agg(F.sum("size").alias("b"), F.count("*").alias("n"))
@@ -89,7 +94,7 @@ def shard_by_bytes(
         (F.coalesce(F.sum("b").over(earlier), F.lit(0)) + F.get(longs(before_b), F.col("range"))).alias("bytes_before"),
         (F.coalesce(F.sum("n").over(earlier), F.lit(0)) + F.get(longs(before_n), F.col("range"))).alias("rows_before"),
     )
-    order = Window.partitionBy("range", "part").orderBy("key", "doc_id", "size", "text_crc32")
+    order = Window.partitionBy("range", "part").orderBy("key", "doc_id", "written")
     ranked = ranged.withColumn("n", F.row_number().over(order)).withColumn(
         "b", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     )

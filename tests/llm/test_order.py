@@ -38,6 +38,17 @@ def test_one_text_with_a_third_of_all_rows(spark):
     law_of_bytes(shards(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)), 40)
 
 
+@pytest.mark.parametrize("doc_id", [7, None])
+def test_repeated_rows_are_divided(spark, doc_id):
+    """One row two thirds of the time: it is drawn by occurrence, and no part holds all of it."""
+    rows = [(doc_id, "a repeated row " * 5)] * 6000 + [(100 + i, f"text {i} " * (i % 30)) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    law_of_bytes(shards(docs), 40)
+    keyed = sharding.keyed_rows(docs).withColumn("written", sharding.F.monotonically_increasing_id())
+    total = keyed.agg(sharding.F.sum("size")).first()[0]
+    assert 700 < sharding.drawn(keyed, total, 1000).count() < 1300
+
+
 def test_shards_of_odd_docs(odd_docs, no_docs):
     rows = shards(odd_docs, 3)
     assert len(rows) == odd_docs.count()
