@@ -102,12 +102,9 @@ def quality_sql() -> str:
         return " * ".join([share, *rates])
 
     posterior = f"({product('share', 'good')}) / (({product('share', 'good')}) + ({product('(1 - share)', 'bad')}))"
-    bounds = {"good": (1 - quality.MOST_WRONG, 1 - quality.LEAST), "bad": (quality.LEAST, 1 - quality.LEAST_RIGHT)}
-
     def rate(r: str, kind: str, weight: str) -> str:
         up, down = (f"coalesce(sum({weight}) FILTER (WHERE v_{r} = {v}), 0) + 1" for v in (1, -1))
-        low, high = bounds[kind]
-        return f"least(greatest(({up}) / (({up}) + ({down})), {low}), {high}) AS {r}_up_{kind}"
+        return f"({up}) / (({up}) + ({down})) AS {r}_up_{kind}"
 
     fits = ", ".join(rate(r, kind, weight) for r in rules for kind, weight in (("good", "good"), ("bad", "docs - good")))
     first = ", ".join(
@@ -139,7 +136,9 @@ covered AS (
     length(t) - length(translate(t, '{quality.SYMBOLS}', '')) AS n_symbols,
     len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words, len(l) AS n_lines,
     length(t) - length(regexp_replace(t, '[{quality.UPPER}]', '', 'g')) AS n_upper, length(t) - length(replace(t, '!', '')) AS n_exclaim,
-    length(t) - length(translate(t, '.,;:?', '')) AS n_stops
+    length(t) - length(translate(t, '.,;:?', '')) AS n_stops,
+    length(regexp_replace(t, '[^{quality.ALPHANUMERIC}]', '', 'g')) AS n_alnum,
+    len(list_filter(w, lambda x: NOT regexp_matches(x, '[{quality.ALPHANUMERIC}]'))) AS n_bare
   FROM split LEFT JOIN covered c USING (r)
 ), voted AS MATERIALIZED (
   SELECT *, n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.MOST_REPEATED} * n_words AS base_failed, {votes} FROM measured

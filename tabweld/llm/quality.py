@@ -25,28 +25,30 @@ UPPER = "A-Z"
 MIN_WORDS = 50
 MOST_REPEATED = 50
 
+#: What texts are written in: letters with their marks, and digits.
+ALPHANUMERIC = r"\p{L}\p{M}\p{N}"
+
 #: EM: rounds; share of good documents and vote rates to begin with (good votes on good documents,
-#: bad votes on bad ones). What is known of the rules bounds what may be learned: a good document
-#: gets a rule's bad vote with a chance of at most MOST_WRONG, a bad one with at least LEAST_RIGHT,
-#: and between SHARES of the documents are good. Without bounds a rule that alone sees one kind of
-#: junk could be taken for a noisy one.
+#: bad votes on bad ones), the same for all rules. At least half of the documents are taken to be
+#: good, which says which of the two classes is which. The rates have no bounds: one vote of each
+#: kind is added to what is counted, so that no rate is 0 or 1.
 ROUNDS = 20
 FIRST_SHARE = 0.8
-FIRST_GOOD, FIRST_BAD = 0.999, 0.3
-MOST_WRONG, LEAST_RIGHT = 0.005, 0.05
-SHARES = (0.5, 0.99)
-LEAST = 1e-4
+FIRST_GOOD, FIRST_BAD = 0.95, 0.5
+SHARES = (0.5, 0.9999)
 
 #: A rule votes bad if the first condition holds, else good if the second does, else abstains.
 #: Spark SQL and DuckDB both read these.
 RULES: dict[str, tuple[str, str]] = {
     "symbols": ("20 * n_symbols > n_words", "100 * n_symbols <= n_words"),
-    "repeats": ("100 * n_repeat_words > 25 * n_words", "100 * n_repeat_words <= 5 * n_words"),
+    "letters": ("100 * n_alnum < 90 * word_chars", "100 * n_alnum >= 95 * word_chars"),
+    "bare_words": ("10 * n_bare > n_words", "50 * n_bare <= n_words"),
+    "word_length": ("word_chars < 3 * n_words OR word_chars > 7 * n_words", "2 * word_chars >= 9 * n_words AND word_chars <= 6 * n_words"),
+    "stops": ("100 * n_stops < 8 * n_words", "100 * n_stops >= 12 * n_words"),
+    "repeats": ("5 * n_repeat_words > n_words", "100 * n_repeat_words <= n_words"),
     "lines": ("2 * n_dup_lines > n_lines", "n_lines > 1 AND n_dup_lines = 0"),
     "capitals": ("10 * n_upper > 4 * word_chars", "10 * n_upper <= 2 * word_chars"),
     "shouting": ("10 * n_exclaim > n_words", "100 * n_exclaim <= n_words"),
-    "word_length": ("word_chars < 2 * n_words OR word_chars > 15 * n_words", "word_chars >= 3 * n_words AND word_chars <= 10 * n_words"),
-    "stops": ("100 * n_stops < n_words", "100 * n_stops >= 3 * n_words"),
 }
 
 
@@ -72,6 +74,7 @@ def measured(docs: DataFrame, text_column: str = "text") -> DataFrame:
         "row",
         "text",
         F.size("words").alias("n"),
+        F.size(F.filter("words", lambda word: ~word.rlike(f"[{ALPHANUMERIC}]"))).cast("long").alias("n_bare"),
         F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
         F.size("lines").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
@@ -100,6 +103,8 @@ def measured(docs: DataFrame, text_column: str = "text") -> DataFrame:
         matches(text, UPPER).alias("n_upper"),
         matches(text, "!").alias("n_exclaim"),
         matches(text, ".,;:?").alias("n_stops"),
+        matches(text, ALPHANUMERIC).alias("n_alnum"),
+        "n_bare",
     )
 
 
@@ -167,17 +172,17 @@ def one_round(patterns: Column, trust: Column) -> Column:
         def total(part) -> Column:
             return F.aggregate(scored, F.lit(0.0), lambda sum_, s: sum_ + part(s))
 
-        def rates(weight, low: float, high: float) -> Column:
+        def rates(weight) -> Column:
             def rate(j: Column) -> Column:
                 up, down = (1.0 + total(lambda s, v=v: F.when(F.get(s["votes"], j) == v, weight(s)).otherwise(0.0)) for v in (1, -1))
-                return between(up / (up + down), low, high)
+                return up / (up + down)
 
             return F.transform(F.sequence(F.lit(0), F.lit(len(RULES) - 1)), rate)
 
         return F.struct(
             between(total(lambda s: s["good"]) / total(lambda s: s["docs"]), *SHARES).alias("share"),
-            rates(lambda s: s["good"], 1 - MOST_WRONG, 1 - LEAST).alias("on_good"),
-            rates(lambda s: s["docs"] - s["good"], LEAST, 1 - LEAST_RIGHT).alias("on_bad"),
+            rates(lambda s: s["good"]).alias("on_good"),
+            rates(lambda s: s["docs"] - s["good"]).alias("on_bad"),
         )
 
     scored = F.transform(
@@ -194,9 +199,11 @@ def one_round(patterns: Column, trust: Column) -> Column:
 def learn_trust(votes: DataFrame, rounds: int = ROUNDS) -> Trust:
     """EM over the counted vote patterns of all documents that pass the hard limits.
 
-    The patterns (at most ``3 ** len(RULES)``) meet in one row, where the rounds are a fold.
-    Without documents the first guess stays.
+    The votes are written first, as the plan of a frame that was not written would compute its
+    measures once for each vote. The patterns (at most ``3 ** len(RULES)``) meet in one row, where
+    the rounds are a fold. Without documents the first guess stays.
     """
+    votes = materialize(votes.select(*(f"vote_{r}" for r in RULES), "base_failed"), "votes")
     counted = votes.where(~F.col("base_failed")).groupBy(votes_of().alias("votes")).agg(F.count("*").cast("double").alias("docs"))
     table = counted.agg(F.sort_array(F.collect_list(F.struct("votes", "docs"))).alias("patterns"))
     first = F.struct(
@@ -227,7 +234,7 @@ def report(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
     return with_verdict(rows, learn_trust(rows, rounds))
 
 
-MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_exclaim", "n_stops")
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_exclaim", "n_stops", "n_alnum", "n_bare")
 
 
 def good_documents(docs: DataFrame, text_column: str = "text") -> DataFrame:

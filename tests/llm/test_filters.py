@@ -154,3 +154,44 @@ def test_cascade_is_exact(spark):
             url_filter.build_cascade(listed, universe, 20_000)
         finally:
             url_filter.MOST_LISTED = limit
+
+
+def test_rates_are_estimated(spark):
+    """Four rules or more get rates of their own, from votes that were not written before; clean documents stay."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    votes = quality.voted(quality.measured(docs)).withColumn("base_failed", quality.base_failed())
+    trust = quality.learn_trust(votes)
+    bad = {r: 1 - x for r, x in zip(quality.RULES, trust.on_bad)}
+    good = {r: 1 - x for r, x in zip(quality.RULES, trust.on_good)}
+    assert sum(bad[r] > 0.1 for r in bad) >= 4 and all(good[r] < 0.02 for r in good)
+    assert bad["symbols"] > 0.9 > bad["word_length"] > bad["stops"] > good["stops"]
+
+
+def test_nothing_goes_from_clean_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("not text rlike '[#*$%&|<>]'")
+    assert quality.report(docs).where("not base_failed and not kept").count() == 0
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_trust_is_that_of_plain_em(spark, seed):
+    """The fold over patterns against EM over the documents themselves."""
+    import random
+
+    rng = random.Random(seed)
+    rows = [tuple(rng.choice((-1, 1, 1, 0) if i % 5 else (-1, -1, 1, 0)) for _ in quality.RULES) + (i % 11 == 0,) for i in range(300)]
+    votes = spark.createDataFrame(rows, ", ".join(f"vote_{r} int" for r in quality.RULES) + ", base_failed boolean")
+    share, up = quality.FIRST_SHARE, {"good": [quality.FIRST_GOOD] * len(quality.RULES), "bad": [1 - quality.FIRST_BAD] * len(quality.RULES)}
+    left = [r[:-1] for r in rows if not r[-1]]
+    for _ in range(5):
+        chance = []
+        for r in left:
+            good, bad = share, 1 - share
+            for v, a, b in zip(r, up["good"], up["bad"]):
+                good, bad = (good * a, bad * b) if v == 1 else (good * (1 - a), bad * (1 - b)) if v == -1 else (good, bad)
+            chance.append(good / (good + bad))
+        share = min(max(sum(chance) / len(left), quality.SHARES[0]), quality.SHARES[1])
+        for kind, weights in (("good", chance), ("bad", [1 - c for c in chance])):
+            sums = [[1 + sum(w for w, r in zip(weights, left) if r[j] == v) for v in (1, -1)] for j in range(len(quality.RULES))]
+            up[kind] = [a / (a + b) for a, b in sums]
+    trust = quality.learn_trust(votes, rounds=5)
+    assert trust.share == pytest.approx(share) and trust.on_good == pytest.approx(up["good"]) and trust.on_bad == pytest.approx(up["bad"])
