@@ -46,7 +46,7 @@ def greedy_assignment(edges: DataFrame) -> DataFrame:
     so each round takes all such edges and drops the rows they use. Best edges come from
     aggregates that combine map-side, so a row with very many edges is no hot spot.
 
-    Chains of rising scores leave one edge to a round. So after ``ROUNDS`` rounds the open edges
+    Chains of rising scores leave one edge to a round. So after ``ROUNDS`` rounds, or while they are few, the open edges
     are solved by folds: all in one while they are few, else one for each connected component,
     whose results do not depend on each other. Of a larger component the best ``FOLD_EDGES``
     edges or so, which the pass comes to first, are folded, and the rest goes on.
@@ -54,7 +54,7 @@ def greedy_assignment(edges: DataFrame) -> DataFrame:
     found = []
     remaining = materialize(edges.select(*EDGES), "edges")
     for _ in range(ROUNDS):
-        if remaining.isEmpty():
+        if remaining.count() <= FOLD_EDGES:
             break
         best_left = remaining.groupBy("left_id").agg(F.max(F.struct("score", "right_id")).alias("b"))
         best_right = remaining.groupBy("right_id").agg(F.max(F.struct("score", "left_id")).alias("b"))

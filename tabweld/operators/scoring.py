@@ -51,6 +51,7 @@ class RowScore:
     fields: tuple[Field, ...]
     threshold: float
     embed: Callable[[Column], Column] | None = None
+    most_cosine: float = 1.0  # no two row texts have a higher one
 
     def indexes(self, kind: str) -> list[int]:
         return [i for i, f in enumerate(self.fields) if f.kind == kind]
@@ -58,7 +59,7 @@ class RowScore:
     @property
     def least_field_score(self) -> float:
         """The field score below which no cosine lifts a pair to the threshold."""
-        return (self.threshold - EMBEDDING_WEIGHT) / FIELD_WEIGHT - _SLACK
+        return (self.threshold - EMBEDDING_WEIGHT * self.most_cosine) / FIELD_WEIGHT - _SLACK
 
     def weight(self, kinds: tuple[str, ...]) -> float:
         return sum(f.weight for f in self.fields if f.kind in kinds)
@@ -130,7 +131,10 @@ class RowScore:
         terms = self._terms(("id", "number", "text"), ids_equal)
         total = _total([w for _, w in terms])
         field = F.when(total > 0, _total([s for s, _ in terms]) / total).otherwise(0.0)
-        pairs = pairs.withColumns({"cosine": cosine, "field_score": field})
+        return self.mixed(pairs.withColumns({"cosine": cosine, "field_score": field}))
+
+    def mixed(self, pairs: DataFrame) -> DataFrame:
+        """Add ``score``, the mix of ``cosine`` and ``field_score``."""
         score = F.col("cosine") * EMBEDDING_WEIGHT + F.col("field_score") * FIELD_WEIGHT
         return pairs.withColumn("score", F.round(score, SCORE_DIGITS))
 

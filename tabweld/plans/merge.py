@@ -21,6 +21,7 @@ from tabweld.operators.content_match import match_by_content
 from tabweld.operators.copies import assign_classes, classes, members
 from tabweld.operators.id_groups import match_by_ids
 from tabweld.operators.impute import apply_fills, assert_no_nulls, fill, fill_values, null_counts
+from tabweld.operators.levels import many_pairs, match_by_levels
 from tabweld.operators.row_index import with_content_index, with_row_index
 from tabweld.operators.schema_match import match_schemas
 from tabweld.operators.scoring import RowScore, plan_fields
@@ -110,6 +111,10 @@ def match_rows(
     forms = side_by_side(
         lambda: materialize(classes(left, "left_id"), "forms"), lambda: materialize(classes(right, "right_id"), "forms")
     )
+    copies = any(f.count() != side.count() for f, side in zip(forms, (left, right)))
+    rows = (members(left, forms[0], "left_id"), members(right, forms[1], "right_id")) if copies else None
+    if not needed and max_pairs is None and many_pairs(row_score, *forms):
+        return match_by_levels(row_score, *forms, rows)
     if needed:
         pairs = id_subset_pairs(row_score, *forms, needed, max_pairs)
         if ids_may_be_null:
@@ -118,9 +123,7 @@ def match_rows(
     else:
         pairs = value_pairs(row_score, *forms, max_pairs)
     edges = row_score.passing(pairs)
-    if all(f.count() == side.count() for f, side in zip(forms, (left, right))):
-        return greedy_assignment(edges)
-    return assign_classes(edges, members(left, forms[0], "left_id"), members(right, forms[1], "right_id"))
+    return greedy_assignment(edges) if rows is None else assign_classes(edges, *rows)
 
 
 def _pairs_without_ids(row_score: RowScore, left: DataFrame, right: DataFrame, max_pairs: int | None) -> list[DataFrame]:
