@@ -11,6 +11,9 @@ Angles between vectors are a metric. A cosine of at least c is an angle of at mo
 So every passing pair meets in exactly one cell, that of its left vector; cells with many rows are
 divided by ``KeyJoin``. How much is excluded depends on the vectors: without clusters, or with a low
 bound, most regions see most of the right side, and ``max_pairs`` turns that into an error.
+
+``near_vectors`` therefore compares blocks of vectors by matrix products, which cost a pair a hundredth of
+what a joined row costs; each task holds two blocks. Only pairs at the bound are written out and measured.
 """
 
 from __future__ import annotations
@@ -25,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabweld.functions.similarity import vector_cosine
+from tabweld.operators.blocks import in_blocks
 from tabweld.operators.candidates import KeyJoin, _check, _no_join
 from tabweld.session import materialize
 
@@ -32,6 +36,9 @@ from tabweld.session import materialize
 MOST_PIVOTS = 1024
 #: Cosines are computed in another order than the exact ones that decide.
 SLACK = 1e-6
+#: Vectors of a block, and pairs of a matrix product.
+BLOCK_ROWS = 16_384
+STRIP_PAIRS = 4_000_000
 
 
 def _angles_to(pivots: np.ndarray):
@@ -107,6 +114,40 @@ def metric_join(left: DataFrame, right: DataFrame, least_cosine: float, max_pair
 
 
 def near_vectors(left: DataFrame, right: DataFrame, least_cosine: float, max_pairs: int | None = None) -> DataFrame:
-    """``left_id, right_id, cosine`` of all pairs of vectors with at least that cosine."""
-    pairs = metric_join(left, right, least_cosine, max_pairs).joined()
+    """``left_id, right_id, cosine`` of all pairs of vectors with at least that cosine.
+
+    ``max_pairs`` bounds the pairs that regions leave; without it blocks are compared.
+    """
+    pairs = _block_pairs(left, right, least_cosine) if max_pairs is None else metric_join(left, right, least_cosine, max_pairs).joined()
     return pairs.withColumn("cosine", vector_cosine(F.col("left_vector"), F.col("right_vector"))).where(F.col("cosine") >= least_cosine).select("left_id", "right_id", "cosine")
+
+
+def _block_pairs(left: DataFrame, right: DataFrame, least_cosine: float) -> DataFrame:
+    """Pairs that reach the cosine up to the slack, with their vectors."""
+    if least_cosine <= SLACK:
+        raise _no_join("a cosine of 0 or less bounds no pairs")
+    least, strip = least_cosine - SLACK, STRIP_PAIRS
+
+    def unit(column: pa.ChunkedArray) -> np.ndarray:
+        column = column.combine_chunks()
+        sizes = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        x = np.zeros((len(column), int(sizes.max(initial=1))))
+        flat = np.nan_to_num(column.flatten().to_numpy(zero_copy_only=False).astype(float))
+        x[np.repeat(np.arange(len(sizes)), sizes), np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = flat
+        return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
+
+    def compare(a: pa.Table, b: pa.Table) -> pa.Table:
+        out = [pa.Table.from_arrays([*a.slice(0, 0).columns, *b.slice(0, 0).columns], names)]
+        if a.num_rows and b.num_rows:
+            x, y = unit(a["left_vector"]), unit(b["right_vector"])
+            width, step = min(x.shape[1], y.shape[1]), max(1, strip // b.num_rows)
+            for low in range(0, a.num_rows, step):
+                i, j = np.nonzero(x[low : low + step, :width] @ y[:, :width].T >= least)
+                found = [*a.take(pa.array(i + low)).columns, *b.take(pa.array(j)).columns]
+                out.append(pa.Table.from_arrays(found, names))
+        return pa.concat_tables(out)
+
+    sides = [df.select(f"{s}_id", f"{s}_vector").where(F.exists(f"{s}_vector", lambda x: x != 0)) for s, df in (("left", left), ("right", right))]
+    fields = [f for df in sides for f in df.schema.fields]
+    names = [f.name for f in fields]
+    return in_blocks(*sides, lambda a, b: compare(a.select(names[:2]), b.select(names[2:])), T.StructType(fields), BLOCK_ROWS)

@@ -56,6 +56,18 @@ def test_clusters_are_not_compared_with_each_other(spark):
     assert metric_join.near_vectors(*empty, 0.5).count() == 0
 
 
+def test_vectors_without_clusters_are_listed_once_for_a_block(spark, monkeypatch):
+    """Regions listed such vectors nearly everywhere; blocks hold each once for a line."""
+    monkeypatch.setattr(metric_join, "metric_join", None)
+    monkeypatch.setattr(metric_join, "BLOCK_ROWS", 100)
+    random.seed(14)
+    rows = [(i, [random.gauss(0, 1) for _ in range(24)]) for i in range(600)]
+    other = [(i, [round(c + random.gauss(0, 0.2), 2) for c in x]) for i, x in rows[:300]] + [(900, None), (901, [0.0] * 24)]
+    pairs = metric_join.near_vectors(*sides(spark, rows, other), 0.97)
+    got = sorted((p.left_id, p.right_id) for p in pairs.collect())
+    assert len(got) > 100 and got == sorted((i, j) for i, x in rows for j, y in other if cosine(x, y) >= 0.97)
+
+
 def model():
     def encode(texts):
         return [[t.count(c) for c in "abcdefghijklmnopqrstuvwxyz"] for t in texts]
