@@ -13,7 +13,7 @@ def small(monkeypatch):
     """Levels and blocks from the first row on."""
     taken = []
     monkeypatch.setattr(candidates, "_FEW_PAIRS", 0)
-    monkeypatch.setattr(levels, "LEVEL_EDGES", 5)
+    monkeypatch.setattr(levels, "LEVEL_EDGES", 40)
     monkeypatch.setattr(levels, "ROW_EDGES", 0)
     monkeypatch.setattr(levels, "GRAM_SHARE", 0)
     monkeypatch.setattr(blocks, "TEXT_ROWS", 16)
