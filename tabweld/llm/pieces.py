@@ -3,7 +3,8 @@
 For each batch of texts the different words that were not met before are joined into one text. Its
 suffixes are sorted, every piece of the vocabulary finds the range of suffixes that start with it
 by binary search, and the occurrences become edges from a place to the place after the piece.
-Sorted by place, the edges are relaxed once:
+Each edge is relaxed once, by rising place; for ``bpe`` models the edges that lie equally far
+from their words' beginnings are relaxed together:
 
 * ``unigram`` models keep for each place the best sum of scores (ties: the edge found first, from
   the earliest start);
@@ -12,20 +13,21 @@ Sorted by place, the edges are relaxed once:
   each place, so the result is that of merging the best pair again and again.
 
 Words are the text between spaces with the spaces before them; no piece has a space after another
-character, so their encodings do not depend on each other. A character without a piece becomes its
+character, so their encodings do not depend on each other. Nor do those of letters and of marks
+beside them, where no piece holds both next to each other: these are words of their own. A character without a piece becomes its
 UTF-8 bytes' pieces, or the unknown piece if the model has none. As in the reference library's
 identity models, a space is put before a text that is not empty, and U+2581 stands for a space, so
 texts with that character come back with a space instead; all others come back unchanged.
 
-Batches are cut at ``BATCH_CHARS``, and the memory of words met before at ``MOST_WORDS``, so memory
-does not grow with the input; only one text longer than that is held whole.
+Batches are cut at ``BATCH_CHARS``, the new words of a batch at ``LEARN_CHARS``, and the memory of words
+met before at ``MOST_WORDS``, so memory does not grow with the input; only one text longer than that is held whole.
 """
 
 from __future__ import annotations
 
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from itertools import chain
 
@@ -38,7 +40,11 @@ from tabweld.llm.common import ship_by_value
 
 SPACE = "\u2581"
 BATCH_CHARS = 3_000_000
-MOST_WORDS = 600_000
+LEARN_CHARS = 500_000
+MOST_WORDS = 400_000
+#: Edges so far from their word's beginning, which only long words have, are relaxed one by one.
+LEVELS = 64
+PAIR_BITS = 18
 START, NONE = -1, -2
 GAP = b"\xfe"
 
@@ -88,6 +94,30 @@ def suffix_order(text: bytes, width: int) -> tuple[np.ndarray, np.ndarray]:
     return starts[order], keys[order]
 
 
+def marks_apart(pieces: list[str], alone: str) -> str:
+    """Characters that no piece has next to another character than these and spaces.
+
+    Characters that are neighbours in a piece are linked; the marks are the groups with an ASCII
+    character, but for the largest group, which is that of the letters.
+    """
+    root: dict[str, str] = {}
+
+    def find(c: str) -> str:
+        while root.setdefault(c, c) != c:
+            root[c] = c = root[root[c]]
+        return c
+
+    for p in pieces:
+        for a, b in zip(p, p[1:]):
+            if a != " " and b != " ":
+                root[find(a)] = find(b)
+    groups: dict[str, list[str]] = {}
+    for c in list(root):
+        groups.setdefault(find(c), []).append(c)
+    ordered = sorted(groups.values(), key=len)[:-1]
+    return "".join(c for g in ordered if any(x < "\x80" for x in g) for c in sorted(g) if c not in alone)
+
+
 class Encoder:
     """Encodes words; one for each task."""
 
@@ -106,10 +136,18 @@ class Encoder:
         self.by_text = {p: i for i, p in spelled}
         self.unknown_edge = len(vocabulary.pieces)
         self.decoder = Decoder(vocabulary)
+        self.byte_ids = np.array(vocabulary.bytes_, np.int64)
+        self.spans = np.array([len(r) for r in self.decoder.raw], np.int64)
         self.fits: dict[int, bool] = {}
+        self.growths: dict[int, tuple[list[float], list[str], list[str]] | None] = {}
+        # What ``fits`` says, by a hash of the pair; a later pair of the same hash replaces an earlier one.
+        self.pair_keys, self.pair_fits = np.full(1 << PAIR_BITS, -1, np.int64), np.zeros(1 << PAIR_BITS, bool)
         inside = {c for _, p in spelled if len(p) > 1 for c in p}
         alone = "".join(c for c in "\n\t\r" if c not in inside)
-        self.words = re.compile(f" +[^ {alone}]*|[^ {alone}]+|[{alone}]" if alone else " +[^ ]*|[^ ]+")
+        marks = re.escape(marks_apart([p for _, p in spelled], alone))
+        other = f"[^ {alone}{marks}]"
+        runs = f"{other}+|[{marks}]+" if marks else f"{other}+"
+        self.words = re.compile(f" +(?:{runs})?|{runs}" + (f"|[{alone}]" if alone else ""))
         self.forget()
 
     def forget(self) -> None:
@@ -119,10 +157,13 @@ class Encoder:
     def split(self, text: str) -> list[str]:
         return self.words.findall(" " + text.replace(SPACE, " ")) if text else []
 
-    def merged(self, text: str) -> list[int] | None:
-        """Pieces of a short text by merging the best neighbours (the first of equals) while any
-        are a piece; null if a character has no piece."""
-        parts, scores, by_text = list(text), self.vocabulary.scores, self.by_text
+    def growth(self, piece: int) -> tuple[list[float], list[str], list[str]] | None:
+        """How a piece arises from its characters by merging the best neighbours (the first of equals) again and
+        again: scores of the merges, and the first and the last part before each and at the end; None if it does not."""
+        if piece in self.growths:
+            return self.growths[piece]
+        parts, scores, by_text = list(self.vocabulary.pieces[piece]), self.vocabulary.scores, self.by_text
+        merges, firsts, lasts = [], [parts[0]], [parts[-1]]
         while len(parts) > 1:
             best, at = None, -1
             for k in range(len(parts) - 1):
@@ -132,26 +173,63 @@ class Encoder:
             if best is None:
                 break
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        found = [by_text.get(p) for p in parts]
-        return None if None in found else found
+            merges.append(best)
+            firsts.append(parts[0])
+            lasts.append(parts[-1])
+        grown = (merges, firsts, lasts) if len(parts) == 1 and by_text[parts[0]] == piece else None
+        self.growths[piece] = grown
+        return grown
 
     def extends(self, last: int, piece: int) -> bool:
-        """Whether an encoding that ends in ``last`` goes on with ``piece``."""
+        """Whether an encoding that ends in ``last`` goes on with ``piece``: both arise side by side, and
+        at no time are the parts that meet between them the best neighbours."""
         if piece == self.unknown_edge:
             return True
         key = last * (self.unknown_edge + 1) + piece
         known = self.fits.get(key)
         if known is None:
-            pieces = self.vocabulary.pieces
+            after = self.growth(piece)
             if last in (START, self.unknown_edge):
-                known = self.merged(pieces[piece]) == [piece]
+                known = after is not None
             else:
-                known = self.merged(pieces[last] + pieces[piece]) == [last, piece]
+                before = self.growth(last)
+                known = before is not None and after is not None and self._stay_apart(before, after)
             self.fits[key] = known
         return known
 
-    def edges(self, text: bytes) -> tuple[list[int], list[int], list[int]]:
-        """Start, length and piece of all occurrences, by start, then length."""
+    def _stay_apart(self, before: tuple[list[float], list[str], list[str]], after: tuple[list[float], list[str], list[str]]) -> bool:
+        (left, _, ends), (right, begins, _) = before, after
+        by_text, scores, i, j = self.by_text, self.vocabulary.scores, 0, 0
+        while True:
+            between = by_text.get(ends[i] + begins[j])
+            if between is not None:
+                score = scores[between]
+                if (i == len(left) or score > left[i]) and (j == len(right) or score >= right[j]):
+                    return False
+            if i < len(left) and (j == len(right) or left[i] >= right[j]):
+                i += 1
+            elif j < len(right):
+                j += 1
+            else:
+                return True
+
+    def extend(self, last: np.ndarray, piece: np.ndarray) -> np.ndarray:
+        """``extends`` of many pairs."""
+        last = np.where(last == self.unknown_edge, START, last)
+        key = (last + 1) * (self.unknown_edge + 1) + piece
+        slot = ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
+        found = self.pair_fits[slot]
+        new = np.flatnonzero(self.pair_keys[slot] != key)
+        if len(new):
+            keys, first, number = np.unique(key[new], return_index=True, return_inverse=True)
+            at = new[first]
+            known = np.fromiter(map(self.extends, last[at].tolist(), piece[at].tolist()), bool, len(keys))
+            found[new] = known[number]
+            self.pair_keys[slot[at]], self.pair_fits[slot[at]] = keys, known
+        return found
+
+    def edges(self, text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Start, length and piece of all occurrences."""
         places, keys = suffix_order(text, self.width)
         first = np.searchsorted(keys, self.low, "left")
         counts = np.searchsorted(keys, self.high, "right") - first
@@ -171,62 +249,101 @@ class Encoder:
         start = np.concatenate([start, bare])
         length = np.concatenate([length, span_at[bare]])
         piece = np.concatenate([piece, np.full(len(bare), self.unknown_edge)])
-        order = np.lexsort((length, start))
-        return start[order].tolist(), length[order].tolist(), piece[order].tolist()
-
-    def relax(self, size: int, starts: list[int], edges: tuple[list[int], list[int], list[int]]) -> tuple[list[int], list[int]]:
-        """For each place, the last piece and its start."""
-        last, back = [NONE] * (size + 2), [0] * (size + 2)
-        for s in starts:
-            last[s] = START
+        return start, length, piece
+
+    def relax(self, size: int, starts: np.ndarray, edges: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """For each place, the last piece and its start; ``starts`` are those of the words."""
+        start, length, piece = edges
         if self.vocabulary.kind == "unigram":
+            order = np.lexsort((length, start))
+            last, back = [NONE] * (size + 2), [0] * (size + 2)
+            for s in starts.tolist():
+                last[s] = START
             worst = min(self.vocabulary.scores, default=0.0) - 10.0
             scores = [*self.vocabulary.scores, worst]
             best = [0.0] * (size + 2)
-            for p, n, piece in zip(*edges):
+            for p, n, x in zip(*(e[order].tolist() for e in edges)):
                 if last[p] != NONE:
-                    value = best[p] + scores[piece]
+                    value = best[p] + scores[x]
                     if last[p + n] == NONE or value > best[p + n]:
-                        last[p + n], back[p + n], best[p + n] = piece, p, value
-            return last, back
-        fits, width, extends = self.fits.get, self.unknown_edge + 1, self.extends
-        for p, n, piece in zip(*edges):
-            before = last[p]
-            if before != NONE:
-                end = p + n
-                if last[end] == NONE:  # only one piece can end an encoding here
-                    known = fits(before * width + piece)
-                    if known or (known is None and extends(before, piece)):
-                        last[end] = piece
-                        back[end] = p
+                        last[p + n], back[p + n], best[p + n] = x, p, value
+            return np.array(last, np.int64), np.array(back, np.int64)
+        last, back = np.full(size + 2, NONE, np.int64), np.zeros(size + 2, np.int64)
+        last[starts] = START
+        within = np.arange(size + 1) - np.repeat(starts, np.diff(np.append(starts, size + 1)))
+        offset = np.minimum(within[start], LEVELS)
+        order = np.argsort(offset.astype(np.uint8), kind="stable")
+        start, end, piece = start[order], (start + length)[order], piece[order]
+        bounds = np.searchsorted(offset[order], np.arange(LEVELS + 2)).tolist()
+        for low, high in zip(bounds[:LEVELS], bounds[1:]):
+            # Only one piece can end an encoding at a place.
+            due = low + np.flatnonzero((last[start[low:high]] != NONE) & (last[end[low:high]] == NONE))
+            due = due[self.extend(last[start[due]], piece[due])]
+            last[end[due]], back[end[due]] = piece[due], start[due]
+        rest = bounds[LEVELS]
+        if rest < len(start):
+            rest = rest + np.argsort(start[rest:], kind="stable")
+            lasts, backs = last.tolist(), back.tolist()
+            for p, e, x in zip(start[rest].tolist(), end[rest].tolist(), piece[rest].tolist()):
+                before = lasts[p]
+                if before != NONE and lasts[e] == NONE and self.extends(before, x):
+                    lasts[e], backs[e] = x, p
+            last, back = np.array(lasts, np.int64), np.array(backs, np.int64)
         return last, back
 
     def learn(self, words: list[str]) -> None:
-        """Encode words that were not met before, all in one text with a byte between them that no
-        UTF-8 text has."""
-        raw = [w.encode("utf-8") for w in words]
-        sizes = np.array([len(r) for r in raw], np.int64)
-        starts = (np.cumsum(sizes + 1) - sizes - 1).tolist()
-        text = GAP.join(raw)
+        """Encode words that were not met before, about ``LEARN_CHARS`` at a time."""
+        for part in in_parts(words, LEARN_CHARS):
+            self._learn(part)
+
+    def _learn(self, words: list[str]) -> None:
+        """Encode words in one text with a byte between them that no UTF-8 text has."""
+        text = GAP.join([w.encode("utf-8") for w in words])
+        raw = np.frombuffer(text, np.uint8)
+        gaps = np.flatnonzero(raw == GAP[0])
+        starts, ends = np.concatenate([[0], gaps + 1]), np.append(gaps, len(text))
         last, back = self.relax(len(text), starts, self.edges(text))
-        byte_ids, unknown, spelled = self.vocabulary.bytes_, self.vocabulary.unknown, self.decoder.raw
-        for word, r, start in zip(words, raw, starts):
-            out, at = [], start + len(r)
-            while at > start:
-                piece, begin = last[at], back[at]
-                if piece != self.unknown_edge:
-                    out.append(piece)
-                elif byte_ids:
-                    out.extend(byte_ids[b] for b in reversed(text[begin:at]))
-                else:
-                    out.append(unknown)
-                at = begin
-            self.numbers[word] = len(self.begin)
-            self.begin.append(len(self.flat))
-            self.size.append(len(out))
-            out.reverse()
-            self.flat.extend(out)
-            self.comes_back.append(b"".join([spelled[i] for i in out]) == r)
+        # From the ends of the words back to their starts, all short words at once.
+        short = ends - starts <= LEVELS
+        at, until, steps = ends[short], starts[short], []
+        while len(at):
+            steps.append(at)
+            at = back[at]
+            going = at > until
+            at, until = at[going], until[going]
+        for place, start in zip(ends[~short].tolist(), starts[~short].tolist()):
+            step = array("q")
+            while place > start:
+                step.append(place)
+                place = int(back[place])
+            steps.append(np.frombuffer(step, np.int64))
+        at = np.sort(np.concatenate(steps))
+        piece, begin = last[at], back[at]
+        bare = piece == self.unknown_edge
+        if len(self.byte_ids):
+            counts = np.where(bare, at - begin, 1)
+            ids = np.repeat(piece, counts)
+            inside = np.arange(len(ids)) - np.repeat(np.cumsum(counts) - counts, counts)
+            spelled = np.repeat(bare, counts)
+            ids[spelled] = self.byte_ids[raw[(np.repeat(begin, counts) + inside)[spelled]]]
+        else:
+            counts, ids = np.ones(len(at), np.int64), np.where(bare, self.vocabulary.unknown, piece)
+        sizes = np.diff(np.concatenate([[0], np.cumsum(counts)])[np.searchsorted(at, np.append(starts, len(text) + 1), "right")])
+        first = len(self.flat) + np.cumsum(sizes) - sizes
+        self.numbers.update(zip(words, range(len(self.begin), len(self.begin) + len(words))))
+        self.flat.frombytes(ids.astype(np.int32).tobytes())
+        self.begin.frombytes(first.astype(np.int64).tobytes())
+        self.size.frombytes(sizes.astype(np.int32).tobytes())
+        self.comes_back.frombytes(self._decode_to(ids, sizes, starts, ends, text).astype(np.int8).tobytes())
+
+    def _decode_to(self, ids: np.ndarray, sizes: np.ndarray, starts: np.ndarray, ends: np.ndarray, text: bytes) -> np.ndarray:
+        """Whether the ids of each word decode to it."""
+        decoded = b"".join(map(self.decoder.raw.__getitem__, ids.tolist()))
+        until = np.concatenate([[0], np.cumsum(self.spans[ids])])[np.concatenate([[0], np.cumsum(sizes)])]
+        if decoded == text.replace(GAP, b"") and np.array_equal(np.diff(until), ends - starts):
+            return np.ones(len(starts), bool)
+        places = zip(until[:-1].tolist(), until[1:].tolist(), starts.tolist(), ends.tolist())
+        return np.array([decoded[a:b] == text[c:d] for a, b, c, d in places], bool)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, one text after the other, and the number of ids of each text."""
@@ -275,13 +392,13 @@ class Decoder:
         return text[1:] if text.startswith(" ") else text
 
 
-def in_parts(texts: list[str]) -> Iterator[list[str]]:
-    """Runs of texts of about ``BATCH_CHARS`` characters."""
+def in_parts(texts: Iterable[str], chars: int = BATCH_CHARS) -> Iterator[list[str]]:
+    """Runs of texts of about ``chars`` characters."""
     part, held = [], 0
     for t in texts:
         part.append(t)
         held += len(t)
-        if held >= BATCH_CHARS:
+        if held >= chars:
             yield part
             part, held = [], 0
     if part:

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -308,6 +309,47 @@ def test_encoded_documents(spark, model, odd_docs, no_docs):
     assert pieces.encoded(no_docs, queries.vocabulary()).count() == 0
 
 
+def test_marks_are_words_of_their_own(model):
+    """A word with and without marks behind it was encoded once for each before."""
+    encoder = pieces.Encoder(queries.vocabulary())
+    texts = ["Plain word, (word) word. word!? word\u2026 word;\n word, é. #word# \ufffd.", "word,word", "...word"]
+    flat, counts = encoder.encode(texts)
+    assert [flat[end - n : end].tolist() for end, n in zip(np.cumsum(counts), counts)] == model.encode(texts)
+    assert {w for w in encoder.numbers if "word" in w} == {" word", "word"}
+    assert pieces.marks_apart(["ab", "b.", "b", "."], "") == ""
+
+
+def test_pairs_by_merging():
+    """Which pieces may follow each other, as told by their merges, against merging the whole text; scores with ties."""
+    rng = random.Random(11)
+    for _ in range(40):
+        texts = sorted({"".join(rng.choice("ab") for _ in range(rng.randint(2, 5))) for _ in range(9)} | {"a", "b", " "})
+        own = pieces.Vocabulary(["<unk>", *texts], [0.0, *(float(rng.randint(-6, 0)) for _ in texts)], "bpe")
+        encoder, by_text = pieces.Encoder(own), {p: i for i, p in enumerate(own.pieces) if i}
+        for a in texts:
+            for b in texts:
+                parts = list(a + b)
+                while True:
+                    ranked = [(own.scores[by_text[x + y]], -k) for k, (x, y) in enumerate(zip(parts, parts[1:])) if x + y in by_text]
+                    if not ranked:
+                        break
+                    k = -max(ranked)[1]
+                    parts[k : k + 2] = [parts[k] + parts[k + 1]]
+                assert encoder.extends(by_text[a], by_text[b]) == (parts == [a, b])
+
+
+def test_memory_of_many_new_words():
+    """Two million characters of new words, whose edges were all held as Python numbers before."""
+    rng = random.Random(12)
+    texts = ["".join(" " + "".join(rng.choices("aeinorst", k=9)) for _ in range(1000)) for _ in range(200)]
+    encoder = pieces.Encoder(queries.vocabulary())
+    tracemalloc.start()
+    encoder.encode(texts)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 250e6
+
+
 def test_decoded(spark):
     docs = spark.read.parquet(SMALL)
     tokens = pieces.encoded(docs, queries.vocabulary())
