@@ -4,8 +4,9 @@ Each distinct identifier is a group. Every passing pair in it has equal identifi
 so the same score, 1; the greedy pass then takes, for the highest left row, the highest
 right row that passes, and so on down. How a group is worked depends on its size only:
 
-* Both sides short (``SHORT``, after a round ``HEADS``): compare all its pairs, at most
-  that many per row.
+* Both sides of a few rows (``FEW``): compare all its pairs, at most that many per row.
+* Both sides short (``SHORT``): the greedy pass in one task, which compares a row with the
+  highest rows first and goes on only if none of these passes (``group_pass``).
 * Else: in rounds, each comparing a number of pairs linear in the group.
   1. Rank both sides from the top and compare rank with rank. Up to the first pair that
      fails, these are the pairs of the greedy pass: each is the top of what is left.
@@ -28,11 +29,13 @@ from pyspark.sql import functions as F
 
 from tabweld.operators.assign import EDGES, greedy_in_groups
 from tabweld.operators.candidates import key_counts, keyed, tasks_for
+from tabweld.operators.group_pass import match_whole_groups
 from tabweld.operators.row_index import rank_descending
 from tabweld.operators.scoring import RowScore
 from tabweld.session import materialize, side_by_side
 
-SHORT = 32
+FEW = 32
+SHORT = 1_024
 HEADS = 64
 PIECE_ROWS = 20_000
 
@@ -46,16 +49,22 @@ def match_by_ids(row_score: RowScore, left: DataFrame, right: DataFrame) -> Data
     """Matched pairs of prepared sides when all identifiers of a pair must be equal."""
     ids = tuple(row_score.indexes("id"))
     left, right = keyed(left, "left", ids), keyed(right, "right", ids)
-    found, limit = [], SHORT
+    found, limit = [], min(FEW, SHORT) if row_score.embed else SHORT
     while True:
-        is_long = (F.col("lefts") > limit) | (F.col("rights") > limit)
-        long = materialize(group_sizes(left, right).filter(is_long).select("key"), "long-groups")
+        few = limit if row_score.embed else min(FEW, limit)
+        sizes = materialize(group_sizes(left, right).filter(_above(few)), "large-groups")
+        if sizes.isEmpty():
+            found.append(_match_few(row_score, left, right))
+            break
+        found.append(_match_few(row_score, left.join(sizes, "key", "left_anti"), right.join(sizes, "key", "left_anti")))
+        short = sizes.filter(~_above(limit))
+        pairs = short.agg(F.sum(F.col("lefts") * F.col("rights"))).first()[0]
+        if pairs:
+            sides = [df.join(short, "key", "left_semi") for df in (left, right)]
+            found.append(materialize(match_whole_groups(row_score, *sides, tasks_for(pairs)), "group-pairs"))
+        long = sizes.filter(_above(limit)).select("key")
         if long.isEmpty():
-            found.append(_match_short(row_score, left, right))
             break
-        found.append(
-            _match_short(row_score, left.join(long, "key", "left_anti"), right.join(long, "key", "left_anti"))
-        )
         left, right, more = _match_round(
             row_score, left.join(long, "key", "left_semi"), right.join(long, "key", "left_semi")
         )
@@ -63,11 +72,15 @@ def match_by_ids(row_score: RowScore, left: DataFrame, right: DataFrame) -> Data
         if left is None:
             break
         # What is left did not pass rank by rank: up to as many rows as heads, all pairs are due.
-        limit = HEADS
+        limit = max(limit, HEADS)
     return materialize(reduce(DataFrame.unionByName, found), "pairs")
 
 
-def _match_short(row_score: RowScore, left: DataFrame, right: DataFrame) -> DataFrame:
+def _above(rows: int) -> Column:
+    return (F.col("lefts") > rows) | (F.col("rights") > rows)
+
+
+def _match_few(row_score: RowScore, left: DataFrame, right: DataFrame) -> DataFrame:
     edges = row_score.passing(left.join(right, "key"), ids_equal=True).select("key", *EDGES)
     return greedy_in_groups(edges, "key")
 

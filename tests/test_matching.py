@@ -1,10 +1,11 @@
 import random
 from decimal import Decimal
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tabweld.operators import candidates, id_groups
+from tabweld.operators import candidates, group_pass, id_groups
 from tabweld.operators.assign import greedy_assignment
 from tabweld.operators.candidates import KeyJoin, NoLosslessJoin, value_pairs
 from tabweld.operators.evaluate import evaluate_pairs
@@ -275,3 +276,38 @@ def test_golden_records(spark):
     pairs = spark.createDataFrame([(1, 10, 1.0)], "left_id long, right_id long, score double")
     got = golden_records(left, right, pairs, {"id": "key", "name": "title"}, "id", "key")
     assert sorted(map(tuple, got.collect())) == [(1, "x", 5), (2, "b", None), (11, "y", 6)]
+
+
+@pytest.mark.parametrize("seed, names, threshold", [(1, NAMES, 0.85), (2, ["ann", "", None], 0.9), (3, ["ann", "zoe"], 0.95)])
+def test_groups_passed_in_one_task(spark, monkeypatch, seed, names, threshold):
+    monkeypatch.setattr(id_groups, "FEW", 4)
+    monkeypatch.setattr(group_pass, "STRIP", 5)
+    monkeypatch.setattr("tests.test_matching.NAMES", [n for n in names if n is not None])
+    rng = random.Random(seed)
+    ids = [7] * 4 + [8, 9] * 2 + list(range(100, 106))
+    left, right = people(rng, 90, ids), people(rng, 70, ids)
+    left += [(1000 + i, 7, rng.choice(NAMES), 0.0) for i in range(3)]
+    assert run(spark, left, right, (LEFT, RIGHT), MATCHES, threshold) == want(left, right, (LEFT, RIGHT), MATCHES, threshold)
+
+
+def test_rows_of_a_group_meet_few_others(spark):
+    """A third of the right rows pass with no one; from the first of them on all pairs were compared before."""
+    a = spark.createDataFrame([(i, 1, "ann", 5.0) for i in range(600)], LEFT)
+    b = spark.createDataFrame([(i, 1, "ann" if i % 3 else "zoe", 5.0) for i in range(600)], LEFT.replace("row", "pos"))
+    score = RowScore(plan_fields(a.schema, b.schema, {c: c for c in MATCHES}), 0.95)
+    sides = [score.prepare(df, c, s).toArrow().sort_by([(f"{s}_id", "descending")]) for df, c, s in ((a, "row", "left"), (b, "pos", "right"))]
+    compare, cells = group_pass.comparer(score), []
+
+    def counted(x, y):
+        passes, most = compare(x, y)
+        return lambda i, j: cells.append(len(i) * len(j)) or passes(i, j), most
+
+    pairs = group_pass.greedy_pass(*sides, counted)
+    rights = [i for i in range(599, -1, -1) if i % 3]
+    assert sorted(zip(*(p.tolist() for p in pairs))) == sorted(zip(range(599, 599 - len(rights), -1), rights))
+    assert sum(cells) < 0.5 * 600 * 600
+
+
+def test_threshold_is_met_after_rounding():
+    scores = [0.85, 0.8499999995, 0.84999999949, 0.8500000001, 0.849999998]
+    assert group_pass._reaches(np.array(scores), 0.85).tolist() == [True, True, False, True, False]
