@@ -1,8 +1,9 @@
 """Comparing all rows of two sides block by block, where no join leaves out enough.
 
 Both sides are cut into lines of a bounded number of rows; each cell of the grid is one task's
-work and holds its two lines only. Inside a cell numpy compares strips of rows, so that a pair
-costs some matrix elements and is written out only if it can reach the threshold.
+work and holds its two lines only. Inside a cell the left rows are put in leaves of like numbers. A leaf
+meets only the right rows that its range of numbers lets reach the threshold; numpy compares these in
+tiles, so that a pair costs some matrix elements and is written out only if it can reach it too.
 """
 
 from __future__ import annotations
@@ -17,16 +18,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabweld.functions.similarity import _Grams, _jaro_winklers
+from tabweld.functions.similarity import PREFIX_LENGTH, PREFIX_WEIGHT, _Grams, _jaro_winklers
 from tabweld.operators.scoring import EMBEDDING_WEIGHT, FIELD_WEIGHT, NUMBER_WEIGHT, TEXT_WEIGHT, RowScore
 
 # The functions below travel with the plan: executors need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-TEXT_ROWS = 4_096
-_STRIP_CELLS = 2_000_000
+TEXT_ROWS = 16_384
+LEAF_ROWS = 256
+#: Lines of long texts have fewer rows: about so many characters.
+_LINE_CHARS = 4_000_000
+_TILE_CELLS = 500_000
+_PART_CELLS = 2_000_000
 _COUNT_CELLS = 8_000_000
 _SLACK = 1e-6
+_ROUGH = 4e-6  # what sums in single precision may lose
+_SINGLE = 1e-30, 1e30  # magnitudes that single precision holds to seven digits
 _FEW_ROWS = 512
 _PICK = 50  # so few pairs have their cosines taken one by one
 _MOST_GRAMS = 1 << 16
@@ -56,59 +63,80 @@ def score_edges(row_score: RowScore, left: DataFrame, right: DataFrame) -> DataF
     numbers, texts, least = row_score.indexes("number"), row_score.indexes("text"), row_score.threshold - _SLACK
     order = [(i, f.kind) for i, f in enumerate(row_score.fields)]
     schema = T.StructType([T.StructField(c, T.LongType()) for c in ("left_id", "right_id")] + [T.StructField(c, T.DoubleType()) for c in ("cosine", "field_score")])
+    weight = NUMBER_WEIGHT * len(numbers) + TEXT_WEIGHT * len(texts)
+    a_number, a_text = NUMBER_WEIGHT * FIELD_WEIGHT / weight, TEXT_WEIGHT * FIELD_WEIGHT / weight
+    most_from_text = EMBEDDING_WEIGHT * row_score.most_cosine
 
     def compare(a: pa.Table, b: pa.Table) -> pa.Table:
         out = [pa.table({"left_id": pa.array([], pa.int64()), "right_id": pa.array([], pa.int64()), "cosine": pa.array([], pa.float64()), "field_score": pa.array([], pa.float64())})]
         if not a.num_rows or not b.num_rows:
             return out[0]
         grams = _Grams(a["left_text"].to_pylist() + b["right_text"].to_pylist())
-        x_num, y_num = ({i: t[f"{s}{i}"].to_numpy() for i in numbers} for t, s in ((a, "l"), (b, "r")))
+        x_num, y_num = ({i: t[f"{s}{i}"].to_numpy().astype(float) for i in numbers} for t, s in ((a, "l"), (b, "r")))
         x_text, y_text = ({i: t[f"{s}{i}"].to_pylist() for i in texts} for t, s in ((a, "l"), (b, "r")))
         ids = a["left_id"].to_numpy(), b["right_id"].to_numpy()
-        most, part = max(1, _COUNT_CELLS // grams.width), max(1, _STRIP_CELLS // grams.width)
+        spelling = a_text * sum(_most_spelling(x_text[n], y_text[n]) for n in texts)
+        tile = np.float32 if all(_holds_singly(v) for side in (x_num, y_num) for v in side.values()) else np.float64
+        x_tile, y_tile = ({n: v.astype(tile) for n, v in side.items()} for side in (x_num, y_num))
+        most, part = max(1, _COUNT_CELLS // grams.width), max(1, _PART_CELLS // grams.width)
+        leaves = _leaves([x_num[n] for n in numbers], a.num_rows, min(most, LEAF_ROWS))
         for low in range(0, b.num_rows, most):
             right_rows = np.arange(low, min(low + most, b.num_rows))
             y = grams.counts(right_rows + a.num_rows)
             y_norm, y32 = np.einsum("ij,ij->i", y, y), y.astype(np.float32)
             exact = float(y_norm.max()) < 1 << 24
-            step = max(1, min(_STRIP_CELLS // len(right_rows), most))
-            for begin in range(0, a.num_rows, step):
-                left_rows = np.arange(begin, min(begin + step, a.num_rows))
+            for left_rows in leaves:
+                reach = most_from_text + spelling + FIELD_WEIGHT * NUMBER_WEIGHT * len(numbers) / weight
+                for n in numbers:
+                    reach = reach - a_number * (1 - _most_closeness(x_num[n][left_rows], y_num[n][right_rows]))
+                meet = np.flatnonzero(~(np.broadcast_to(reach, len(right_rows)) < least))
+                if not len(meet):
+                    continue
                 x = grams.counts(left_rows)
-                x_norm = np.einsum("ij,ij->i", x, x)
-                near = _near([(x_num[n][left_rows], y_num[n][right_rows]) for n in numbers])
-                if near is not None and len(near[0]) * _PICK < len(left_rows) * len(right_rows):
-                    i, j = near
-                    dots = np.concatenate([np.einsum("ij,ij->i", x[i[k : k + part]], y[j[k : k + part]]) for k in range(0, len(i) or 1, part)])
-                    cos = dots / np.sqrt(x_norm[i] * y_norm[j])
-                else:
-                    dots = x.astype(np.float32) @ y32.T if exact and x_norm.max() < 1 << 24 else x @ y.T
-                    cosine = dots / np.sqrt(x_norm[:, None] * y_norm[None, :])
-                    i, j = np.nonzero(~(cosine * EMBEDDING_WEIGHT + FIELD_WEIGHT < least)) if near is None else near
-                    cos = cosine[i, j]
-                i, j = left_rows[i], right_rows[j]
-                field = _fields(x_num, y_num, x_text, y_text, i, j)
-                near = ~(cos * EMBEDDING_WEIGHT + field * FIELD_WEIGHT < least)
-                i, j = i[near], j[near]
-                out.append(pa.table({"left_id": ids[0][i], "right_id": ids[1][j], "cosine": cos[near], "field_score": field[near]}))
+                x_norm, x32 = np.einsum("ij,ij->i", x, x), x.astype(np.float32)
+                singly = exact and x_norm.max() < 1 << 24
+                step = max(1, _TILE_CELLS // len(left_rows))
+                for begin in range(0, len(meet), step):
+                    met = meet[begin : begin + step]
+                    best = _best([(x_tile[n][left_rows], y_tile[n][right_rows[met]]) for n in numbers], spelling)
+                    near = np.nonzero(~(best + most_from_text < least - _ROUGH)) if numbers else None
+                    if near is not None and len(near[0]) * _PICK < best.size:
+                        i, j = near
+                        dots = np.concatenate([np.einsum("ij,ij->i", x[i[k : k + part]], y[met[j[k : k + part]]]) for k in range(0, len(i) or 1, part)])
+                    else:
+                        dots = x32 @ y32[met].T if singly else x @ y[met].T
+                        cosine = dots * (EMBEDDING_WEIGHT / np.sqrt(x_norm)).astype(dots.dtype)[:, None]
+                        cosine *= (1 / np.sqrt(y_norm[met])).astype(dots.dtype)
+                        cosine += best
+                        i, j = np.nonzero(~(cosine < least - _ROUGH))
+                        dots = dots[i, j]
+                    cos = dots / np.sqrt(x_norm[i] * y_norm[met[j]])
+                    i, j = left_rows[i], right_rows[met[j]]
+                    reach = cos * EMBEDDING_WEIGHT + spelling
+                    for n in numbers:
+                        reach = reach + a_number * _closeness(x_num[n][i], y_num[n][j])
+                    near = ~(reach < least)
+                    i, j, cos = i[near], j[near], cos[near]
+                    field = _fields(x_num, y_num, x_text, y_text, i, j)
+                    near = ~(cos * EMBEDDING_WEIGHT + field * FIELD_WEIGHT < least)
+                    if near.any():
+                        out.append(pa.table({"left_id": ids[0][i[near]], "right_id": ids[1][j[near]], "cosine": cos[near], "field_score": field[near]}))
         return pa.concat_tables(out)
 
-    weight = NUMBER_WEIGHT * len(numbers) + TEXT_WEIGHT * len(texts)
-    start = EMBEDDING_WEIGHT * row_score.most_cosine + FIELD_WEIGHT
-
-    def _near(columns: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray] | None:
-        """Places of the pairs whose numbers reach the threshold with equal texts; None without numbers."""
-        if not columns:
-            return None
-        best = np.full((len(columns[0][0]), len(columns[0][1])), start)
+    def _best(columns: list[tuple[np.ndarray, np.ndarray]], spelling: float) -> np.ndarray | float:
+        """What the fields of each pair add to its score at most."""
+        best = spelling
         for a, b in columns:
-            largest = np.maximum(np.abs(a)[:, None], np.abs(b)[None, :])
+            apart = np.subtract.outer(a, b)
+            np.abs(apart, out=apart)
+            largest = np.maximum.outer(np.abs(a), np.abs(b))
             largest[largest == 0] = 1.0
-            apart = np.abs(a[:, None] - b[None, :])
             apart /= largest
-            apart *= NUMBER_WEIGHT * FIELD_WEIGHT / weight
-            best -= apart
-        return np.nonzero(~(best < least))
+            apart *= -a_number
+            apart += a_number
+            apart += best
+            best = apart
+        return best
 
     def _fields(x_num, y_num, x_text, y_text, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         total, weights = np.zeros(len(i)), 0.0
@@ -120,10 +148,72 @@ def score_edges(row_score: RowScore, left: DataFrame, right: DataFrame) -> DataF
                 total, weights = total + spelling * TEXT_WEIGHT, weights + TEXT_WEIGHT
         return total / weights
 
-    pairs = in_blocks(left, right, compare, schema, TEXT_ROWS)
+    rows = max(1, min(TEXT_ROWS, int(_LINE_CHARS / max(1.0, _mean_length(left, "left"), _mean_length(right, "right")))))
+    pairs = in_blocks(left, right, compare, schema, rows)
     return row_score.mixed(pairs).filter(F.col("score") >= row_score.threshold).select("left_id", "right_id", "score")
 
 
+def _mean_length(side: DataFrame, name: str) -> float:
+    return side.agg(F.avg(F.length(f"{name}_text"))).first()[0] or 0.0
+
+
+def _holds_singly(values: np.ndarray) -> bool:
+    """Whether single precision holds each value to seven digits."""
+    sizes = np.abs(values[values != 0])
+    return bool(np.all((sizes > _SINGLE[0]) & (sizes < _SINGLE[1])))
+
+
+def _leaves(columns: list[np.ndarray], rows: int, most: int) -> list[np.ndarray]:
+    """The rows in halves of halves, by the column that is widest in each, down to ``most`` rows."""
+    done, open_ = [], [np.arange(rows)]
+    while open_:
+        leaf = open_.pop()
+        if len(leaf) <= most:
+            done.append(leaf)
+            continue
+        half, by = len(leaf) // 2, leaf
+        if columns:
+            widths = [1 - _closeness(low, high) for low, high in ((v[leaf].min(), v[leaf].max()) for v in columns)]
+            by = columns[int(np.argmax(widths))][leaf]
+        split = np.argpartition(by, half)
+        open_ += [leaf[split[:half]], leaf[split[half:]]]
+    return done
+
+
+def _most_closeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How close each number of ``b`` is to any between the least and the most of ``a``, at most."""
+    low, high = a.min(), a.max()
+    nearest = np.clip(b, low, high)
+    # Numbers of unlike signs are never closer than 0, which two of them at the end of a range need not show.
+    most = np.maximum(_closeness(nearest, b), 0.0)
+    return np.where(np.isfinite(most) & np.isfinite(low) & np.isfinite(high), most, 1.0)
+
+
+def _most_spelling(a: list[str], b: list[str]) -> float:
+    """A bound on the Jaro-Winkler similarity of any two texts: matched characters are in both, each at most as often."""
+    sides = []
+    for texts in ([t for t in dict.fromkeys(a) if t], [t for t in dict.fromkeys(b) if t]):
+        if not texts:
+            return 0.0
+        chars = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
+        lengths = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
+        cells, counts = np.unique((np.repeat(np.arange(len(texts)), lengths) << 21) | chars, return_counts=True)
+        kept, place = np.unique(cells & ((1 << 21) - 1), return_inverse=True)
+        tops = np.zeros(len(kept), dtype=np.int64)
+        np.maximum.at(tops, place, counts)
+        most = dict(zip(kept.tolist(), tops.tolist()))
+        sides.append((most, int(lengths.min()), [{t[p] for t in texts if len(t) > p} for p in range(PREFIX_LENGTH)]))
+    (x, x_least, x_starts), (y, y_least, y_starts) = sides
+    shared = sum(min(n, y.get(c, 0)) for c, n in x.items())
+    if not shared:
+        return 0.0
+    jaro = (min(1.0, shared / x_least) + min(1.0, shared / y_least) + 1) / 3
+    prefix = 0
+    while prefix < PREFIX_LENGTH and x_starts[prefix] & y_starts[prefix]:
+        prefix += 1
+    return jaro + PREFIX_WEIGHT * prefix * (1 - jaro)
+
+
 def _closeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     largest = np.maximum(np.abs(a), np.abs(b))
     with np.errstate(invalid="ignore", divide="ignore"):

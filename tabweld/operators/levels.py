@@ -26,8 +26,9 @@ LEVEL_EDGES = 200_000
 ROW_EDGES = 4
 #: Rows whose edges tell where that level is.
 PROBE_ROWS = 256
+SKETCH_ROWS = 10_000
 #: A join that leaves this share of all pairs, or more, is no better than comparing blocks.
-BAND_SHARE = 0.3
+BAND_SHARE = 0.01
 GRAM_SHARE = 0.01
 SAMPLE_ROWS = 2_000
 
@@ -82,10 +83,15 @@ def _level(row_score: RowScore, left: DataFrame, right: DataFrame, allowed: int)
         return row_score.threshold
     probe = materialize(left.orderBy(F.xxhash64("left_id")).limit(PROBE_ROWS), "probe")
     edges = materialize(score_edges(row_score, probe, right), "probe-edges")
-    share = most * probe.count() / lefts / max(1, edges.count())
-    if share >= 1:
+    wanted, found = most * probe.count() / lefts, edges.count()
+    if wanted >= found:
         return row_score.threshold
-    return max(row_score.threshold, edges.agg(F.percentile_approx("score", 1 - share, 10_000)).first()[0])
+    # A sketch does not tell a few scores at the top of many.
+    if wanted <= SKETCH_ROWS:
+        level = edges.orderBy(F.desc("score")).limit(max(1, int(wanted))).agg(F.min("score")).first()[0]
+    else:
+        level = edges.agg(F.percentile_approx("score", 1 - wanted / found, SKETCH_ROWS)).first()[0]
+    return max(row_score.threshold, level)
 
 
 def _edges(row_score: RowScore, left: DataFrame, right: DataFrame) -> DataFrame:
