@@ -1,9 +1,10 @@
 """Comparing all rows of two sides block by block, where no join leaves out enough.
 
-Both sides are cut into lines of a bounded number of rows; each cell of the grid is one task's
-work and holds its two lines only. Inside a cell the left rows are put in leaves of like numbers. A leaf
-meets only the right rows that its range of numbers lets reach the threshold; numpy compares these in
-tiles, so that a pair costs some matrix elements and is written out only if it can reach it too.
+The left side is cut into cells of like rows, and a right row goes to those that it can match in (``cells``).
+A task holds a bounded number of rows of one cell and of the right rows that reach it. Inside it the left rows
+are put in leaves of like numbers, or of like bigrams where there are none. A leaf meets only the right rows
+that its bounds let reach the threshold; numpy compares these in tiles, so that a pair costs some matrix
+elements and is written out only if it can reach it too.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabweld.functions.similarity import PREFIX_LENGTH, PREFIX_WEIGHT, _Grams, _jaro_winklers
+from tabweld.operators.cells import Cells, bigrams, most_closeness, most_spelling, signs
+from tabweld.operators.cells import closeness as _closeness
 from tabweld.operators.scoring import EMBEDDING_WEIGHT, FIELD_WEIGHT, NUMBER_WEIGHT, TEXT_WEIGHT, RowScore
 
 # The functions below travel with the plan: executors need no copy of this package.
@@ -37,6 +40,11 @@ _SINGLE = 1e-30, 1e30  # magnitudes that single precision holds to seven digits
 _FEW_ROWS = 512
 _PICK = 50  # so few pairs have their cosines taken one by one
 _MOST_GRAMS = 1 << 16
+_FEW_CELLS = 6
+_HELD_CHARS = 1_000_000  # texts that a task may hold of a side that goes to all tasks
+_LETTERS = 64
+_LOPSIDED = 0.48
+_SUM_LOSS = 2e-7  # of a sum of single precision, for each of its terms
 
 
 def in_blocks(left: DataFrame, right: DataFrame, compare: Callable, schema: T.StructType, rows: int) -> DataFrame:
@@ -65,28 +73,49 @@ def score_edges(row_score: RowScore, left: DataFrame, right: DataFrame) -> DataF
     schema = T.StructType([T.StructField(c, T.LongType()) for c in ("left_id", "right_id")] + [T.StructField(c, T.DoubleType()) for c in ("cosine", "field_score")])
     weight = NUMBER_WEIGHT * len(numbers) + TEXT_WEIGHT * len(texts)
     a_number, a_text = NUMBER_WEIGHT * FIELD_WEIGHT / weight, TEXT_WEIGHT * FIELD_WEIGHT / weight
-    most_from_text = EMBEDDING_WEIGHT * row_score.most_cosine
+    highest = row_score.most_cosine
+    most_from_text = EMBEDDING_WEIGHT * highest
+    lefts, rights = left.count(), right.count()
+    length = max(1.0, _mean_length(left, "left"), _mean_length(right, "right"))
+    rows = max(1, min(TEXT_ROWS, int(_LINE_CHARS / length)))
 
     def compare(a: pa.Table, b: pa.Table) -> pa.Table:
         out = [pa.table({"left_id": pa.array([], pa.int64()), "right_id": pa.array([], pa.int64()), "cosine": pa.array([], pa.float64()), "field_score": pa.array([], pa.float64())})]
-        if not a.num_rows or not b.num_rows:
-            return out[0]
-        grams = _Grams(a["left_text"].to_pylist() + b["right_text"].to_pylist())
+        if a.num_rows and b.num_rows:
+            x_row = a["left_text"].to_pylist()
+            # Without numbers, rows of a leaf share bigrams.
+            leaves = _leaves([a[f"l{n}"].to_numpy().astype(float) for n in numbers], a.num_rows, LEAF_ROWS, None if numbers else signs(x_row))
+            for begin in range(0, b.num_rows, rows):
+                out += part_edges(a, x_row, leaves, b.slice(begin, rows))
+        return pa.concat_tables(out)
+
+    def part_edges(a: pa.Table, x_row: list[str], leaves: list[np.ndarray], b: pa.Table) -> list[pa.Table]:
+        out = []
+        grams = _Grams(x_row + b["right_text"].to_pylist())
         x_num, y_num = ({i: t[f"{s}{i}"].to_numpy().astype(float) for i in numbers} for t, s in ((a, "l"), (b, "r")))
         x_text, y_text = ({i: t[f"{s}{i}"].to_pylist() for i in texts} for t, s in ((a, "l"), (b, "r")))
+        x_letters, y_letters = ({n: _letters(v) for n, v in side.items()} for side in (x_text, y_text))
         ids = a["left_id"].to_numpy(), b["right_id"].to_numpy()
         spelling = a_text * sum(_most_spelling(x_text[n], y_text[n]) for n in texts)
         tile = np.float32 if all(_holds_singly(v) for side in (x_num, y_num) for v in side.values()) else np.float64
         x_tile, y_tile = ({n: v.astype(tile) for n, v in side.items()} for side in (x_num, y_num))
         most, part = max(1, _COUNT_CELLS // grams.width), max(1, _PART_CELLS // grams.width)
-        leaves = _leaves([x_num[n] for n in numbers], a.num_rows, min(most, LEAF_ROWS))
+        leaves = [leaf[k : k + most] for leaf in leaves for k in range(0, len(leaf), most)]
+        tops = None if numbers else _tops(grams, leaves)
         for low in range(0, b.num_rows, most):
             right_rows = np.arange(low, min(low + most, b.num_rows))
             y = grams.counts(right_rows + a.num_rows)
             y_norm, y32 = np.einsum("ij,ij->i", y, y), y.astype(np.float32)
             exact = float(y_norm.max()) < 1 << 24
-            for left_rows in leaves:
-                reach = most_from_text + spelling + FIELD_WEIGHT * NUMBER_WEIGHT * len(numbers) / weight
+            shares = None if numbers else (y32 @ tops.T) * ((1 + _SUM_LOSS * grams.width) / np.sqrt(y_norm))[:, None]
+            for k, left_rows in enumerate(leaves):
+                reach = most_from_text if shares is None else EMBEDDING_WEIGHT * np.minimum(shares[:, k] + _SLACK, highest)
+                spelt = 0.0
+                for n in texts:
+                    lengths = x_letters[n][1][left_rows]
+                    spelt = spelt + a_text * most_spelling(y_letters[n][1][right_rows], lengths[lengths > 0].min(initial=np.inf), lengths.max())
+                spelt = np.minimum(spelt, spelling)
+                reach = reach + spelt + FIELD_WEIGHT * NUMBER_WEIGHT * len(numbers) / weight
                 for n in numbers:
                     reach = reach - a_number * (1 - _most_closeness(x_num[n][left_rows], y_num[n][right_rows]))
                 meet = np.flatnonzero(~(np.broadcast_to(reach, len(right_rows)) < least))
@@ -95,16 +124,20 @@ def score_edges(row_score: RowScore, left: DataFrame, right: DataFrame) -> DataF
                 x = grams.counts(left_rows)
                 x_norm, x32 = np.einsum("ij,ij->i", x, x), x.astype(np.float32)
                 singly = exact and x_norm.max() < 1 << 24
+                # Bigrams that no text of the leaf holds add nothing to its products.
+                held = np.flatnonzero(x32.any(axis=0))
+                narrow = singly and 2 * len(held) < grams.width
+                x_held = np.ascontiguousarray(x32[:, held]) if narrow else x32
                 step = max(1, _TILE_CELLS // len(left_rows))
                 for begin in range(0, len(meet), step):
                     met = meet[begin : begin + step]
-                    best = _best([(x_tile[n][left_rows], y_tile[n][right_rows[met]]) for n in numbers], spelling)
+                    best = _best([(x_tile[n][left_rows], y_tile[n][right_rows[met]]) for n in numbers], spelt[met] if texts else 0.0)
                     near = np.nonzero(~(best + most_from_text < least - _ROUGH)) if numbers else None
                     if near is not None and len(near[0]) * _PICK < best.size:
                         i, j = near
                         dots = np.concatenate([np.einsum("ij,ij->i", x[i[k : k + part]], y[met[j[k : k + part]]]) for k in range(0, len(i) or 1, part)])
                     else:
-                        dots = x32 @ y32[met].T if singly else x @ y[met].T
+                        dots = x_held @ (y32[np.ix_(met, held)] if narrow else y32[met]).T if singly else x @ y[met].T
                         cosine = dots * (EMBEDDING_WEIGHT / np.sqrt(x_norm)).astype(dots.dtype)[:, None]
                         cosine *= (1 / np.sqrt(y_norm[met])).astype(dots.dtype)
                         cosine += best
@@ -112,18 +145,20 @@ def score_edges(row_score: RowScore, left: DataFrame, right: DataFrame) -> DataF
                         dots = dots[i, j]
                     cos = dots / np.sqrt(x_norm[i] * y_norm[met[j]])
                     i, j = left_rows[i], right_rows[met[j]]
-                    reach = cos * EMBEDDING_WEIGHT + spelling
+                    reach = cos * EMBEDDING_WEIGHT
                     for n in numbers:
                         reach = reach + a_number * _closeness(x_num[n][i], y_num[n][j])
+                    for n in texts:
+                        reach = reach + a_text * _spelling_of_letters(x_letters[n], y_letters[n], i, j)
                     near = ~(reach < least)
                     i, j, cos = i[near], j[near], cos[near]
                     field = _fields(x_num, y_num, x_text, y_text, i, j)
                     near = ~(cos * EMBEDDING_WEIGHT + field * FIELD_WEIGHT < least)
                     if near.any():
                         out.append(pa.table({"left_id": ids[0][i[near]], "right_id": ids[1][j[near]], "cosine": cos[near], "field_score": field[near]}))
-        return pa.concat_tables(out)
+        return out
 
-    def _best(columns: list[tuple[np.ndarray, np.ndarray]], spelling: float) -> np.ndarray | float:
+    def _best(columns: list[tuple[np.ndarray, np.ndarray]], spelling: np.ndarray | float) -> np.ndarray | float:
         """What the fields of each pair add to its score at most."""
         best = spelling
         for a, b in columns:
@@ -148,8 +183,19 @@ def score_edges(row_score: RowScore, left: DataFrame, right: DataFrame) -> DataF
                 total, weights = total + spelling * TEXT_WEIGHT, weights + TEXT_WEIGHT
         return total / weights
 
-    rows = max(1, min(TEXT_ROWS, int(_LINE_CHARS / max(1.0, _mean_length(left, "left"), _mean_length(right, "right")))))
-    pairs = in_blocks(left, right, compare, schema, rows)
+    if lefts <= min(LEAF_ROWS, TEXT_ROWS) and lefts * length <= _HELD_CHARS:
+        # So few rows go to every part of the other side.
+        few = left.toArrow()
+
+        def beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield from compare(few, pa.Table.from_batches([batch])).to_batches()
+
+        pairs = right.mapInArrow(beside, schema)
+    else:
+        cells = max(1, -(-lefts // rows), min(_FEW_CELLS, lefts // _FEW_ROWS))
+        found = Cells(left, lefts, rows, cells, length, numbers, texts, (a_number, a_text, EMBEDDING_WEIGHT), row_score.most_cosine, least - _SLACK)
+        pairs = found.compared(right, rights, compare, schema)
     return row_score.mixed(pairs).filter(F.col("score") >= row_score.threshold).select("left_id", "right_id", "score")
 
 
@@ -163,8 +209,38 @@ def _holds_singly(values: np.ndarray) -> bool:
     return bool(np.all((sizes > _SINGLE[0]) & (sizes < _SINGLE[1])))
 
 
-def _leaves(columns: list[np.ndarray], rows: int, most: int) -> list[np.ndarray]:
-    """The rows in halves of halves, by the column that is widest in each, down to ``most`` rows."""
+def _tops(grams: _Grams, leaves: list[np.ndarray]) -> np.ndarray:
+    """The most that a text of each leaf has of a bigram, over the text's norm."""
+    tops = np.empty((len(leaves), grams.width), dtype=np.float32)
+    for k, leaf in enumerate(leaves):
+        x = grams.counts(leaf)
+        tops[k] = (x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]).max(axis=0)
+    return tops
+
+
+def _letters(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """How many characters of each of some groups each text has, and its length."""
+    known = [t or "" for t in texts]
+    lengths = np.fromiter(map(len, known), dtype=np.int64, count=len(known))
+    chars = np.frombuffer("".join(known).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
+    cells = np.repeat(np.arange(len(known)) * _LETTERS, lengths) + chars % _LETTERS
+    return np.bincount(cells, minlength=len(known) * _LETTERS).astype(np.int32).reshape(len(known), _LETTERS), lengths.astype(float)
+
+
+def _spelling_of_letters(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """A bound on the Jaro-Winkler similarity of each pair of texts, from what characters they share in any order."""
+    shared, part = np.empty(len(i)), _PART_CELLS // _LETTERS
+    for k in range(0, len(i), part):
+        shared[k : k + part] = np.minimum(a[0][i[k : k + part]], b[0][j[k : k + part]]).sum(axis=1)
+    jaro = (shared / np.maximum(a[1][i], 1) + shared / np.maximum(b[1][j], 1) + 1) / 3
+    return np.where(shared > 0, jaro + PREFIX_WEIGHT * PREFIX_LENGTH * (1 - jaro), 0.0)
+
+
+def _leaves(columns: list[np.ndarray], rows: int, most: int, marks: np.ndarray | None = None) -> list[np.ndarray]:
+    """The rows in halves of halves, by the column that is widest in each, down to ``most`` rows.
+
+    With ``marks`` they are parted by the mark that about half of them have.
+    """
     done, open_ = [], [np.arange(rows)]
     while open_:
         leaf = open_.pop()
@@ -172,7 +248,14 @@ def _leaves(columns: list[np.ndarray], rows: int, most: int) -> list[np.ndarray]
             done.append(leaf)
             continue
         half, by = len(leaf) // 2, leaf
-        if columns:
+        if marks is not None:
+            share = marks[leaf].mean(axis=0)
+            best = int(np.argmin(np.abs(share - 0.5)))
+            if abs(share[best] - 0.5) < _LOPSIDED:
+                has = marks[leaf, best]
+                open_ += [leaf[~has], leaf[has]]
+                continue
+        elif columns:
             widths = [1 - _closeness(low, high) for low, high in ((v[leaf].min(), v[leaf].max()) for v in columns)]
             by = columns[int(np.argmax(widths))][leaf]
         split = np.argpartition(by, half)
@@ -182,11 +265,7 @@ def _leaves(columns: list[np.ndarray], rows: int, most: int) -> list[np.ndarray]
 
 def _most_closeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """How close each number of ``b`` is to any between the least and the most of ``a``, at most."""
-    low, high = a.min(), a.max()
-    nearest = np.clip(b, low, high)
-    # Numbers of unlike signs are never closer than 0, which two of them at the end of a range need not show.
-    most = np.maximum(_closeness(nearest, b), 0.0)
-    return np.where(np.isfinite(most) & np.isfinite(low) & np.isfinite(high), most, 1.0)
+    return most_closeness(a.min(), a.max(), b)
 
 
 def _most_spelling(a: list[str], b: list[str]) -> float:
@@ -214,12 +293,6 @@ def _most_spelling(a: list[str], b: list[str]) -> float:
     return jaro + PREFIX_WEIGHT * prefix * (1 - jaro)
 
 
-def _closeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    largest = np.maximum(np.abs(a), np.abs(b))
-    with np.errstate(invalid="ignore", divide="ignore"):
-        return np.where(largest == 0, 1.0, 1.0 - np.abs(a - b) / largest)
-
-
 def most_cosine(left: DataFrame, right: DataFrame) -> float:
     """A bound on the cosine of any two row texts: bigrams that one side lacks add to norms only."""
     from_side = {s: df.select(F.col(f"{s}_text").alias("t")) for s, df in (("left", left), ("right", right))}
@@ -253,12 +326,4 @@ def most_cosine(left: DataFrame, right: DataFrame) -> float:
 
 def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """The bigrams of padded texts as numbers, and the text that each is of."""
-    padded = [f" {t} " for t in texts if t is not None]
-    if not padded:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    chars = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
-    lengths = np.fromiter(map(len, padded), dtype=np.int64, count=len(padded))
-    starts = np.ones(len(chars), dtype=bool)
-    starts[np.cumsum(lengths) - 1] = False
-    first = np.flatnonzero(starts)
-    return (chars[first] << 21) | chars[first + 1], np.repeat(np.arange(len(padded)), lengths - 1)
+    return bigrams([t for t in texts if t is not None])

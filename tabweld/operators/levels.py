@@ -23,12 +23,15 @@ from tabweld.session import materialize, side_by_side
 
 #: A level is to leave about so many edges, and so many for each row of the shorter side.
 LEVEL_EDGES = 200_000
-ROW_EDGES = 4
+ROW_EDGES = 1
 #: Rows whose edges tell where that level is.
 PROBE_ROWS = 256
+PROBE_SHARES = (0.5, 0.25, 0)
 SKETCH_ROWS = 10_000
 #: A join that leaves this share of all pairs, or more, is no better than comparing blocks.
 BAND_SHARE = 0.01
+#: So is one that leaves so many pairs for each row, which cells of like rows divide further.
+BAND_ROW_PAIRS = 1_000
 GRAM_SHARE = 0.01
 SAMPLE_ROWS = 2_000
 
@@ -44,14 +47,17 @@ def many_pairs(row_score: RowScore, left: DataFrame, right: DataFrame) -> bool:
     band = candidates._band_join(row_score, left, right, True)
     if band is not None and band.pairs <= candidates._FEW_PAIRS:
         return False
-    few = [df.orderBy(F.xxhash64(f"{s}_id")).limit(SAMPLE_ROWS) for s, df in (("left", left), ("right", right))]
-    few = [materialize(df, "sample") for df in few]
+    few = [materialize(sampled(df, s), "sample") for df, s in ((left, "left"), (right, "right"))]
     gram = candidates._gram_join(row_score, *few)
     if gram is None:
         return band is not None
     return gram.pairs > GRAM_SHARE * few[0].count() * few[1].count()
 
 
+def sampled(df: DataFrame, side: str) -> DataFrame:
+    return df.orderBy(F.xxhash64(f"{side}_id")).limit(SAMPLE_ROWS)
+
+
 def match_by_levels(row_score: RowScore, left: DataFrame, right: DataFrame, rows: tuple[DataFrame, DataFrame] | None) -> DataFrame:
     """Matches of distinct prepared rows, or of the ``rows`` (``class, id``) that look like them."""
     row_score = replace(row_score, most_cosine=most_cosine(left, right))
@@ -82,9 +88,15 @@ def _level(row_score: RowScore, left: DataFrame, right: DataFrame, allowed: int)
     if lefts * rights <= most:
         return row_score.threshold
     probe = materialize(left.orderBy(F.xxhash64("left_id")).limit(PROBE_ROWS), "probe")
-    edges = materialize(score_edges(row_score, probe, right), "probe-edges")
-    wanted, found = most * probe.count() / lefts, edges.count()
-    if wanted >= found:
+    wanted = most * probe.count() / lefts
+    # The best edges are far fewer than all that pass: these are looked for only where the best do not suffice.
+    for share in PROBE_SHARES:
+        bound = row_score.threshold + share * (1 - row_score.threshold)
+        edges = materialize(score_edges(replace(row_score, threshold=bound), probe, right), "probe-edges")
+        found = edges.count()
+        if wanted < found:
+            break
+    else:
         return row_score.threshold
     # A sketch does not tell a few scores at the top of many.
     if wanted <= SKETCH_ROWS:
@@ -95,9 +107,16 @@ def _level(row_score: RowScore, left: DataFrame, right: DataFrame, allowed: int)
 
 
 def _edges(row_score: RowScore, left: DataFrame, right: DataFrame) -> DataFrame:
-    total = left.count() * right.count()
+    lefts, rights = left.count(), right.count()
+    most = max(candidates._FEW_PAIRS, min(BAND_SHARE * lefts * rights, BAND_ROW_PAIRS * (lefts + rights)))
+    if min(lefts, rights) > SAMPLE_ROWS:
+        # Counting lists each right row nine times, so a sample tells first whether the bands can be narrow enough.
+        few = [materialize(sampled(df, s), "sample") for df, s in ((left, "left"), (right, "right"))]
+        band = candidates._band_join(row_score, *few, True)
+        if band is None or band.pairs * lefts * rights > 4 * most * few[0].count() * few[1].count():
+            return score_edges(row_score, left, right)
     band = candidates._band_join(row_score, left, right, True)
-    if band is not None and band.pairs <= max(candidates._FEW_PAIRS, BAND_SHARE * total):
+    if band is not None and band.pairs <= most:
         return row_score.passing(band.joined())
     return score_edges(row_score, left, right)
 
