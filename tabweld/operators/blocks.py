@@ -19,8 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabweld.functions.similarity import PREFIX_LENGTH, PREFIX_WEIGHT, _Grams, _jaro_winklers
-from tabweld.operators.cells import Cells, bigrams, most_closeness, most_spelling, signs
+from tabweld.functions.similarity import PREFIX_LENGTH, PREFIX_WEIGHT, _jaro_winklers
+from tabweld.operators.cells import Cells, bigrams, most_closeness, most_spelling, parting_sign, signs
 from tabweld.operators.cells import closeness as _closeness
 from tabweld.operators.scoring import EMBEDDING_WEIGHT, FIELD_WEIGHT, NUMBER_WEIGHT, TEXT_WEIGHT, RowScore
 
@@ -43,7 +43,6 @@ _MOST_GRAMS = 1 << 16
 _FEW_CELLS = 6
 _HELD_CHARS = 1_000_000  # texts that a task may hold of a side that goes to all tasks
 _LETTERS = 64
-_LOPSIDED = 0.48
 _SUM_LOSS = 2e-7  # of a sum of single precision, for each of its terms
 
 
@@ -83,31 +82,32 @@ def score_edges(row_score: RowScore, left: DataFrame, right: DataFrame) -> DataF
         out = [pa.table({"left_id": pa.array([], pa.int64()), "right_id": pa.array([], pa.int64()), "cosine": pa.array([], pa.float64()), "field_score": pa.array([], pa.float64())})]
         if a.num_rows and b.num_rows:
             x_row = a["left_text"].to_pylist()
+            grams = _LeftGrams(x_row)
             # Without numbers, rows of a leaf share bigrams.
             leaves = _leaves([a[f"l{n}"].to_numpy().astype(float) for n in numbers], a.num_rows, LEAF_ROWS, None if numbers else signs(x_row))
+            most = max(1, _COUNT_CELLS // grams.width)
+            leaves = [leaf[k : k + most] for leaf in leaves for k in range(0, len(leaf), most)]
             for begin in range(0, b.num_rows, rows):
-                out += part_edges(a, x_row, leaves, b.slice(begin, rows))
+                out += part_edges(a, grams, leaves, most, b.slice(begin, rows))
         return pa.concat_tables(out)
 
-    def part_edges(a: pa.Table, x_row: list[str], leaves: list[np.ndarray], b: pa.Table) -> list[pa.Table]:
+    def part_edges(a: pa.Table, grams: _LeftGrams, leaves: list[np.ndarray], most: int, b: pa.Table) -> list[pa.Table]:
         out = []
-        grams = _Grams(x_row + b["right_text"].to_pylist())
+        y_grams = _RightGrams(grams, b["right_text"].to_pylist())
         x_num, y_num = ({i: t[f"{s}{i}"].to_numpy().astype(float) for i in numbers} for t, s in ((a, "l"), (b, "r")))
         x_text, y_text = ({i: t[f"{s}{i}"].to_pylist() for i in texts} for t, s in ((a, "l"), (b, "r")))
         x_letters, y_letters = ({n: _letters(v) for n, v in side.items()} for side in (x_text, y_text))
         ids = a["left_id"].to_numpy(), b["right_id"].to_numpy()
-        spelling = a_text * sum(_most_spelling(x_text[n], y_text[n]) for n in texts)
+        spelling = a_text * sum(_most_spelling(x_text[n], y_text[n]) if numbers else 1.0 for n in texts)
         tile = np.float32 if all(_holds_singly(v) for side in (x_num, y_num) for v in side.values()) else np.float64
         x_tile, y_tile = ({n: v.astype(tile) for n, v in side.items()} for side in (x_num, y_num))
-        most, part = max(1, _COUNT_CELLS // grams.width), max(1, _PART_CELLS // grams.width)
-        leaves = [leaf[k : k + most] for leaf in leaves for k in range(0, len(leaf), most)]
-        tops = None if numbers else _tops(grams, leaves)
+        part, tops = max(1, _PART_CELLS // grams.width), None if numbers else grams.tops(leaves)
         for low in range(0, b.num_rows, most):
             right_rows = np.arange(low, min(low + most, b.num_rows))
-            y = grams.counts(right_rows + a.num_rows)
-            y_norm, y32 = np.einsum("ij,ij->i", y, y), y.astype(np.float32)
+            y, y_norm = y_grams.counts(low, right_rows[-1] + 1)
             exact = float(y_norm.max()) < 1 << 24
-            shares = None if numbers else (y32 @ tops.T) * ((1 + _SUM_LOSS * grams.width) / np.sqrt(y_norm))[:, None]
+            y = y.astype(np.float32) if exact else y
+            shares = None if numbers else (y.astype(np.float32, copy=False) @ tops.T) * ((1 + _SUM_LOSS * grams.width) / np.sqrt(y_norm))[:, None]
             for k, left_rows in enumerate(leaves):
                 reach = most_from_text if shares is None else EMBEDDING_WEIGHT * np.minimum(shares[:, k] + _SLACK, highest)
                 spelt = 0.0
@@ -121,13 +121,9 @@ def score_edges(row_score: RowScore, left: DataFrame, right: DataFrame) -> DataF
                 meet = np.flatnonzero(~(np.broadcast_to(reach, len(right_rows)) < least))
                 if not len(meet):
                     continue
-                x = grams.counts(left_rows)
-                x_norm, x32 = np.einsum("ij,ij->i", x, x), x.astype(np.float32)
-                singly = exact and x_norm.max() < 1 << 24
-                # Bigrams that no text of the leaf holds add nothing to its products.
-                held = np.flatnonzero(x32.any(axis=0))
-                narrow = singly and 2 * len(held) < grams.width
-                x_held = np.ascontiguousarray(x32[:, held]) if narrow else x32
+                x, x_norm, held = grams.leaf(k, left_rows)
+                narrow = 2 * len(held) < grams.width
+                x_held = np.ascontiguousarray(x[:, held]) if narrow else x
                 step = max(1, _TILE_CELLS // len(left_rows))
                 for begin in range(0, len(meet), step):
                     met = meet[begin : begin + step]
@@ -135,9 +131,9 @@ def score_edges(row_score: RowScore, left: DataFrame, right: DataFrame) -> DataF
                     near = np.nonzero(~(best + most_from_text < least - _ROUGH)) if numbers else None
                     if near is not None and len(near[0]) * _PICK < best.size:
                         i, j = near
-                        dots = np.concatenate([np.einsum("ij,ij->i", x[i[k : k + part]], y[met[j[k : k + part]]]) for k in range(0, len(i) or 1, part)])
+                        dots = np.concatenate([np.einsum("ij,ij->i", x[i[n : n + part]], y[met[j[n : n + part]]]) for n in range(0, len(i) or 1, part)])
                     else:
-                        dots = x_held @ (y32[np.ix_(met, held)] if narrow else y32[met]).T if singly else x @ y[met].T
+                        dots = x_held @ (y[np.ix_(met, held)] if narrow else y[met]).T
                         cosine = dots * (EMBEDDING_WEIGHT / np.sqrt(x_norm)).astype(dots.dtype)[:, None]
                         cosine *= (1 / np.sqrt(y_norm[met])).astype(dots.dtype)
                         cosine += best
@@ -209,13 +205,59 @@ def _holds_singly(values: np.ndarray) -> bool:
     return bool(np.all((sizes > _SINGLE[0]) & (sizes < _SINGLE[1])))
 
 
-def _tops(grams: _Grams, leaves: list[np.ndarray]) -> np.ndarray:
-    """The most that a text of each leaf has of a bigram, over the text's norm."""
-    tops = np.empty((len(leaves), grams.width), dtype=np.float32)
-    for k, leaf in enumerate(leaves):
-        x = grams.counts(leaf)
-        tops[k] = (x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]).max(axis=0)
-    return tops
+class _LeftGrams:
+    """The bigrams of the left texts of a task, which the right ones are counted by: others add to norms only."""
+
+    def __init__(self, texts: list[str]):
+        codes, text = bigrams(texts)
+        self.kept, self.grams = np.unique(codes, return_inverse=True)
+        self.width, self.rows = len(self.kept), len(texts)
+        self.sizes = np.bincount(text, minlength=len(texts))
+        self.ends = np.cumsum(self.sizes)
+        self.known, self.highest = {}, None
+
+    def leaf(self, number: int, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Counts of a leaf's texts, in single precision where that is exact, their norms, and the bigrams that they hold."""
+        if number in self.known:
+            return self.known[number]
+        sizes = self.sizes[rows]
+        upto = np.cumsum(sizes)
+        place = np.arange(upto[-1]) + np.repeat(self.ends[rows] - upto, sizes)
+        cells = np.repeat(np.arange(len(rows)) * self.width, sizes) + self.grams[place]
+        x = np.bincount(cells, minlength=len(rows) * self.width).astype(float).reshape(len(rows), self.width)
+        norm = np.einsum("ij,ij->i", x, x)
+        found = x.astype(np.float32) if norm.max() < 1 << 24 else x, norm, np.flatnonzero(x.any(axis=0))
+        if self.rows * self.width <= _COUNT_CELLS:
+            self.known[number] = found
+        return found
+
+    def tops(self, leaves: list[np.ndarray]) -> np.ndarray:
+        """The most that a text of each leaf has of a bigram, over the text's norm."""
+        if self.highest is None:
+            self.highest = np.empty((len(leaves), self.width), dtype=np.float32)
+            for k, leaf in enumerate(leaves):
+                x, norm, _ = self.leaf(k, leaf)
+                self.highest[k] = (x / np.sqrt(norm)[:, None]).max(axis=0)
+        return self.highest
+
+
+class _RightGrams:
+    """The same bigrams in right texts, and the norms of all of theirs."""
+
+    def __init__(self, left: _LeftGrams, texts: list[str]):
+        codes, text = bigrams(texts)
+        place = np.minimum(np.searchsorted(left.kept, codes), left.width - 1)
+        shared = left.kept[place] == codes
+        self.width, self.text, self.place = left.width, text[shared], place[shared]
+        # A code has 42 bits: texts of a slice and codes fit in one number.
+        cells, counts = np.unique((text[~shared] << 42) | codes[~shared], return_counts=True)
+        self.rest = np.bincount(cells >> 42, weights=counts.astype(float) ** 2, minlength=len(texts))
+
+    def counts(self, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
+        a, b = np.searchsorted(self.text, [low, high])
+        cells = (self.text[a:b] - low) * self.width + self.place[a:b]
+        y = np.bincount(cells, minlength=(high - low) * self.width).astype(float).reshape(high - low, self.width)
+        return y, np.einsum("ij,ij->i", y, y) + self.rest[low:high]
 
 
 def _letters(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -239,7 +281,7 @@ def _spelling_of_letters(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray,
 def _leaves(columns: list[np.ndarray], rows: int, most: int, marks: np.ndarray | None = None) -> list[np.ndarray]:
     """The rows in halves of halves, by the column that is widest in each, down to ``most`` rows.
 
-    With ``marks`` they are parted by the mark that about half of them have.
+    With ``marks`` they are parted by the mark that tells most about the others.
     """
     done, open_ = [], [np.arange(rows)]
     while open_:
@@ -249,9 +291,8 @@ def _leaves(columns: list[np.ndarray], rows: int, most: int, marks: np.ndarray |
             continue
         half, by = len(leaf) // 2, leaf
         if marks is not None:
-            share = marks[leaf].mean(axis=0)
-            best = int(np.argmin(np.abs(share - 0.5)))
-            if abs(share[best] - 0.5) < _LOPSIDED:
+            best = parting_sign(marks[leaf])
+            if best is not None:
                 has = marks[leaf, best]
                 open_ += [leaf[~has], leaf[has]]
                 continue

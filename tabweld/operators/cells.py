@@ -1,7 +1,7 @@
 """Cells of like rows, and the rows of the other side that can match a row of each at all.
 
-A tree cuts the left rows into cells, by numbers or, where there are none, by bigrams that about half of the
-rows hold. A sample places the cuts; the bounds of a cell are those of all its rows. A right row goes only to
+A tree cuts the left rows into cells, by numbers or, where there are none, by bigrams that tell most about
+the others. A sample places the cuts; the bounds of a cell are those of all its rows. A right row goes only to
 the cells whose bounds let it reach the threshold, so what is shuffled grows with the rows and with how
 many cells each can match in, not with the number of cells.
 """
@@ -33,6 +33,8 @@ GRAMS = 1_024
 _STEP_ROWS = 1_024
 _BATCH_ROWS = 10_000
 _HASHES = 1 << 30
+_SIGN_ROWS = 512
+_LEAST_SHARE = 0.05
 _ROUND = 1e-4  # what sums of single precision may lose
 
 
@@ -75,6 +77,21 @@ def gram_weights(texts: list[str]) -> np.ndarray:
     return flat.astype(np.float32).reshape(len(texts), GRAMS)
 
 
+def parting_sign(marks: np.ndarray) -> int | None:
+    """The sign that tells most about the others: texts with and without it share the fewest bigrams. None if texts are alike."""
+    few = marks[:: max(1, len(marks) // _SIGN_ROWS)].astype(np.float32)
+    share = few.mean(axis=0)
+    spread = share * (1 - share)
+    parts = (share > _LEAST_SHARE) & (share < 1 - _LEAST_SHARE)
+    if not parts.any():
+        share = marks.mean(axis=0)
+        parts = (share > 0) & (share < 1)
+        return int(np.argmin(np.abs(share - 0.5))) if parts.any() else None
+    together = few.T @ few / len(few) - np.outer(share, share)
+    told = np.where(parts, (together**2).sum(axis=0) / np.where(parts, spread, 1), -1)
+    return int(np.argmax(told))
+
+
 def text_lengths(texts: list[str]) -> np.ndarray:
     return np.fromiter((len(t) if t else 0 for t in texts), dtype=float, count=len(texts))
 
@@ -111,9 +128,8 @@ def _cut(columns: list[np.ndarray], marks: np.ndarray | None, rows: np.ndarray)
             return n, float(max(at, upper.min()))
     if marks is None:
         return None
-    share = marks[rows].mean(axis=0)
-    best = int(np.argmin(np.abs(share - 0.5)))
-    return (-1 - best, 0.0) if 0 < share[best] < 1 else None
+    best = parting_sign(marks[rows])
+    return None if best is None else (-1 - best, 0.0)
 
 
 def _upper(cut: tuple[int, float], columns: list[np.ndarray], marks: np.ndarray | None, rows: np.ndarray) -> np.ndarray:
