@@ -31,6 +31,7 @@ LEAST_TASKS = 36
 SIGNS = 256
 GRAMS = 1_024
 _STEP_ROWS = 1_024
+_PIECE_CHARS = 1_000_000
 _BATCH_ROWS = 10_000
 _HASHES = 1 << 30
 _SIGN_ROWS = 512
@@ -55,11 +56,23 @@ def _bucket(codes: np.ndarray, buckets: int) -> np.ndarray:
     return ((codes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) % buckets
 
 
+def _pieces(texts: list[str]) -> Iterator[tuple[int, int]]:
+    """Runs of texts of a bounded number of characters, or of one text."""
+    ends, begin = np.cumsum(np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))), 0
+    while begin < len(texts):
+        before = ends[begin - 1] if begin else 0
+        end = int(np.searchsorted(ends, before + _PIECE_CHARS, side="right"))
+        end = min(max(begin + 1, end), begin + _STEP_ROWS)
+        yield begin, end
+        begin = end
+
+
 def signs(texts: list[str]) -> np.ndarray:
     """Which of some groups of bigrams each text holds."""
-    codes, text = bigrams(texts)
     out = np.zeros((len(texts), SIGNS), dtype=bool)
-    out[text, _bucket(codes, SIGNS)] = True
+    for begin, end in _pieces(texts):
+        codes, text = bigrams(texts[begin:end])
+        out[text + begin, _bucket(codes, SIGNS)] = True
     return out
 
 
@@ -68,13 +81,16 @@ def gram_weights(texts: list[str]) -> np.ndarray:
 
     The dot product of two texts' rows is at least their cosine: to join coordinates adds products that are not negative.
     """
-    codes, text = bigrams(texts)
-    kept, number = np.unique(codes, return_inverse=True)
-    cells, counts = np.unique(text * len(kept) + number, return_counts=True)
-    owner, buckets = cells // max(1, len(kept)), _bucket(kept, GRAMS)[cells % max(1, len(kept))]
-    norms = np.sqrt(np.bincount(owner, weights=counts.astype(float) ** 2, minlength=len(texts)))
-    flat = np.bincount(owner * GRAMS + buckets, weights=counts / norms[owner], minlength=len(texts) * GRAMS)
-    return flat.astype(np.float32).reshape(len(texts), GRAMS)
+    out = np.zeros((len(texts), GRAMS), dtype=np.float32)
+    for begin, end in _pieces(texts):
+        codes, text = bigrams(texts[begin:end])
+        kept, number = np.unique(codes, return_inverse=True)
+        cells, counts = np.unique(text * len(kept) + number, return_counts=True)
+        owner, buckets = cells // len(kept), _bucket(kept, GRAMS)[cells % len(kept)]
+        norms = np.sqrt(np.bincount(owner, weights=counts.astype(float) ** 2, minlength=end - begin))
+        flat = np.bincount(owner * GRAMS + buckets, weights=counts / norms[owner], minlength=(end - begin) * GRAMS)
+        out[begin:end] = flat.reshape(end - begin, GRAMS)
+    return out
 
 
 def parting_sign(marks: np.ndarray) -> int | None:

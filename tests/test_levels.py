@@ -185,7 +185,9 @@ def test_texts_go_only_to_cells_in_reach(spark, monkeypatch):
     assert np.mean([len({texts[i].split("/")[2] for i in leaf}) for leaf in leaves]) < 1.5
 
 
-def test_bounds_of_texts():
+@pytest.mark.parametrize("chars", [3, 1_000])
+def test_bounds_of_texts(monkeypatch, chars):
+    monkeypatch.setattr(cells, "_PIECE_CHARS", chars)
     rng = random.Random(30)
     draw = lambda: "".join(rng.choice("abcdé/") for _ in range(rng.choice([0, 1, 2, 5, 9])))
     for _ in range(100):
